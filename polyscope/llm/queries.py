@@ -21,6 +21,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op5_quality import judged
+
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op7_suffix import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op8_packing import pack
 
@@ -33,9 +45,18 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op10_toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op5_quality": op5_quality,
+    "op7_suffix": op7_suffix,
     "op8_packing": op8_packing,
     "op9_language": op9_language,
+    "op10_toxicity": op10_toxicity,
 }
 SQL: dict[str, str] = {}
