@@ -5,7 +5,7 @@ Every byte covered by a string of ``span`` bytes that also starts elsewhere goes
 1. A window's key is the least hash of its ``GRAM``-byte strings, so equal windows have equal keys. Neighbouring windows with
    one key form a run, and a hash names the bytes that the run spans. Runs come to about one for 80 bytes.
 2. Runs are dealt by key. A run whose bytes occur twice repeats as a whole. Runs that share their key with other bytes, the edges of
-   repeated passages, are left; those are the only ones whose bytes are looked at.
+   repeated passages, are left, and so are runs in which the key's string recurs; those are the only ones whose bytes are looked at.
 3. Their bytes are dealt by key, and go batch by batch into a family of suffix arrays (suffix_index), which tells
    which windows agree in all ``span`` bytes. This step is exact.
 4. Each document drops the union of its repeated windows.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import U64, mixed, written
 from .suffix_index import SuffixIndex
 
-SPAN, GRAM, SEGMENT, BATCH = 200, 40, 1 << 19, 1024
-MARK = "route long, fp long, n long, doc_id long, h long, lo long, hi long"
+SPAN, GRAM, SEGMENT, PLACE_BITS, BATCH = 200, 40, 1 << 19, 20, 1024
+MARK = "route long, fp long, n long, doc_id long, h long, lo long, hi long, own long"
 
 _random = np.random.default_rng(20240607)
 #: Two tables of random odd values for bytes, and the base of the rolling hash with its inverse modulo 2**64.
@@ -71,24 +71,31 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, bounds: np.ndarray, hasher: Hasher, span: int, gram: int) -> tuple[np.ndarray, ...]:
-    """key, fingerprint, first and last window start (in ``data``) of the runs of windows within [bounds[i], bounds[i+1])."""
+    """Of the runs of windows within [bounds[i], bounds[i+1]): key, fingerprint, first and last window start (in ``data``), and whether
+    the key's string comes up more than once there, as it must where a run's own windows repeat.
+
+    Of several least hashes the leftmost and the rightmost are found, by their places in the low bits.
+    """
     if len(data) < span:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     with np.errstate(over="ignore"):
         s = hasher.sums(data, 0)
         n = len(data) - gram + 1
-        key = sliding_min(mixed((s[gram:] - s[:-gram]) * hasher.down[:n]), span - gram + 1)
+        g, place, low = mixed((s[gram:] - s[:-gram]) * hasher.down[:n]), np.arange(n, dtype=np.uint64), U64((1 << PLACE_BITS) - 1)
+        left = sliding_min(g & ~low | place, span - gram + 1) & low
+        right = low - (sliding_min(g & ~low | (low - place), span - gram + 1) & low)
+        key = g[left.astype(np.int64)]
         size = np.diff(bounds)
         doc = np.repeat(np.arange(len(size)), size)
         inside = np.flatnonzero(doc[: len(key)] == doc[span - 1 : span - 1 + len(key)])
         if not len(inside):
-            return tuple(np.zeros(0, np.int64) for _ in range(4))
+            return tuple(np.zeros(0, np.int64) for _ in range(5))
         k, d = key[inside], doc[inside]
         new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])]))
         lo, hi = inside[new], inside[np.append(new[1:], len(inside)) - 1]
         s = hasher.sums(data, 1)
         fp = mixed((s[hi + span] - s[lo]) * hasher.down[lo] + (hi - lo).astype(np.uint64))
-    return k[new].view(np.int64), fp.view(np.int64), lo, hi
+    return k[new].view(np.int64), fp.view(np.int64), lo, hi, (left[lo] != right[hi]).astype(np.int64)
 
 
 def utf8(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,10 +131,10 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Dat
             doc_id, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             got = []
             for row, first, own in segments(bounds, span):
-                key, fp, lo, hi = runs_of(data[own[0] : own[-1]], own - own[0], hasher, span, gram)
+                key, fp, lo, hi, recurs = runs_of(data[own[0] : own[-1]], own - own[0], hasher, span, gram)
                 at = row + np.searchsorted(own[1:] - own[0], lo, "right")
-                got.append((key, fp, at, lo + first - bounds[at], hi + first - bounds[at]))
-            key, fp, at, lo, hi = (np.concatenate(x) if got else np.zeros(0, np.int64) for x in (zip(*got, strict=True) if got else [()] * 5))
+                got.append((key, fp, at, lo + first - bounds[at], hi + first - bounds[at], recurs))
+            key, fp, at, lo, hi, recurs = (np.concatenate(x) if got else np.zeros(0, np.int64) for x in (zip(*got, strict=True) if got else [()] * 6))
             order = np.lexsort((fp, key))
             new = np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(fp[order]) != 0)])[: len(order)]
             starts = np.flatnonzero(new)
@@ -135,12 +142,12 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Dat
             heads = order[starts]
             known = order[np.repeat(n, n) > 1]  # repeats within the batch: decided
             cols = [np.concatenate([key[heads], mixed(known.astype(np.uint64)).view(np.int64)])] + [np.concatenate([x[heads], x[known]]) for x in (fp,)]
-            cols += [np.concatenate([n, np.zeros(len(known), np.int64)])] + [np.concatenate([x[heads], x[known]]) for x in (doc_id[at], h[at], lo, hi)]
-            yield pa.record_batch([pa.array(x.astype(np.int64)) for x in cols], names=["route", "fp", "n", "doc_id", "h", "lo", "hi"])
+            cols += [np.concatenate([n, np.zeros(len(known), np.int64)])] + [np.concatenate([x[heads], x[known]]) for x in (doc_id[at], h[at], lo, hi, recurs)]
+            yield pa.record_batch([pa.array(x.astype(np.int64)) for x in cols], names=["route", "fp", "n", "doc_id", "h", "lo", "hi", "own"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Streams rows in order of key and fingerprint. Out: n = 0 for windows that repeat; n = 1 or 2 for bytes to look at, once or more often there."""
-        names = ["route", "fp", "n", "doc_id", "h", "lo", "hi"]
+        names = ["route", "fp", "n", "doc_id", "h", "lo", "hi", "own"]
 
         def settled(x: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Whole groups of one key."""
@@ -155,14 +162,15 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Dat
                 whole[2] = 0
                 key = x[0, starts]
                 _, inverse, fps = np.unique(key, return_inverse=True, return_counts=True)
-                ask = x[:, starts[fps[inverse] > 1]]
-                ask[2] = np.minimum(total[fps[inverse] > 1], 2)
+                open_ = (fps[inverse] > 1) | (x[7, starts] == 1) & (total == 1)
+                ask = x[:, starts[open_]]
+                ask[2] = np.minimum(total[open_], 2)
                 out += [whole, ask]
             out = np.concatenate(out, axis=1)
             if out.shape[1]:
                 yield pa.record_batch([pa.array(c) for c in out], names=names)
 
-        held = np.zeros((7, 0), np.int64)
+        held = np.zeros((8, 0), np.int64)
         for batch in batches:
             held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
             last = int(np.searchsorted(held[0], held[0, -1])) if held.shape[1] else 0
@@ -175,7 +183,7 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Dat
 
     def thinned(x: np.ndarray):
         """Of one key: rows whose fingerprint has come up are decided; one with the sum stays for each."""
-        names = ["route", "fp", "n", "doc_id", "h", "lo", "hi"]
+        names = ["route", "fp", "n", "doc_id", "h", "lo", "hi", "own"]
         done, x = x[:, x[2] == 0], x[:, x[2] > 0]
         starts = np.flatnonzero(np.concatenate([[True], np.diff(x[1]) != 0]))
         size = np.diff(np.append(starts, x.shape[1]))

@@ -27,6 +27,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op6_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op7_suffix import deduplicated
 
@@ -54,6 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op5_quality": op5_quality,
+    "op6_minhash": op6_minhash,
     "op7_suffix": op7_suffix,
     "op8_packing": op8_packing,
     "op9_language": op9_language,
