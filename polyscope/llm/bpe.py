@@ -145,6 +145,15 @@ class Encoder:
             return self.whole(text)
         return [*self.whole(first), *chain.from_iterable(map(known.__getitem__, rest))]
 
+    def encode_directly(self, text: str) -> list[int]:
+        """The same ids without lexicon, where how words are found doesn't matter."""
+        special, fast = self.vocabulary.special, self.vocabulary.fast
+        if not fast:
+            return self.encode(text)
+        if self.vocabulary.split_special is None or not any(x in text for x in special):
+            return fast(text)
+        return [i for part in self.vocabulary.split_special.split(text) for i in ([special[part]] if part in special else fast(part))]
+
     def encode(self, text: str) -> list[int]:
         special = self.vocabulary.special
         if self.vocabulary.split_special is None or not any(x in text for x in special):

@@ -104,14 +104,14 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     if length & (length - 1):
         raise ValueError("length must be a power of two")
-    parts = encoder_parts(docs, path, text)
+    parts = encoder_parts(docs, path, text, words=0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_from(parts)
         for batch in batches:
             rows = []
             for doc, x, row in zip(batch.column(0).to_pylist(), as_text(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                ids = encoder.encode(x)
+                ids = encoder.encode_directly(x)
                 ids.append(end_id)
                 raw = np.array(ids, "<u4")
                 for start in range(0, len(ids) - length + 1, length):
