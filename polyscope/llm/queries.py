@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .op1_lines import SQL as LINES_SQL
 
 
 def tokenizer_path() -> str:
@@ -15,12 +16,30 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op1_lines import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op2_bpe import digests
 
     return digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op3_nearest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op4_rangejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op4_rangejoin import linked
+
+    return linked(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op5_quality import judged
 
@@ -58,7 +77,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lines": op1_lines,
     "op2_bpe": op2_bpe,
+    "op3_nearest": op3_nearest,
+    "op4_rangejoin": op4_rangejoin,
     "op5_quality": op5_quality,
     "op6_minhash": op6_minhash,
     "op7_suffix": op7_suffix,
@@ -66,4 +88,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_lines": LINES_SQL}
