@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -218,10 +218,15 @@ def perplexities(docs: DataFrame, model: Model, text: str = "text", broadcast_ro
     return dealt.groupBy("chunk__").cogroup(answered.groupBy("chunk__")).applyInPandas(rejoin, schema)
 
 
+def row_name(id_col: str, text: str) -> Column:
+    """Names a row by its doc_id and text, null or not."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text))
+
+
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality", quantile: float = QUANTILE, slack: float = SLACK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, lang, perplexity, limit, kept; trusted are documents with a label 1 and none of 0."""
+    """doc_id, lang, perplexity, limit, kept, h (names the row); trusted are documents with a label 1 and none of 0."""
     good = labels.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label).alias("low"), F.max(label).alias("high")).filter("low = 1 and high = 1").select("doc_id", F.lit(True).alias("trusted"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), row_name(id_col, text).alias("h"))
     model = trained(rows.join(good, "doc_id", "left_semi"), "text")
     scored = written(perplexities(rows, model, "text", broadcast_rows).drop("text").join(good, "doc_id", "left"), "kn-scored")
     trusted = scored.filter("trusted")
@@ -230,4 +235,4 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     all_of = trusted.agg(q.alias("any"))  # one row
     out = scored.join(F.broadcast(all_of)).join(by_lang, "lang", "left").withColumn("limit", F.coalesce("own", "any"))
     kept = F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True))
-    return out.select("doc_id", "lang", "perplexity", "limit", kept.alias("kept"))
+    return out.select("doc_id", "lang", "perplexity", "limit", kept.alias("kept"), "h")

@@ -264,7 +264,8 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Dat
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` also ``kept``, the bytes that are left, and the document's columns as ``doc``."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` also ``kept``, the text that is left
+    (without characters of which some bytes are gone), and the document's other columns as ``doc``."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("id"), *([F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("doc")] if keep_text else []))
     marks = repeated_windows(rows, span, gram).groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
     joined = rows.join(marks, ["doc_id", "h"], "left")
@@ -291,8 +292,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sp
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             values = [batch.column("id")] + [pa.array(c, t) for c, t in zip(cols[:4], [pa.int64()] * 3 + [pa.string()], strict=True)]
             if keep_text:
-                values, names = [*values, pa.array(cols[4], pa.binary()), batch.column("doc")], [*names, "kept", "doc"]
+                values, names = [*values, pa.array([x.decode("utf-8", "ignore") for x in cols[4]], pa.string()), batch.column("doc")], [*names, "kept", "doc"]
             yield pa.record_batch(values, names=names)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "") + doc_kind
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "") + doc_kind
     return joined.select("id", "text", "marks", *(["doc"] if keep_text else [])).mapInArrow(drop, schema)
