@@ -1 +1 @@
-"""See the modules of this package."""
+"""Column expressions: constants, text, paths, measures."""

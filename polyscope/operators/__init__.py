@@ -1 +1 @@
-"""See the modules of this package."""
+"""Operators on tables: manifest, audit, validate, runs, retrieval."""

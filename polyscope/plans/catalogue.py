@@ -2,5 +2,496 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import measures, paths, text
+from ..functions.constants import DIMENSION_WEIGHTS, LABELS, PROMPT_PROFILES
+from ..operators import audit, manifest, retrieval, runs, validate
+from . import fixtures as fx
+from . import oracle as o
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str) -> Callable:
+    """Registers a query under its own name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def joined(c: str) -> F.Column:
+    return F.array_join(c, ",")
+
+
+# --- text and paths -----------------------------------------------------------------------------------------------------
+
+
+@query(f"with {o.M} select distinct asset, key as normalized, state_key, parallel_id, 'data/images/' || key as resolved from m")
+def state_key(spark, sf):
+    q = fx.qa(spark, sf)
+    a = F.col("asset")
+    return q.select("asset", paths.normalize_asset(a).alias("normalized"), paths.state_key(a).alias("state_key"), paths.parallel_id(F.col("dimension"), a).alias("parallel_id"), paths.resolve_asset(F.lit("data/images"), a).alias("resolved")).distinct()
+
+
+@query(f"with {o.QA} select distinct qas_file, language, dimension from qa")
+def filename_parts(spark, sf):
+    f = F.col("qas_file")
+    return fx.qa(spark, sf).select("qas_file", paths.file_language(f).alias("language"), paths.file_dimension(f).alias("dimension")).distinct()
+
+
+@query(f"with {o.OUT} select input_id, raw_output, parsed_label from o")
+def parse_label(spark, sf):
+    return fx.outputs(spark, sf).select("input_id", "raw_output", text.parse_label(F.col("raw_output")).alias("parsed_label"))
+
+
+@query(f"""with {o.M} select qas_file, qas_line, question_stem, option_parse_status, array_to_string(labels, ',') as option_order, len(list_distinct(labels))::int as option_count,
+{", ".join(f"case when not (dup or few) then pieces[list_position(labels, '{x}') + 1] end as option_{x.lower()}" for x in LABELS)} from m""")
+def option_parse(spark, sf):
+    m = fx.qa(spark, sf).select("qas_file", "qas_line", text.parse_options(F.col("question")).alias("p"))
+    return m.select("qas_file", "qas_line", "p.question_stem", "p.option_parse_status", F.array_join("p.option_order", ",").alias("option_order"), "p.option_count", *[F.try_element_at("p.options", F.lit(x)).alias(f"option_{x.lower()}") for x in LABELS])
+
+
+@query(f"with f as ({o.duck(fx.PREFLIGHT)}) select doc_id, trim(regexp_replace(question, '\\s+', ' ', 'g')) as signature from f")
+def question_signature(spark, sf):
+    return fx.preflight(spark, sf).select("doc_id", text.question_signature(F.col("question")).alias("signature"))
+
+
+@query(f"""with f as ({o.duck(fx.PREFLIGHT)}), g as (select dimension, trim(regexp_replace(question, '\\s+', ' ', 'g')) as s, count(*) as n from f group by all)
+select dimension, sum(n - 1)::bigint as excess from g group by 1 having sum(n - 1) > 0""")
+def duplicate_excess(spark, sf):
+    return audit.duplicate_excess(fx.preflight(spark, sf), "dimension", "question")
+
+
+@query(f"""with {o.QA} select qas_file, qas_line, p as profile, case p when '{PROMPT_PROFILES[0]}' then question
+when '{PROMPT_PROFILES[1]}' then question || chr(10) || chr(10) || '{text.LABEL_INSTRUCTION}'
+else '{text.TASK_INSTRUCTION}' || chr(10) || chr(10) || question || chr(10) || chr(10) || '{text.LABEL_INSTRUCTION}' end as prompt
+from qa, (select unnest({list(PROMPT_PROFILES)}) as p)""")
+def prompt_text(spark, sf):
+    profiles = F.explode(F.array(*[F.lit(p) for p in PROMPT_PROFILES])).alias("profile")
+    return fx.qa(spark, sf).select("qas_file", "qas_line", "question", profiles).select("qas_file", "qas_line", "profile", text.prompt_text(F.col("question"), F.col("profile")).alias("prompt"))
+
+
+@query(f"""with {o.M} select sample_id, len(images)::int + 1 as parts, images[1] as first_image, question as prompt from m""")
+def model_messages(spark, sf):
+    m = fx.manifest(spark, sf).select("sample_id", text.messages(F.col("question"), F.col("image_paths"), F.lit(PROMPT_PROFILES[0]))[0]["content"].alias("c"))
+    return m.select("sample_id", F.size("c").alias("parts"), F.col("c")[0]["image"].alias("first_image"), F.element_at("c", -1)["text"].alias("prompt"))
+
+
+@query(f"with {o.OUT} select input_id, trim(raw_output) = trim(gold_label) as exact from o")
+def exact_match(spark, sf):
+    return fx.outputs(spark, sf).select("input_id", text.exact_match(F.col("raw_output"), F.col("gold_label")).alias("exact"))
+
+
+@query(f"with {o.QA} select distinct case when asset like '/%' then asset else '/srv/eval/' || asset end as path from qa")
+def resolved_paths(spark, sf):
+    return fx.qa(spark, sf).select(paths.resolve_paths(F.array("asset"), F.lit("/srv/eval"))[0].alias("path")).distinct()
+
+
+# --- manifest, index, pairs, inputs -------------------------------------------------------------------------------------
+
+
+@query(f"""with {o.M} select sample_id, parallel_id, state_key, dimension, language, qas_file, qas_line::int as qas_line, question, question_stem, array_to_string(labels, ',') as option_order,
+len(list_distinct(labels))::int as option_count, option_parse_status, answer as answer_raw, gold_label, asset, asset_path, array_to_string(images, ',') as image_paths, len(images)::int as num_images,
+case when is_episode then 'natural_sort' else 'single_image' end as frame_order, is_episode, asset_exists from m""")
+def manifest_rows(spark, sf):
+    m = fx.manifest(spark, sf).drop("question_raw", "options")
+    return m.withColumns({"option_order": joined("option_order"), "image_paths": joined("image_paths")})
+
+
+@query(f"""with {o.INDEX} select parallel_id, array_to_string(languages, ',') as languages, complete, consistent as gold_labels_consistent from ixc""")
+def parallel_index(spark, sf):
+    return manifest.parallel_index(fx.manifest(spark, sf)).select("parallel_id", joined("languages").alias("languages"), "complete", "gold_labels_consistent")
+
+
+@query(f"with {o.INDEX} select count(*) as parallel_ids, count_if(complete)::bigint as complete_parallel_ids, count_if(not consistent)::bigint as gold_label_inconsistent_ids from ixc")
+def index_summary(spark, sf):
+    return manifest.index_summary(manifest.parallel_index(fx.manifest(spark, sf)))
+
+
+@query("select a.l as question_language, b.l as gui_language from (select unnest(['en','zh','fr','ru','ja','th']) as l) a, (select unnest(['en','zh','fr','ru','ja','th']) as l) b where a.l <> b.l")
+def directed_language_pairs(spark, sf):
+    return manifest.directed_language_pairs(spark)
+
+
+@query(f"""with {o.INDEX} select q.parallel_id || '::q=' || q.language || '::gui=' || g.language as pair_id, q.parallel_id, q.language as question_language, g.language as gui_language, 'raw_mismatch' as condition,
+q.sample_id as question_sample_id, g.sample_id as mismatch_gui_sample_id, q.sample_id as oracle_gui_sample_id, q.gold_label, ixc.consistent as gold_label_consistent, q.asset as question_asset, g.asset as mismatch_gui_asset, q.asset as oracle_gui_asset
+from m q join m g on q.parallel_id = g.parallel_id and q.language <> g.language join ixc on ixc.parallel_id = q.parallel_id where ixc.complete""")
+def cross_locale_pairs(spark, sf):
+    return manifest.cross_locale_pairs(fx.manifest(spark, sf))
+
+
+@query(f"""with {o.M} select 'canonical::' || sample_id as input_id, 'canonical_matched' as condition, sample_id, parallel_id, language as question_language, language as gui_language, dimension, question as question_raw, question_stem,
+array_to_string(labels, ',') as option_order, answer as answer_raw, gold_label, array_to_string(images, ',') as image_paths, len(images)::int as num_images, case when is_episode then 'natural_sort' else 'single_image' end as frame_order from m""")
+def canonical_inputs(spark, sf):
+    return manifest.canonical_inputs(fx.manifest(spark, sf)).drop("options").withColumns({"option_order": joined("option_order"), "image_paths": joined("image_paths")})
+
+
+MISMATCH = f"""{o.M}, mm as (select * from m where p_partkey % 50 <> 0), mi as (select 'mismatch::' || q.parallel_id || '::q=' || q.language || '::gui=' || g.language as input_id, 'raw_mismatch' as condition, q.parallel_id, q.sample_id as question_sample_id, g.sample_id as gui_sample_id, q.sample_id as oracle_sample_id,
+q.language as question_language, g.language as gui_language, q.dimension, 'resolve_from_manifest.question_sample_id' as question_source, q.answer as answer_raw, q.gold_label, g.images, len(g.images)::int as num_images, case when g.is_episode then 'natural_sort' else 'single_image' end as frame_order, q.question as question_raw
+from mm q join mm g on q.parallel_id = g.parallel_id and q.language <> g.language)"""
+
+
+def complete_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """The fixture's ids that have all languages, which mismatch inputs need."""
+    return fx.manifest(spark, sf).filter((F.col("qas_line") - 1) % 50 != 0)
+
+
+@query(f"with {MISMATCH} select * exclude (images, question_raw), array_to_string(images, ',') as image_paths from mi")
+def mismatch_inputs(spark, sf):
+    return manifest.mismatch_inputs(complete_manifest(spark, sf)).withColumn("image_paths", joined("image_paths"))
+
+
+@query(f"with {MISMATCH} select input_id, question_raw from mi")
+def resolved_questions(spark, sf):
+    m = complete_manifest(spark, sf)
+    return manifest.resolve_questions(manifest.mismatch_inputs(m), m).select("input_id", "question_raw")
+
+
+# --- audit --------------------------------------------------------------------------------------------------------------
+
+LANGS = "(select unnest(['en','zh','fr','ru','ja','th']) as language) l"
+
+
+@query(f"with {o.M} select l.language, count(m.language) as rows from {LANGS} left join m using (language) group by 1")
+def rows_by_language(spark, sf):
+    return audit.rows_by_language(fx.manifest(spark, sf))
+
+
+@query(f"with {o.M} select d.dimension, count(m.language) as rows from (select unnest({list(audit.DIMENSIONS)}) as dimension) d left join m using (dimension) group by 1")
+def rows_by_dimension(spark, sf):
+    return audit.rows_by_dimension(fx.manifest(spark, sf))
+
+
+@query(f"with {o.M} select l.language, count(m.language) as rows, count(m.language) - 2156 as delta from {LANGS} left join m using (language) group by 1")
+def paper_delta(spark, sf):
+    return audit.published_delta(fx.manifest(spark, sf))
+
+
+@query(f"with {o.M} select language, {', '.join(f'''count_if(dimension = '{d}')::bigint as {d}''' for d in audit.DIMENSIONS)}, count(*) as total from m group by 1")
+def language_dimension_matrix(spark, sf):
+    return audit.language_dimension_matrix(fx.manifest(spark, sf))
+
+
+COUNTS = ", ".join(f"count_if(gold_label = '{x}')::bigint as n_{x.lower()}" for x in LABELS)
+
+
+@query(f"with {o.M} select qas_file, {COUNTS} from m group by 1")
+def label_counts_by_file(spark, sf):
+    return audit.label_counts_by_file(fx.manifest(spark, sf))
+
+
+@query(f"with {o.M} select option_parse_status, count(*) as rows from m group by 1")
+def option_status_counts(spark, sf):
+    return audit.option_status_counts(fx.manifest(spark, sf))
+
+
+@query(f"with {o.M} select array_to_string(labels, ',') as option_order, count(*) as rows from m group by 1")
+def option_order_counts(spark, sf):
+    return audit.option_order_counts(fx.manifest(spark, sf))
+
+
+@query(f"with {o.M} select count_if(array_to_string(labels, ',') <> 'A,B,C,D')::bigint as rows from m")
+def non_abcd_orders(spark, sf):
+    return audit.other_orders(fx.manifest(spark, sf))
+
+
+@query(f"with {o.INDEX} select split_part(parallel_id, '::', 1) as dimension, count(*) as unique_states, count_if(complete)::bigint as complete_states from ixc group by 1")
+def coverage_by_dimension(spark, sf):
+    return audit.coverage_by_dimension(fx.manifest(spark, sf))
+
+
+@query(f"with {o.INDEX} select split_part(parallel_id, '::', 1) as dimension, len(languages)::bigint as languages, count(*) as states from ixc group by all")
+def coverage_histogram(spark, sf):
+    return audit.coverage_histogram(fx.manifest(spark, sf))
+
+
+@query(f"""with {o.INDEX}, r as (select split_part(parallel_id, '::', 1) as dimension, split_part(parallel_id, '::', 2) as state_key, array_to_string(languages, ',') as languages from ixc where not complete),
+n as (select *, row_number() over (partition by dimension order by state_key) as k from r) select * exclude k from n where k <= 50""")
+def incomplete_states_top50(spark, sf):
+    return audit.incomplete_states(fx.manifest(spark, sf))
+
+
+@query(f"with {o.M} select qas_file, qas_line::int as qas_line, asset from m where not asset_exists order by qas_file, qas_line limit 200")
+def missing_assets_first200(spark, sf):
+    return audit.first_items(audit.missing_assets(fx.manifest(spark, sf)))
+
+
+@query(f"with {o.M} select qas_file, count(*) as missing from m where not asset_exists group by 1")
+def missing_assets(spark, sf):
+    return audit.missing_by_file(fx.manifest(spark, sf))
+
+
+@query(f"with {o.M} select qas_file, qas_line::int as qas_line, answer from m where gold_label is null")
+def malformed_answers(spark, sf):
+    return audit.malformed_answers(fx.manifest(spark, sf))
+
+
+@query(f"with {o.M} select qas_file, qas_line::int as qas_line, answer, gold_label from m where gold_label is not null and upper(trim(answer)) <> gold_label")
+def non_label_only_answers(spark, sf):
+    return audit.non_label_only_answers(fx.manifest(spark, sf))
+
+
+@query(f"with {o.M} select qas_file, qas_line::int as qas_line, asset, len(images) as frames, 'frame_1.jpg' as first_frame, 'frame_' || len(images) || '.jpg' as last_frame from m where is_episode and asset_exists")
+def first_last_frame(spark, sf):
+    return audit.episode_rows(fx.manifest(spark, sf))
+
+
+@query(f"with {o.M} select len(images) as frames, count(*) as rows from m where is_episode and asset_exists group by 1")
+def episode_frame_histogram(spark, sf):
+    return audit.episode_frame_histogram(fx.manifest(spark, sf))
+
+
+@query(f"""with {o.M}, e as (select qas_file, count(*) - count(distinct trim(regexp_replace(question, '\\s+', ' ', 'g'))) as excess from m group by 1)
+select qas_file, language, dimension, count(*) as rows, {COUNTS}, count_if(not asset_exists)::bigint as missing_assets, count_if(is_episode and asset_exists)::bigint as episode_rows, any_value(e.excess) as excess from m join e using (qas_file) group by 1, 2, 3""")
+def file_profile(spark, sf):
+    return audit.file_profile(fx.manifest(spark, sf))
+
+
+@query(f"""with f as ({o.duck(fx.FRAMES)}), k as (select *, row_number() over (partition by conv_id order by lower(regexp_extract(frame, '^([^0-9]*)', 1)), regexp_extract(frame, '([0-9]+)', 1)::bigint, lower(regexp_extract(frame, '[0-9]+(.*)$', 1)), frame, turn) as position from f where lower(frame) not like '%.txt')
+select conv_id, frame, position::int as position from k""")
+def natural_sort_frames(spark, sf):
+    f = fx.frames(spark, sf).filter(paths.is_image(F.col("frame")))
+    ordered = F.array_sort(F.collect_list(F.struct(paths.natural_key(F.col("frame")).alias("k"), "frame", "turn")))
+    return f.groupBy("conv_id").agg(ordered.alias("frames")).select("conv_id", F.posexplode("frames").alias("position", "x")).select("conv_id", F.col("x.frame").alias("frame"), (F.col("position") + 1).alias("position"))
+
+
+# --- validation ---------------------------------------------------------------------------------------------------------
+
+EXPECTED = {"manifest_rows": 11960, "rows_per_language": 2000, "parallel_ids": 2000, "languages_per_parallel_id": 6, "directed_pairs": 58800, "canonical_inputs": 11960, "mismatch_inputs": 58800}
+
+
+def unioned(*rules: tuple[str, str, str]) -> str:
+    """Rules as (name, entity, from ... where ...)."""
+    return " union all ".join(f"select '{rule}' as rule, cast({entity} as varchar) as entity {rest}" for rule, entity, rest in rules)
+
+
+@query(f"with {o.M}, c as (select l.language, count(m.language) as n from {LANGS} left join m using (language) group by 1) " + unioned(
+    ("sample_id_unique", "null", "from (select 1 from m group by sample_id having count(*) > 1 limit 1)"),
+    ("rows_per_language", "language", f"from c where n <> {EXPECTED['rows_per_language']}"),
+    ("manifest_rows", "n", f"from (select count(*) as n from m) where n <> {EXPECTED['manifest_rows']}"),
+    ("gold_label", "sample_id", "from m where gold_label is null"),
+    ("asset_exists", "sample_id", "from m where not asset_exists"),
+    ("option_parse", "sample_id", "from m where option_parse_status <> 'ok'"),
+    ("option_labels", "sample_id", "from m where list_sort(list_distinct(labels)) <> ['A','B','C','D']")))
+def violations_manifest(spark, sf):
+    return validate.manifest_violations(fx.manifest(spark, sf), EXPECTED)
+
+
+@query(f"with {o.INDEX} " + unioned(
+    ("index_entries", "n", f"from (select count(*) as n from ixc) where n <> {EXPECTED['parallel_ids']}"),
+    ("language_count", "parallel_id", "from ixc where len(languages) <> 6"),
+    ("language_set", "parallel_id", "from ixc where not complete"),
+    ("gold_labels_consistent", "parallel_id", "from ixc where not consistent")))
+def violations_index(spark, sf):
+    return validate.index_violations(manifest.parallel_index(fx.manifest(spark, sf)), EXPECTED)
+
+
+@query(f"with {o.INDEX}, p as (select 30 * count(*) as n from ixc where complete) " + unioned(("pair_rows", "n::bigint", "from p where n <> 67350")))
+def violations_pairs(spark, sf):
+    return validate.pair_violations(manifest.cross_locale_pairs(fx.manifest(spark, sf)))
+
+
+def known_images(m: DataFrame) -> DataFrame:
+    return m.filter("asset_exists").select(F.explode("image_paths").alias("path")).distinct()
+
+
+@query(f"""with {o.M}""" + """, c as (select 'canonical::' || sample_id as input_id, * from m) """ + unioned(
+    ("canonical_rows", "n", f"from (select count(*) as n from c) where n <> {EXPECTED['canonical_inputs']}"),
+    ("image_exists", "input_id || ': ' || images[1]", "from c where not asset_exists")))
+def violations_canonical(spark, sf):
+    m = fx.manifest(spark, sf)
+    return validate.canonical_violations(manifest.canonical_inputs(m), m, known_images(m), EXPECTED)
+
+
+@query(f"with {MISMATCH} " + unioned(
+    ("mismatch_rows", "n", f"from (select count(*) as n from mi) where n <> {EXPECTED['mismatch_inputs']}"),
+    ("gold_label_equal", "input_id", "from mi join m g on g.sample_id = mi.gui_sample_id where mi.gold_label is distinct from g.gold_label"),
+    ("image_exists", "mi.input_id || ': ' || mi.images[1]", "from mi join m g on g.sample_id = mi.gui_sample_id where not g.asset_exists")))
+def violations_mismatch(spark, sf):
+    m = complete_manifest(spark, sf)
+    return validate.mismatch_violations(manifest.mismatch_inputs(m), m, known_images(m), EXPECTED)
+
+
+@query(f"""with {o.M} select 'options' as rule, arg_min(sample_id, qas_file || lpad(qas_line::varchar, 12, '0')) as entity from m where dup or few group by parallel_id""")
+def violations_options(spark, sf):
+    return validate.option_violations(fx.manifest(spark, sf))
+
+
+@query(f"with {o.M} select parallel_id, count(distinct array_to_string(labels, ',')) as orders from m group by 1 having count(distinct array_to_string(labels, ',')) > 1")
+def option_order_warnings(spark, sf):
+    return validate.option_order_warnings(fx.manifest(spark, sf))
+
+
+@query(f"""with {o.INDEX}, v as (select 'index' as artifact, (select count_if(len(languages) <> 6) + count_if(not complete) + count_if(not consistent) from ixc) + (select count(*) from (select count(*) as n from ixc) where n <> {EXPECTED['parallel_ids']}) as violations
+union all select 'options', (select count(distinct parallel_id) from m where dup or few)
+union all select 'pairs', (select count(*) from (select 30 * count(*) as n from ixc where complete) where n <> 67350)) select artifact, violations::bigint as violations, (select sum(violations) = 0 from v) as ok from v""")
+def validation_summary(spark, sf):
+    m = fx.manifest(spark, sf)
+    return validate.summary({"index": validate.index_violations(manifest.parallel_index(m), EXPECTED), "options": validate.option_violations(m), "pairs": validate.pair_violations(manifest.cross_locale_pairs(m))})
+
+
+# --- runs and metrics ---------------------------------------------------------------------------------------------------
+
+
+@query(f"with {o.M} select 'canonical::' || sample_id as input_id, language as question_language, dimension from m where language in ('en','ja') and dimension in ('wf','ri') order by sample_id limit 100")
+def filter_rows_limit(spark, sf):
+    return runs.filter_rows(manifest.canonical_inputs(fx.manifest(spark, sf)), ["sample_id"], {"en", "ja"}, {"wf", "ri"}, 100).select("input_id", "question_language", "dimension")
+
+
+RESUME = f"p as (select input_id from ({o.duck(fx.OUTPUTS)})), g as ({o.duck(fx.LOG)}), d as (select distinct input_id from g where status = 'success')"
+
+
+@query(f"with {RESUME} select input_id from p where input_id not in (select input_id from d)")
+def resume_pending(spark, sf):
+    return runs.pending(fx.outputs(spark, sf).select("input_id"), fx.log(spark, sf))
+
+
+@query(f"with {RESUME} select count(*) as planned_rows, count_if(input_id not in (select input_id from d))::bigint as pending_rows from p")
+def dry_run_plan(spark, sf):
+    return runs.dry_run(fx.outputs(spark, sf).select("input_id"), fx.log(spark, sf))
+
+
+def results(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.scored(fx.outputs(spark, sf))
+
+
+@query(f"""with {o.OUT} select input_id, status, case when status = 'success' then parsed_label end as parsed_label, case when status = 'success' then parsed_label is not null end as parse_success, case when status = 'success' then parsed_label is null end as invalid,
+case when status = 'success' then parsed_label is not distinct from gold_label end as normalized_correct, case when status = 'success' then trim(raw_output) = coalesce(gold_label, 'None') end as raw_string_exact from o""")
+def result_rows(spark, sf):
+    return results(spark, sf).select("input_id", "status", "parsed_label", "parse_success", "invalid", "normalized_correct", "raw_string_exact")
+
+
+@query(f"with {o.OK} select coalesce(round(avg(good), 6), 0.0) as accuracy, count(*) as rows from ok")
+def normalized_accuracy(spark, sf):
+    return runs.accuracy(results(spark, sf)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"with {o.OK} select dimension, round(avg(good), 6) as accuracy, count(*) as rows from ok group by 1")
+def accuracy_by_dimension(spark, sf):
+    return runs.accuracy(results(spark, sf), "dimension").withColumn("accuracy", F.round("accuracy", 6))
+
+
+WEIGHT = "case dimension " + " ".join(f"when '{d}' then {w}::double" for d, w in DIMENSION_WEIGHTS.items()) + " end"
+
+
+@query(f"with {o.OK}, a as (select dimension, avg(good) as acc from ok group by 1) select round(sum({WEIGHT} * acc) / sum({WEIGHT}), 6) as weighted_accuracy from a")
+def fpr_acc(spark, sf):
+    return runs.weighted_accuracy(runs.accuracy(results(spark, sf), "dimension")).select(F.round("weighted_accuracy", 6).alias("weighted_accuracy"))
+
+
+@query(f"with {o.OK} select parsed_label, count(*) as rows from ok where parsed_label is not null group by 1")
+def label_distribution(spark, sf):
+    return runs.label_distribution(results(spark, sf))
+
+
+@query(f"with {o.OK}, a as (select language, avg(good) as acc from ok group by 1) select a.language as language_a, b.language as language_b, round(a.acc - b.acc, 6) + 0.0 as gap from a, a b where a.language < b.language")
+def resource_gap(spark, sf):
+    a = runs.accuracy(results(spark, sf), "language")
+    b = a.select(F.col("language").alias("language_b"), F.col("accuracy").alias("acc_b"))
+    # a row for each language on either side
+    return a.join(F.broadcast(b), F.col("language") < F.col("language_b")).select(F.col("language").alias("language_a"), "language_b", (F.round(F.col("accuracy") - F.col("acc_b"), 6) + 0.0).alias("gap"))
+
+
+# --- label scores -------------------------------------------------------------------------------------------------------
+
+
+def normal(spark: SparkSession, sf: str) -> DataFrame:
+    s = fx.scores(spark, sf)
+    return s.select("vec_id", "question_language", "gui_language", "gold_label", *[p.alias(f"{side}_{x}") for side in "mxo" for x, p in zip("abcd", measures.normalized([F.col(f"{side}_{y}") for y in "abcd"]), strict=True)])
+
+
+def side(s: str) -> list:
+    return [F.col(f"{s}_{x}") for x in "abcd"]
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6) + F.lit(0.0)
+
+
+@query(f"with {o.NORM} select vec_id, {', '.join(f'round(m_{x}, 6) + 0.0 as p_{x}' for x in 'abcd')} from s")
+def normalized_scores(spark, sf):
+    return normal(spark, sf).select("vec_id", *[r6(F.col(f"m_{x}")).alias(f"p_{x}") for x in "abcd"])
+
+
+@query(f"with {o.NORM} select vec_id, round(-({' + '.join(f'case when m_{x} > 0 then m_{x} * ln(m_{x}) else 0.0::double end' for x in 'abcd')}), 6) + 0.0 as entropy from s")
+def entropy(spark, sf):
+    return normal(spark, sf).select("vec_id", r6(measures.entropy(side("m"))).alias("entropy"))
+
+
+@query(f"with {o.NORM} select vec_id, round({o.js('m', 'x')}, 6) + 0.0 as js_mismatch, round({o.js('m', 'o')}, 6) + 0.0 as js_oracle from s")
+def js_divergence(spark, sf):
+    return normal(spark, sf).select("vec_id", r6(measures.js_divergence(side("m"), side("x"))).alias("js_mismatch"), r6(measures.js_divergence(side("m"), side("o"))).alias("js_oracle"))
+
+
+@query(f"with {o.NORM} select vec_id, case when m_a >= greatest(m_b, m_c, m_d) then 'A' when m_b >= greatest(m_c, m_d) then 'B' when m_c >= m_d then 'C' else 'D' end as top_label from s")
+def top_label(spark, sf):
+    return normal(spark, sf).select("vec_id", measures.top_label(side("m")).alias("top_label"))
+
+
+@query(f"with {o.NORM}, l as (select vec_id, gold_label, m_a, m_b, m_c, m_d, list_reverse_sort([m_a, m_b, m_c, m_d]) as v from s) select vec_id, round(v[1] - v[2], 6) + 0.0 as margin, round(case gold_label when 'A' then m_a when 'B' then m_b when 'C' then m_c else m_d end, 6) + 0.0 as gold_probability from l")
+def margin(spark, sf):
+    return normal(spark, sf).select("vec_id", r6(measures.margin(side("m"))).alias("margin"), r6(measures.gold_probability(side("m"), F.col("gold_label"))).alias("gold_probability"))
+
+
+@query(f"with {o.NORM} select question_language || '->' || gui_language as cell, round(avg({o.js('m', 'x')}), 6) + 0.0 as mean_js, count(*) as rows from s group by 1")
+def policy_shift_matrix(spark, sf):
+    return normal(spark, sf).groupBy(F.concat("question_language", F.lit("->"), "gui_language").alias("cell")).agg(r6(F.avg(measures.js_divergence(side("m"), side("x")))).alias("mean_js"), F.count("*").alias("rows"))
+
+
+@query(f"with {o.NORM} select vec_id, round(m_a - x_a, 6) + 0.0 as probability_drop, round(greatest(m_a - x_a, 0.0::double), 6) + 0.0 as visual_reliance, case when question_language = gui_language then 'canonical_matched' else 'oracle_aligned' end as condition from s")
+def visual_reliance(spark, sf):
+    a, b = F.col("m_a"), F.col("x_a")
+    condition = F.when(F.col("question_language") == F.col("gui_language"), "canonical_matched").otherwise("oracle_aligned")
+    return normal(spark, sf).select("vec_id", r6(a - b).alias("probability_drop"), r6(measures.visual_reliance(a, b)).alias("visual_reliance"), condition.alias("condition"))
+
+
+# --- vectors and statistics ---------------------------------------------------------------------------------------------
+
+
+def memory(spark: SparkSession, sf: str) -> DataFrame:
+    e = fx.table(spark, sf, "embeddings")
+    return e.select("vec_id", F.concat(F.lit("s::"), F.col("vec_id").cast("string")).alias("sample_id"), F.col("label").alias("layer"), F.transform("embedding", lambda x: x.cast("double")).alias("key"))
+
+
+@query("""with e as (select vec_id, 's::' || vec_id as sample_id, label as layer, embedding::double[] as key from embeddings),
+p as (select q.sample_id as query_id, e.sample_id, list_cosine_similarity(q.key, e.key) as c from e q join e on q.layer = e.layer and q.sample_id <> e.sample_id where q.vec_id < 50),
+n as (select *, row_number() over (partition by query_id order by c desc, sample_id) as k from p) select query_id, sample_id, round(c, 6) + 0.0 as cosine, k::int as rank from n where k <= 3""")
+def cosine_topk(spark, sf):
+    m = memory(spark, sf)
+    return retrieval.cosine_topk(m.filter("vec_id < 50"), m).withColumn("cosine", r6(F.col("cosine")))
+
+
+@query("""with e as (select vec_id, embedding::double[] as h, list_reverse(embedding::double[]) as v from embeddings), u as (select vec_id, h, list_transform(list_zip(h, v), lambda x: x[1] + 0.5::double * x[2]) as u from e),
+n as (select vec_id, u, sqrt(list_sum(list_transform(h, lambda x: x * x))) as nh, sqrt(list_sum(list_transform(u, lambda x: x * x))) as nu from u)
+select vec_id, round(u[1] * (nh / nu), 6) + 0.0 as first, round(u[64] * (nh / nu), 6) + 0.0 as last from n""")
+def norm_preserving_add(spark, sf):
+    m = memory(spark, sf).select("vec_id", measures.norm_preserving_add(F.col("key"), F.reverse("key"), F.lit(0.5)).alias("u"))
+    return m.select("vec_id", r6(F.element_at("u", 1)).alias("first"), r6(F.element_at("u", -1)).alias("last"))
+
+
+PERCENTILES = "trunc(median(v))::bigint as p50, " + ", ".join(f"list_sort(list(v))[round_even({p} / 100.0::double * (count(v) - 1), 0)::int + 1]::bigint as p{p}" for p in (90, 95, 99))
+
+
+@query(f"""with f as ({o.duck(fx.PREFLIGHT)}), v as (select 'text_tokens' as field, text_tokens as v from f union all select 'visual_grid_tokens', visual_grid_tokens from f)
+select field, min(v)::bigint as min, {PERCENTILES}, max(v)::bigint as max from v where v is not null group by 1""")
+def preflight_summary(spark, sf):
+    return runs.percentiles(fx.preflight(spark, sf), ["text_tokens", "visual_grid_tokens"])
+
+
+@query(f"with f as ({o.duck(fx.PREFLIGHT)}) select dimension, language, count(*) as rows from f group by all")
+def preflight_groups(spark, sf):
+    return fx.preflight(spark, sf).groupBy("dimension", "language").agg(F.count("*").alias("rows"))
+
+
+@query(f"""with {o.M}, p as (select sample_id, gold_label, k::int as permutation, list_transform(list_sort(list_transform(['A','B','C','D'], lambda x: md5('20260705|' || k || '|' || sample_id || '|' || x) || x)), lambda y: y[33]) as perm from m, (select unnest(range(5)) as k))
+select sample_id, permutation, array_to_string(perm, ',') as label_order, case when list_position(perm, gold_label) > 0 then ['A','B','C','D'][list_position(perm, gold_label)] end as new_gold_label from p""")
+def option_permutation(spark, sf):
+    return runs.option_permutations(fx.manifest(spark, sf))
