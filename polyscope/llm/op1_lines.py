@@ -23,8 +23,8 @@ FIRST = -(1 << 63)
 
 
 def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Columns d and h, which name a document, beside those of ``docs``."""
-    return docs.withColumns({"__d": F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)), "__h": F.xxhash64(text)})
+    """__d and __h, which name a document, its text, and all its columns as ``doc``."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("__d"), F.xxhash64(text).alias("__h"), F.col(text).alias("text"), F.struct(*docs.columns).alias("doc"))
 
 
 def repeated_stretches(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -47,24 +47,26 @@ def repeated_stretches(docs: DataFrame, text: str = "text", min_chars: int = MIN
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with ``text`` reduced to the lines kept, and lines_before and lines_removed."""
+    """``docs`` with ``text`` reduced to the lines kept, and lines_before and lines_removed, which replace columns of that name."""
     rows = keyed(docs, id_col, text)
-    stretches = repeated_stretches(rows.select("__d", "__h", F.col(text).alias("text")), "text", min_chars)
+    stretches = repeated_stretches(rows.select("__d", "__h", "text"), "text", min_chars)
     # of the stretches from one line the longest says it all
     longest = stretches.groupBy("__d", "__h", "i").agg(F.max("n").alias("n"))
-    marks = longest.groupBy("__d", "__h").agg(F.collect_list(F.struct("i", "n")).alias("__marks"))
-    gone = F.array_distinct(F.flatten(F.transform("__marks", lambda m: F.sequence(m["i"], m["i"] + m["n"] - 1))))
-    lines = F.split(text, "\n", -1)
-    joined = rows.join(marks, ["__d", "__h"], "left").withColumn("__gone", gone).withColumn("__lines", lines)
-    kept = F.array_join(F.filter("__lines", lambda x, i: ~F.array_contains("__gone", i.cast("long"))), "\n")
-    out = joined.withColumns({text: F.when(F.col("__marks").isNull(), F.col(text)).otherwise(kept), "lines_before": F.coalesce(F.size("__lines"), F.lit(0)).cast("long"), "lines_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
-    return out.select(*docs.columns, "lines_before", "lines_removed")
+    marks = longest.groupBy("__d", "__h").agg(F.collect_list(F.struct("i", "n")).alias("marks"))
+    joined = rows.join(marks, ["__d", "__h"], "left")
+    gone = F.array_distinct(F.flatten(F.transform("marks", lambda m: F.sequence(m["i"], m["i"] + m["n"] - 1))))
+    joined = joined.withColumns({"gone": gone, "lines": F.split("text", "\n", -1)})
+    kept = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i.cast("long"))), "\n")
+    own = [F.col("doc")[c].alias(c) for c in docs.columns if c not in (text, "lines_before", "lines_removed")]
+    left = F.when(F.col("marks").isNull(), F.col("text")).otherwise(kept).alias(text)
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
+    out = joined.select(*own, left, size("lines").alias("lines_before"), size("gone").alias("lines_removed"))
+    return out.select(*[c for c in docs.columns if c not in ("lines_before", "lines_removed")], "lines_before", "lines_removed")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     rows = deduplicated(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", min_chars)
-    null = F.col("text").isNull()
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(null, 0).otherwise(F.col("lines_before")).cast("long").alias("n_lines"), F.when(null, 0).otherwise(F.col("lines_removed")).cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lines_before").alias("n_lines"), F.col("lines_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 #: The same rows for tables whose doc_id is unique and not null.

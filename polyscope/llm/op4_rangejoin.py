@@ -103,7 +103,7 @@ def linked(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", l
                 v = nodes[v]
             return v
 
-        linked_rows = np.flatnonzero(close.sum(axis=1) > 1)
+        linked_rows = np.flatnonzero((close & (an[:, None] != bn[None])).any(axis=1))
         for r in linked_rows.tolist():
             for c in bn[close[r]].tolist():
                 p, q = top(int(an[r])), top(c)
