@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-NEAREST, EVERY, RELAX, SHARD, BLOCK, LEAF = 20, 20, 1.15, 16_384, 2_048, 128
+NEAREST, EVERY, RELAX, SHARD, BLOCK, LEAF = 20, 20, 5.0, 16_384, 2_048, 128
 
 
 def usable(rows: DataFrame, id_col: str, vector: str, *more: str) -> DataFrame:
