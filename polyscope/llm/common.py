@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """``df``, a few numbers wide, to be broadcast if it has at most ``rows`` rows; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def as_text(values: pa.Array) -> list[str]:
     """Python strings of an Arrow column, null as empty."""
     return [x or "" for x in values.to_pylist()]
@@ -88,8 +93,3 @@ def mixed(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
         return x ^ (x >> U64(31))
-
-
-def columns_free(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """``df`` with just ``names``; other columns, whatever they are called, don't reach the operator."""
-    return df.select(*names)

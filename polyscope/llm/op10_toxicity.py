@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import added_up, as_text, blocks, gathered
+from .common import added_up, as_text, blocks, gathered, if_small
 from .ngrams import characters, hashed, owned
 from .op9_language import held_out_column, in_chunks
 
@@ -119,6 +119,7 @@ def trained(rows: DataFrame, bits: int = BITS, orders: tuple[int, ...] = ORDERS,
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str) -> DataFrame:
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label in (0, 1)")
+    known = if_small(known)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).join(known, "doc_id").select("doc_id", "text", "label")
 
 

@@ -53,7 +53,7 @@ class Tree:
 
     def distances(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
         square = np.einsum("ij,ij->i", q, q)[:, None] + self.square[rows] - 2 * q @ self.x[rows].T
-        return np.sqrt(np.maximum(square, 0))
+        return np.sqrt(np.round(np.maximum(square, 0), 10))  # equal vectors are equally far, whatever block they are in
 
     def search(self, q: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and distances of the k best for each query (-1 and inf where there are fewer); candidates with the query's own id are left out."""
@@ -113,8 +113,9 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
         ids, own = x["vec_id"].to_numpy(np.int64), q["vec_id"].to_numpy(np.int64)
         a, b = np.stack(x["v"].to_numpy()), np.stack(q["v"].to_numpy())
         more = np.sqrt(np.maximum(longest - np.einsum("ij,ij->i", a, a), 0))
-        tree = Tree(np.column_stack([a, more]))
-        best, _ = tree.search(np.column_stack([b, np.zeros(len(b))]), own, ids, k, relax)
+        scale = math.sqrt(longest)
+        tree = Tree(np.column_stack([a, more]) / scale)
+        best, _ = tree.search(np.column_stack([b, np.zeros(len(b))]) / scale, own, ids, k, relax)
         at, rank = np.nonzero(best >= 0)
         found = best[at, rank]
         return pd.DataFrame({"query_id": own[at], "vec_id": ids[found], "score": np.einsum("ij,ij->i", b[at], a[found])})

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import as_text, written
+from .common import as_text, if_small, written
 from .ngrams import characters
 from .op9_language import in_chunks
 
@@ -226,6 +226,7 @@ def row_name(id_col: str, text: str) -> Column:
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality", quantile: float = QUANTILE, slack: float = SLACK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, lang, perplexity, limit, kept, h (names the row); trusted are documents with a label 1 and none of 0."""
     good = labels.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label).alias("low"), F.max(label).alias("high")).filter("low = 1 and high = 1").select("doc_id", F.lit(True).alias("trusted"))
+    good = if_small(written(good, "kn-trusted"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), row_name(id_col, text).alias("h"))
     model = trained(rows.join(good, "doc_id", "left_semi"), "text")
     scored = written(perplexities(rows, model, "text", broadcast_rows).drop("text").join(good, "doc_id", "left"), "kn-scored")
