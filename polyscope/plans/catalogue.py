@@ -462,11 +462,11 @@ def memory(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""with e as (select vec_id, 's::' || vec_id as sample_id, label as layer, embedding::double[] as key from embeddings),
-p as (select q.sample_id as query_id, e.sample_id, list_cosine_similarity(q.key, e.key) as c from e q join e on q.layer = e.layer and q.sample_id <> e.sample_id where q.vec_id < 50),
+p as (select q.sample_id as query_id, e.sample_id, list_cosine_similarity(q.key, e.key) as c from e q join e on q.layer = e.layer and q.sample_id <> e.sample_id where q.vec_id % 50 = 0),
 n as (select *, row_number() over (partition by query_id order by c desc, sample_id) as k from p) select query_id, sample_id, round(c, 6) + 0.0 as cosine, k::int as rank from n where k <= 3""")
 def cosine_topk(spark, sf):
     m = memory(spark, sf)
-    return retrieval.cosine_topk(m.filter("vec_id < 50"), m).withColumn("cosine", r6(F.col("cosine")))
+    return retrieval.cosine_topk(m.filter("vec_id % 50 = 0"), m).withColumn("cosine", r6(F.col("cosine")))
 
 
 @query("""with e as (select vec_id, embedding::double[] as h, list_reverse(embedding::double[]) as v from embeddings), u as (select vec_id, h, list_transform(list_zip(h, v), lambda x: x[1] + 0.5::double * x[2]) as u from e),
