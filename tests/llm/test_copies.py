@@ -31,20 +31,51 @@ def copies(rng):
     return [(1, a), (2, a), (3, " ".join(edited)), (4, b + passage + c[:100]), (5, c + passage), (6, None), (7, ""), (8, " \n "), (9, "short text"), (10, "short text"), (None, a), (11, "ab" * 400), (12, "é" * 150 + prose(rng, 5)), (13, "é" * 150 + prose(rng, 5)), (14, prose(rng, 20000) + passage), (11, "ab" * 400)]
 
 
-def test_lines(spark):
-    rng = random.Random(4)
-    pool = [prose(rng, 6) for _ in range(12)] + ["", "x", "The.", "yes"]
-    texts = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 14)))) for i in range(60)] + [(100, None), (101, ""), (102, "\n\n"), (103, prose(rng, 8))]
-    got = {r.doc_id: (r.text, r.lines_removed) for r in op1_lines.deduplicated(docs_of(spark, texts)).collect()}
+def brute_lines(texts):
+    """Lines of each document, and the numbers of those that go."""
     lines = {i: t.split("\n") for i, t in texts if t is not None}
     seen, gone = {}, {}
-    for k in range(5):
+    for k in range(12):
         for i in sorted(lines):
             for p in range(len(lines[i]) - (1 << k) + 1):
                 w = tuple(lines[i][p : p + (1 << k)])
                 if w in seen and len("\n".join(w)) >= op1_lines.MIN_CHARS:
                     gone.setdefault(i, set()).update(range(p, p + (1 << k)))
                 seen.setdefault(w, (i, p))
+    return lines, gone
+
+
+def brute_strings(raws, span=200):
+    """Which bytes of each text are covered by a string that starts elsewhere too."""
+    count = Counter(r[p : p + span] for _, r in raws for p in range(len(r) - span + 1))
+    for i, r in raws:
+        cover = np.zeros(len(r) + 1, bool)
+        for p in range(len(r) - span + 1):
+            if count[r[p : p + span]] > 1:
+                cover[p : p + span] = True
+        yield i, r, cover
+
+
+def brute_classes(docs, texts):
+    """The least document of each one's class, from all pairs."""
+    idf = op6_minhash.idf_of(docs, op6_minhash.IDF_BITS, 5, op6_minhash.FLOOR)
+    w = op6_minhash.Weigher(idf, op6_minhash.IDF_BITS, 5)
+    v = [w.get(i, t) for i, (_, t) in enumerate(texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i][1] == texts[j][1] or op6_minhash.jaccard(v[i], v[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return {texts[i][0]: texts[r][0] for i, r in enumerate(root)}
+
+
+def test_lines(spark):
+    rng = random.Random(4)
+    pool = [prose(rng, 6) for _ in range(12)] + ["", "x", "The.", "yes"]
+    texts = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 14)))) for i in range(60)] + [(100, None), (101, ""), (102, "\n\n"), (103, prose(rng, 8))]
+    got = {r.doc_id: (r.text, r.lines_removed) for r in op1_lines.deduplicated(docs_of(spark, texts)).collect()}
+    lines, gone = brute_lines(texts)
     for i, t in texts:
         want = None if t is None else "\n".join(x for p, x in enumerate(lines[i]) if p not in gone.get(i, ()))
         assert got[i] == (want, len(gone.get(i, ()))), i
@@ -73,13 +104,8 @@ def test_repeated_strings(spark, monkeypatch, segment):
     texts = copies(random.Random(5))
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op7_suffix.deduplicated(docs_of(spark, texts)).collect())
     raws = [(i if i is not None else -1, (t or "").encode()) for i, t in texts]
-    count = Counter(r[p : p + 200] for _, r in raws for p in range(len(r) - 199))
     want = []
-    for i, r in raws:
-        cover = np.zeros(len(r) + 1, bool)
-        for p in range(len(r) - 199):
-            if count[r[p : p + 200]] > 1:
-                cover[p : p + 200] = True
+    for i, r, cover in brute_strings(raws):
         kept = bytes(b for b, c in zip(r, cover[:-1], strict=True) if not c)
         want.append((i, len(r), int(cover.sum()), int((cover[1:] < cover[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
     assert got == sorted(want)
@@ -116,16 +142,7 @@ def test_near_copies_against_all_pairs(spark):
             texts.append((len(texts), " ".join(words)))
     docs = docs_of(spark, texts)
     of = {r.doc_id: r.class_id for r in op6_minhash.near_duplicates(docs).collect()}
-    idf = op6_minhash.idf_of(docs, op6_minhash.IDF_BITS, 5, op6_minhash.FLOOR)
-    w = op6_minhash.Weigher(idf, op6_minhash.IDF_BITS, 5)
-    v = [w.get(i, t) for i, t in texts]
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if op6_minhash.jaccard(v[i], v[j]) >= 0.8:
-                a, b = root[i], root[j]
-                root = [min(a, b) if x in (a, b) else x for x in root]
-    assert of == dict(enumerate(root))
+    assert of == brute_classes(docs, texts)
 
 
 def test_sampling_estimates_weighted_jaccard():
@@ -216,14 +233,39 @@ def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     if not Path(sf).exists():
         pytest.skip("no tables")
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from polyscope.llm import op5_quality
+    from polyscope.llm.queries import tokenizer_path
+
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "lines", "near_copies", "strings", "packing"]
+    texts = lambda df: sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    before = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, before, sf)
-        assert after.columns == docs.columns, name
-        after = after.cache()
-        assert 0 < after.count() <= before.count(), name
-        before = after
-    # what is left repeats no 200 bytes, and its tokens are all packed
-    raws = [r.text.encode() for r in before.collect()]
-    assert sum(r.length for r in corpus_pipeline.STAGES[-1][1](spark, before, sf).collect()) > 0 and len(raws) > 50
+    first = stages["quality"](spark, docs, sf).cache()
+    good = {r.doc_id for r in op5_quality.judged(docs, spark.read.parquet(f"{sf}/labels.parquet"), broadcast_rows=0).collect() if r.kept}
+    assert texts(first) == [x for x in texts(docs) if x[0] in good] and 50 < len(good) < docs.count()
+
+    second = stages["lines"](spark, first, sf).cache()
+    lines, gone = brute_lines(texts(first))
+    want = [(i, "\n".join(x for p, x in enumerate(t) if p not in gone.get(i, ()))) for i, t in lines.items()]
+    assert texts(second) == sorted(x for x in want if x[1])
+
+    third = stages["near_copies"](spark, second, sf).cache()
+    of = brute_classes(second, texts(second))
+    assert texts(third) == [x for x in texts(second) if of[x[0]] == x[0]]
+
+    fourth = stages["strings"](spark, third, sf).cache()
+    want = [(i, bytes(b for b, c in zip(r, cover[:-1], strict=True) if not c).decode("utf-8", "ignore")) for i, r, cover in brute_strings([(i, t.encode()) for i, t in texts(third)])]
+    assert texts(fourth) == sorted(x for x in want if x[1])
+    for df in (first, second, third, fourth):
+        assert df.columns == docs.columns
+    assert all(r.n_chars == len(r.text) for r in fourth.collect())
+
+    reference = Tokenizer.from_file(tokenizer_path())
+    ids = {i: reference.encode(t, add_special_tokens=False).ids + [0] for i, t in texts(fourth)}
+    pieces = stages["packing"](spark, fourth, sf).collect()
+    assert Counter({i: len(x) for i, x in ids.items()}) == sum((Counter({r.doc_id: r.length}) for r in pieces), Counter())
+    assert all(zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4")) == r.ids_crc32 for r in pieces)
