@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyscope.llm.common import table, written
+from polyscope.llm.common import if_small, table, written
 from polyscope.llm.op1_lines import deduplicated as without_repeated_lines
 from polyscope.llm.op5_quality import judged, row_name
 from polyscope.llm.op6_minhash import near_duplicates
@@ -17,7 +17,7 @@ from polyscope.llm.queries import tokenizer_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
-    rejected = judged(docs, table(spark, sf_dir, "labels")).filter(~F.col("kept")).select(F.col("h").alias("__h")).distinct()
+    rejected = if_small(written(judged(docs, table(spark, sf_dir, "labels")).filter(~F.col("kept")).select(F.col("h").alias("__h")).distinct(), "rejected"))
     return docs.withColumn("__h", row_name("doc_id", "text")).join(rejected, "__h", "left_anti").select(*docs.columns)
 
 
@@ -34,7 +34,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    copies = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    copies = if_small(written(near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "copies-out"))
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
