@@ -5,16 +5,21 @@ lower orders, the discounts D1, D2, D3+ from counts of counts and the weights of
 joins of count tables that are sharded by n-gram. A document's perplexity per character then comes from joining its
 n-grams with those tables: where the tables are at most ``BROADCAST_ROWS`` rows they are joined by broadcast, and
 beyond that the distinct n-grams of each chunk of documents are joined shard by shard. A document whose perplexity
-exceeds the ``QUANTILE`` of trusted documents of its language, times ``SLACK``, is rejected.
+exceeds the limit of its language is rejected. The limit is the ``QUANTILE`` of held-out perplexities of its trusted documents, times ``SLACK``:
+n-grams are counted in ``FOLDS`` folds of the trusted texts, and a trusted text is scored with the counts of the other folds. Equal
+texts are in one fold and count once. Of too few texts for a quantile (99 for 0.99) the highest perplexity says little, so the limit is then at
+least the prediction limit of a further log-perplexity, from their mean and deviation.
 
-Null and empty texts have no perplexity and are kept: there is nothing to judge. A language without trusted
-documents, or null, takes the quantile of all trusted documents; without any trusted document nothing is rejected.
+Null and empty texts have no perplexity and are kept: there is nothing to judge. A language with fewer than ``LEAST`` held-out trusted
+texts has no limit, and nothing of it is rejected; a null language is one of its own.
 Equal texts get equal perplexities; repeated rows are judged each by itself. Other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -28,6 +33,9 @@ from .ngrams import characters
 from .op9_language import in_chunks
 
 ORDER, QUANTILE, SLACK, BROADCAST_ROWS, CHUNK_BYTES = 4, 0.99, 1.1, 4_000_000, 8 << 20
+FOLDS, LEAST = 5, 10
+#: The fold number of the model of all folds; model f is that of all folds but f.
+ALL = -1
 #: A character takes 15 bits of an n-gram's key; code points from 32767 on share what is left by remainder.
 CHAR_BITS, START = 15, 1
 
@@ -44,32 +52,47 @@ def keys(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return code[at], own
 
 
-def counted(docs: DataFrame, text: str, order: int) -> DataFrame:
-    """gram and n: how often each n-gram of the highest order occurs."""
+def counted(docs: DataFrame, text: str, order: int, folds: int = 0) -> DataFrame:
+    """fold, gram and n: how often each n-gram of the highest order occurs in all texts (fold ALL), and in all but those of each fold (column ``fold``)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        empty = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        batch_of = lambda f, x: pa.record_batch({"fold": pa.array(np.full(len(x[0]), f, np.int32)), "gram": pa.array(x[0]), "n": pa.array(x[1])})
         for batch in batches:
-            for _, part in in_chunks(as_text(batch.column(0))):
-                code, n = np.unique(keys(part, order)[0], return_counts=True)
-                found, inverse = np.unique(np.concatenate([found, code]), return_inverse=True)
-                counts = np.bincount(inverse, np.concatenate([counts, n]), minlength=len(found)).astype(np.int64)
-                if len(found) > 1_000_000:  # bounded memory: what is gathered goes on, and starts anew
-                    yield pa.record_batch({"gram": pa.array(found), "n": pa.array(counts)})
-                    found, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield pa.record_batch({"gram": pa.array(found), "n": pa.array(counts)})
-
-    return docs.select(F.col(text).alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """D1, D2 and D3+ of modified Kneser-Ney smoothing from how many n-grams occur once to four times."""
-    got = {r.n: r.k for r in counts.filter("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
-    n1, n2, n3, n4 = (got.get(i, 0) for i in (1, 2, 3, 4))
-    if not (n1 and n2 and n3 and n4):
-        return 0.5, 1.0, 1.5  # too few for an estimate
-    y = n1 / (n1 + 2 * n2)
-    return tuple(min(max(i - (i + 1) * y * b / a, 0.01), i) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+            fold = batch.column(1).to_numpy()
+            for f in np.unique(fold).tolist():
+                for _, part in in_chunks(as_text(batch.column(0).filter(pa.array(fold == f)))):
+                    found, counts = sums.get(f, empty)
+                    code, n = np.unique(keys(part, order)[0], return_counts=True)
+                    found, inverse = np.unique(np.concatenate([found, code]), return_inverse=True)
+                    sums[f] = found, np.bincount(inverse, np.concatenate([counts, n]), minlength=len(found)).astype(np.int64)
+            if sum(len(x[0]) for x in sums.values()) > 1_000_000:  # bounded memory: what is gathered goes on, and starts anew
+                yield from (batch_of(f, x) for f, x in sums.items())
+                sums = {}
+        yield from (batch_of(f, x) for f, x in sums.items())
+
+    rows = docs.select(F.col(text).alias("text"), (F.col("fold") if folds else F.lit(ALL)).cast("int").alias("fold"))
+    of = [F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("n"))), F.lit(0)).alias(f"n{f}") for f in range(folds)]
+    sums = rows.mapInArrow(count, "fold int, gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"), *of)
+    each = [F.struct(F.lit(ALL).alias("fold"), F.col("n"))] + [F.struct(F.lit(f).alias("fold"), (F.col("n") - F.col(f"n{f}")).alias("n")) for f in range(folds)]
+    return sums.select("gram", F.inline(F.array(*each))).filter("n > 0").select("fold", "gram", "n")
+
+
+def discounts(counts: DataFrame) -> dict[int, tuple[float, float, float]]:
+    """D1, D2 and D3+ of modified Kneser-Ney smoothing of each fold's model, from how many n-grams occur once to four times."""
+    got: dict[int, dict] = {}
+    for r in counts.groupBy("fold", F.least("n", F.lit(5)).alias("n")).agg(F.count("*").alias("k")).collect():
+        got.setdefault(r.fold, {})[r.n] = r.k
+    out = {}
+    for fold, of in got.items():
+        n1, n2, n3, n4 = (of.get(i, 0) for i in (1, 2, 3, 4))
+        if not (n1 and n2 and n3 and n4):
+            out[fold] = 0.5, 1.0, 1.5  # too few for an estimate
+            continue
+        y = n1 / (n1 + 2 * n2)
+        out[fold] = tuple(min(max(i - (i + 1) * y * b / a, 0.01), i) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+    return out
 
 
 class Model:
@@ -79,33 +102,41 @@ class Model:
         self.grams, self.contexts, self.characters_seen, self.order = grams, contexts, characters_seen, order
 
 
-def trained(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
-    """The model of all rows; every table is sharded by n-gram or context."""
+def models(docs: DataFrame, text: str, order: int, folds: int) -> dict[int, Model]:
+    """The model of all rows (ALL) and those of all rows but a fold's (column ``fold``), where any are left; every table is sharded by n-gram or context."""
     mask = lambda k: (1 << (CHAR_BITS * k)) - 1
-    counts = {order: written(counted(docs, text, order), "kn-counts")}
+    counts = {order: written(counted(docs, text, order, folds), "kn-counts")}
     for k in range(order - 1, 0, -1):  # continuation counts: in how many n-grams one character longer it ends
-        counts[k] = counts[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit(mask(k))).alias("gram")).agg(F.count("*").alias("n"))
-    seen = counts[1].count()
-    uniform = 1.0 / (seen + 1)
+        counts[k] = written(counts[k + 1].groupBy("fold", F.col("gram").bitwiseAND(F.lit(mask(k))).alias("gram")).agg(F.count("*").alias("n")), "kn-counts")
+    seen = {r.fold: r.n for r in counts[1].groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    own = lambda values: F.create_map(*[F.lit(x) for f, v in values.items() for x in (f, float(v))])[F.col("fold")] if values else F.lit(0.0)
+    uniform = own({f: 1.0 / (n + 1) for f, n in seen.items()})
     lower, grams, contexts = None, [], []
     for k in range(1, order + 1):
-        d1, d2, d3 = discounts(counts[k])
+        d1, d2, d3 = (own({f: d[i] for f, d in found.items()}) for found in [discounts(counts[k])] for i in range(3))
         d = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         ctx = F.shiftright("gram", CHAR_BITS)
-        of = counts[k].groupBy(ctx.alias("ctx")).agg(F.sum("n").alias("total"), F.sum(d).alias("off"))
-        joined = counts[k].select("gram", "n", ctx.alias("ctx")).join(of, "ctx")
+        of = counts[k].groupBy("fold", ctx.alias("ctx")).agg(F.sum("n").alias("total"), F.sum(d).alias("off"))
+        joined = counts[k].select("fold", "gram", "n", ctx.alias("ctx")).join(of, ["fold", "ctx"])
         p = F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total")
         if lower is None:
-            full = joined.select("gram", (p + F.col("off") / F.col("total") * uniform).alias("p"))
+            full = joined.select("fold", "gram", (p + F.col("off") / F.col("total") * uniform).alias("p"))
         else:
-            short = lower.select(F.col("gram").alias("short"), F.col("p").alias("lower_p"))
-            full = joined.withColumn("short", F.col("gram").bitwiseAND(F.lit(mask(k - 1)))).join(short, "short")
-            full = full.select("gram", (p + F.col("off") / F.col("total") * F.col("lower_p")).alias("p"))
+            short = lower.select("fold", F.col("gram").alias("short"), F.col("p").alias("lower_p"))
+            full = joined.withColumn("short", F.col("gram").bitwiseAND(F.lit(mask(k - 1)))).join(short, ["fold", "short"])
+            full = full.select("fold", "gram", (p + F.col("off") / F.col("total") * F.col("lower_p")).alias("p"))
         lower = written(full, f"kn-{k}")
-        grams.append(lower.select(F.lit(k).alias("order"), "gram", "p"))
-        contexts.append(of.select(F.lit(k).alias("order"), F.col("ctx").alias("gram"), (F.col("off") / F.col("total")).alias("w")))
-    union = lambda x: x[0] if len(x) == 1 else x[0].unionByName(union(x[1:]))
-    return Model(union(grams), written(union(contexts), "kn-contexts"), seen, order)
+        grams.append(lower.select("fold", F.lit(k).alias("order"), "gram", "p"))
+        contexts.append(of.select("fold", F.lit(k).alias("order"), F.col("ctx").alias("gram"), (F.col("off") / F.col("total")).alias("w")))
+    union = lambda x: reduce(DataFrame.unionByName, x)
+    grams, contexts = union(grams), written(union(contexts), "kn-contexts")
+    of = lambda df, f: df.filter(F.col("fold") == f).drop("fold")
+    return {f: Model(of(grams, f), of(contexts, f), seen.get(f, 0), order) for f in {ALL, *seen}}
+
+
+def trained(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
+    """The model of all rows."""
+    return models(docs, text, order, 0)[ALL]
 
 
 class Table:
@@ -223,17 +254,31 @@ def row_name(id_col: str, text: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text))
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality", quantile: float = QUANTILE, slack: float = SLACK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def limits(held: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, least: int = LEAST) -> DataFrame:
+    """lang and limit from the held-out perplexities of trusted texts: lang, t (names a text), perplexity."""
+    z = NormalDist().inv_cdf(min(max(quantile, 0.5), 1 - 1e-9))
+    free = F.greatest(F.col("n") - 1, F.lit(1))
+    t = z + (z**3 + z) / (4 * free) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * free * free)  # Student's quantile
+    texts = held.filter("perplexity is not null").groupBy("lang", "t").agg(F.max("perplexity").alias("perplexity"))
+    of = texts.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("perplexity", quantile, 10_000).alias("q"), F.avg(F.log("perplexity")).alias("mean"), F.stddev_samp(F.log("perplexity")).alias("sd"))
+    predicted = F.exp(F.col("mean") + t * F.col("sd") * F.sqrt(1 + 1 / F.col("n")))
+    own = F.when((F.col("n") + 1) * (1 - quantile) >= 1 - 1e-9, F.col("q") * slack).otherwise(F.greatest(F.col("q") * slack, predicted))
+    return of.filter(F.col("n") >= least).select("lang", own.alias("limit"))
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality", quantile: float = QUANTILE, slack: float = SLACK, broadcast_rows: int = BROADCAST_ROWS, folds: int = FOLDS, least: int = LEAST) -> DataFrame:
     """doc_id, lang, perplexity, limit, kept, h (names the row); trusted are documents with a label 1 and none of 0."""
-    good = labels.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label).alias("low"), F.max(label).alias("high")).filter("low = 1 and high = 1").select("doc_id", F.lit(True).alias("trusted"))
+    good = labels.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label).alias("low"), F.max(label).alias("high")).filter("low = 1 and high = 1").select("doc_id")
     good = if_small(written(good, "kn-trusted"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), row_name(id_col, text).alias("h"))
-    model = trained(rows.join(good, "doc_id", "left_semi"), "text")
-    scored = written(perplexities(rows, model, "text", broadcast_rows).drop("text").join(good, "doc_id", "left"), "kn-scored")
-    trusted = scored.filter("trusted")
-    q = F.percentile_approx("perplexity", quantile, 10_000) * slack
-    by_lang = trusted.filter(F.col("lang").isNotNull()).groupBy("lang").agg(q.alias("own"))
-    all_of = trusted.agg(q.alias("any"))  # one row
-    out = scored.join(F.broadcast(all_of)).join(by_lang, "lang", "left").withColumn("limit", F.coalesce("own", "any"))
+    trusted = rows.join(good, "doc_id", "left_semi").select("text", "lang", F.xxhash64("text").alias("t"), F.pmod(F.xxhash64("text", F.lit(1)), F.lit(folds)).cast("int").alias("fold"))
+    of = models(trusted, "text", ORDER, folds)
+    scored = written(perplexities(rows, of[ALL], "text", broadcast_rows).drop("text"), "kn-scored")
+    # the folds' tables together are broadcast up to the same number of rows as those of all
+    held = [perplexities(trusted.filter(F.col("fold") == f).select("text", "lang", "t"), model, "text", broadcast_rows // folds).drop("text") for f, model in of.items() if f != ALL]
+    if not held:
+        return scored.select("doc_id", "lang", "perplexity", F.lit(None).cast("double").alias("limit"), F.lit(True).alias("kept"), "h")
+    own = if_small(written(limits(written(reduce(DataFrame.unionByName, held), "kn-held"), quantile, slack, least).withColumnRenamed("lang", "lang__"), "kn-limits"))
+    out = scored.join(own, F.col("lang").eqNullSafe(F.col("lang__")), "left")
     kept = F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True))
     return out.select("doc_id", "lang", "perplexity", "limit", kept.alias("kept"), "h")

@@ -152,6 +152,21 @@ def test_quality(spark):
     assert op5_quality.judged(docs, labels.limit(0)).filter("not kept").count() == 0
 
 
+def test_quality_of_rare_languages(spark):
+    """Few trusted texts give a wide limit, none or too few give none; a null language is one of its own."""
+    rng = random.Random(11)
+    words = {k: ["".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(400)] for k, letters in {"en": "abcdefghij", "xx": "klmnopqrst", "yy": "uvwxyzäöü", "zz": "éèêëïîôûç", None: "ßåøæœñãõ"}.items()}
+    clean = {k: [" ".join(rng.choices(w, k=30)) for _ in range(n)] for (k, w), n in zip(words.items(), (120, 60, 10, 10, 10), strict=True)}
+    rows = [(i, t, k, "s", 0) for i, (k, t) in enumerate((k, t) for k, ts in clean.items() for t in ts)] + [(900, "@@## %%zz qq$$ " * 10, "xx", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    trusted = [*range(110), *range(120, 140), 180, 181, 182]  # of en 110, of xx 20, of yy 3
+    got = {r.doc_id: r for r in op5_quality.judged(docs, spark.createDataFrame([(i, 1, 0) for i in trusted], "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[i].kept for i in range(120, 210)) and not got[900].kept
+    assert all(got[i].limit is None for i in range(180, 210)) and sum(got[i].kept for i in range(110)) >= 105
+    # held-out perplexities, not those of the texts trained on, set the limit
+    assert got[0].limit > 1.2 * max(got[i].perplexity for i in range(110))
+
+
 def test_kneser_ney_sums_to_one(spark):
     docs = spark.createDataFrame([("abracadabra abacus",), ("cab scab dab",), (None,)], "text string")
     model = op5_quality.trained(docs, "text", 3)
