@@ -29,7 +29,7 @@ def changed(rows: DataFrame, docs: DataFrame, before: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated runs of lines."""
-    return changed(without_repeated_lines(docs), docs, "lines_removed")
+    return changed(without_repeated_lines(docs, whole_runs=True), docs, "lines_removed")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ repeated run is the union of two such stretches of the largest power of two with
 an earlier position, in order of doc_id and line, is deleted, so the first copy stays whole. Only positions whose line
 repeats go beyond round 0, and names are counted before they are joined, so a line's copies don't meet in one task.
 
+So a repeated run of 3, 5, 6, 7 ... lines may have ``MIN_CHARS`` characters where its stretches have fewer. ``whole_runs`` looks at runs of such lengths too, by their
+two stretches of the largest power of two; only those with a stretch below ``MIN_CHARS`` need it. The pipeline uses it; the query doesn't, as its SQL is of stretches.
+
 Lines end at newlines only. Null texts have no lines and stay null; empty ones stay empty. Several rows of one doc_id are several
 documents in order of a hash of their texts, and equal ones are one: what happens to one happens to the other. A null doc_id comes before all others. Texts of any length are whole;
 other columns are not read, and may have any name; an empty table gives an empty result.
@@ -13,7 +16,7 @@ other columns are not read, and may have any name; an empty table gives an empty
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -27,10 +30,26 @@ def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("__d"), F.xxhash64(text).alias("__h"), F.col(text).alias("text"), F.struct(*docs.columns).alias("doc"))
 
 
-def repeated_stretches(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def between(at: DataFrame, offsets: DataFrame, n: int, min_chars: int) -> DataFrame:
+    """__d, __h, i, n: runs of n + 1 to 2n - 1 lines, of which the first or the last n have too few characters, that start at an earlier position too."""
+    key = ["__d", "__h", "i"]
+    light = at.filter(F.col("chars") < min_chars).join(offsets, key)
+    other = at.join(offsets, key, "left").select("__d", "__h", F.col("i").alias("j"), *[F.col(c).alias(f"{c}2") for c in ("x", "y", "chars", "offset")])
+    steps = F.array(*[F.lit(o) for o in range(1 - n, n) if o])
+    both = light.withColumn("o", F.explode(steps)).withColumn("j", F.col("i") + F.col("o")).join(other, ["__d", "__h", "j"])
+    heavy = F.col("chars2") >= min_chars
+    both = both.filter(heavy | ((F.col("o") > 0) & (F.col("offset2") - F.col("offset") + F.col("chars2") >= min_chars)))
+    name = lambda c: F.when(F.col("o") > 0, F.xxhash64(c, f"{c}2")).otherwise(F.xxhash64(f"{c}2", c)).alias(c)
+    runs = written(both.select("__d", "__h", F.least("i", "j").alias("i"), (F.abs("o") + n).cast("long").alias("n"), name("x"), name("y")), "runs")
+    place: Column = F.struct("__d", "__h", "i")
+    firsts = runs.groupBy("n", "x", "y").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("n", "x", "y", "first")
+    return runs.join(firsts, ["n", "x", "y"]).filter(F.col("first") < place).select(*key, "n")
+
+
+def repeated_stretches(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS, whole_runs: bool = False) -> DataFrame:
     """__d, __h, i, n: stretches of n lines from line i (from 0) that start at an earlier position too; ``docs`` is keyed."""
     lines = docs.filter(F.col(text).isNotNull()).select("__d", "__h", F.posexplode(F.split(text, "\n", -1)).alias("i", "line"))
-    at = lines.select("__d", "__h", F.col("i").cast("long").alias("i"), F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), "line").alias("y"), F.length("line").cast("long").alias("chars"))
+    at = lines.select("__d", "__h", F.col("i").cast("long").alias("i"), F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), "line").alias("y"), F.length("line").cast("long").alias("chars"), F.length("line").cast("long").alias("head"))
     place: Column = F.struct("__d", "__h", "i")
     found, n = None, 1
     while True:
@@ -40,16 +59,23 @@ def repeated_stretches(docs: DataFrame, text: str = "text", min_chars: int = MIN
             break
         part = at.filter((F.col("first") < place) & (F.col("chars") >= min_chars)).select("__d", "__h", "i", F.lit(n).cast("long").alias("n"))
         found = part if found is None else found.unionByName(part)
+        if whole_runs and 1 < n <= min_chars:
+            light = at.filter(F.col("chars") < min_chars)
+            if n == 2:  # the lines of a light run are heads of light pairs that follow each other: differences of offsets are lengths
+                before = Window.partitionBy("__d", "__h").orderBy("i")
+                offsets = written(light.select("__d", "__h", "i", F.sum(F.col("head") + 1).over(before).alias("upto"), "head").select("__d", "__h", "i", (F.col("upto") - F.col("head") - 1).alias("offset")), "offsets")
+            if not light.isEmpty():
+                found = found.unionByName(between(at, offsets, n, min_chars))
         right = at.select("__d", "__h", (F.col("i") - n).alias("i"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("chars").alias("chars2"))
-        at = at.drop("first").join(right.distinct(), ["__d", "__h", "i"]).select("__d", "__h", "i", F.xxhash64("x", "x2").alias("x"), F.xxhash64("y", "y2").alias("y"), (F.col("chars") + F.col("chars2") + 1).alias("chars"))
+        at = at.drop("first").join(right.distinct(), ["__d", "__h", "i"]).select("__d", "__h", "i", F.xxhash64("x", "x2").alias("x"), F.xxhash64("y", "y2").alias("y"), (F.col("chars") + F.col("chars2") + 1).alias("chars"), "head")
         n *= 2
     return found if found is not None else at.select("__d", "__h", "i", F.lit(0).cast("long").alias("n"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, whole_runs: bool = False) -> DataFrame:
     """``docs`` with ``text`` reduced to the lines kept, and lines_before and lines_removed, which replace columns of that name."""
     rows = keyed(docs, id_col, text)
-    stretches = repeated_stretches(rows.select("__d", "__h", "text"), "text", min_chars)
+    stretches = repeated_stretches(rows.select("__d", "__h", "text"), "text", min_chars, whole_runs)
     # of the stretches from one line the longest says it all
     longest = stretches.groupBy("__d", "__h", "i").agg(F.max("n").alias("n"))
     marks = longest.groupBy("__d", "__h").agg(F.collect_list(F.struct("i", "n")).alias("marks"))

@@ -85,6 +85,29 @@ def test_lines(spark):
     assert op1_lines.digests(docs_of(spark, [(None, "a" * 30), (1, "a" * 30)])).filter("n_removed = 1").first().doc_id == 1
 
 
+def test_whole_runs_of_lines(spark):
+    """Runs of every length, held against brute force; the pipeline's stage removes them."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    line = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(0, 12)))
+    runs = [[line() for _ in range(n)] for n in (3, 3, 5, 6, 7, 9, 11, 15, 17, 24, 31)]
+    runs += [["a" * 8, "b" * 8, "c" * 8], ["d" * 28, "e" * 10, "f" * 9], ["g", "h", "i" * 30], [""] * 20, [""] * 40]
+    parts = lambda: [x for r in rng.choices(runs, k=rng.randint(1, 4)) for x in [*r, f"own {rng.random()}"]]
+    texts = [(i, "\n".join(parts())) for i in range(40)]
+    lines = {i: t.split("\n") for i, t in texts}
+    seen, gone = {}, {i: set() for i in lines}
+    for n in range(1, 80):
+        for i in sorted(lines):
+            for p in range(len(lines[i]) - n + 1):
+                w = tuple(lines[i][p : p + n])
+                if w in seen and len("\n".join(w)) >= op1_lines.MIN_CHARS:
+                    gone[i].update(range(p, p + n))
+                seen.setdefault(w, (i, p))
+    got = {r.doc_id: r.text or "" for r in corpus_pipeline.lines(spark, docs_of(spark, texts), "").collect()}
+    assert {i: got.get(i, "") for i in lines} == {i: "\n".join(x for p, x in enumerate(t) if p not in gone[i]) for i, t in lines.items()}
+    assert gone != brute_lines(texts)[1]
+
+
 def test_suffix_index():
     rng = random.Random(7)
     span = 6
