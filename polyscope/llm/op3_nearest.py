@@ -5,8 +5,8 @@ largest inner product is then the least Euclidean distance, and the triangle ine
 hash, and each shard has a tree: a node splits its vectors at the median distance from a vantage point and keeps the range of distances
 of each half. A block of queries goes down a tree together, nearer half first; a half is left out for a query
 if ``relax`` times the lower bound of its distances exceeds the query's k-th best. ``relax`` 1 restores exact search; more prunes
-sooner. Blocks of queries meet every shard, so a task holds one shard and one block. Scores are inner products of the original
-vectors in double precision.
+sooner. Blocks of queries meet every shard, so a task holds one shard and one block. Leaves rank by inner products of the original
+vectors in double precision, each summed in one order; scaled distances only prune.
 
 Vectors that are null, zero, of another length than the most common one, or hold null or non-finite components take no part, nor do rows with a null vec_id. Rows with one
 vec_id: the query's own vec_id is left out, and of several rows of one vec_id among the nearest, each counts. Ties go to the smaller vec_id.
@@ -36,8 +36,8 @@ def usable(rows: DataFrame, id_col: str, vector: str, *more: str) -> DataFrame:
 class Tree:
     """A vantage-point tree over rows of ``x``; nodes are (vantage, halves with their distance ranges) or leaves of row numbers."""
 
-    def __init__(self, x: np.ndarray, leaf: int = LEAF, seed: int = 3):
-        self.x, self.leaf, self.rng = x, leaf, np.random.default_rng(seed)
+    def __init__(self, x: np.ndarray, original: np.ndarray, leaf: int = LEAF, seed: int = 3):
+        self.x, self.original, self.leaf, self.rng = x, original, leaf, np.random.default_rng(seed)
         self.square = np.einsum("ij,ij->i", x, x)
         self.root = self.built(np.arange(len(x)))
 
@@ -53,37 +53,42 @@ class Tree:
 
     def distances(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
         square = np.einsum("ij,ij->i", q, q)[:, None] + self.square[rows] - 2 * q @ self.x[rows].T
-        return np.sqrt(np.round(np.maximum(square, 0), 10))  # equal vectors are equally far, whatever block they are in
+        return np.sqrt(np.maximum(square, 0))
 
-    def search(self, q: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and distances of the k best for each query (-1 and inf where there are fewer); candidates with the query's own id are left out."""
-        best, far = np.full((len(q), k), -1), np.full((len(q), k), np.inf)
+    def search(self, q: np.ndarray, asked: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and scores of the k best for each query (-1 and -inf where there are fewer); ``asked`` are the queries unscaled; candidates with the query's own id are left out."""
+        best, far = np.full((len(q), k), -1), np.full((len(q), k), -np.inf)
+        reach = np.full(len(q), np.inf)  # scaled distance of the k-th best
 
         def visit(node: tuple, of: np.ndarray) -> None:
             if not len(of):
                 return
             if node[0] == "leaf":
                 rows = node[1]
-                d = self.distances(q[of], rows)
-                d[own[of][:, None] == ids[rows][None]] = np.inf
+                # equal vectors have equal scores, whatever block they are in
+                d = np.einsum("ij,kj->ik", asked[of], self.original[rows], optimize=False)
+                d[own[of][:, None] == ids[rows][None]] = -np.inf
                 # the row with the smaller id stands first, and a stable sort keeps it there
                 rows_in_order = np.argsort(ids[rows], kind="stable")
                 all_d = np.concatenate([far[of], d[:, rows_in_order]], axis=1)
                 all_r = np.concatenate([best[of], np.broadcast_to(rows[rows_in_order], d.shape)], axis=1)
                 all_id = np.where(all_r >= 0, ids[all_r], np.iinfo(np.int64).max)
-                top = np.lexsort((all_id, all_d), axis=1)[:, :k]
+                top = np.lexsort((all_id, -all_d), axis=1)[:, :k]
                 far[of], best[of] = np.take_along_axis(all_d, top, 1), np.take_along_axis(all_r, top, 1)
                 best[of] = np.where(np.isinf(far[of]), -1, best[of])
+                last = best[of, -1]
+                gap = q[of] - self.x[last]
+                reach[of] = np.where(last < 0, np.inf, np.sqrt(np.einsum("ij,ij->i", gap, gap)))
                 return
             _, vantage, inner, outer = node
             d = self.distances(q[of], np.array([vantage]))[:, 0]
             bounds = [np.maximum(np.maximum(low - d, d - high), 0) for _, low, high in (inner, outer)]
             nearer = bounds[0] <= bounds[1]
-            slack = 1e-9 * (1 + d)  # rounding never prunes a tie
+            slack = 1e-7 * (1 + d)  # rounding never prunes a tie: a distance near 0 is off by the root of that of its square
             for first, second, mask in ((inner, outer, nearer), (outer, inner, ~nearer)):
                 for half in (first, second):
                     bound = bounds[0] if half is inner else bounds[1]
-                    open_ = np.flatnonzero(mask & (relax * bound <= far[of, -1] + slack))
+                    open_ = np.flatnonzero(mask & (relax * bound <= reach[of] + slack))
                     visit(half[0], of[open_])
 
         visit(self.root, np.arange(len(q)))
@@ -114,11 +119,11 @@ def nearest(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
         a, b = np.stack(x["v"].to_numpy()), np.stack(q["v"].to_numpy())
         more = np.sqrt(np.maximum(longest - np.einsum("ij,ij->i", a, a), 0))
         scale = math.sqrt(longest)
-        tree = Tree(np.column_stack([a, more]) / scale)
-        best, _ = tree.search(np.column_stack([b, np.zeros(len(b))]) / scale, own, ids, k, relax)
+        tree = Tree(np.column_stack([a, more]) / scale, a)
+        best, scores = tree.search(np.column_stack([b, np.zeros(len(b))]) / scale, b, own, ids, k, relax)
         at, rank = np.nonzero(best >= 0)
         found = best[at, rank]
-        return pd.DataFrame({"query_id": own[at], "vec_id": ids[found], "score": np.einsum("ij,ij->i", b[at], a[found])})
+        return pd.DataFrame({"query_id": own[at], "vec_id": ids[found], "score": scores[at, rank]})
 
     keys = ["shard", "part"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)

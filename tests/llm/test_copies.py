@@ -206,6 +206,20 @@ def test_nearest_is_exact_at_one(spark):
     assert op3_nearest.nearest(vectors(spark, rows).limit(0)).count() == 0
 
 
+def test_nearest_beside_a_long_vector():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= 1e6
+    more = np.sqrt(np.maximum(1e12 - np.einsum("ij,ij->i", x, x), 0))
+    ids, q = np.arange(len(x)), np.arange(0, len(x), 20)
+    tree = op3_nearest.Tree(np.column_stack([x, more]) / 1e6, x)
+    best, scores = tree.search(np.column_stack([x[q], np.zeros(len(q))]) / 1e6, x[q], q, ids, 20, 1.0)
+    s = x[q] @ x.T
+    s[np.arange(len(q)), q] = -np.inf
+    assert (best == np.argsort(-s, axis=1)[:, :20]).all() and np.allclose(scores, -np.sort(-s, axis=1)[:, :20])
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2000, 64))
