@@ -6,7 +6,8 @@ if it may lie within eps of a vector at home there: the triangle inequality give
 the distance from the plane between the two pivots, at most eps, is narrower yet. A cell joins its home vectors with
 all that are in it, independently of others, so that a home vector sees all its neighbours. Cells are cut into blocks of at most ``BLOCK`` vectors on
 either side, so no cell or label meets in one task. A block sends on counts and a spanning forest of its links,
-never pairs. If two cosines differ from t by rounding only, the sum of products in double precision decides.
+never pairs. A cosine that differs from t by rounding only is computed again from the original
+vectors in one fixed order, so a pair is decided alike in every block and from both sides.
 
 Vectors that are null, zero, or hold null or non-finite components, and rows with a null label, link with nothing; nor do vectors of different lengths. Rows with one vec_id are
 one vector for n_links and component if they are equal; otherwise each counts by itself. Rows with a null vec_id take no part and are returned with no links. An empty table gives
@@ -29,6 +30,15 @@ from .op3_nearest import usable
 COSINE, PER_PIVOT, MOST_PIVOTS, BLOCK = 0.93, 2_000, 512, 1_024
 
 
+def reaches(a: np.ndarray, b: np.ndarray, product: np.ndarray, cosine: float) -> np.ndarray:
+    """Which pairs of rows of ``a`` and ``b`` have at least ``cosine``; ``product`` are those of the unit vectors."""
+    close = product >= cosine
+    for i, j in zip(*np.nonzero(np.abs(product - cosine) < 1e-12), strict=True):
+        u, v = (x / 2.0 ** np.frexp(np.abs(x).max())[1] for x in (a[i], b[j]))  # by powers of two: exact
+        close[i, j] = math.fsum(u * v) / math.sqrt(math.fsum(u * u) * math.fsum(v * v)) >= cosine
+    return close
+
+
 def linked(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, per_pivot: int = PER_PIVOT, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept; one row for each row."""
     spark = rows.sparkSession
@@ -90,9 +100,10 @@ def linked(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", l
         if not len(a) or not len(b):
             return pd.DataFrame({"node": [], "links": [], "to": []})
         scale = lambda v: v / np.abs(v).max(axis=1, keepdims=True)
-        x, y = unit(scale(np.stack(a["v"].to_numpy()))), unit(scale(np.stack(b["v"].to_numpy())))
+        v, w = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+        x, y = unit(scale(v)), unit(scale(w))
         an, bn, weight = a["node"].to_numpy(np.int64), b["node"].to_numpy(np.int64), b["n"].to_numpy(np.int64)
-        close = x @ y.T >= cosine
+        close = reaches(v, w, x @ y.T, cosine)
         close |= an[:, None] == bn[None]
         links = close @ weight
         nodes = {v: v for v in {*an.tolist(), *bn.tolist()}}

@@ -252,6 +252,14 @@ def test_range_join(spark, per_pivot, block):
     assert op4_rangejoin.linked(vectors(spark, rows).limit(0)).count() == 0
 
 
+def test_range_join_at_the_threshold():
+    """Pairs at exactly 0.6, and products that rounding has moved to either side."""
+    a, b = np.array([[3.0, 4.0], [4.0, 3.0]]), np.array([[1.0, 0.0], [0.0, 1.0]])
+    for off in (-1e-15, 0, 1e-15):
+        assert op4_rangejoin.reaches(a, b, np.array([[0.6, 0.8], [0.8, 0.6]]) + off, 0.6).all()
+    assert not op4_rangejoin.reaches(a[:1] - 1e-15 * np.array([[8.0, 0]]), b[:1], np.array([[0.6]]), 0.6).any()
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
