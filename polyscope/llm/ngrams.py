@@ -30,17 +30,3 @@ def hashed(chars: np.ndarray, order: int, bits: int) -> np.ndarray:
 def spans(starts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last-plus-one n-gram of each text."""
     return starts[:-1], np.maximum(starts[:-1], starts[1:] - order + 1)
-
-
-def owned(starts: np.ndarray, order: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which n-grams lie within one text, and the text of each."""
-    n = max(0, total - order + 1)
-    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[:n]
-    return np.arange(n) + order <= starts[text + 1], text
-
-
-def sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Sums of rows of ``values`` from first to last, of nothing 0."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[last] - total[first]

@@ -3,7 +3,7 @@
 Presence of hashed n-grams (lower case, whole texts) is counted in all labelled training rows, by class. The log-count
 ratio of a bucket is r = log(p/|p| : q/|q|), and the ``FEATURES`` buckets with the most weight of evidence (|r| times
 the share of rows with it) make up the vectors r * presence. Logistic regression with an L2 penalty is then fitted to
-at most ``FIT_ROWS`` training rows, the first in order of a hash of the doc_id; the counts have no such bound. The weights are one
+about ``FIT_ROWS`` training rows, those with a low hash of doc_id, text and label (equal rows count once there); the counts have no such bound. The weights are one
 array of ``2**BITS`` numbers, broadcast.
 
 Empty and null texts get the score of a text without features. A row without label, or whose label is null or neither 0 nor 1,
@@ -21,26 +21,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import added_up, as_text, blocks, gathered, if_small
-from .ngrams import characters, hashed, owned
+from .ngrams import characters, hashed
 from .op9_language import held_out_column, in_chunks
 
 BITS, ORDERS, WIDTH = 20, (4, 5, 6), 4096
 FEATURES, FIT_ROWS, SMOOTHING, PENALTY, STEPS = 4_000, 20_000, 1.0, 0.1, 300
 
 
-def present(texts: list[str], bits: int, orders: tuple[int, ...], wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For runs of texts: the first one's number, how many, and the distinct (text, bucket) pairs in them, of ``wanted`` buckets."""
-    for at, part in in_chunks([f" {x.lower()} " for x in texts]):
+#: Characters hashed at a time, so that the arrays stay in the processor's cache.
+CHUNK = 1 << 16
+
+
+def grams(texts: list[str], bits: int, orders: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """For runs of texts: the first one's number, where each starts, and for each order the bucket of the n-gram from each character.
+
+    The n-grams of a text are those that start before its last ``order - 1`` characters.
+    """
+    for at, part in in_chunks([f" {x.lower()} " for x in texts], CHUNK):
         chars, starts = characters(part)
+        yield at, starts, [hashed(chars, order, bits) for order in orders]
+
+
+def inside(codes: list[np.ndarray], starts: np.ndarray, i: int, orders: tuple[int, ...]) -> np.ndarray:
+    """The buckets of the n-grams of text ``i``, repeats included."""
+    return np.concatenate([code[starts[i] : max(starts[i], starts[i + 1] - order + 1)] for code, order in zip(codes, orders, strict=True)])
+
+
+def present(texts: list[str], bits: int, orders: tuple[int, ...], wanted: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of texts: the first one's number, how many, and the distinct (text, bucket) pairs in them, of ``wanted`` buckets, in order."""
+    for at, starts, codes in grams(texts, bits, orders):
         found = []
-        for order in orders:
-            code = hashed(chars, order, bits)
-            inside, text = owned(starts, order, len(chars))
-            if wanted is not None:
-                inside = inside & wanted[code]
-            found.append(text[inside] << bits | code[inside])
+        for code, order in zip(codes, orders, strict=True):
+            hit = np.flatnonzero(wanted[code])
+            text = np.searchsorted(starts, hit, "right") - 1
+            own = hit + order <= starts[text + 1]
+            found.append(text[own] << bits | code[hit[own]])
         pairs = np.unique(np.concatenate(found))
-        yield at, len(part), pairs >> bits, pairs & ((1 << bits) - 1)
+        yield at, len(starts) - 1, pairs >> bits, pairs & ((1 << bits) - 1)
+
+
+class Presence:
+    """Tells the distinct buckets of one text after another without sorting: each n-gram writes its number into its bucket's slot, and those whose number stays are one for each bucket."""
+
+    def __init__(self, bits: int):
+        self.slot = np.zeros(1 << bits, np.int32)
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        number = np.arange(len(code), dtype=np.int32)
+        self.slot[code] = number
+        return code[self.slot[code] == number]
 
 
 class Model:
@@ -81,13 +110,14 @@ def trained(rows: DataFrame, bits: int = BITS, orders: tuple[int, ...] = ORDERS,
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, docs = np.zeros(2 * size, np.int64), np.zeros(WIDTH, np.int64)
+        counts, docs, distinct = np.zeros((2, size), np.int64), np.zeros(WIDTH, np.int64), Presence(bits)
         for batch in batches:
             labels = np.array(batch.column(2).to_pylist(), np.int64)
             docs[:2] += np.bincount(labels, minlength=2)
-            for at, _, text, code in present(as_text(batch.column(1)), bits, orders):
-                counts += np.bincount(labels[at + text] * size + code, minlength=2 * size)
-        yield blocks(counts, WIDTH)
+            for at, starts, codes in grams(as_text(batch.column(1)), bits, orders):
+                for i in range(len(starts) - 1):
+                    counts[labels[at + i]][distinct.of(inside(codes, starts, i, orders))] += 1
+        yield blocks(counts.ravel(), WIDTH)
         yield blocks(docs, WIDTH, 2 * size // WIDTH)
 
     counts = gathered(added_up(rows.mapInArrow(count, "block long, counts binary"), WIDTH), 2 * size + WIDTH, WIDTH)
@@ -108,10 +138,15 @@ def trained(rows: DataFrame, bits: int = BITS, orders: tuple[int, ...] = ORDERS,
             out: list[bytes] = []
             for _, n, text, code in present(as_text(batch.column(1)), bits, orders, wanted):
                 out += [place[x].astype(np.int32).tobytes() for x in np.split(code, np.searchsorted(text, np.arange(1, n)))]
-            yield pa.record_batch({"label": batch.column(2), "places": pa.array(out, pa.binary())})
-
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "label").limit(fit_rows)
-    got = sample.mapInArrow(vectors, "label int, places binary").collect()  # at most fit_rows vectors of at most ``features`` places
+            yield pa.record_batch({"row": batch.column(0), "label": batch.column(2), "places": pa.array(out, pa.binary())})
+
+    # a row is in the sample if the hash of all it holds is low: no task sees the sample's texts together
+    named = rows.select(F.xxhash64("doc_id", "text", "label").alias("row"), "text", "label")
+    share = fit_rows / int(docs.sum())
+    if share < 1:
+        named = named.filter(F.col("row") < F.lit(int(share * 2**64) - 2**63))
+    got = named.mapInArrow(vectors, "row long, label int, places binary").dropDuplicates(["row"]).collect()  # about fit_rows vectors of at most ``features`` places
+    got.sort(key=lambda r: r.row)
     w, bias = fitted([np.frombuffer(r.places, np.int32) for r in got], np.array([r.label for r in got], np.float64), ratio[chosen], penalty, steps)
     weights[chosen] = w * ratio[chosen]
     return Model(bits, orders, weights, bias)
