@@ -4,14 +4,13 @@ Counts are gathered over all training texts (whole texts, lower case) as blocks
 buckets, and added up without collecting a key's rows; the matrix of log-probabilities, ``languages x 2**BITS``, is
 broadcast, and batches of texts are scored in numpy.
 
-A null text, or one without letters, is ``und`` with score 0. Rows whose training label is null teach nothing. With no training row at all everything is ``und``.
+A null text, or one without letters (characters of the Unicode categories L; numerals such as ½ or Ⅷ aren't), is ``und`` with score 0. Rows whose training label is null teach nothing. With no training row at all everything is ``und``.
 Ties go to the language first in code-point order. Texts of any length are scored whole, as are repeated rows;
 columns other than those named are not read, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,6 @@ from .ngrams import characters, hashed, spans
 BITS, ORDERS, WIDTH, SMOOTHING = 15, (1, 2, 3), 4096, 0.5
 #: Characters counted or scored at a time.
 CHUNK = 2_000_000
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def in_chunks(texts: list[str], most: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
@@ -65,7 +63,7 @@ class Model:
             top = total.argmax(axis=1)
             p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
             for i, x in enumerate(part):
-                if LETTER.search(x):
+                if any(map(str.isalpha, x)):
                     best[at + i], score[at + i] = self.languages[top[i]], float(p[i])
         return best, score
 
