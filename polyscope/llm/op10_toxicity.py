@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import added_up, as_text, blocks, gathered, if_small
-from .ngrams import characters, hashed
+from .ngrams import Presence, characters, hashed
 from .op9_language import held_out_column, in_chunks
 
 BITS, ORDERS, WIDTH = 20, (4, 5, 6), 4096
@@ -60,18 +60,6 @@ def present(texts: list[str], bits: int, orders: tuple[int, ...], wanted: np.nda
         yield at, len(starts) - 1, pairs >> bits, pairs & ((1 << bits) - 1)
 
 
-class Presence:
-    """Tells the distinct buckets of one text after another without sorting: each n-gram writes its number into its bucket's slot, and those whose number stays are one for each bucket."""
-
-    def __init__(self, bits: int):
-        self.slot = np.zeros(1 << bits, np.int32)
-
-    def of(self, code: np.ndarray) -> np.ndarray:
-        number = np.arange(len(code), dtype=np.int32)
-        self.slot[code] = number
-        return code[self.slot[code] == number]
-
-
 class Model:
     """score = logistic(bias + the sum of the weights of the buckets present)."""
 

@@ -5,14 +5,14 @@ count times idf, where idf falls from 1 to ``FLOOR`` with the share of documents
 near copies doesn't lower its members' similarity by its own size. Document frequencies of all documents
 are kept for ``2**IDF_BITS`` hashed buckets, which bounds what is broadcast.
 
-``BANDS x ROWS`` weighted samples are drawn from each text; equal samples in all rows of a band make candidates. Exact
+``BANDS x ROWS`` weighted samples are drawn from each text, each with random variates of its own for every shingle; equal samples in all rows of a band make candidates. Exact
 copies are taken together first. Candidates are verified by exact weighted Jaccard similarity: each band's members against its least
 one, and members of a band that are then still in different components against each other, in blocks of bounded size,
 so no link is left out within a band and no band's members meet in one task. Links make up classes by connected
-components.
+components. Up to there only ids and hashes are moved; then the texts of candidates, found by a hash of their ids, are.
 
-A pair at the threshold escapes all bands with a chance of about (1 - 0.8**5)**24 = 7e-5. Null and empty texts, and texts of white space, have no shingles: they link only
-with exact copies, if not null. Rows with one doc_id are taken as one document; rows with a null doc_id are returned as a class of their own,
+A pair at the threshold escapes all bands with a chance of about (1 - 0.8**4)**18 = 8e-5. Null and empty texts, and texts of white space, have no shingles: they link only
+with exact copies, if not null. Rows with one doc_id are taken as one document, which is linked if any of its texts is; rows with a null doc_id are returned as a class of their own,
 with class_id null. Other columns are not read; an empty table gives an empty result.
 """
 
@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -29,10 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import U64, added_up, blocks, gathered, mixed, written
 from .components import components
+from .ngrams import Presence
 from .op7_suffix import Hasher, utf8
 
-WORDS, SIMILARITY, BANDS, ROWS, IDF_BITS, WIDTH, FLOOR, BLOCK, SEED = 5, 0.8, 24, 5, 20, 4096, 0.8, 128, 11
-VARIATES = 1 << 13
+WORDS, SIMILARITY, BANDS, ROWS, IDF_BITS, WIDTH, FLOOR, SEED = 5, 0.8, 18, 4, 20, 4096, 0.8, 11
+#: Members of a band, and bytes of their texts, that are compared at a time; buckets of ids by which texts are looked up.
+BLOCK, BLOCK_BYTES, BUCKETS = 512, 8 << 20, 1 << 20
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, hasher: Hasher, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -69,18 +70,30 @@ def shingles(data: np.ndarray, bounds: np.ndarray, hasher: Hasher, words: int =
         return rows, hashes
 
 
-def counted(texts: pa.Array, hasher: Hasher, words: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, distinct hash, count) in order of both, of runs of rows. A row's shingles are never in two runs."""
+def runs(texts: pa.Array, hasher: Hasher, words: int = WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, row from there, hash) of the shingles of runs of rows. A row's shingles are never in two runs."""
     data, bounds = utf8(pc.utf8_lower(texts.fill_null("")))
     row, rows = 0, len(bounds) - 1
     while row < rows:
-        end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + (1 << 19), "right")) - 1)
-        r, h = shingles(data[bounds[row] : bounds[end]], bounds[row : end + 1] - bounds[row], hasher, words)
-        order = np.lexsort((h, r))
-        r, h = r[order], h[order]
+        end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + (1 << 17), "right")) - 1)
+        yield row, *shingles(data[bounds[row] : bounds[end]], bounds[row : end + 1] - bounds[row], hasher, words)
+        row = end
+
+
+def parts(row: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last-plus-one place of each row in ``row``, which is in order."""
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])[: len(row)])
+    return zip(first.tolist(), np.append(first[1:], len(row)).tolist(), strict=True)
+
+
+def counted(texts: pa.Array, hasher: Hasher, words: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, distinct hash, count) in order of both, of runs of rows. A row's shingles are never in two runs."""
+    for row, r, h in runs(texts, hasher, words):
+        h = h.copy()
+        for a, b in parts(r):
+            h[a:b].sort()
         new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])])[: len(r)])
         yield r[new] + row, h[new], np.diff(np.append(new, len(r)))
-        row = end
 
 
 def bucket(h: np.ndarray, bits: int) -> np.ndarray:
@@ -91,12 +104,13 @@ def idf_of(docs: DataFrame, bits: int, words: int, floor: float) -> np.ndarray:
     """The idf of each bucket, from all documents; ``docs``: text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts = Hasher(), np.zeros((1 << bits) + WIDTH, np.int64)
+        hasher, distinct, counts = Hasher(), Presence(bits), np.zeros((1 << bits) + WIDTH, np.int64)
         for batch in batches:
             counts[1 << bits] += batch.num_rows
-            for r, h, _ in counted(batch.column(0), hasher, words):
-                pairs = np.unique(r << bits | bucket(h, bits))
-                counts += np.bincount(pairs & ((1 << bits) - 1), minlength=len(counts))
+            for _, r, h in runs(batch.column(0), hasher, words):
+                code = bucket(h, bits)
+                for a, b in parts(r):
+                    counts[distinct.of(code[a:b])] += 1
         yield blocks(counts, WIDTH)
 
     got = gathered(added_up(docs.select("text").mapInArrow(count, "block long, counts binary"), WIDTH), (1 << bits) + WIDTH, WIDTH)
@@ -104,37 +118,82 @@ def idf_of(docs: DataFrame, bits: int, words: int, floor: float) -> np.ndarray:
     return (floor + (1 - floor) * np.log((n + 1) / np.minimum(df, n + 1)) / np.log(n + 2)).astype(np.float32)
 
 
+def gamma_quantile(u: np.ndarray) -> np.ndarray:
+    """Where the distribution Gamma(2, 1) reaches ``u``, by bisection."""
+    low, high = np.zeros(len(u)), np.full(len(u), 64.0)
+    for _ in range(80):
+        x = (low + high) / 2
+        less = -np.expm1(-x) - x * np.exp(-x) < u
+        low, high = np.where(less, x, low), np.where(less, high, x)
+    return (low + high) / 2
+
+
 class Sampler:
-    """Consistent weighted samples. The random variates of a shingle are a row of a table, picked by its hash."""
+    """Improved consistent weighted samples. The variates r, c and beta of a shingle and sample come from 64 bits hashed from both.
+
+    r and ln c are read from their distributions' quantiles, r in 2**14 steps, c in steps of u / 256 down to u = 2**-32, so that the least are as fine as the rest.
+    """
 
     def __init__(self, samples: int, seed: int = SEED):
-        rng = np.random.default_rng(seed)
-        shape = (VARIATES, samples)
-        r, c = (rng.gamma(2, 1, shape) for _ in range(2))
-        beta = rng.random(shape)
-        self.r, self.inverse, self.beta = (x.astype(np.float32) for x in (r, 1 / r, beta))
-        self.base = (np.log(c) + r * beta - r).astype(np.float32)
+        self.salt = np.random.default_rng(seed).integers(0, 1 << 63, samples, np.uint64)[:, None] * U64(2)
+        r = gamma_quantile((np.arange(1 << 14) + 0.5) / (1 << 14))
+        self.r = r.astype(np.float32)
+        # the places of ln c are the exponent and the first 8 bits of the mantissa of a float of 1 to 2**32
+        cell = ((np.arange(33 << 8) + (127 << 8)) << 15).astype(np.int32).view(np.float32).astype(np.float64)
+        self.log_c = np.log(gamma_quantile(np.minimum(cell * (1 + 1 / 512), 2**32 - 1) / 2**32)).astype(np.float32)
+
+        #: Shingles at a time; what is computed for them stays in the processor's cache.
+        self.width = 256
+        self.space = [[np.empty(samples * self.width, kind) for _ in range(n)] for kind, n in ((np.uint64, 2), (np.uint32, 3), (np.float32, 4))]
 
     def draw(self, h: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """A 64-bit name for each sample of one text; ``h`` in ascending order, so that ties go to the least."""
-        place = (mixed(h) & U64(VARIATES - 1)).astype(np.int64)
         log_w = np.log(weight).astype(np.float32)
-        best, name = None, None
-        for first in range(0, len(h), 4096):
-            part = slice(first, first + 4096)
-            p = place[part]
-            t = np.floor(log_w[part, None] * self.inverse[p] + self.beta[p])
-            a = self.base[p] - self.r[p] * t
-            at = a.argmin(axis=0)
-            cols = np.arange(a.shape[1])
-            low = a[at, cols]
+        best, name, row = None, None, np.arange(len(self.salt))
+        for first in range(0, len(h), self.width):
+            part = slice(first, first + self.width)
+            shape = len(row), len(h[part])
+            (z, shift), (low, high, place), (log_c, r, beta, t) = ([x[: shape[0] * shape[1]].reshape(shape) for x in of] for of in self.space)
+            np.bitwise_xor(h[part], self.salt, out=z)
             with np.errstate(over="ignore"):
-                got = mixed(h[part][at] + t[at, cols].astype(np.int64).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+                for bits, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    np.right_shift(z, U64(bits), out=shift)
+                    np.bitwise_xor(z, shift, out=z)
+                    np.multiply(z, U64(factor), out=z)
+            np.right_shift(z, U64(32), out=shift)
+            np.copyto(high, shift, casting="unsafe")
+            np.bitwise_xor(z, shift, out=z)
+            np.copyto(low, z, casting="unsafe")
+            # ln c
+            np.copyto(log_c, low, casting="unsafe")
+            np.add(log_c, np.float32(1), out=log_c)
+            np.copyto(place, log_c.view(np.uint32))
+            np.right_shift(place, np.uint32(15), out=place)
+            np.subtract(place, np.uint32(127 << 8), out=place)
+            self.log_c.take(place, out=log_c, mode="clip")
+            # r and beta
+            np.right_shift(high, np.uint32(18), out=place)
+            self.r.take(place, out=r, mode="clip")
+            np.bitwise_and(high, np.uint32((1 << 18) - 1), out=high)
+            np.copyto(beta, high, casting="unsafe")
+            np.multiply(beta, np.float32(2**-18), out=beta)
+            # t = floor(ln w / r + beta), and ln a = ln c - r (t - beta + 1)
+            np.divide(log_w[part], r, out=t)
+            np.add(t, beta, out=t)
+            np.floor(t, out=t)
+            np.subtract(t, beta, out=beta)
+            np.add(beta, np.float32(1), out=beta)
+            np.multiply(beta, r, out=beta)
+            np.subtract(log_c, beta, out=log_c)
+            at = log_c.argmin(axis=1)
+            least = log_c[row, at]
+            with np.errstate(over="ignore"):
+                got = mixed(h[part][at] + t[row, at].astype(np.int64).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
             if best is None:
-                best, name = low, got
+                best, name = least, got
             else:
-                less = low < best
-                best, name = np.where(less, low, best), np.where(less, got, name)
+                less = least < best
+                best, name = np.where(less, least, best), np.where(less, got, name)
         return name
 
 
@@ -149,6 +208,16 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(common / (a[1].sum() + b[1].sum() - common))
 
 
+def weighed(texts: pa.Array, idf: np.ndarray, bits: int, words: int, hasher: Hasher) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes in order, weights) of each text's shingles."""
+    out = [(np.zeros(0, np.uint64), np.zeros(0))] * len(texts)
+    for r, h, n in counted(texts, hasher, words):
+        weight = n * idf[bucket(h, bits)].astype(np.float64)
+        for a, b in parts(r):
+            out[r[a]] = h[a:b], weight[a:b]
+    return out
+
+
 class Weigher:
     """Texts as weighted shingles, of which the last few are kept."""
 
@@ -160,11 +229,87 @@ class Weigher:
         if key not in self.kept:
             if len(self.kept) >= 256:
                 self.kept.clear()
-            parts = [(h, n * self.idf[bucket(h, self.bits)].astype(np.float64)) for _, h, n in counted(pa.array([text]), self.hasher, self.words)]
-            self.kept[key] = parts[0] if parts else (np.zeros(0, np.uint64), np.zeros(0))
+            self.kept[key] = weighed(pa.array([text], pa.string()), self.idf, self.bits, self.words, self.hasher)[0]
         return self.kept[key]
 
 
+def alike(vectors: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray, component: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of rows, one of side 0 and one of side 1 (of any two if all are of side 0), that are in different components and alike.
+
+    Linked ones are joined as they are found, so what is one component already isn't told again. One row is compared with all others at once.
+    """
+    size = np.array([len(h) for h, _ in vectors])
+    rows = np.flatnonzero(size > 0)
+    if len(rows) < 2:
+        return []
+    own = np.repeat(np.arange(len(rows)), size[rows])
+    _, col = np.unique(np.concatenate([vectors[i][0] for i in rows]), return_inverse=True)
+    weight = np.concatenate([vectors[i][1] for i in rows])
+    start = np.concatenate([[0], np.cumsum(size[rows])])
+    total = np.add.reduceat(weight, start[:-1])
+    group, side, dense, out = component[rows].copy(), side[rows], np.zeros(col.max() + 1), []
+    both = side.any()
+    for i in range(len(rows)):
+        # a row of side 0 meets those of side 1; without sides, the rows after it
+        others = group != group[i]
+        if both:
+            if side[i]:
+                continue
+            others &= side == 1
+        else:
+            others[: i + 1] = False
+        others &= (np.minimum(total, total[i]) >= similarity * np.maximum(total, total[i]) * (1 - 1e-9))
+        if not others.any():
+            continue
+        mine = slice(start[i], start[i + 1])
+        dense[col[mine]] = weight[mine]
+        if others.sum() * 4 < len(rows):
+            at = np.flatnonzero(others)
+            pieces = [slice(start[j], start[j + 1]) for j in at]
+            common = np.array([np.minimum(dense[col[x]], weight[x]).sum() for x in pieces])
+        else:
+            at = np.arange(len(rows))
+            common = np.bincount(own, np.minimum(dense[col], weight), minlength=len(rows))
+        dense[col[mine]] = 0
+        sure = others[at] & (common >= similarity * (total[i] + total[at] - common) * (1 - 1e-9))
+        for j in at[sure].tolist():
+            if group[j] != group[i] and jaccard(vectors[rows[i]], vectors[rows[j]]) >= similarity:
+                group[group == group[j]] = group[i]
+                out.append((int(rows[i]), int(rows[j])))
+    return out
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each group, whose rows follow each other; the first ``keys`` columns tell groups apart."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        changed = np.zeros(batch.num_rows - 1, bool)
+        for c in batch.columns[:keys]:
+            x = c.to_numpy(zero_copy_only=False)
+            changed |= x[1:] != x[:-1]
+        cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(c[a].as_py() for c in batch.columns[:keys])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def texts_of(named: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the rows whose doc_id is in ``ids``, once for each text. Rows whose ids' hashes are in no bucket of a wanted one don't move; the broadcast has at most BUCKETS rows."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).alias("bucket")
+    wanted = written(ids.select(at("doc_id")).distinct(), "buckets")
+    near = named.withColumn("bucket", at("doc_id")).join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket")
+    return written(near.join(ids.distinct(), "doc_id", "left_semi").distinct(), "texts")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, bits: int = IDF_BITS, floor: float = FLOOR) -> DataFrame:
     """doc_id, class_id (least doc_id of the class) and kept (that of the class); one row for each row of ``docs``."""
     spark = docs.sparkSession
@@ -172,82 +317,82 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     named = base.filter("doc_id is not null")
     idf = spark.sparkContext.broadcast(idf_of(base, bits, words, floor))
 
-    # exact copies, and the several rows of a doc_id, are one node: the least doc_id of the text
-    copies = written(named.select("doc_id", F.md5(F.coalesce(F.col("text"), F.concat(F.lit("\0null"), F.col("doc_id").cast("string")))).alias("same")), "copies")
-    heads = copies.groupBy("same").agg(F.min("doc_id").alias("head"))
-    of = written(copies.join(heads, "same").select("doc_id", "head").distinct(), "heads")
-
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sampler = Hasher(), Sampler(bands * rows)
+        """doc_id, same, size, bands. Equal texts of a batch are sampled once."""
+        hasher, sampler, key0 = Hasher(), Sampler(bands * rows), np.arange(1, bands + 1, dtype=np.uint64)
         for batch in batches:
-            ids, out = batch.column(0).to_numpy(zero_copy_only=False), []
-            for r, h, n in counted(batch.column(1), hasher, words):
+            coded = batch.column(2).dictionary_encode()
+            out: list[np.ndarray | None] = [None] * len(coded.dictionary)
+            for r, h, n in counted(coded.dictionary, hasher, words):
                 weight = n * idf.value[bucket(h, bits)]
-                first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])[: len(r)])
-                for a, b in zip(first, np.append(first[1:], len(r)), strict=True):
-                    name = sampler.draw(h[a:b], weight[a:b]).reshape(bands, rows)
-                    key = np.arange(1, bands + 1, dtype=np.uint64)
+                for a, b in parts(r):
+                    name, key = sampler.draw(h[a:b], weight[a:b]).reshape(bands, rows), key0
                     for i in range(rows):
                         key = mixed(key + name[:, i])
-                    out.append((ids[r[a]], key.view(np.int64)))
-            yield pa.record_batch({"node": pa.array([x for x, _ in out], pa.int64()), "bands": pa.array([k for _, k in out], pa.list_(pa.int64()))})
+                    out[r[a]] = key.view(np.int64)
+            of = [None if i is None else out[i] for i in coded.indices.to_pylist()]
+            size = pc.binary_length(batch.column(2)).cast(pa.int64()).fill_null(0)
+            yield pa.record_batch([batch.column(0), batch.column(1), size, pa.array(of, pa.list_(pa.int64()))], names=["doc_id", "same", "size", "bands"])
 
-    alone = named.join(of.filter("doc_id = head").select("doc_id").distinct(), "doc_id", "left_semi")
-    signed = alone.mapInArrow(sample, "node long, bands array<long>").select("node", F.explode("bands").alias("band"))
-    signed = written(signed, "bands")
-    hubs = signed.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("band", "hub")
-    shared = written(signed.join(hubs, "band"), "shared")
-    pairs = shared.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    involved = written(named.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "involved")
+    # exact copies, and the several rows of a doc_id, are one node: the least doc_id of the text
+    same = F.unhex(F.md5(F.coalesce(F.col("text"), F.concat(F.lit("\0null"), F.col("doc_id").cast("string")))))
+    signed = written(named.select("doc_id", same.alias("same"), "text").mapInArrow(sample, "doc_id long, same binary, size long, bands array<long>"), "signed")
+    nodes = written(signed.groupBy("same").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    copies = written(signed.select("doc_id", "same").join(nodes.filter("node < last").select("same", "node"), "same").filter("doc_id <> node").select("doc_id", "node"), "copies")
+
+    marks = nodes.filter("bands is not null").select("node", "size", F.explode("bands").alias("band"))
+    hubs = marks.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("high")).filter("hub < high").select("band", "hub")
+    shared = written(marks.join(hubs, "band"), "shared")
+    involved = texts_of(named, shared.select(F.col("node").alias("doc_id")))
+
+    # each band's members against its least one: a hub's members are dealt into blocks, and the hub's text comes first in each
+    pairs = written(shared.filter("node <> hub").groupBy("hub", "node").agg(F.max("size").alias("size")), "pairs")
+    spread = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("long")
+    of_hub = pairs.groupBy("hub").agg(spread(F.count("*"), F.sum("size")).alias("k"))
+    members = pairs.join(of_hub, "hub").select(F.col("node").alias("doc_id"), "hub", F.pmod(F.xxhash64("node"), "k").alias("part"), F.lit(1).alias("side"))
+    heads = of_hub.select(F.col("hub").alias("doc_id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("part"), F.lit(0).alias("side"))
+    asked = members.unionByName(heads).join(involved, "doc_id").select("hub", "part", "side", "doc_id", "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigher = Weigher(idf.value, bits, words)
+        """Streams rows in order of hub, part and side."""
+        hasher, now, own = Hasher(), None, []
         for batch in batches:
             good = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if jaccard(weigher.get(a, x), weigher.get(b, y)) >= similarity:
-                    good.append((a, b))
+            vectors = weighed(batch.column(4), idf.value, bits, words, hasher)
+            for hub, part, side, node, x in zip(*(c.to_pylist() for c in batch.columns[:4]), vectors, strict=True):
+                if (hub, part) != now:
+                    now, own = (hub, part), []
+                if not side:
+                    own.append((x[0].copy(), x[1].copy()))
+                elif any(jaccard(y, x) >= similarity for y in own):
+                    good.append((node, hub))
             yield pa.record_batch([pa.array([g[i] for g in good], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    x = involved.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-    y = involved.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    links = written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "near")
+    links = written(asked.repartition("hub", "part").sortWithinPartitions("hub", "part", "side").mapInArrow(verify, "a long, b long"), "near")
 
-    # what is in one band but in different components is compared in blocks
+    # what is in one band but in different components is compared in blocks, once for each set of members
     found = written(components(links), "components")
-    placed = shared.join(found.withColumnRenamed("component", "c"), "node", "left").select("band", "node", F.coalesce("c", "node").alias("c"))
-    split = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("low < high and n > 2").select("band", "n")
-    parts = placed.join(split, "band").withColumn("k", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("i", F.pmod(F.xxhash64("node"), "k"))
-    parts = parts.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select("band", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "c")
-    parts = parts.join(involved.select(F.col("doc_id").alias("node"), "text"), "node")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of one block, or of two, that are in different components and alike; linked ones are joined as they are found."""
-        weigher = Weigher(idf.value, bits, words)
-        own = {node: weigher.get(node, text) for node, text in zip(pdf["node"], pdf["text"], strict=True)}
-        root = {c: c for c in pdf["c"]}
-
-        def top(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        total = {k: v[1].sum() for k, v in own.items()}
-        out, items = [], list(zip(pdf["node"], pdf["c"], strict=True))
-        for p, (a, ca) in enumerate(items):
-            for b, cb in items[:p]:
-                low, high = sorted((total[a], total[b]))
-                if low >= similarity * high and top(ca) != top(cb) and jaccard(own[a], own[b]) >= similarity:
-                    root[top(ca)] = top(cb)
-                    out.append((a, b))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    more = written(parts.groupBy("band", "i", "j").applyInPandas(compare, "a long, b long"), "more")
-    if not more.isEmpty():
-        found = components(links.unionByName(more).unionByName(of.filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))))
-    else:
-        found = components(links.unionByName(of.filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))))
-    classes = found.select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"))
+    placed = written(shared.select("band", "node", "size").join(found.withColumnRenamed("component", "c"), "node", "left").select("band", "node", "size", F.coalesce("c", "node").alias("c")), "placed")
+    sets = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    split = sets.filter("low < high and n > 2").groupBy("n", "first", "last", "x", "y").agg(F.min("band").alias("band"), F.max("bytes").alias("bytes"))
+    split = split.select("band", spread(F.col("n"), F.col("bytes")).alias("k"))
+    dealt = placed.join(split, "band").select("band", "node", "c", "k", F.pmod(F.xxhash64("node"), "k").alias("own"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), F.col("node").alias("doc_id"), "c")
+    dealt = dealt.join(involved, "doc_id").select("band", "i", "j", "side", "doc_id", "c", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Streams rows in order of band and blocks."""
+        hasher = Hasher()
+        for table in grouped(batches, 3):
+            side, node, c = (table.column(x).to_numpy() for x in ("side", "doc_id", "c"))
+            vectors = weighed(table.column("text").combine_chunks(), idf.value, bits, words, hasher)
+            got = alike(vectors, side, c, similarity)
+            if got:
+                yield pa.record_batch([pa.array(node[[g[i] for g in got]]) for i in (0, 1)], names=["a", "b"])
+
+    more = written(dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(compare, "a long, b long"), "more")
+    edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    classes = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"))
     out = base.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
