@@ -32,16 +32,16 @@ def copies(rng):
 
 
 def brute_lines(texts):
-    """Lines of each document, and the numbers of those that go."""
+    """Lines of each document, and the numbers of those that go: runs of every length that start at an earlier place too."""
     lines = {i: t.split("\n") for i, t in texts if t is not None}
-    seen, gone = {}, {}
-    for k in range(12):
+    seen, gone = set(), {}
+    for n in range(1, max(map(len, lines.values()), default=0) + 1):
         for i in sorted(lines):
-            for p in range(len(lines[i]) - (1 << k) + 1):
-                w = tuple(lines[i][p : p + (1 << k)])
+            for p in range(len(lines[i]) - n + 1):
+                w = tuple(lines[i][p : p + n])
                 if w in seen and len("\n".join(w)) >= op1_lines.MIN_CHARS:
-                    gone.setdefault(i, set()).update(range(p, p + (1 << k)))
-                seen.setdefault(w, (i, p))
+                    gone.setdefault(i, set()).update(range(p, p + n))
+                seen.add(w)
     return lines, gone
 
 
@@ -86,26 +86,38 @@ def test_lines(spark):
 
 
 def test_whole_runs_of_lines(spark):
-    """Runs of every length, held against brute force; the pipeline's stage removes them."""
+    """Runs of every length, of which many have their characters only as a whole, held against brute force; the pipeline's stage removes them too."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(12)
     line = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(0, 12)))
     runs = [[line() for _ in range(n)] for n in (3, 3, 5, 6, 7, 9, 11, 15, 17, 24, 31)]
     runs += [["a" * 8, "b" * 8, "c" * 8], ["d" * 28, "e" * 10, "f" * 9], ["g", "h", "i" * 30], [""] * 20, [""] * 40]
-    parts = lambda: [x for r in rng.choices(runs, k=rng.randint(1, 4)) for x in [*r, f"own {rng.random()}"]]
-    texts = [(i, "\n".join(parts())) for i in range(40)]
-    lines = {i: t.split("\n") for i, t in texts}
-    seen, gone = {}, {i: set() for i in lines}
-    for n in range(1, 80):
-        for i in sorted(lines):
-            for p in range(len(lines[i]) - n + 1):
-                w = tuple(lines[i][p : p + n])
-                if w in seen and len("\n".join(w)) >= op1_lines.MIN_CHARS:
-                    gone[i].update(range(p, p + n))
-                seen.setdefault(w, (i, p))
-    got = {r.doc_id: r.text or "" for r in corpus_pipeline.lines(spark, docs_of(spark, texts), "").collect()}
-    assert {i: got.get(i, "") for i in lines} == {i: "\n".join(x for p, x in enumerate(t) if p not in gone[i]) for i, t in lines.items()}
-    assert gone != brute_lines(texts)[1]
+    cut = lambda r: r[rng.randint(0, len(r) // 2) :][: rng.randint(1, len(r))] if rng.random() < 0.5 else r
+    parts = lambda: [x for r in rng.choices(runs, k=rng.randint(1, 4)) for x in [*cut(r), *([f"own {rng.random()}"] if rng.random() < 0.8 else [])]]
+    texts = [(i, "\n".join(parts())) for i in range(80)]
+    lines, gone = brute_lines(texts)
+    want = {i: "\n".join(x for p, x in enumerate(t) if p not in gone.get(i, ())) for i, t in lines.items()}
+    got = {r.doc_id: (r.text, r.lines_removed) for r in op1_lines.deduplicated(docs_of(spark, texts)).collect()}
+    assert got == {i: (t, len(gone.get(i, ()))) for i, t in want.items()}
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs_of(spark, texts), "").collect()} == {i: t for i, t in want.items() if t}
+
+
+def test_light_lines(spark):
+    """Three lines of ten characters go as a run of 32, though no stretch of two has 24."""
+    same = "\n".join(["abcdefghij", "klmnopqrst", "uvwxyzabcd"])
+    got = {r.doc_id: r for r in op1_lines.digests(docs_of(spark, [(1, same), (2, same), (3, "abcdefghij\nklmnopqrst")])).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3)] == [0, 3, 0]
+    assert got[2].kept_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_copies_of_many_lines(spark):
+    """Two copies of a long text, and many equal rows."""
+    rng = random.Random(13)
+    long = "\n".join(prose(rng, 5) for _ in range(20_000))
+    docs = docs_of(spark, [(1, long), (2, "first\n" + long + "\nlast")] + [(3, "a line that many rows have in common\n" * 30)] * 500)
+    got = {r.doc_id: r for r in op1_lines.digests(docs).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[2].n_lines) == (0, 20_000, 20_002)
+    assert got[2].kept_sha256 == hashlib.sha256(b"first\nlast").hexdigest() and got[3].n_removed == 29
 
 
 def test_suffix_index():
