@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by largest inner product, in vantage-point trees.
 
-Vectors get one more component, which brings all candidates to the length of the longest (zero for a query); the
+Vectors get one more component, which brings all of a shard to the length of its longest (zero for a query); the
 largest inner product is then the least Euclidean distance, and the triangle inequality holds. Vectors are dealt into shards by a
-hash, and each shard has a tree: a node splits its vectors at the median distance from a vantage point and keeps the range of distances
+hash, and each shard's tree is built once: a node splits its vectors at the median distance from a vantage point and keeps the range of distances
 of each half. A block of queries goes down a tree together, nearer half first; a half is left out for a query
 if ``relax`` times the lower bound of its distances exceeds the query's k-th best. ``relax`` 1 restores exact search; more prunes
-sooner. Blocks of queries meet every shard, so a task holds one shard and one block. Leaves rank by inner products of the original
+sooner. How much a factor loses depends on how lengths and directions are spread, so unless a factor is given, each shard and block of queries takes the largest of ``FACTORS`` with which
+``SAMPLE`` of its queries find at least ``TARGET`` of what brute force finds for them, and 1 where none does. Blocks of queries meet every shard, so a task holds one shard's tree and one block. Leaves rank by inner products of the original
 vectors in double precision, each summed in one order; scaled distances only prune.
 
 Vectors that are null, zero, of another length than the most common one, or hold null or non-finite components take no part, nor do rows with a null vec_id. Rows with one
@@ -16,13 +17,18 @@ Other columns are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-NEAREST, EVERY, RELAX, SHARD, BLOCK, LEAF = 20, 20, 5.0, 16_384, 2_048, 128
+from .common import written
+
+NEAREST, EVERY, SHARD, BLOCK, LEAF = 20, 20, 16_384, 2_048, 128
+#: A shard's vectors take at most so many bytes; factors that are tried, on so many queries, and the recall that one must have.
+SHARD_BYTES, FACTORS, SAMPLE, TARGET = 32 << 20, (8.0, 6.0, 5.0, 4.0, 3.0, 2.0, 1.5, 1.2), 64, 0.97
 
 
 def usable(rows: DataFrame, id_col: str, vector: str, *more: str) -> DataFrame:
@@ -39,6 +45,7 @@ class Tree:
     def __init__(self, x: np.ndarray, original: np.ndarray, leaf: int = LEAF, seed: int = 3):
         self.x, self.original, self.leaf, self.rng = x, original, leaf, np.random.default_rng(seed)
         self.square = np.einsum("ij,ij->i", x, x)
+        self.length = np.sqrt(np.einsum("ij,ij->i", original, original))
         self.root = self.built(np.arange(len(x)))
 
     def built(self, rows: np.ndarray) -> tuple:
@@ -59,19 +66,28 @@ class Tree:
         """Row numbers and scores of the k best for each query (-1 and -inf where there are fewer); ``asked`` are the queries unscaled; candidates with the query's own id are left out."""
         best, far = np.full((len(q), k), -1), np.full((len(q), k), -np.inf)
         reach = np.full(len(q), np.inf)  # scaled distance of the k-th best
+        length = np.sqrt(np.einsum("ij,ij->i", asked, asked))
 
         def visit(node: tuple, of: np.ndarray) -> None:
             if not len(of):
                 return
             if node[0] == "leaf":
-                rows = node[1]
-                # equal vectors have equal scores, whatever block they are in
-                d = np.einsum("ij,kj->ik", asked[of], self.original[rows], optimize=False)
-                d[own[of][:, None] == ids[rows][None]] = -np.inf
-                # the row with the smaller id stands first, and a stable sort keeps it there
-                rows_in_order = np.argsort(ids[rows], kind="stable")
-                all_d = np.concatenate([far[of], d[:, rows_in_order]], axis=1)
-                all_r = np.concatenate([best[of], np.broadcast_to(rows[rows_in_order], d.shape)], axis=1)
+                rows = node[1][np.argsort(ids[node[1]], kind="stable")]
+                d = asked[of] @ self.original[rows].T
+                # what may be among the best is computed again, always in one order: equal vectors have equal scores, whatever block they are in
+                open_ = d >= far[of, -1:] - 1e-11 * length[of, None] * self.length[rows].max()
+                open_ &= own[of][:, None] != ids[rows][None]
+                some = np.flatnonzero(open_.any(axis=1))
+                if not len(some):
+                    return
+                of, open_ = of[some], open_[some]
+                d = np.full(open_.shape, -np.inf)
+                i, j = np.nonzero(open_)
+                for first in range(0, len(i), 1 << 14):
+                    a, b = i[first : first + (1 << 14)], j[first : first + (1 << 14)]
+                    d[a, b] = np.einsum("ij,ij->i", asked[of[a]], self.original[rows[b]], optimize=False)
+                all_d = np.concatenate([far[of], d], axis=1)
+                all_r = np.concatenate([best[of], np.broadcast_to(rows, d.shape)], axis=1)
                 all_id = np.where(all_r >= 0, ids[all_r], np.iinfo(np.int64).max)
                 top = np.lexsort((all_id, -all_d), axis=1)[:, :k]
                 far[of], best[of] = np.take_along_axis(all_d, top, 1), np.take_along_axis(all_r, top, 1)
@@ -95,37 +111,67 @@ class Tree:
         return best, far
 
 
-def nearest(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = NEAREST, every: int = EVERY, relax: float = RELAX, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def tree_of(vectors: np.ndarray) -> Tree:
+    """The tree of vectors brought to one length."""
+    square = np.einsum("ij,ij->i", vectors, vectors)
+    longest = square.max()
+    return Tree(np.column_stack([vectors, np.sqrt(np.maximum(longest - square, 0))]) / math.sqrt(longest), vectors)
+
+
+def scaled(queries: np.ndarray, tree: Tree) -> np.ndarray:
+    return np.column_stack([queries, np.zeros(len(queries))]) / tree.length.max()
+
+
+def tuned(tree: Tree, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> float:
+    """The largest factor with which a sample of the queries finds ``TARGET`` of their nearest in the tree."""
+    few = np.unique(np.linspace(0, len(queries) - 1, SAMPLE).astype(np.int64))
+    q, mine = queries[few], own[few]
+    s = np.where(mine[:, None] == ids[None], -np.inf, q @ tree.original.T)
+    wanted = min(k, len(ids))
+    least = np.partition(s, len(ids) - wanted, axis=1)[:, len(ids) - wanted]
+    # as many as there are: a query's own vector is no candidate
+    least = np.where(np.isinf(least), np.min(np.where(np.isinf(s), np.inf, s), axis=1), least)
+    there = np.minimum(k, (~np.isinf(s)).sum(axis=1)).sum()
+    for relax in FACTORS:
+        _, far = tree.search(scaled(q, tree), q, mine, ids, k, relax)
+        if (far >= (least - 1e-9 * np.abs(least))[:, None]).sum() >= TARGET * there:
+            return relax
+    return 1.0
+
+
+def nearest(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = NEAREST, every: int = EVERY, relax: float | None = None, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``."""
     good = usable(rows, id_col, vector)
-    sizes = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).orderBy(F.desc("n"), "d").limit(1).collect()
-    schema = "query_id long, vec_id long, score double"
+    sizes = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, n, longest = sizes[0].d, sizes[0].n, sizes[0].m
+    d, n = sizes[0].d, sizes[0].n
     good = good.filter(F.size("v") == d)
     asked = good.filter(F.col("vec_id") % every == 0)
-    shards, parts = max(1, math.ceil(n / shard)), max(1, math.ceil(n / every / block))
+    shards, parts = max(1, math.ceil(n / max(1, min(shard, SHARD_BYTES // (8 * d))))), max(1, math.ceil(n / every / block))
     deal = lambda df, col, count, seed: df.withColumn(col, F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count)))
     each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
-    left = deal(good, "shard", shards, 1).withColumn("part", each(parts))
+
+    def build(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("vec_id", kind="stable")
+        tree = tree_of(np.stack(x["v"].to_numpy()))
+        return pd.DataFrame({"shard": [x["shard"].iloc[0]], "tree": [pickle.dumps((x["vec_id"].to_numpy(np.int64), tree), protocol=5)]})
+
+    trees = written(deal(good, "shard", shards, 1).groupBy("shard").applyInPandas(build, "shard long, tree binary"), "trees")
+    left = trees.withColumn("part", each(parts))
     right = deal(asked, "part", parts, 2).withColumn("shard", each(shards))
 
     def search(key: tuple, x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        x = x.sort_values("vec_id", kind="stable")
-        ids, own = x["vec_id"].to_numpy(np.int64), q["vec_id"].to_numpy(np.int64)
-        a, b = np.stack(x["v"].to_numpy()), np.stack(q["v"].to_numpy())
-        more = np.sqrt(np.maximum(longest - np.einsum("ij,ij->i", a, a), 0))
-        scale = math.sqrt(longest)
-        tree = Tree(np.column_stack([a, more]) / scale, a)
-        best, scores = tree.search(np.column_stack([b, np.zeros(len(b))]) / scale, b, own, ids, k, relax)
+        ids, tree = pickle.loads(x["tree"].iloc[0])
+        q = q.sort_values("vec_id", kind="stable")
+        own, b = q["vec_id"].to_numpy(np.int64), np.stack(q["v"].to_numpy())
+        best, scores = tree.search(scaled(b, tree), b, own, ids, k, relax or tuned(tree, b, own, ids, k))
         at, rank = np.nonzero(best >= 0)
-        found = best[at, rank]
-        return pd.DataFrame({"query_id": own[at], "vec_id": ids[found], "score": scores[at, rank]})
+        return pd.DataFrame({"query_id": own[at], "vec_id": ids[best[at, rank]], "score": scores[at, rank]})
 
     keys = ["shard", "part"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
