@@ -232,20 +232,42 @@ def test_nearest_beside_a_long_vector():
     assert (best == np.argsort(-s, axis=1)[:, :20]).all() and np.allclose(scores, -np.sort(-s, axis=1)[:, :20])
 
 
-def test_nearest_recall(spark):
+def long_one(x, times):
+    x[11] *= times
+    return x
+
+
+@pytest.mark.parametrize("lengths", [lambda x, rng: x, *[lambda x, rng, s=s: x * np.exp(s * rng.normal(size=(len(x), 1))) for s in (0.1, 0.25, 0.5, 1)], *[lambda x, rng, t=t: long_one(x, t) for t in (10, 1e3, 1e6)]])
+def test_nearest_recall(lengths):
+    """Unit vectors, vectors of spread lengths, and one that is far longer than all others, with the measured factor and with 1."""
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(2000, 64))
-    rows = [(i, (v / np.linalg.norm(v)).tolist(), 0) for i, v in enumerate(x)]
+    x = rng.normal(size=(3000, 64))
+    x = lengths(x / np.linalg.norm(x, axis=1, keepdims=True), rng)
+    ids, q = np.arange(len(x)) * 3, np.arange(0, len(x), 20)
+    tree = op3_nearest.tree_of(x)
+    s = x[q] @ x.T
+    s[np.arange(len(q)), q] = -np.inf
+    want = np.argsort(-s, axis=1, kind="stable")[:, :20]
+    found = lambda relax: tree.search(op3_nearest.scaled(x[q], tree), x[q], ids[q], ids, 20, relax)
+    best, scores = found(1.0)
+    assert (best == want).all() and np.allclose(scores, np.take_along_axis(s, want, 1), rtol=1e-12)
+    best, _ = found(op3_nearest.tuned(tree, x[q], ids[q], ids, 20))
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(best, want, strict=True)]) >= 0.95
+
+
+def test_nearest_query_recall(spark):
+    """The query with its own parameters, in several shards of several blocks."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 16)) * np.exp(0.5 * rng.normal(size=(2000, 1)))
     got = {}
-    for r in op3_nearest.nearest(vectors(spark, rows)).collect():
+    for r in op3_nearest.nearest(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), shard=500, block=40).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
-    y = np.array([v for _, v, _ in rows], np.float32).astype(float)
-    hits = 0
+    y, hits = x.astype(np.float32).astype(float), 0
     for q, found in got.items():
         s = y @ y[q]
-        s[q] = -9
+        s[q] = -np.inf
         hits += len(found & set(np.argsort(-s)[:20].tolist()))
-    assert hits >= 0.9 * 20 * len(got)
+    assert len(got) == 100 and hits >= 0.95 * 20 * len(got)
 
 
 @pytest.mark.parametrize("per_pivot,block", [(5, 8), (2000, 1024)])
@@ -264,6 +286,44 @@ def test_range_join(spark, per_pivot, block):
     assert op4_rangejoin.linked(vectors(spark, rows).limit(0)).count() == 0
 
 
+def test_range_join_of_repeated_ids(spark):
+    """Repeated rows, and ids with several vectors or labels, against brute force: n_links counts other ids, each once."""
+    small = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (3, [1.0, 2.0], 2), (3, [1.0, 2.0], 3)]
+    assert {(r.vec_id, r.n_links, r.component_id) for r in op4_rangejoin.linked(vectors(spark, small)).collect()} == {(1, 0, 1), (2, 0, 2), (3, 0, 3)}
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(12, 4))
+    rows = [(int(i), (base[rng.integers(12)] + 0.15 * rng.normal(size=4)).tolist(), int(rng.integers(2))) for i in rng.integers(0, 70, 120)]
+    rows += [rows[0]] * 5 + [(200 + i, rows[i][1], rows[i][2]) for i in range(20)]
+    good = [(i, np.array(v, np.float32).astype(float), k) for i, v, k in rows]
+    links = {i: set() for i, _, _ in good}
+    for i, v, k in good:
+        for j, w, m in good:
+            if i != j and k == m and v @ w / (np.linalg.norm(v) * np.linalg.norm(w)) >= 0.93:
+                links[i].add(j)
+    comp = {i: i for i in links}
+    for _ in comp:
+        comp = {i: min([comp[i], *(comp[j] for j in links[i])]) for i in comp}
+    for block in (8, 1024):
+        got = op4_rangejoin.linked(vectors(spark, rows), per_pivot=10, block=block).collect()
+        assert len(got) == len(rows) and {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(i, len(x), comp[i], comp[i] == i) for i, x in links.items()}
+
+
+def test_cells_of_clustered_vectors(spark):
+    """Vectors that lie in clusters are cut into cells; spread ones aren't."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(30, 16))
+    x = centres[rng.integers(30, size=900)] + 0.05 * rng.normal(size=(900, 16))
+    y = rng.normal(size=(900, 16))
+    rows = [(i, v.tolist(), k) for k, part in enumerate((x, y)) for i, v in enumerate(part, 1000 * k)]
+    nodes = vectors(spark, rows).selectExpr("label", "cast(embedding as array<double>) v", "size(embedding) d", "xxhash64(embedding) h1", "xxhash64(embedding, 1) h2")
+    assert [k for k, _ in op4_rangejoin.pivots_of(nodes, 0.3742, 20)] == [0]
+    got = {r.vec_id: r.n_links for r in op4_rangejoin.linked(vectors(spark, rows), per_pivot=20, block=64).collect()}
+    for first, part in ((0, x), (1000, y)):
+        u = part.astype(np.float32).astype(float)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        assert [got[first + i] for i in range(900)] == ((u @ u.T >= 0.93).sum(1) - 1).tolist()
+
+
 def test_range_join_at_the_threshold():
     """Pairs at exactly 0.6, and products that rounding has moved to either side."""
     a, b = np.array([[3.0, 4.0], [4.0, 3.0]]), np.array([[1.0, 0.0], [0.0, 1.0]])
