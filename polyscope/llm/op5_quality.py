@@ -2,14 +2,17 @@
 
 All n-grams of the trusted texts (whole texts, padded at the start) are counted. Higher order counts, continuation counts of the
 lower orders, the discounts D1, D2, D3+ from counts of counts and the weights of backing off are aggregations and
-joins of count tables that are sharded by n-gram. A document's perplexity per character then comes from joining its
-n-grams with those tables: where the tables are at most ``BROADCAST_ROWS`` rows they are joined by broadcast, and
-beyond that the distinct n-grams of each chunk of documents are joined shard by shard. A document whose perplexity
+joins of count tables that are sharded by n-gram. A document's perplexity per character then comes from joins with those tables, too: documents are packed into chunks of up to
+``CHUNK_BYTES``, the distinct n-grams of all chunks are looked up shard by shard, longest first, and each chunk gets the
+log-probabilities of its own; no model is collected or broadcast. A document whose perplexity
 exceeds the limit of its language is rejected. The limit is the ``QUANTILE`` of held-out perplexities of its trusted documents, times ``SLACK``:
 n-grams are counted in ``FOLDS`` folds of the trusted texts, and a trusted text is scored with the counts of the other folds. Equal
 texts are in one fold and count once. Of too few texts for a quantile (99 for 0.99) the highest perplexity says little, so the limit is then at
 least the prediction limit of a further log-perplexity, from their mean and deviation.
 
+Characters are numbered by their frequency in trusted texts. One that isn't in them is the same to the model whichever it is, as no n-gram with it is known; so are those beyond the
+``CHARACTERS`` most frequent, the vocabulary of an n-gram's 60-bit key.
+
 Null and empty texts have no perplexity and are kept: there is nothing to judge. A language with fewer than ``LEAST`` held-out trusted
 texts has no limit, and nothing of it is rejected; a null language is one of its own.
 Equal texts get equal perplexities; repeated rows are judged each by itself. Other columns are not read; an empty table gives an empty result.
@@ -22,55 +25,76 @@ from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import as_text, if_small, written
 from .ngrams import characters
 from .op9_language import in_chunks
 
-ORDER, QUANTILE, SLACK, BROADCAST_ROWS, CHUNK_BYTES = 4, 0.99, 1.1, 4_000_000, 8 << 20
+ORDER, QUANTILE, SLACK, CHUNK_BYTES = 4, 0.99, 1.1, 32 << 20
 FOLDS, LEAST = 5, 10
 #: The fold number of the model of all folds; model f is that of all folds but f.
 ALL = -1
-#: A character takes 15 bits of an n-gram's key; code points from 32767 on share what is left by remainder.
-CHAR_BITS, START = 15, 1
+#: A character takes 15 bits of an n-gram's key: the sign before a text, a character that isn't numbered, and the numbered ones.
+CHAR_BITS, START, OTHER = 15, 1, 2
+CHARACTERS = (1 << CHAR_BITS) - 3
+
+
+def alphabet(docs: DataFrame, text: str) -> np.ndarray:
+    """The number of each code point, by frequency in all texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(0x110000, np.int64)
+        for batch in batches:
+            for _, part in in_chunks(as_text(batch.column(0))):
+                found = np.bincount(characters(part)[0])
+                counts[: len(found)] += found
+        used = np.flatnonzero(counts)
+        yield pa.record_batch({"char": pa.array(used), "n": pa.array(counts[used])})
+
+    found = docs.select(text).mapInArrow(count, "char long, n long").groupBy("char").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "char").limit(CHARACTERS)
+    out = np.full(0x110000, OTHER, np.int32)
+    for i, row in enumerate(found.select("char").collect()):
+        out[row.char] = OTHER + 1 + i
+    return out
 
 
-def keys(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+def keys(texts: list[str], order: int, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The key of the n-gram that ends at each character (start signs before the first), and where each text starts."""
-    chars, starts = characters(["\x01" * (order - 1) + x for x in texts])
-    chars = np.where(chars < 32767, chars, 32767 - chars % 1024).astype(np.int64)
-    code = np.zeros(max(0, len(chars) - order + 1), np.int64)
+    chars, starts = characters(texts)
+    size = np.diff(starts)
+    padded = np.full(len(chars) + (order - 1) * len(texts), START, np.int64)
+    at = np.arange(len(chars)) + np.repeat(np.arange(1, len(texts) + 1) * (order - 1), size)
+    padded[at] = numbers[chars]
+    code = np.zeros(len(at), np.int64)
     for i in range(order):
-        code = code << CHAR_BITS | chars[i : i + len(code)]
-    own = starts - np.arange(len(starts)) * (order - 1)
-    at = np.arange(own[-1]) + np.repeat(np.arange(len(texts)) * (order - 1), np.diff(own))
-    return code[at], own
+        code = code << CHAR_BITS | padded[at - (order - 1 - i)]
+    return code, starts
 
 
-def counted(docs: DataFrame, text: str, order: int, folds: int = 0) -> DataFrame:
+def distinct_keys(texts: list[str], order: int, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how often each occurs; a bounded number of characters is looked at at a time."""
+    found, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for _, part in in_chunks(texts, 1_000_000):
+        code, n = np.unique(keys(part, order, numbers)[0], return_counts=True)
+        found, inverse = np.unique(np.concatenate([found, code]), return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate([counts, n]), minlength=len(found)).astype(np.int64)
+    return found, counts
+
+
+def counted(docs: DataFrame, text: str, order: int, numbers: np.ndarray, folds: int = 0) -> DataFrame:
     """fold, gram and n: how often each n-gram of the highest order occurs in all texts (fold ALL), and in all but those of each fold (column ``fold``)."""
+    shared = docs.sparkSession.sparkContext.broadcast(numbers)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        batch_of = lambda f, x: pa.record_batch({"fold": pa.array(np.full(len(x[0]), f, np.int32)), "gram": pa.array(x[0]), "n": pa.array(x[1])})
         for batch in batches:
             fold = batch.column(1).to_numpy()
             for f in np.unique(fold).tolist():
-                for _, part in in_chunks(as_text(batch.column(0).filter(pa.array(fold == f)))):
-                    found, counts = sums.get(f, empty)
-                    code, n = np.unique(keys(part, order)[0], return_counts=True)
-                    found, inverse = np.unique(np.concatenate([found, code]), return_inverse=True)
-                    sums[f] = found, np.bincount(inverse, np.concatenate([counts, n]), minlength=len(found)).astype(np.int64)
-            if sum(len(x[0]) for x in sums.values()) > 1_000_000:  # bounded memory: what is gathered goes on, and starts anew
-                yield from (batch_of(f, x) for f, x in sums.items())
-                sums = {}
-        yield from (batch_of(f, x) for f, x in sums.items())
+                code, n = distinct_keys(as_text(batch.column(0).filter(pa.array(fold == f))), order, shared.value)
+                yield pa.record_batch({"fold": pa.array(np.full(len(code), f, np.int32)), "gram": pa.array(code), "n": pa.array(n)})
 
     rows = docs.select(F.col(text).alias("text"), (F.col("fold") if folds else F.lit(ALL)).cast("int").alias("fold"))
     of = [F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("n"))), F.lit(0)).alias(f"n{f}") for f in range(folds)]
@@ -96,24 +120,31 @@ def discounts(counts: DataFrame) -> dict[int, tuple[float, float, float]]:
 
 
 class Model:
-    """``grams``: order, gram, p of each n-gram seen. ``contexts``: order, gram and the weight w that its lower order gets. ``characters_seen``: for the uniform distribution."""
+    """``grams``: by order, fold, gram and p of each n-gram seen. ``contexts``: by order, fold, gram and the weight w that its lower order gets. ``seen``: by fold, the
+    characters of the uniform distribution. ``numbers``: those of the characters."""
+
+    def __init__(self, grams: dict[int, DataFrame], contexts: dict[int, DataFrame], seen: dict[int, int], numbers: np.ndarray, order: int):
+        self.grams, self.contexts, self.seen, self.numbers, self.order = grams, contexts, seen, numbers, order
 
-    def __init__(self, grams: DataFrame, contexts: DataFrame, characters_seen: int, order: int):
-        self.grams, self.contexts, self.characters_seen, self.order = grams, contexts, characters_seen, order
 
+def by_fold(values: dict[int, float], default: float = 0.0) -> Column:
+    if not values:
+        return F.lit(default)
+    return F.coalesce(F.create_map(*[F.lit(x) for f, v in values.items() for x in (f, float(v))])[F.col("fold")], F.lit(default))
 
-def models(docs: DataFrame, text: str, order: int, folds: int) -> dict[int, Model]:
-    """The model of all rows (ALL) and those of all rows but a fold's (column ``fold``), where any are left; every table is sharded by n-gram or context."""
+
+def trained(docs: DataFrame, text: str = "text", order: int = ORDER, folds: int = 0) -> Model:
+    """The models of all rows (ALL) and of all rows but a fold's (column ``fold``); every table is sharded by n-gram or context."""
+    numbers = alphabet(docs, text)
     mask = lambda k: (1 << (CHAR_BITS * k)) - 1
-    counts = {order: written(counted(docs, text, order, folds), "kn-counts")}
+    counts = {order: written(counted(docs, text, order, numbers, folds), "kn-counts")}
     for k in range(order - 1, 0, -1):  # continuation counts: in how many n-grams one character longer it ends
         counts[k] = written(counts[k + 1].groupBy("fold", F.col("gram").bitwiseAND(F.lit(mask(k))).alias("gram")).agg(F.count("*").alias("n")), "kn-counts")
     seen = {r.fold: r.n for r in counts[1].groupBy("fold").agg(F.count("*").alias("n")).collect()}
-    own = lambda values: F.create_map(*[F.lit(x) for f, v in values.items() for x in (f, float(v))])[F.col("fold")] if values else F.lit(0.0)
-    uniform = own({f: 1.0 / (n + 1) for f, n in seen.items()})
-    lower, grams, contexts = None, [], []
+    uniform = by_fold({f: 1.0 / (n + 1) for f, n in seen.items()})
+    lower, grams, contexts = None, {}, {}
     for k in range(1, order + 1):
-        d1, d2, d3 = (own({f: d[i] for f, d in found.items()}) for found in [discounts(counts[k])] for i in range(3))
+        d1, d2, d3 = (by_fold({f: d[i] for f, d in found.items()}) for found in [discounts(counts[k])] for i in range(3))
         d = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         ctx = F.shiftright("gram", CHAR_BITS)
         of = counts[k].groupBy("fold", ctx.alias("ctx")).agg(F.sum("n").alias("total"), F.sum(d).alias("off"))
@@ -125,18 +156,9 @@ def models(docs: DataFrame, text: str, order: int, folds: int) -> dict[int, Mode
             short = lower.select("fold", F.col("gram").alias("short"), F.col("p").alias("lower_p"))
             full = joined.withColumn("short", F.col("gram").bitwiseAND(F.lit(mask(k - 1)))).join(short, ["fold", "short"])
             full = full.select("fold", "gram", (p + F.col("off") / F.col("total") * F.col("lower_p")).alias("p"))
-        lower = written(full, f"kn-{k}")
-        grams.append(lower.select("fold", F.lit(k).alias("order"), "gram", "p"))
-        contexts.append(of.select("fold", F.lit(k).alias("order"), F.col("ctx").alias("gram"), (F.col("off") / F.col("total")).alias("w")))
-    union = lambda x: reduce(DataFrame.unionByName, x)
-    grams, contexts = union(grams), written(union(contexts), "kn-contexts")
-    of = lambda df, f: df.filter(F.col("fold") == f).drop("fold")
-    return {f: Model(of(grams, f), of(contexts, f), seen.get(f, 0), order) for f in {ALL, *seen}}
-
-
-def trained(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
-    """The model of all rows."""
-    return models(docs, text, order, 0)[ALL]
+        lower = grams[k] = written(full, f"kn-{k}")
+        contexts[k] = written(of.select("fold", F.col("ctx").alias("gram"), (F.col("off") / F.col("total")).alias("w")), "kn-contexts")
+    return Model(grams, contexts, seen, numbers, order)
 
 
 class Table:
@@ -155,98 +177,106 @@ class Table:
             return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def get(self, key: np.ndarray) -> np.ndarray:
-        """The values, NaN where there is none."""
+        """The values of keys that are there."""
         at = self.slot[self.hashed(key)].astype(np.int64)
-        odd = np.flatnonzero((self.key_at[at] != key) & (at >= 0))
+        odd = np.flatnonzero(self.key_at[at] != key)
         if len(odd):
-            found = np.searchsorted(self.key, key[odd])
-            found[found == len(self.key)] = 0
-            at[odd] = np.where(self.key[found] == key[odd], found, -1)
-        return np.append(self.value, np.nan)[at]
-
-
-def log_p(code: np.ndarray, grams: list[Table], contexts: list[Table], characters_seen: int) -> np.ndarray:
-    """Natural log-probabilities of highest order n-grams: the longest suffix seen, times the weights of backing off."""
-    order = len(grams)
-    out, weight = np.zeros(len(code)), np.zeros(len(code))
-    todo = np.arange(len(code))
-    for k in range(order, 0, -1):
-        key = code[todo] & ((1 << (CHAR_BITS * k)) - 1)
-        p = grams[k - 1].get(key)
-        hit = ~np.isnan(p)
-        out[todo[hit]] = np.log(p[hit])
-        todo, key = todo[~hit], key[~hit]
-        w = contexts[k - 1].get(key >> CHAR_BITS)
-        weight[todo] += np.log(np.where(np.isnan(w), 1.0, w))
-    out[todo] = -np.log(characters_seen + 1)
-    return out + weight
-
-
-def tables(pdf: pd.DataFrame, value: str, order: int) -> list[Table]:
-    return [Table(x["gram"].to_numpy(np.int64), x[value].to_numpy(np.float64)) for k in range(1, order + 1) for x in [pdf[pdf["order"] == k]]]
-
-
-def means(texts: list[str], score, order: int) -> list[float | None]:
-    """exp of the mean of -score(codes) over each text; None for an empty one."""
+            at[odd] = np.searchsorted(self.key, key[odd])
+        return self.value[at]
+
+
+def means(texts: list[str], table: Table, order: int, numbers: np.ndarray) -> list[float | None]:
+    """exp of the mean of minus the table's values over each text's n-grams; None for an empty one."""
     out: list[float | None] = []
     for _, part in in_chunks(texts, 1_000_000):
-        code, starts = keys(part, order)
+        code, starts = keys(part, order, numbers)
         total = np.zeros(len(code) + 1)
-        np.cumsum(score(code), out=total[1:])
+        if len(code):
+            np.cumsum(table.get(code), out=total[1:])
         n = np.diff(starts)
         mean = (total[starts[1:]] - total[starts[:-1]]) / np.maximum(n, 1)
         out += [float(np.exp(-m)) if c else None for m, c in zip(mean, n, strict=True)]
     return out
 
 
-def perplexities(docs: DataFrame, model: Model, text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``docs`` with a column ``perplexity``; docs must not have one."""
-    spark, order = docs.sparkSession, model.order
-    schema = StructType([*docs.schema.fields, StructField("perplexity", DoubleType())])
-    place = docs.columns.index(text)
-    seen = model.characters_seen
-    if model.grams.count() <= broadcast_rows:
-        shared = spark.sparkContext.broadcast((model.grams.toPandas(), model.contexts.toPandas()))
+def packed(rows: DataFrame, most: int) -> DataFrame:
+    """chunk, fold, rows: the rows (text, fold and others) of one fold, up to ``most`` bytes of text that a task reads on end, as a compressed Arrow stream."""
 
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            grams, contexts = tables(shared.value[0], "p", order), tables(shared.value[1], "w", order)
-            for batch in batches:
-                found = means(as_text(batch.column(place)), lambda code: log_p(code, grams, contexts, seen), order)
-                yield pa.record_batch([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "perplexity"])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        number = TaskContext.get().partitionId() << 32
 
-        return docs.mapInArrow(score, schema)
+        def row(f: int) -> pa.RecordBatch:
+            nonlocal number
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[f][0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                for x in held.pop(f):
+                    writer.write_batch(x)
+            number += 1
+            return pa.record_batch({"chunk": pa.array([number], pa.int64()), "fold": pa.array([f], pa.int32()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-    # sharded: documents go to chunks of about CHUNK_BYTES, the chunks' distinct n-grams to the shards, and what is found for them back
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    chunks = max(1, size // CHUNK_BYTES)
-    dealt = written(docs.withColumn("chunk__", F.pmod(F.xxhash64(*[c for c in docs.columns]), F.lit(chunks))), "kn-dealt")
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chunk = np.array(batch.column(1).to_pylist(), np.int64)
-            texts = as_text(batch.column(0))
-            for c in np.unique(chunk):
-                code = np.unique(keys([x for x, k in zip(texts, chunk, strict=True) if k == c], order)[0])
-                yield pa.record_batch({"chunk__": pa.array(np.full(len(code), c)), "gram": pa.array(code)})
-
-    asked = dealt.select(text, "chunk__").repartition("chunk__").mapInArrow(distinct, "chunk__ long, gram long").distinct()
-    suffix = lambda k: F.col("gram").bitwiseAND(F.lit((1 << (CHAR_BITS * k)) - 1))
-    for k in range(order, 0, -1):
-        p = model.grams.filter(F.col("order") == k).select(F.col("gram").alias("key__"), F.col("p").alias(f"p{k}"))
-        w = model.contexts.filter(F.col("order") == k).select(F.col("gram").alias("key__"), F.col("w").alias(f"w{k}"))
-        asked = asked.withColumn("key__", suffix(k)).join(p, "key__", "left").drop("key__")
-        asked = asked.withColumn("key__", F.shiftright(suffix(k), CHAR_BITS)).join(w, "key__", "left").drop("key__")
-    value = -F.log(F.lit(seen + 1.0))
-    for k in range(1, order + 1):
-        value = F.when(F.col(f"p{k}").isNotNull(), F.log(f"p{k}")).otherwise(F.log(F.coalesce(f"w{k}", F.lit(1.0))) + value)
-    answered = asked.select("chunk__", "gram", value.alias("logp"))
+            fold = batch.column("fold").to_numpy()
+            for f in np.unique(fold).tolist():
+                held.setdefault(f, []).append(batch.filter(pa.array(fold == f)))
+                if sum(x.nbytes for x in held[f]) >= most:
+                    yield row(f)
+        for f in list(held):
+            yield row(f)
+
+    return written(rows.mapInArrow(pack, "chunk long, fold int, rows binary"), "kn-packed")
 
-    def rejoin(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known = Table(right["gram"].to_numpy(np.int64), right["logp"].to_numpy(np.float64))
-        left["perplexity"] = pd.Series(means([x if isinstance(x, str) else "" for x in left[text]], known.get, order), dtype="float64", index=left.index)
-        return left.drop(columns="chunk__")
 
-    return dealt.groupBy("chunk__").cogroup(answered.groupBy("chunk__")).applyInPandas(rejoin, schema)
+def unpacked(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()
+
+
+def answered(asked: DataFrame, model: Model) -> DataFrame:
+    """fold, gram, logp of the distinct n-grams in ``asked`` (fold, gram): joins with the count tables, of which each takes only what the longer n-grams haven't got."""
+    left = written(asked.select("fold", "gram").distinct().withColumn("back", F.lit(0.0)), "kn-left")
+    out = []
+    for k in range(model.order, 0, -1):
+        short = F.col("gram").bitwiseAND(F.lit((1 << (CHAR_BITS * k)) - 1))
+        looked = left.withColumn("key__", short).join(model.grams[k].select("fold", F.col("gram").alias("key__"), "p"), ["fold", "key__"], "left").drop("key__")
+        looked = written(looked, "kn-looked")
+        out.append(looked.filter("p is not null").select("fold", "gram", (F.col("back") + F.log("p")).cast("float").alias("logp")))
+        missed = looked.filter("p is null").select("fold", "gram", "back", F.shiftright(short, CHAR_BITS).alias("key__"))
+        weights = model.contexts[k].select("fold", F.col("gram").alias("key__"), "w")
+        left = missed.join(weights, ["fold", "key__"], "left").select("fold", "gram", (F.col("back") + F.log(F.coalesce("w", F.lit(1.0)))).alias("back"))
+    uniform = -F.log(by_fold({f: n + 1 for f, n in model.seen.items()}, 1.0))
+    out.append(left.select("fold", "gram", (F.col("back") + uniform).cast("float").alias("logp")))
+    return written(reduce(DataFrame.unionByName, out), "kn-answers")
+
+
+def perplexities(rows: DataFrame, model: Model, most: int = CHUNK_BYTES) -> DataFrame:
+    """The columns of ``rows`` but text, with ``perplexity`` of the model of column ``fold``; ``rows`` has text and fold, and no columns chunk, rows or perplexity."""
+    order, shared = model.order, rows.sparkSession.sparkContext.broadcast(model.numbers)
+    chunks = packed(rows, most)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, fold, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                code, _ = distinct_keys(as_text(unpacked(raw.as_buffer()).column("text")), order, shared.value)
+                for first in range(0, len(code), 1 << 20):
+                    part = code[first : first + (1 << 20)]
+                    yield pa.record_batch({"chunk": pa.array(np.full(len(part), chunk)), "fold": pa.array(np.full(len(part), fold, np.int32)), "gram": pa.array(part)})
+
+    asked = written(chunks.mapInArrow(distinct, "chunk long, fold int, gram long"), "kn-asked")
+    known = asked.join(answered(asked, model), ["fold", "gram"]).select("chunk", "gram", "logp")
+    rest = [f for f in rows.schema.fields if f.name != "text"]
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        table = Table(right.column("gram").to_numpy(), right.column("logp").to_numpy())
+        out = []
+        for raw in left.column("rows"):
+            got = unpacked(raw.as_buffer())
+            found = means(as_text(got.column("text")), table, order, shared.value)
+            out.append(got.select([f.name for f in rest]).append_column("perplexity", pa.array(found, pa.float64())))
+        return pa.concat_tables(out) if out else pa.table({})
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest) + ", perplexity double"
+    # a chunk whose texts are all empty asks for nothing: its group has no right side
+    return chunks.select("chunk", "rows").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def row_name(id_col: str, text: str) -> Column:
@@ -266,19 +296,18 @@ def limits(held: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, le
     return of.filter(F.col("n") >= least).select("lang", own.alias("limit"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality", quantile: float = QUANTILE, slack: float = SLACK, broadcast_rows: int = BROADCAST_ROWS, folds: int = FOLDS, least: int = LEAST) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality", quantile: float = QUANTILE, slack: float = SLACK, folds: int = FOLDS, least: int = LEAST, most: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, lang, perplexity, limit, kept, h (names the row); trusted are documents with a label 1 and none of 0."""
     good = labels.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label).alias("low"), F.max(label).alias("high")).filter("low = 1 and high = 1").select("doc_id")
     good = if_small(written(good, "kn-trusted"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), row_name(id_col, text).alias("h"))
-    trusted = rows.join(good, "doc_id", "left_semi").select("text", "lang", F.xxhash64("text").alias("t"), F.pmod(F.xxhash64("text", F.lit(1)), F.lit(folds)).cast("int").alias("fold"))
-    of = models(trusted, "text", ORDER, folds)
-    scored = written(perplexities(rows, of[ALL], "text", broadcast_rows).drop("text"), "kn-scored")
-    # the folds' tables together are broadcast up to the same number of rows as those of all
-    held = [perplexities(trusted.filter(F.col("fold") == f).select("text", "lang", "t"), model, "text", broadcast_rows // folds).drop("text") for f, model in of.items() if f != ALL]
-    if not held:
-        return scored.select("doc_id", "lang", "perplexity", F.lit(None).cast("double").alias("limit"), F.lit(True).alias("kept"), "h")
-    own = if_small(written(limits(written(reduce(DataFrame.unionByName, held), "kn-held"), quantile, slack, least).withColumnRenamed("lang", "lang__"), "kn-limits"))
-    out = scored.join(own, F.col("lang").eqNullSafe(F.col("lang__")), "left")
+    trusted = rows.join(good, "doc_id", "left_semi").select("doc_id", "text", "lang", F.xxhash64("text").alias("h"), F.pmod(F.xxhash64("text", F.lit(1)), F.lit(folds)).cast("int").alias("fold"))
+    model = trained(trusted, "text", ORDER, folds)
+    # a trusted text is also scored by the model of the other folds, as one more row
+    both = rows.withColumn("fold", F.lit(ALL)).unionByName(trusted)
+    scored = written(perplexities(both, model, most), "kn-scored")
+    held = scored.filter(F.col("fold") != ALL).filter(F.col("fold").isin([f for f in model.seen if f != ALL])).select("lang", F.col("h").alias("t"), "perplexity")
+    own = if_small(written(limits(held, quantile, slack, least).withColumnRenamed("lang", "lang__"), "kn-limits"))
+    out = scored.filter(F.col("fold") == ALL).join(own, F.col("lang").eqNullSafe(F.col("lang__")), "left")
     kept = F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True))
     return out.select("doc_id", "lang", "perplexity", "limit", kept.alias("kept"), "h")

@@ -362,7 +362,7 @@ def test_pipeline(spark):
     texts = lambda df: sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     first = stages["quality"](spark, docs, sf).cache()
-    good = {r.doc_id for r in op5_quality.judged(docs, spark.read.parquet(f"{sf}/labels.parquet"), broadcast_rows=0).collect() if r.kept}
+    good = {r.doc_id for r in op5_quality.judged(docs, spark.read.parquet(f"{sf}/labels.parquet"), most=100_000).collect() if r.kept}
     assert texts(first) == [x for x in texts(docs) if x[0] in good] and 50 < len(good) < docs.count()
 
     second = stages["lines"](spark, first, sf).cache()

@@ -1,6 +1,7 @@
 """Tokens, packing, language, quality and toxicity."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -144,7 +145,7 @@ def test_quality(spark):
     docs = spark.createDataFrame(rows, DOCS)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(200, 0, 0), (3, None, None)], "doc_id long, quality int, toxic int")
     a = {r.doc_id: r for r in op5_quality.judged(docs, labels).collect()}
-    b = {r.doc_id: r for r in op5_quality.judged(docs, labels, broadcast_rows=0).collect()}
+    b = {r.doc_id: r for r in op5_quality.judged(docs, labels, most=500).collect()}  # many chunks
     assert not a[200].kept and not a[201].kept and a[202].kept and a[203].kept and a[202].perplexity is None
     assert all(a[i].kept == b[i].kept for i in a) and all(abs(a[i].perplexity - b[i].perplexity) < 1e-9 for i in a if a[i].perplexity)
     assert sum(a[i].kept for i in range(80)) >= 78
@@ -167,15 +168,60 @@ def test_quality_of_rare_languages(spark):
     assert got[0].limit > 1.2 * max(got[i].perplexity for i in range(110))
 
 
-def test_kneser_ney_sums_to_one(spark):
-    docs = spark.createDataFrame([("abracadabra abacus",), ("cab scab dab",), (None,)], "text string")
-    model = op5_quality.trained(docs, "text", 3)
-    grams, contexts = (op5_quality.tables(x.toPandas(), c, 3) for x, c in ((model.grams, "p"), (model.contexts, "w")))
-    chars = sorted(set("abracadabra abacus cab scab dab"))
-    for context in ("ab", "zz", "ca", "\x01a"):
-        codes = [(ord(context[0]) << 30) | (ord(context[1]) << 15) | ord(c) for c in [*chars, "\x7f"]]
-        p = np.exp(op5_quality.log_p(np.array(codes, np.int64), grams, contexts, model.characters_seen))
-        assert abs(p.sum() - 1) < 1e-9, context
+def kneser_ney(texts, order):
+    """p(gram) of the interpolated modified model, straight from its formulas; and the characters seen."""
+    from collections import Counter, defaultdict
+
+    padded = [["start"] * (order - 1) + list(t) for t in texts]
+    counts = {order: Counter(tuple(t[i : i + order]) for t in padded for i in range(len(t) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    off = {}
+    for k, c in counts.items():
+        n = Counter(c.values())
+        off[k] = (0.5, 1.0, 1.5)
+        if all(n[i] for i in (1, 2, 3, 4)):
+            y = n[1] / (n[1] + 2 * n[2])
+            off[k] = tuple(min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.01), i) for i in (1, 2, 3))
+    of = {k: defaultdict(list) for k in counts}
+    for k, c in counts.items():
+        for g, n in c.items():
+            of[k][g[:-1]].append(n)
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        k, lower = len(g), p(g[1:])
+        found = of[k].get(g[:-1])
+        if not found:
+            return lower
+        cut = lambda n: off[k][min(n, 3) - 1]
+        n = counts[k][g]
+        return (max(n - cut(n), 0) if n else 0) / sum(found) + sum(map(cut, found)) / sum(found) * lower
+
+    return p, [g[0] for g in counts[1]]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_against_formulas(spark, order):
+    """Perplexities of texts with characters that aren't known, beyond the first plane, or equal to signs of other use; and probabilities that sum to one."""
+    rng = random.Random(order)
+    trusted = ["".join(rng.choices("abcd 中文😀\x01", (9, 7, 5, 3, 6, 2, 2, 1, 1), k=rng.randint(0, 60))) for _ in range(40)]
+    asked = [*trusted[:5], "zzz", "abcz 文文 ab", "😀\x01😁 中", "\U0002a6d6日本", "a", "", None]
+    p, chars = kneser_ney(trusted, order)
+    for context in ("abc", "\x01zz", "中a ", "zzz"):
+        assert abs(sum(p((*context[: order - 1], c)) for c in [*chars, "unknown"]) - 1) < 1e-9
+    model = op5_quality.trained(spark.createDataFrame([(t,) for t in [*trusted, None]], "text string"), "text", order)
+    rows = spark.createDataFrame([(i, t, -1) for i, t in enumerate(asked)], "i int, text string, fold int")
+    for most in (1, 1 << 20):
+        got = {r.i: r.perplexity for r in op5_quality.perplexities(rows, model, most).collect()}
+        for i, t in enumerate(asked):
+            if not t:
+                assert got[i] is None
+                continue
+            padded = ["start"] * (order - 1) + list(t)
+            want = math.exp(-sum(math.log(p(tuple(padded[j : j + order]))) for j in range(len(t))) / len(t))
+            assert abs(got[i] / want - 1) < 1e-5, t
 
 
 def test_toxicity(spark):
