@@ -26,11 +26,10 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, if_small, written
+from .common import as_text, if_small, packed, unpacked, written
 from .ngrams import characters
 from .op9_language import in_chunks
 
@@ -199,38 +198,6 @@ def means(texts: list[str], table: Table, order: int, numbers: np.ndarray) -> li
     return out
 
 
-def packed(rows: DataFrame, most: int) -> DataFrame:
-    """chunk, fold, rows: the rows (text, fold and others) of one fold, up to ``most`` bytes of text that a task reads on end, as a compressed Arrow stream."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[pa.RecordBatch]] = {}
-        number = TaskContext.get().partitionId() << 32
-
-        def row(f: int) -> pa.RecordBatch:
-            nonlocal number
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[f][0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                for x in held.pop(f):
-                    writer.write_batch(x)
-            number += 1
-            return pa.record_batch({"chunk": pa.array([number], pa.int64()), "fold": pa.array([f], pa.int32()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-
-        for batch in batches:
-            fold = batch.column("fold").to_numpy()
-            for f in np.unique(fold).tolist():
-                held.setdefault(f, []).append(batch.filter(pa.array(fold == f)))
-                if sum(x.nbytes for x in held[f]) >= most:
-                    yield row(f)
-        for f in list(held):
-            yield row(f)
-
-    return written(rows.mapInArrow(pack, "chunk long, fold int, rows binary"), "kn-packed")
-
-
-def unpacked(raw: bytes) -> pa.Table:
-    return pa.ipc.open_stream(raw).read_all()
-
-
 def answered(asked: DataFrame, model: Model) -> DataFrame:
     """fold, gram, logp of the distinct n-grams in ``asked`` (fold, gram): joins with the count tables, of which each takes only what the longer n-grams haven't got."""
     left = written(asked.select("fold", "gram").distinct().withColumn("back", F.lit(0.0)), "kn-left")
@@ -251,12 +218,12 @@ def answered(asked: DataFrame, model: Model) -> DataFrame:
 def perplexities(rows: DataFrame, model: Model, most: int = CHUNK_BYTES) -> DataFrame:
     """The columns of ``rows`` but text, with ``perplexity`` of the model of column ``fold``; ``rows`` has text and fold, and no columns chunk, rows or perplexity."""
     order, shared = model.order, rows.sparkSession.sparkContext.broadcast(model.numbers)
-    chunks = packed(rows, most)
+    chunks = packed(rows, most, "fold")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, fold, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                code, _ = distinct_keys(as_text(unpacked(raw.as_buffer()).column("text")), order, shared.value)
+            for chunk, raw, fold in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                code, _ = distinct_keys(as_text(unpacked(raw).column("text")), order, shared.value)
                 for first in range(0, len(code), 1 << 20):
                     part = code[first : first + (1 << 20)]
                     yield pa.record_batch({"chunk": pa.array(np.full(len(part), chunk)), "fold": pa.array(np.full(len(part), fold, np.int32)), "gram": pa.array(part)})
@@ -269,7 +236,7 @@ def perplexities(rows: DataFrame, model: Model, most: int = CHUNK_BYTES) -> Data
         table = Table(right.column("gram").to_numpy(), right.column("logp").to_numpy())
         out = []
         for raw in left.column("rows"):
-            got = unpacked(raw.as_buffer())
+            got = unpacked(raw)
             found = means(as_text(got.column("text")), table, order, shared.value)
             out.append(got.select([f.name for f in rest]).append_column("perplexity", pa.array(found, pa.float64())))
         return pa.concat_tables(out) if out else pa.table({})

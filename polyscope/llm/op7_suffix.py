@@ -2,15 +2,15 @@
 
 Every byte covered by a string of ``span`` bytes that also starts elsewhere goes. Which windows of ``span`` bytes repeat is found so:
 
-1. A window's key is the least hash of its ``GRAM``-byte strings, so equal windows have equal keys. Neighbouring windows with
-   one key form a run, and a hash names the bytes that the run spans. Runs come to about one for 80 bytes.
-2. Runs are dealt by key. A run whose bytes occur twice repeats as a whole. Runs that share their key with other bytes, the edges of
-   repeated passages, are left, and so are runs in which the key's string recurs; those are the only ones whose bytes are looked at.
-3. Their bytes are dealt by key, and go batch by batch into a family of suffix arrays (suffix_index), which tells
-   which windows agree in all ``span`` bytes. This step is exact.
-4. Each document drops the union of its repeated windows.
-
-A batch that holds a run more than once passes one row for it on, so a passage's copies don't meet in one task. Null
+1. A window's key is the least hash of its ``GRAM``-byte strings, so equal windows have equal keys, and keys route windows to shards. Neighbouring windows with
+   one key form a run; runs come to about one for 80 bytes. Runs whose key comes only once can't repeat and stay where they are.
+2. The bytes of all others go to their key's shard, batch by batch. Of equal strings one goes on: the others repeat as a whole, and it does too. Where a key has
+   several strings, or one in which the key's bytes recur, they go into the shard's family of suffix arrays (suffix_index): a batch of them
+   gets a suffix array, is merge-scanned against the levels for windows that agree in all ``span`` bytes, and becomes a level; levels of about equal size merge.
+   All of this compares bytes; hashes only route.
+3. Each document drops the union of its repeated windows.
+
+Documents are packed into chunks, so a text moves compressed, and by its chunk's id. A chunk that holds a string more than once passes one row for it on, so a passage's copies don't meet in one task. Null
 texts are empty; texts shorter than ``span`` lose nothing; long texts are hashed a segment at a time. Rows with one doc_id are documents of their own, so
 a repeated row is a repeat. Other columns are not read; an empty table gives an empty result.
 """
@@ -25,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mixed, written
+from .common import U64, mixed, packed, unpacked, written
 from .suffix_index import SuffixIndex
 
 SPAN, GRAM, SEGMENT, PLACE_BITS, BATCH = 200, 40, 1 << 19, 20, 1024
-MARK = "route long, fp long, n long, doc_id long, h long, lo long, hi long, own long"
+#: Bytes of texts in a chunk, and of strings in a shard.
+CHUNK_BYTES, SHARD_BYTES = 16 << 20, 24 << 20
+#: A run: how often its string comes in its chunk (0: it repeats, as an equal one there goes on), its first and last window in the chunk's bytes, and whether the key's bytes recur in it.
+RUN = ["route", "n", "chunk", "lo", "hi", "own"]
 
 _random = np.random.default_rng(20240607)
 #: Two tables of random odd values for bytes, and the base of the rolling hash with its inverse modulo 2**64.
@@ -121,179 +124,165 @@ def segments(bounds: np.ndarray, span: int, most: int = SEGMENT) -> Iterator[tup
         row += 1
 
 
-def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """doc_id, h (hash of the text), lo, hi: first and last start of windows that repeat. ``docs``: doc_id, h, text."""
+def runs_in(data: np.ndarray, bounds: np.ndarray, hasher: Hasher, span: int, gram: int) -> list[np.ndarray]:
+    """RUN without chunk, of a chunk's texts. Equal strings, found by fingerprint and compared by bytes, leave one with n = 2."""
+    got = []
+    for _, first, own in segments(bounds, span):
+        key, fp, lo, hi, recurs = runs_of(data[own[0] : own[-1]], own - own[0], hasher, span, gram)
+        got.append((key, fp, lo + first, hi + first, recurs))
+    key, fp, lo, hi, recurs = (np.concatenate(x) for x in zip(*got, strict=True)) if got else [np.zeros(0, np.int64)] * 5
+    n, route = np.ones(len(key), np.int64), key.copy()
+    order = np.lexsort((fp, key))
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(fp[order]) != 0)])[: len(order)])
+    ends = np.append(starts[1:], len(order))
+    several = np.flatnonzero(ends - starts > 1)
+    raw = data.tobytes() if len(several) else b""
+    for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
+        group = order[a:b].tolist()
+        string = raw[lo[group[0]] : hi[group[0]] + span]
+        for i in group[1:]:
+            if raw[lo[i] : hi[i] + span] == string:
+                n[i], n[group[0]] = 0, 2
+    route[n == 0] = mixed(lo[n == 0].astype(np.uint64)).view(np.int64)  # decided: it goes anywhere
+    return [route, n, lo, hi, recurs]
+
+
+def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams runs in order of route, and drops those of keys that come once and don't recur."""
+    held, going = np.zeros((len(RUN), 0), np.int64), None
+    for batch in batches:
+        x = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
+        if not x.shape[1]:
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(x[0]) != 0]))
+        size = np.diff(np.append(starts, x.shape[1]))
+        many = np.add.reduceat(x[1], starts) > 1
+        if going is not None and x[0, 0] == going:
+            many[0] = True
+        # of the last key a single run waits for what the next batch has; others go on
+        wait = 0 if many[-1] else int(size[-1])
+        going = int(x[0, -1]) if many[-1] else None
+        keep = np.repeat(many, size) | (x[1] == 0) | (x[5] == 1)
+        if wait:
+            keep[-wait:] = False
+        held = x[:, x.shape[1] - wait :]
+        if keep.any():
+            yield pa.record_batch([pa.array(c) for c in x[:, keep]], names=RUN)
+    rest = held[:, (held[1] == 0) | (held[5] == 1)]
+    if rest.shape[1]:
+        yield pa.record_batch([pa.array(c) for c in rest], names=RUN)
+
+
+def search(batches: Iterator[pa.RecordBatch], span: int = SPAN, size: int = BATCH, index: SuffixIndex | None = None) -> Iterator[pa.RecordBatch]:
+    """Streams the strings of a shard (route, n, chunk, lo, own, bytes) in order of route. Out: chunk, lo, hi of the windows that repeat."""
+    index = index or SuffixIndex(span)
+    queue: list[tuple[bytes, bool, int, int]] = []  # strings to be added: bytes, whether known to repeat as a whole, chunk, lo
+    added: list[tuple[int, int, int, int]] = []  # number of the first suffix, windows, chunk, lo, of strings not known to
+    group: dict[bytes, list] = {}  # of the key at hand: whether it repeats, chunk, lo, own
+    now, out = None, []
+
+    def add() -> None:
+        for first, (raw, whole, chunk, lo) in zip(index.add([x[0] for x in queue]), queue, strict=True):
+            if not whole:
+                added.append((first, len(raw) - span + 1, chunk, lo))
+        queue.clear()
+
+    def finish() -> None:
+        for raw, (whole, chunk, lo, own) in group.items():
+            if whole:
+                out.append((chunk, lo, lo + len(raw) - span))
+            if len(group) > 1 or own and not whole:
+                queue.append((raw, whole, chunk, lo))
+                if len(queue) >= size:
+                    add()
+        group.clear()
+
+    def batch_of() -> Iterator[pa.RecordBatch]:
+        if out:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["chunk", "lo", "hi"])
+            out.clear()
+
+    for batch in batches:
+        for route, n, chunk, lo, own, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if route != now:
+                finish()
+                now = route
+            seen = group.get(raw)
+            if seen is None:
+                group[raw] = [n > 1, chunk, lo, own]
+            else:
+                seen[0] = True
+                out.append((chunk, lo, lo + len(raw) - span))
+        yield from batch_of()
+    finish()
+    if queue:
+        add()
+    for first, windows, chunk, lo in added:
+        flags = np.concatenate([[False], index.repeated[first : first + windows], [False]])
+        edges = np.flatnonzero(flags[1:] != flags[:-1])
+        out += [(chunk, lo + int(a), lo + int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    yield from batch_of()
+
+
+def repeated_windows(chunks: DataFrame, span: int = SPAN, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, size: int = BATCH) -> DataFrame:
+    """chunk, lo, hi: first and last start, in the chunk's bytes, of windows that repeat."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            data, bounds = utf8(batch.column(2))
-            doc_id, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            got = []
-            for row, first, own in segments(bounds, span):
-                key, fp, lo, hi, recurs = runs_of(data[own[0] : own[-1]], own - own[0], hasher, span, gram)
-                at = row + np.searchsorted(own[1:] - own[0], lo, "right")
-                got.append((key, fp, at, lo + first - bounds[at], hi + first - bounds[at], recurs))
-            key, fp, at, lo, hi, recurs = (np.concatenate(x) if got else np.zeros(0, np.int64) for x in (zip(*got, strict=True) if got else [()] * 6))
-            order = np.lexsort((fp, key))
-            new = np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(fp[order]) != 0)])[: len(order)]
-            starts = np.flatnonzero(new)
-            n = np.diff(np.append(starts, len(order)))
-            heads = order[starts]
-            known = order[np.repeat(n, n) > 1]  # repeats within the batch: decided
-            cols = [np.concatenate([key[heads], mixed(known.astype(np.uint64)).view(np.int64)])] + [np.concatenate([x[heads], x[known]]) for x in (fp,)]
-            cols += [np.concatenate([n, np.zeros(len(known), np.int64)])] + [np.concatenate([x[heads], x[known]]) for x in (doc_id[at], h[at], lo, hi, recurs)]
-            yield pa.record_batch([pa.array(x.astype(np.int64)) for x in cols], names=["route", "fp", "n", "doc_id", "h", "lo", "hi", "own"])
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Streams rows in order of key and fingerprint. Out: n = 0 for windows that repeat; n = 1 or 2 for bytes to look at, once or more often there."""
-        names = ["route", "fp", "n", "doc_id", "h", "lo", "hi", "own"]
-
-        def settled(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """Whole groups of one key."""
-            done, x = x[:, x[2] == 0], x[:, x[2] > 0]
-            out = [done]
-            if x.shape[1]:
-                new = np.concatenate([[True], (np.diff(x[0]) != 0) | (np.diff(x[1]) != 0)])
-                starts = np.flatnonzero(new)
-                size = np.diff(np.append(starts, x.shape[1]))
-                total = np.add.reduceat(x[2], starts)
-                whole = x[:, (np.repeat(total, size) > 1) & (x[2] == 1)]
-                whole[2] = 0
-                key = x[0, starts]
-                _, inverse, fps = np.unique(key, return_inverse=True, return_counts=True)
-                open_ = (fps[inverse] > 1) | (x[7, starts] == 1) & (total == 1)
-                ask = x[:, starts[open_]]
-                ask[2] = np.minimum(total[open_], 2)
-                out += [whole, ask]
-            out = np.concatenate(out, axis=1)
-            if out.shape[1]:
-                yield pa.record_batch([pa.array(c) for c in out], names=names)
-
-        held = np.zeros((8, 0), np.int64)
-        for batch in batches:
-            held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
-            last = int(np.searchsorted(held[0], held[0, -1])) if held.shape[1] else 0
-            if last:
-                yield from settled(held[:, :last])
-                held = held[:, last:]
-            elif held.shape[1] > 200_000:  # one key with very many rows: a row for each fingerprint is enough
-                held = yield from thinned(held)
-        yield from settled(held)
-
-    def thinned(x: np.ndarray):
-        """Of one key: rows whose fingerprint has come up are decided; one with the sum stays for each."""
-        names = ["route", "fp", "n", "doc_id", "h", "lo", "hi", "own"]
-        done, x = x[:, x[2] == 0], x[:, x[2] > 0]
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(x[1]) != 0]))
-        size = np.diff(np.append(starts, x.shape[1]))
-        total = np.add.reduceat(x[2], starts) if x.shape[1] else np.zeros(0, np.int64)
-        whole = x[:, (np.repeat(total, size) > 1) & (x[2] == 1)].copy()
-        whole[2] = 0
-        out = np.concatenate([done, whole], axis=1)
-        if out.shape[1]:
-            yield pa.record_batch([pa.array(c) for c in out], names=names)
-        heads = x[:, starts].copy()
-        heads[2] = total
-        return heads
-
-    found = docs.select("doc_id", "h", "text").mapInArrow(runs, MARK)
-    decided = written(found.repartition("route").sortWithinPartitions("route", "fp").mapInArrow(decide, MARK), "runs")
-    asked = decided.filter("n > 0").groupBy("doc_id", "h").agg(F.collect_list(F.struct("route", "n", "lo", "hi")).alias("asked"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc_id, h, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode()
-                out += [(x["route"], x["n"], doc_id, h, x["lo"], raw[x["lo"] : x["hi"] + span]) for x in wanted]
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["route", "n", "doc_id", "h", "lo", "bytes"])
-
-    strings = docs.select("doc_id", "h", "text").join(asked, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "text", "asked")
-    strings = strings.mapInArrow(cut, "route long, n long, doc_id long, h long, lo long, bytes binary")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches of strings in order of key go into the index, which is emptied when the key is done."""
-        index = SuffixIndex(span)
-        rows: list[tuple] = []  # added to the index
-        numbers: list[int] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            out = []
-            for (_, n, doc_id, h, lo, raw), first in zip(rows, numbers, strict=True):
-                if n == 1:
-                    flags = np.concatenate([[False], index.repeated[first : first + len(raw) - span + 1], [False]])
-                    edges = np.flatnonzero(flags[1:] != flags[:-1])
-                    out += [(doc_id, h, lo + int(a), lo + int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
-            rows.clear()
-            numbers.clear()
-            index.clear()
-            if out:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "h", "lo", "hi"])
-
-        def add(batch: list[tuple]) -> None:
-            numbers.extend(index.add([x[5] for x in batch]))
-            rows.extend(batch)
-
-        batch: list[tuple] = []
-        for got in batches:
-            for x in zip(*(c.to_pylist() for c in got.columns), strict=True):
-                if batch and x[0] != batch[-1][0] and (rows or len(batch) >= BATCH):
-                    add(batch)
-                    batch = []
-                    yield from flush()
-                elif len(batch) >= BATCH and x[0] == batch[-1][0] == batch[0][0]:
-                    add(batch)
-                    batch = []
-                elif len(batch) >= 2 * BATCH:  # a key in the midst of a batch grows: it starts a batch of its own
-                    cut_at = next(i for i, y in enumerate(batch) if y[0] == x[0])
-                    if cut_at:
-                        add(batch[:cut_at])
-                        yield from flush()
-                    add(batch[cut_at:])
-                    batch = []
-                batch.append(x)
-        if batch:
-            add(batch)
-        yield from flush()
-
-    partial = strings.repartition("route").sortWithinPartitions("route").mapInArrow(search, "doc_id long, h long, lo long, hi long")
-    return decided.filter("n = 0").select("doc_id", "h", "lo", "hi").unionByName(partial)
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                route, n, lo, hi, own = runs_in(*utf8(unpacked(raw).column("text").combine_chunks()), hasher, span, gram)
+                for first in range(0, len(route), 1 << 17):
+                    part = slice(first, first + (1 << 17))
+                    yield pa.record_batch([pa.array(x[part]) for x in (route, n, np.full(len(route), chunk), lo, hi, own)], names=RUN)
+
+    schema = ", ".join(f"{c} long" for c in RUN)
+    found = chunks.select("chunk", "rows").mapInArrow(runs, schema)
+    kept = written(found.repartition("route").sortWithinPartitions("route").mapInArrow(candidates, schema), "runs")
+    asked = kept.filter("n > 0")
+    total = asked.agg(F.sum(F.col("hi") - F.col("lo") + span)).first()[0] or 0
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The bytes of a chunk's runs."""
+        names = ["route", "n", "chunk", "lo", "own"]
+        strings: list[bytes] = []
+        if left.num_rows and right.num_rows:
+            raw = utf8(unpacked(left.column("rows")[0]).column("text").combine_chunks())[0].tobytes()
+            strings = [raw[a : b + span] for a, b in zip(right.column("lo").to_pylist(), right.column("hi").to_pylist(), strict=True)]
+        return right.select(names).append_column("bytes", pa.array(strings, pa.binary()))
+
+    strings = chunks.select("chunk", "rows").groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(cut, "route long, n long, chunk long, lo long, own long, bytes binary")
+    shards = max(1, -(-total // shard_bytes))
+    partial = strings.repartition(shards, "route").sortWithinPartitions("route").mapInArrow(lambda batches: search(batches, span, size), "chunk long, lo long, hi long")
+    return kept.filter("n = 0").select("chunk", "lo", "hi").unionByName(partial)
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, keep_text: bool = False, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, size: int = BATCH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` also ``kept``, the text that is left
     (without characters of which some bytes are gone), and the document's other columns as ``doc``."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("id"), *([F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("doc")] if keep_text else []))
-    marks = repeated_windows(rows, span, gram).groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
-    joined = rows.join(marks, ["doc_id", "h"], "left")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("doc")] if keep_text else []))
+    chunks = packed(rows, chunk_bytes)
+    marks = repeated_windows(chunks, span, gram, shard_bytes, size)
     doc_kind = ", doc " + rows.schema["doc"].dataType.simpleString() if keep_text else ""
 
-    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
-                raw = text.encode()
-                spans: list[list[int]] = []
-                for x in sorted((x["lo"], x["hi"] + span) for x in marks or []):
-                    if spans and x[0] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], x[1])
-                    else:
-                        spans.append(list(x))
-                at, parts = 0, []
-                for a, b in spans:
-                    parts.append(raw[at:a])
-                    at = b
-                kept = b"".join([*parts, raw[at:]])
-                out.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            values = [batch.column("id")] + [pa.array(c, t) for c, t in zip(cols[:4], [pa.int64()] * 3 + [pa.string()], strict=True)]
-            if keep_text:
-                values, names = [*values, pa.array([x.decode("utf-8", "ignore") for x in cols[4]], pa.string()), batch.column("doc")], [*names, "kept", "doc"]
-            yield pa.record_batch(values, names=names)
+    def drop(left: pa.Table, right: pa.Table) -> pa.Table:
+        table = unpacked(left.column("rows")[0])
+        data, bounds = utf8(table.column("text").combine_chunks())
+        change = np.zeros(len(data) + 1, np.int32)
+        if right.num_rows:
+            change += np.bincount(right.column("lo").to_numpy(), minlength=len(change)).astype(np.int32)
+            change -= np.bincount(right.column("hi").to_numpy() + span, minlength=len(change)).astype(np.int32)
+        gone = np.cumsum(change)[:-1] > 0
+        start = gone.copy()
+        start[1:] &= ~gone[:-1]
+        start[bounds[:-1][bounds[:-1] < len(data)]] |= gone[bounds[:-1][bounds[:-1] < len(data)]]
+        upto, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, start))
+        removed, spans = (x[bounds[1:]] - x[bounds[:-1]] for x in (upto, spans))
+        kept = [data[a:b].tobytes() if not n else data[a:b][~gone[a:b]].tobytes() for a, b, n in zip(bounds[:-1].tolist(), bounds[1:].tolist(), removed.tolist(), strict=True)]
+        out = {"doc_id": table.column("id"), "n_bytes": pa.array(np.diff(bounds).astype(np.int64)), "n_removed": pa.array(removed.astype(np.int64)), "n_spans": pa.array(spans.astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
+        if keep_text:
+            out |= {"kept": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), "doc": table.column("doc")}
+        return pa.table(out)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "") + doc_kind
-    return joined.select("id", "text", "marks", *(["doc"] if keep_text else [])).mapInArrow(drop, schema)
+    return chunks.select("chunk", "rows").groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(drop, schema)

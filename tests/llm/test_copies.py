@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,52 @@ def test_repeated_strings(spark, monkeypatch, segment):
     assert op7_suffix.deduplicated(docs_of(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk_bytes,shard_bytes,size", [(3000, 2000, 3), (1 << 20, 1 << 30, 2)])
+def test_repeated_strings_in_small_parts(spark, chunk_bytes, shard_bytes, size):
+    """Many chunks, shards and batches against brute force: the same bytes, mostly in different strings."""
+    rng = random.Random(14)
+    pool = [prose(rng, 120) for _ in range(6)] + ["ab" * 300, "xyz" * 90]
+    part = lambda: (lambda p, a: p[a : a + rng.randint(150, 500)])(rng.choice(pool), rng.randint(0, 200))
+    texts = [(i, " ".join(part() for _ in range(rng.randint(1, 4))) + prose(rng, 5)) for i in range(60)]
+    got = sorted((r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) for r in op7_suffix.deduplicated(docs_of(spark, texts), chunk_bytes=chunk_bytes, shard_bytes=shard_bytes, size=size).collect())
+    want = [(i, int(cover.sum()), int((cover[1:] < cover[:-1]).sum()), hashlib.sha256(bytes(b for b, c in zip(r, cover[:-1], strict=True) if not c)).hexdigest()) for i, r, cover in brute_strings([(i, t.encode()) for i, t in texts])]
+    assert got == sorted(want)
+
+
+def test_levels_of_a_shard():
+    """Strings of one key that overlap in part: the family keeps several levels over the batches of a shard."""
+    rng = random.Random(15)
+    text = prose(rng, 4000).encode()
+    rows = [(k, 1, 7, a, 0, text[a : a + rng.randint(200, 320)]) for k in range(30) for a in sorted(rng.sample(range(k * 500, k * 500 + 400), 12))]
+    most = 0
+
+    class Spy(SuffixIndex):
+        def add(self, strings):
+            nonlocal most
+            out = super().add(strings)
+            most = max(most, len(self.levels))
+            return out
+
+    names = ["route", "n", "chunk", "lo", "own", "bytes"]
+    batches = [pa.record_batch([pa.array(c) for c in zip(*rows[i : i + 50], strict=True)], names=names) for i in range(0, len(rows), 50)]
+    got = {}
+    for batch in op7_suffix.search(iter(batches), 200, 9, Spy(200)):
+        for _, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for p in range(lo, hi + 1):
+                got[p] = True
+    count = Counter(s[i : i + 200] for *_, s in rows for i in range(len(s) - 199))
+    assert set(got) == {a + i for *_, a, _, s in rows for i in range(len(s) - 199) if count[s[i : i + 200]] > 1}
+    assert most >= 3
+
+
+def test_many_equal_rows(spark):
+    rng = random.Random(16)
+    same = prose(rng, 700)
+    docs = docs_of(spark, [(1, same)] * 5000 + [(2, prose(rng, 100)), (2, None)])
+    got = Counter((r.doc_id, r.n_removed, r.n_spans) for r in op7_suffix.deduplicated(docs).collect())
+    assert got == {(1, len(same), 1): 5000, (2, 0, 0): 2}
+
+
 def test_near_copies(spark):
     texts = copies(random.Random(6))
     got = [(r.doc_id, r.class_id, r.kept) for r in op6_minhash.near_duplicates(docs_of(spark, texts)).collect()]
