@@ -233,46 +233,40 @@ class Weigher:
         return self.kept[key]
 
 
-def alike(vectors: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray, component: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of rows, one of side 0 and one of side 1 (of any two if all are of side 0), that are in different components and alike.
+def alike(vectors: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray, component: np.ndarray, bands: np.ndarray, band: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of rows, one of side 0 and one of side 1, that are in different components, alike, and have no band in common that is less than ``band``.
 
     Linked ones are joined as they are found, so what is one component already isn't told again. One row is compared with all others at once.
+    ``bands`` has a row for each text, of zeros where nothing is known of it.
     """
     size = np.array([len(h) for h, _ in vectors])
     rows = np.flatnonzero(size > 0)
-    if len(rows) < 2:
+    if not len(rows):
         return []
-    own = np.repeat(np.arange(len(rows)), size[rows])
+    # side 1 first: one run of columns
+    rows = rows[np.argsort(side[rows], kind="stable")[::-1]]
     _, col = np.unique(np.concatenate([vectors[i][0] for i in rows]), return_inverse=True)
     weight = np.concatenate([vectors[i][1] for i in rows])
     start = np.concatenate([[0], np.cumsum(size[rows])])
     total = np.add.reduceat(weight, start[:-1])
-    group, side, dense, out = component[rows].copy(), side[rows], np.zeros(col.max() + 1), []
-    both = side.any()
-    for i in range(len(rows)):
-        # a row of side 0 meets those of side 1; without sides, the rows after it
-        others = group != group[i]
-        if both:
-            if side[i]:
-                continue
-            others &= side == 1
-        else:
-            others[: i + 1] = False
-        others &= (np.minimum(total, total[i]) >= similarity * np.maximum(total, total[i]) * (1 - 1e-9))
-        if not others.any():
+    group, bands, dense, out = component[rows].copy(), bands[rows], np.zeros(col.max() + 1), []
+    ones = int(side[rows].sum())
+    own = np.repeat(np.arange(ones), size[rows[:ones]])
+    for i in range(ones, len(rows)):
+        others = (group[:ones] != group[i]) & (np.minimum(total[:ones], total[i]) >= similarity * np.maximum(total[:ones], total[i]) * (1 - 1e-9))
+        at = np.flatnonzero(others)
+        same = (bands[at] == bands[i]) & (bands[at] != 0)
+        at = at[~(same & (bands[at] < band)).any(axis=1)]
+        if not len(at):
             continue
         mine = slice(start[i], start[i + 1])
         dense[col[mine]] = weight[mine]
-        if others.sum() * 4 < len(rows):
-            at = np.flatnonzero(others)
-            pieces = [slice(start[j], start[j + 1]) for j in at]
-            common = np.array([np.minimum(dense[col[x]], weight[x]).sum() for x in pieces])
+        if len(at) * 4 < ones:
+            common = np.array([np.minimum(dense[col[x]], weight[x]).sum() for x in (slice(start[j], start[j + 1]) for j in at)])
         else:
-            at = np.arange(len(rows))
-            common = np.bincount(own, np.minimum(dense[col], weight), minlength=len(rows))
+            common = np.bincount(own, np.minimum(dense[col[: start[ones]]], weight[: start[ones]]), minlength=ones)[at]
         dense[col[mine]] = 0
-        sure = others[at] & (common >= similarity * (total[i] + total[at] - common) * (1 - 1e-9))
-        for j in at[sure].tolist():
+        for j in at[common >= similarity * (total[i] + total[at] - common) * (1 - 1e-9)].tolist():
             if group[j] != group[i] and jaccard(vectors[rows[i]], vectors[rows[j]]) >= similarity:
                 group[group == group[j]] = group[i]
                 out.append((int(rows[i]), int(rows[j])))
@@ -370,16 +364,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     links = written(asked.repartition("hub", "part").sortWithinPartitions("hub", "part", "side").mapInArrow(verify, "a long, b long"), "near")
 
-    # what is in one band but in different components is compared in blocks, once for each set of members
+    # what is in one band but in different components is compared in blocks: the members of all components but the largest with all members,
+    # once for each set of members, and two texts in the least band that they have in common
     found = written(components(links), "components")
     placed = written(shared.select("band", "node", "size").join(found.withColumnRenamed("component", "c"), "node", "left").select("band", "node", "size", F.coalesce("c", "node").alias("c")), "placed")
-    sets = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    split = sets.filter("low < high and n > 2").groupBy("n", "first", "last", "x", "y").agg(F.min("band").alias("band"), F.max("bytes").alias("bytes"))
-    split = split.select("band", spread(F.col("n"), F.col("bytes")).alias("k"))
-    dealt = placed.join(split, "band").select("band", "node", "c", "k", F.pmod(F.xxhash64("node"), "k").alias("own"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), F.col("node").alias("doc_id"), "c")
-    dealt = dealt.join(involved, "doc_id").select("band", "i", "j", "side", "doc_id", "c", "text")
+    mark = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
+    each = placed.groupBy("band", "c").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), mark(0).alias("x"), mark(1).alias("y"))
+    sets = each.groupBy("band").agg(F.max_by("c", "n").alias("major"), F.count("*").alias("parts"), F.max("n").alias("most"), F.max_by("bytes", "n").alias("most_bytes"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    split = sets.filter("parts > 1 and n > 2").groupBy("n", "bytes", "x", "y").agg(F.min("band").alias("band"), F.min_by(F.struct("major", "most", "most_bytes"), "band").alias("m"))
+    split = split.select("band", "m.major", spread(F.col("n") - F.col("m.most"), F.col("bytes") - F.col("m.most_bytes")).alias("minors"), spread(F.col("n"), F.col("bytes")).alias("all"))
+    of_band = placed.join(split, "band")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    of_side = lambda side, i, j: of_band.filter(F.lit(True) if side else F.col("c") != F.col("major")).select("band", "node", "c", F.lit(side).alias("side"), i.alias("i"), "minors", "all").withColumn("j", j).select("band", "i", "j", "side", "node", "c")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1)))
+    dealt = of_side(0, block("minors"), upto("all")).unionByName(of_side(1, upto("minors"), block("all")))
+    known = nodes.filter("bands is not null").groupBy("node").agg(F.when(F.count("*") == 1, F.first("bands")).alias("bands"))  # of ids with several texts none
+    dealt = dealt.join(known, "node").withColumnRenamed("node", "doc_id").join(involved, "doc_id").select("band", "i", "j", "side", "doc_id", "c", "bands", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Streams rows in order of band and blocks."""
@@ -387,7 +387,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         for table in grouped(batches, 3):
             side, node, c = (table.column(x).to_numpy() for x in ("side", "doc_id", "c"))
             vectors = weighed(table.column("text").combine_chunks(), idf.value, bits, words, hasher)
-            got = alike(vectors, side, c, similarity)
+            of = np.array([x or [0] * bands for x in table.column("bands").to_pylist()], np.int64)
+            got = alike(vectors, side, c, of, table.column("band")[0].as_py(), similarity)
             if got:
                 yield pa.record_batch([pa.array(node[[g[i] for g in got]]) for i in (0, 1)], names=["a", "b"])
 

@@ -227,6 +227,35 @@ def test_near_copies_against_all_pairs(spark):
     assert of == brute_classes(docs, texts)
 
 
+def test_near_copies_in_a_large_band(spark):
+    """More members of one band than a block takes, in many components, against all pairs."""
+    rng = random.Random(18)
+    base, texts = prose(rng, 60).split(), []
+    for i in range(700):
+        words = list(base)
+        for _ in range(rng.choice((0, 1, 2, 2, 3, 3, 4, 5, 6))):
+            words[rng.randrange(60)] = "w" + str(rng.randrange(10_000))
+        texts.append((i, " ".join(words)))
+    docs = docs_of(spark, texts)
+    of = {r.doc_id: r.class_id for r in op6_minhash.near_duplicates(docs).collect()}
+    assert of == brute_classes(docs, texts) and len(set(of.values())) > 50
+
+
+def test_alike_compares_in_the_least_common_band():
+    rng = np.random.default_rng(2)
+    vectors = [(np.sort(rng.choice(60, 40, replace=False)).astype(np.uint64), np.ones(40)) for _ in range(40)]
+    side, component = np.array([0] * 10 + [1] * 30), np.arange(40)
+    linked = {(i, j) for i in range(10) for j in range(10, 40) if op6_minhash.jaccard(vectors[i], vectors[j]) >= 0.55}
+    assert linked
+    some = {(i, j) for i, j in op6_minhash.alike(vectors, side, component, np.zeros((40, 2), np.int64), 5, 0.55)}
+    assert some <= linked
+    root = list(range(40))
+    for i, j in some:
+        root = [root[i] if x == root[j] else x for x in root]
+    assert all(root[i] == root[j] for i, j in linked)  # enough links to connect what is linked
+    assert op6_minhash.alike(vectors, side, component, np.full((40, 2), 3), 5, 0.55) == []
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = np.sort(rng.integers(0, 1 << 63, 400, np.uint64))
