@@ -8,33 +8,73 @@ from pyspark.sql import functions as F
 from .constants import LABEL_INSTRUCTION, LABELS, TASK_INSTRUCTION
 
 WS = r"[\s\x1c-\x1f]"
-LABEL = rf"(?iU)^{WS}*(?:answer{WS}*[:：]{WS}*)?[\(\[]?{WS}*([ABCD]){WS}*[\)\].:：]?{WS}*(?:$|{WS})"
-OPTION = rf"(?U)(?<![A-Za-z0-9])([ABCD]){WS}*[:：]{WS}*"
+COLONS, OPENING, CLOSING = (":", "："), ("(", "["), (")", "]", ".", ":", "：")
 
 
 def py_strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^{WS}+|{WS}+\z", "")
 
 
+def py_lstrip(c: Column) -> Column:
+    return F.regexp_replace(c, rf"(?U)^{WS}+", "")
+
+
+def rest(c: Column, n: int = 1) -> Column:
+    """What follows the first ``n`` characters."""
+    return F.substr(c, F.lit(n + 1))
+
+
+def first(c: Column) -> Column:
+    return F.substr(c, F.lit(1), F.lit(1))
+
+
 def parse_label(c: Column) -> Column:
     """The answer's label, or null: a label alone or at the start, perhaps after "answer:" and in brackets."""
-    found = F.upper(F.regexp_extract(py_strip(c), LABEL, 1))
-    return F.when(found != "", found)
+    text = py_strip(c)
+    named = py_lstrip(rest(text, len("answer")))
+    text = F.when((F.lower(F.substr(text, F.lit(1), F.lit(6))) == "answer") & first(named).isin(*COLONS), py_lstrip(rest(named))).otherwise(text)
+    text = F.when(first(text).isin(*OPENING), py_lstrip(rest(text))).otherwise(text)
+    label, after = F.upper(first(text)), rest(text)
+    ends = lambda x: (x == "") | (x != py_lstrip(x))  # noqa: E731  nothing more, or white space
+    alone = ends(after) | first(after).isin(*CLOSING) & ends(rest(after))
+    return F.when(label.isin(*LABELS) & alone, label)
 
 
 def label_only(c: Column, label: Column) -> Column:
     return F.upper(py_strip(c)) == label
 
 
-def option_labels(question: Column) -> Column:
-    return F.regexp_extract_all(question, F.lit(OPTION), F.lit(1))
+def option_pieces(question: Column) -> Column:
+    """An array of label and text: first the stem, without a label, then each option.
+
+    The question is cut behind its colons. A cut whose last character before the colon is a label that no letter or digit precedes opens an option;
+    what stands before that label, and all other cuts, belong to the text that is open.
+    """
+    cut = F.regexp_extract_all(question, F.lit("[^:：]*[:：]|[^:：]+$"), F.lit(0))
+
+    def parts(x: Column) -> Column:
+        before = F.regexp_replace(F.substr(x, F.lit(1), F.length(x) - 1), rf"(?U){WS}+\z", "")
+        label = F.substr(before, F.length(before), F.lit(1))
+        body = F.substr(before, F.lit(1), F.length(before) - 1)
+        opens = F.substr(x, F.length(x), F.lit(1)).isin(*COLONS) & label.isin(*LABELS) & ~body.rlike(r"[A-Za-z0-9]\z")
+        return F.struct(F.when(opens, label).alias("label"), F.when(opens, body).otherwise(x).alias("text"))
+
+    def add(found: Column, x: Column) -> Column:
+        open_ = F.element_at(found, -1)
+        longer = F.struct(open_["label"].alias("label"), F.concat(open_["text"], x["text"]).alias("text"))
+        grown = F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(longer))
+        return F.when(x["label"].isNull(), grown).otherwise(F.concat(grown, F.array(F.struct(x["label"].alias("label"), F.lit("").alias("text")))))
+
+    empty = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.lit("").alias("text")))
+    return F.aggregate(F.transform(cut, parts), empty, add)
 
 
 def parse_options(question: Column) -> Column:
     """A struct of question_stem, options, option_order, option_count, option_parse_status."""
-    labels = option_labels(question)
-    pieces = F.transform(F.split(question, OPTION, -1), py_strip)
-    texts = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    found = option_pieces(question)
+    pieces = F.transform(found, lambda x: py_strip(x["text"]))
+    labels = F.transform(F.slice(found, F.lit(2), F.size(found)), lambda x: x["label"])
+    texts = F.slice(pieces, F.lit(2), F.size(pieces))
     distinct = F.array_distinct(labels)
     repeated = F.size(labels) > F.size(distinct)
     missing = F.size(distinct) < len(LABELS)

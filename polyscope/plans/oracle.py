@@ -12,18 +12,23 @@ def duck(sql: str) -> str:
     return re.sub(r"element_at\(embedding,(\d+)\)", r"embedding[\1]", re.sub(r"\{(\w+)\}", r"\1", sql))
 
 
-LABEL = r"(?i)^\s*(?:answer\s*[:：]\s*)?[\(\[]?\s*([ABCD])\s*[\)\].:：]?\s*(?:$|\s)"
-OPTION = r"(?:^|[^A-Za-z0-9])([ABCD])\s*[:：]\s*"
-
-
 def label(c: str) -> str:
-    return f"nullif(upper(regexp_extract(trim({c}), '{LABEL}', 1)), '')"
+    """The label that an answer starts with: what is before it is cut off, then the label and what stands behind it are looked at."""
+    named = f"(case when regexp_matches(lower(trim({c})), '^answer *[:：]') then ltrim(regexp_replace(trim({c}), '^[^:：]*[:：]', '')) else trim({c}) end)"
+    bare = f"ltrim(case when {named}[1] in ('(', '[') then {named}[2:] else {named} end)"
+    head, tail = f"upper({bare}[1])", f"{bare}[2:]"
+    return f"case when {head} in ('A','B','C','D') and ({tail} = '' or {tail}[1] = ' ' or ({tail}[1] in (')', ']', '.', ':', '：') and ({tail}[2:] = '' or {tail}[2] = ' '))) then {head} end"
 
 
 QA = f"qa as ({duck(fixtures.QA)})"
 M = f"""{QA},
-m0 as (select *, substr(asset, 11) as key, replace(replace(substr(asset, 11), '/' || language || '/', '/'), '_' || language || '_', '_') as state_key,
-  {label("answer")} as gold_label, regexp_extract_all(question, '{OPTION}', 1) as labels, list_transform(string_split_regex(question, '{OPTION}'), lambda x: trim(x)) as pieces, p_partkey % 37 <> 0 as asset_exists from qa),
+cut0 as (select p_partkey, language, unnest(regexp_extract_all(question, '[^:：]*[:：]|[^:：]+$')) as cut, generate_subscripts(regexp_extract_all(question, '[^:：]*[:：]|[^:：]+$'), 1) as pos from qa),
+cut1 as (select *, rtrim(cut[:-2]) as body, cut[-1] in (':', '：') and regexp_matches(rtrim(cut[:-2]), '(^|[^A-Za-z0-9])[A-D]$') as opens from cut0),
+cut2 as (select *, coalesce(sum(opens::int) over (partition by p_partkey, language order by pos rows between unbounded preceding and 1 preceding), 0) as piece from cut1),
+cut3 as (select p_partkey, language, piece, trim(string_agg(case when opens then body[:-2] else cut end, '' order by pos)) as text, max(case when opens then body[-1] end) as next_label from cut2 group by all),
+cut4 as (select p_partkey, language, list(text order by piece) || case when arg_max(next_label is not null, piece) then [''] else [] end as pieces, list(next_label order by piece) filter (next_label is not null) as labels from cut3 group by all),
+m0 as (select qa.*, substr(asset, 11) as key, replace(replace(substr(asset, 11), '/' || language || '/', '/'), '_' || language || '_', '_') as state_key,
+  {label("answer")} as gold_label, coalesce(labels, []) as labels, pieces, p_partkey % 37 <> 0 as asset_exists from qa join cut4 using (p_partkey, language)),
 m1 as (select *, len(labels) > len(list_distinct(labels)) as dup, len(list_distinct(labels)) < 4 as few from m0),
 m as (select *, dimension || '::' || state_key as parallel_id, dimension || '::' || state_key || '::' || language as sample_id,
   case when dup then 'failed_duplicate_label' when few then 'failed_missing_label' when list_contains(pieces[2:], '') then 'failed_empty_option' else 'ok' end as option_parse_status,
