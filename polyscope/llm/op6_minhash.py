@@ -1,7 +1,7 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text's shingles are its runs of five words (lower case, cut at ASCII white space; a text of fewer words is one shingle). A shingle weighs its
-count times idf, where idf falls from 1 to ``FLOOR`` with the share of documents that have it: the range is narrow, so that a large group of
+count times idf, where idf falls from 1 to ``FLOOR``, in ``STEPS`` steps, with the share of documents that have it: the range is narrow, so that a large group of
 near copies doesn't lower its members' similarity by its own size. Document frequencies of all documents
 are kept for ``2**IDF_BITS`` hashed buckets, which bounds what is broadcast.
 
@@ -34,6 +34,9 @@ from .op7_suffix import Hasher, utf8
 WORDS, SIMILARITY, BANDS, ROWS, IDF_BITS, WIDTH, FLOOR, SEED = 5, 0.8, 18, 4, 20, 4096, 0.8, 11
 #: Members of a band, and bytes of their texts, that are compared at a time; buckets of ids by which texts are looked up.
 BLOCK, BLOCK_BYTES, BUCKETS = 512, 8 << 20, 1 << 20
+VARIATE_BITS = 14
+#: Steps of idf.
+STEPS = 31
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, hasher: Hasher, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -115,86 +118,79 @@ def idf_of(docs: DataFrame, bits: int, words: int, floor: float) -> np.ndarray:
 
     got = gathered(added_up(docs.select("text").mapInArrow(count, "block long, counts binary"), WIDTH), (1 << bits) + WIDTH, WIDTH)
     df, n = np.maximum(got[: 1 << bits], 1), got[1 << bits]
-    return (floor + (1 - floor) * np.log((n + 1) / np.minimum(df, n + 1)) / np.log(n + 2)).astype(np.float32)
-
-
-def gamma_quantile(u: np.ndarray) -> np.ndarray:
-    """Where the distribution Gamma(2, 1) reaches ``u``, by bisection."""
-    low, high = np.zeros(len(u)), np.full(len(u), 64.0)
-    for _ in range(80):
-        x = (low + high) / 2
-        less = -np.expm1(-x) - x * np.exp(-x) < u
-        low, high = np.where(less, x, low), np.where(less, high, x)
-    return (low + high) / 2
+    share = np.log((n + 1) / np.minimum(df, n + 1)) / np.log(n + 2)
+    return (floor + (1 - floor) * np.round(share * STEPS) / STEPS).astype(np.float32)
 
 
 class Sampler:
-    """Improved consistent weighted samples. The variates r, c and beta of a shingle and sample come from 64 bits hashed from both.
+    """Improved consistent weighted samples. The variates r, c and beta of a shingle in a sample are one of 2**VARIATE_BITS drawn triples, picked by a hash of the shingle that each sample has of its own.
 
-    r and ln c are read from their distributions' quantiles, r in 2**14 steps, c in steps of u / 256 down to u = 2**-32, so that the least are as fine as the rest.
+    Of shingles that a sample gives one triple and that weigh the same, the least hash wins, in every text alike. For ``levels``, weights that most shingles have, what a
+    triple comes to is worked out beforehand.
     """
 
-    def __init__(self, samples: int, seed: int = SEED):
-        self.salt = np.random.default_rng(seed).integers(0, 1 << 63, samples, np.uint64)[:, None] * U64(2)
-        r = gamma_quantile((np.arange(1 << 14) + 0.5) / (1 << 14))
-        self.r = r.astype(np.float32)
-        # the places of ln c are the exponent and the first 8 bits of the mantissa of a float of 1 to 2**32
-        cell = ((np.arange(33 << 8) + (127 << 8)) << 15).astype(np.int32).view(np.float32).astype(np.float64)
-        self.log_c = np.log(gamma_quantile(np.minimum(cell * (1 + 1 / 512), 2**32 - 1) / 2**32)).astype(np.float32)
-
+    def __init__(self, samples: int, seed: int = SEED, levels: np.ndarray | None = None):
+        rng = np.random.default_rng(seed)
+        self.factor = (rng.integers(0, 1 << 63, samples, np.uint64) * U64(2) + U64(1))[:, None]
+        r, c = (rng.gamma(2, 1, 1 << VARIATE_BITS) for _ in range(2))
+        beta = rng.random(1 << VARIATE_BITS)
+        # ln a = ln c - r (t - beta + 1) with t = floor(ln w / r + beta)
+        self.r, self.beta, self.base = (x.astype(np.float32) for x in (r, beta, np.log(c) + r * beta - r))
+        self.levels = np.zeros(0) if levels is None else levels
+        t = np.floor(np.log(self.levels).astype(np.float32)[:, None] / self.r + self.beta)
+        self.t, self.a = t.ravel(), (self.base - self.r * t).ravel()
         #: Shingles at a time; what is computed for them stays in the processor's cache.
-        self.width = 256
-        self.space = [[np.empty(samples * self.width, kind) for _ in range(n)] for kind, n in ((np.uint64, 2), (np.uint32, 3), (np.float32, 4))]
+        self.width, self.shift, self.row = 256, U64(64 - VARIATE_BITS), np.arange(samples)
+        self.space = [np.empty(samples * self.width, kind) for kind in (np.int64, np.float32, np.float32, np.float32)]
+
+    def least(self, h: np.ndarray, of: np.ndarray, known: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The least ln a of each sample, with its shingle's hash and t; ``of`` are the levels' numbers of known weights, and ln w of others."""
+        best, samples = None, len(self.row)
+        width = -(-len(h) // -(-len(h) // self.width))
+        for first in range(0, len(h), width):
+            last = min(first + width, len(h))
+            place, r, t, a = (x[: samples * (last - first)].reshape(samples, last - first) for x in self.space)
+            z = place.view(np.uint64)
+            np.multiply(h[first:last], self.factor, out=z)
+            np.right_shift(z, self.shift, out=z)
+            if known:
+                np.add(place, of[first:last] << VARIATE_BITS, out=place)
+                self.a.take(place, out=a, mode="clip")
+                at = a.argmin(axis=1)
+                found = a[self.row, at], h[first:last][at], self.t[place[self.row, at]]
+            else:
+                self.r.take(place, out=r, mode="clip")
+                self.beta.take(place, out=a, mode="clip")
+                np.divide(of[first:last], r, out=t)
+                np.add(t, a, out=t)
+                np.floor(t, out=t)
+                self.base.take(place, out=a, mode="clip")
+                np.multiply(r, t, out=r)
+                np.subtract(a, r, out=a)
+                at = a.argmin(axis=1)
+                found = a[self.row, at], h[first:last][at], t[self.row, at]
+            best = found if best is None else self.lower(best, found)
+        return best
+
+    @staticmethod
+    def lower(one: tuple, other: tuple) -> tuple:
+        less = (other[0] < one[0]) | (other[0] == one[0]) & (other[1] < one[1])
+        return tuple(np.where(less, x, y) for x, y in zip(other, one, strict=True))
 
     def draw(self, h: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """A 64-bit name for each sample of one text; ``h`` in ascending order, so that ties go to the least."""
-        log_w = np.log(weight).astype(np.float32)
-        best, name, row = None, None, np.arange(len(self.salt))
-        for first in range(0, len(h), self.width):
-            part = slice(first, first + self.width)
-            shape = len(row), len(h[part])
-            (z, shift), (low, high, place), (log_c, r, beta, t) = ([x[: shape[0] * shape[1]].reshape(shape) for x in of] for of in self.space)
-            np.bitwise_xor(h[part], self.salt, out=z)
-            with np.errstate(over="ignore"):
-                for bits, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                    np.right_shift(z, U64(bits), out=shift)
-                    np.bitwise_xor(z, shift, out=z)
-                    np.multiply(z, U64(factor), out=z)
-            np.right_shift(z, U64(32), out=shift)
-            np.copyto(high, shift, casting="unsafe")
-            np.bitwise_xor(z, shift, out=z)
-            np.copyto(low, z, casting="unsafe")
-            # ln c
-            np.copyto(log_c, low, casting="unsafe")
-            np.add(log_c, np.float32(1), out=log_c)
-            np.copyto(place, log_c.view(np.uint32))
-            np.right_shift(place, np.uint32(15), out=place)
-            np.subtract(place, np.uint32(127 << 8), out=place)
-            self.log_c.take(place, out=log_c, mode="clip")
-            # r and beta
-            np.right_shift(high, np.uint32(18), out=place)
-            self.r.take(place, out=r, mode="clip")
-            np.bitwise_and(high, np.uint32((1 << 18) - 1), out=high)
-            np.copyto(beta, high, casting="unsafe")
-            np.multiply(beta, np.float32(2**-18), out=beta)
-            # t = floor(ln w / r + beta), and ln a = ln c - r (t - beta + 1)
-            np.divide(log_w[part], r, out=t)
-            np.add(t, beta, out=t)
-            np.floor(t, out=t)
-            np.subtract(t, beta, out=beta)
-            np.add(beta, np.float32(1), out=beta)
-            np.multiply(beta, r, out=beta)
-            np.subtract(log_c, beta, out=log_c)
-            at = log_c.argmin(axis=1)
-            least = log_c[row, at]
-            with np.errstate(over="ignore"):
-                got = mixed(h[part][at] + t[row, at].astype(np.int64).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
-            if best is None:
-                best, name = least, got
-            else:
-                less = least < best
-                best, name = np.where(less, least, best), np.where(less, got, name)
-        return name
+        if len(self.levels):
+            level = np.minimum(np.searchsorted(self.levels, weight), len(self.levels) - 1)
+            known = self.levels[level] == weight
+        else:
+            known = np.zeros(len(h), bool)
+        found = []
+        if known.any():
+            found.append(self.least(h[known], level[known], True))
+        if not known.all():
+            found.append(self.least(h[~known], np.log(weight[~known]).astype(np.float32), False))
+        _, at, t = found[0] if len(found) == 1 else self.lower(*found)
+        return mixed(at + t.astype(np.int64).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
 
 
 def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -313,7 +309,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """doc_id, same, size, bands. Equal texts of a batch are sampled once."""
-        hasher, sampler, key0 = Hasher(), Sampler(bands * rows), np.arange(1, bands + 1, dtype=np.uint64)
+        hasher, sampler, key0 = Hasher(), Sampler(bands * rows, levels=np.unique(idf.value).astype(np.float64)), np.arange(1, bands + 1, dtype=np.uint64)
         for batch in batches:
             coded = batch.column(2).dictionary_encode()
             out: list[np.ndarray | None] = [None] * len(coded.dictionary)

@@ -264,6 +264,9 @@ def test_sampling_estimates_weighted_jaccard():
     want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
     assert abs((s.draw(h, a) == s.draw(h, b)).mean() - want) < 0.05
     assert (s.draw(h, a) == s.draw(h, a)).all()
+    # with weights worked out beforehand, some or all, the samples are the same
+    c = np.array([0.8, 0.9, 1.0, 2.0])[rng.integers(0, 4, 400)]
+    assert all((op6_minhash.Sampler(2000, levels=np.array(known)).draw(h, c) == s.draw(h, c)).all() for known in ([0.8, 0.9, 1.0], [0.8, 0.9, 1.0, 2.0]))
 
 
 def vectors(spark, rows):
