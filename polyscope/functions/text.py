@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,16 +30,27 @@ def first(c: Column) -> Column:
     return F.substr(c, F.lit(1), F.lit(1))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def parse_label(c: Column) -> Column:
     """The answer's label, or null: a label alone or at the start, perhaps after "answer:" and in brackets."""
-    text = py_strip(c)
-    named = py_lstrip(rest(text, len("answer")))
-    text = F.when((F.lower(F.substr(text, F.lit(1), F.lit(6))) == "answer") & first(named).isin(*COLONS), py_lstrip(rest(named))).otherwise(text)
-    text = F.when(first(text).isin(*OPENING), py_lstrip(rest(text))).otherwise(text)
-    label, after = F.upper(first(text)), rest(text)
-    ends = lambda x: (x == "") | (x != py_lstrip(x))  # noqa: E731  nothing more, or white space
-    alone = ends(after) | first(after).isin(*CLOSING) & ends(rest(after))
-    return F.when(label.isin(*LABELS) & alone, label)
+
+    def without_name(text: Column) -> Column:
+        named = F.when(F.lower(F.substr(text, F.lit(1), F.lit(6))) == "answer", py_lstrip(rest(text, 6)))
+        return let(named, lambda x: F.when(first(x).isin(*COLONS), py_lstrip(rest(x))).otherwise(text))
+
+    def without_bracket(text: Column) -> Column:
+        return F.when(first(text).isin(*OPENING), py_lstrip(rest(text))).otherwise(text)
+
+    def label(text: Column) -> Column:
+        ends = lambda x: (x == "") | x.rlike(rf"(?U)^{WS}")
+        alone = let(rest(text), lambda x: ends(x) | first(x).isin(*CLOSING) & ends(rest(x)))
+        return F.when(F.upper(first(text)).isin(*LABELS) & alone, F.upper(first(text)))
+
+    return let(let(let(py_strip(c), without_name), without_bracket), label)
 
 
 def label_only(c: Column, label: Column) -> Column:
@@ -53,11 +66,14 @@ def option_pieces(question: Column) -> Column:
     cut = F.regexp_extract_all(question, F.lit("[^:：]*[:：]|[^:：]+$"), F.lit(0))
 
     def parts(x: Column) -> Column:
-        before = F.regexp_replace(F.substr(x, F.lit(1), F.length(x) - 1), rf"(?U){WS}+\z", "")
-        label = F.substr(before, F.length(before), F.lit(1))
-        body = F.substr(before, F.lit(1), F.length(before) - 1)
-        opens = F.substr(x, F.length(x), F.lit(1)).isin(*COLONS) & label.isin(*LABELS) & ~body.rlike(r"[A-Za-z0-9]\z")
-        return F.struct(F.when(opens, label).alias("label"), F.when(opens, body).otherwise(x).alias("text"))
+        def labelled(before: Column) -> Column:
+            label, body = F.substr(before, F.length(before), F.lit(1)), F.substr(before, F.lit(1), F.length(before) - 1)
+            opens = label.isin(*LABELS) & ~body.rlike(r"[A-Za-z0-9]\z")
+            return F.when(opens, F.struct(label.alias("label"), body.alias("text"))).otherwise(F.struct(F.lit(None).cast("string").alias("label"), x.alias("text")))
+
+        # without a colon at its end a cut opens nothing: an empty text has no label
+        colon = F.substr(x, F.length(x), F.lit(1)).isin(*COLONS)
+        return let(F.when(colon, F.regexp_replace(F.substr(x, F.lit(1), F.length(x) - 1), rf"(?U){WS}+\z", "")).otherwise(""), labelled)
 
     def add(found: Column, x: Column) -> Column:
         open_ = F.element_at(found, -1)
@@ -71,23 +87,26 @@ def option_pieces(question: Column) -> Column:
 
 def parse_options(question: Column) -> Column:
     """A struct of question_stem, options, option_order, option_count, option_parse_status."""
-    found = option_pieces(question)
-    pieces = F.transform(found, lambda x: py_strip(x["text"]))
-    labels = F.transform(F.slice(found, F.lit(2), F.size(found)), lambda x: x["label"])
-    texts = F.slice(pieces, F.lit(2), F.size(pieces))
-    distinct = F.array_distinct(labels)
-    repeated = F.size(labels) > F.size(distinct)
-    missing = F.size(distinct) < len(LABELS)
-    whole = repeated | missing
-    status = F.when(repeated, "failed_duplicate_label").when(missing, "failed_missing_label").when(F.exists(texts, lambda x: x == ""), "failed_empty_option").otherwise("ok")
-    none = F.create_map().cast("map<string,string>")
-    return F.struct(
-        F.when(whole, py_strip(question)).otherwise(F.element_at(pieces, 1)).alias("question_stem"),
-        F.when(whole, none).otherwise(F.map_from_arrays(labels, texts)).alias("options"),
-        labels.alias("option_order"),
-        F.size(distinct).alias("option_count"),
-        status.alias("option_parse_status"),
-    )
+
+    def parsed(found: Column) -> Column:
+        pieces = F.transform(found, lambda x: py_strip(x["text"]))
+        labels = F.transform(F.slice(found, F.lit(2), F.size(found)), lambda x: x["label"])
+        return let(F.struct(pieces.alias("pieces"), labels.alias("labels"), F.array_distinct(labels).alias("distinct")), told)
+
+    def told(x: Column) -> Column:
+        texts = F.slice(x["pieces"], F.lit(2), F.size(x["pieces"]))
+        repeated, missing = F.size(x["labels"]) > F.size(x["distinct"]), F.size(x["distinct"]) < len(LABELS)
+        status = F.when(repeated, "failed_duplicate_label").when(missing, "failed_missing_label").when(F.exists(texts, lambda t: t == ""), "failed_empty_option").otherwise("ok")
+        none = F.create_map().cast("map<string,string>")
+        return F.struct(
+            F.when(repeated | missing, py_strip(question)).otherwise(F.element_at(x["pieces"], 1)).alias("question_stem"),
+            F.when(repeated | missing, none).otherwise(F.map_from_arrays(x["labels"], texts)).alias("options"),
+            x["labels"].alias("option_order"),
+            F.size(x["distinct"]).alias("option_count"),
+            status.alias("option_parse_status"),
+        )
+
+    return let(option_pieces(question), parsed)
 
 
 def question_signature(c: Column) -> Column:

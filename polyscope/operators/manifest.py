@@ -109,14 +109,31 @@ def canonical_inputs(manifest: DataFrame) -> DataFrame:
     return manifest.select(F.concat(F.lit("canonical::"), "sample_id").alias("input_id"), F.lit("canonical_matched").alias("condition"), "sample_id", "parallel_id", F.col("language").alias("question_language"), F.col("language").alias("gui_language"), "dimension", "question_raw", "question_stem", "options", "option_order", "answer_raw", "gold_label", "image_paths", "num_images", "frame_order")
 
 
+def languages_present(manifest: DataFrame) -> DataFrame:
+    """One row, wanted: the known languages that any row is in."""
+    present = manifest.agg(*[F.max(F.col("language") == x).alias(x) for x in LANGUAGES])
+    return present.select(F.array_compact(F.array(*[F.when(F.col(x), F.lit(x)) for x in LANGUAGES])).alias("wanted"))
+
+
+def incomplete_ids(manifest: DataFrame) -> DataFrame:
+    """parallel_id and missing (the languages, in order) of ids that have a row in some known language but not in all that are present: mismatch inputs can't be built from them."""
+    own = manifest.filter(F.col("language").isin(*LANGUAGES)).groupBy("parallel_id").agg(F.collect_set("language").alias("own"))
+    return own.join(F.broadcast(languages_present(manifest))).select("parallel_id", F.array_except("wanted", "own").alias("missing")).filter(F.size("missing") > 0)
+
+
 def mismatch_inputs(manifest: DataFrame) -> DataFrame:
-    """Directed pairs over the known languages in the manifest. An id that lacks one of them is an error, raised when the rows are read."""
-    rows = last_written(manifest)
-    present = [r.language for r in rows.select("language").distinct().filter(F.col("language").isin(*LANGUAGES)).collect()]
-    known = rows.filter(F.col("language").isin(*present))
-    seen = rows.groupBy("parallel_id").agg(F.count_if(F.col("language").isin(*present)).alias("n"))
-    checked = known.join(seen, "parallel_id").filter(F.assert_true(F.col("n") == len(present), F.concat(F.lit("no row in each language: "), "parallel_id")).isNull())
-    return sided(checked).select(
+    """Directed pairs over the known languages in the manifest. An id that lacks one of them is an error, raised when the rows are read.
+
+    One shuffle, by parallel_id: its last row in each known language, then the pairs of those.
+    """
+    fields = ("language", "sample_id", "dimension", "answer_raw", "gold_label", "image_paths", "num_images", "frame_order")
+    last = [F.max_by(F.struct(*fields), F.when(F.col("language") == x, F.struct("qas_file", "qas_line"))) for x in LANGUAGES]
+    # max_by gives a row's values even where no row is in the language
+    there = [F.max(F.col("language") == x) for x in LANGUAGES]
+    grouped = manifest.groupBy("parallel_id").agg(F.array_compact(F.array(*[F.when(t, r) for t, r in zip(there, last, strict=True)])).alias("rows")).filter(F.size("rows") > 0)
+    checked = grouped.join(F.broadcast(languages_present(manifest))).filter(F.assert_true(F.size("rows") == F.size("wanted"), F.concat(F.lit("no row in each language: "), "parallel_id")).isNull())
+    pairs = F.flatten(F.transform("rows", lambda q: F.transform(F.filter("rows", lambda g: g["language"] != q["language"]), lambda g: F.struct(q.alias("q"), g.alias("g")))))
+    return checked.select("parallel_id", F.explode(pairs).alias("x")).select("parallel_id", "x.q", "x.g").select(
         F.concat(F.lit("mismatch::"), "parallel_id", F.lit("::q="), "q.language", F.lit("::gui="), "g.language").alias("input_id"), F.lit("raw_mismatch").alias("condition"), "parallel_id", F.col("q.sample_id").alias("question_sample_id"), F.col("g.sample_id").alias("gui_sample_id"), F.col("q.sample_id").alias("oracle_sample_id"),
         F.col("q.language").alias("question_language"), F.col("g.language").alias("gui_language"), F.col("q.dimension").alias("dimension"), F.lit("resolve_from_manifest.question_sample_id").alias("question_source"), F.col("q.answer_raw").alias("answer_raw"), F.col("q.gold_label").alias("gold_label"),
         F.col("g.image_paths").alias("image_paths"), F.col("g.num_images").alias("num_images"), F.col("g.frame_order").alias("frame_order"),

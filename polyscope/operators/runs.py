@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import importlib.metadata
+import platform
+import subprocess
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.constants import DIMENSION_WEIGHTS
+from .models import PACKAGES
 
 
 def filter_rows(rows: DataFrame, order: list[str], languages: set[str] | None = None, dimensions: set[str] | None = None, limit: int | None = None) -> DataFrame:
@@ -21,6 +26,15 @@ def filter_rows(rows: DataFrame, order: list[str], languages: set[str] | None =
     return rows.orderBy(*order).limit(max(limit, 1)) if limit is not None else rows
 
 
+def sliced(rows: DataFrame, order: list[str], limit: int | None = None) -> DataFrame:
+    """The first ``limit`` rows, of which 0 are none; a negative limit is an error."""
+    if limit is None:
+        return rows
+    if limit < 0:
+        raise ValueError("a limit can't be negative")
+    return rows.orderBy(*order).limit(limit)
+
+
 def done_ids(log: DataFrame) -> DataFrame:
     """Ids with a successful row: input_id, or sample_id where that is empty."""
     sample = F.col("sample_id") if "sample_id" in log.columns else F.lit(None)
@@ -39,6 +53,89 @@ def dry_run(planned: DataFrame, log: DataFrame) -> DataFrame:
 RUN_SCHEMA = "rendered_prompt string, prompt_token_count int, output_token_count int, raw_output string, latency_ms int, status string, error_type string, error_message string"
 
 
+def code_commit() -> str | None:
+    """The commit of the code that runs, if there is one: looked up once for a run."""
+    found = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, check=False) if _has("git") else None
+    return found.stdout.strip() or None if found else None
+
+
+def _has(program: str) -> bool:
+    import shutil
+
+    return shutil.which(program) is not None
+
+
+def software_versions(packages: tuple[str, ...] = PACKAGES) -> dict[str, str | None]:
+    """Versions of Python, the platform and the packages that results depend on; null where one isn't installed."""
+
+    def version(name: str) -> str | None:
+        try:
+            return importlib.metadata.version(name)
+        except importlib.metadata.PackageNotFoundError:
+            return None
+
+    return {"python": platform.python_version(), "platform": f"{sys.platform}-{platform.machine()}", **{p: version(p) for p in packages}}
+
+
+def result_base(inputs: DataFrame, run_id: str, config: dict, lock: dict | None = None, profile: str | None = None, commit: str | None = None, versions: dict[str, str | None] | None = None) -> DataFrame:
+    """What every row of a run's results says about where it comes from: the run, code, data, model and input."""
+    lock, null = lock or {}, F.lit(None).cast("string")
+    text_of = lambda x: null if x is None else F.lit(str(x))
+    software = F.create_map(*[y for k, v in (versions or {}).items() for y in (F.lit(k), text_of(v))]) if versions else F.create_map().cast("map<string,string>")
+    raw = F.coalesce("answer_raw", "gold_label") if "answer_raw" in inputs.columns else F.col("gold_label")
+    return inputs.select(
+        F.lit(run_id).alias("run_id"), text_of(commit).alias("code_commit"), text_of(lock.get("huggingface", {}).get("sha")).alias("dataset_hf_revision"), text_of(lock.get("github", {}).get("commit")).alias("dataset_github_revision"),
+        text_of(config.get("model_id")).alias("model_id"), text_of(config.get("revision")).alias("model_revision"), text_of(config.get("revision")).alias("processor_revision"), F.lit("transformers").alias("backend"), software.alias("software_versions"),
+        F.lit(profile or config.get("prompt_profile", "mpr_minimal_v1")).alias("prompt_profile"), F.lit(config.get("processor_profile", "qwen_default")).alias("processor_profile"),
+        "input_id", "sample_id", "parallel_id", F.col("question_language").alias("language"), "dimension", "image_paths", "num_images", "gold_label", raw.alias("gold_raw"),
+    )
+
+
+RESULT = "rendered_prompt string, prompt_token_count int, output_token_count int, raw_output string, parsed_label string, parse_success boolean, raw_string_exact boolean, normalized_correct boolean, invalid boolean, latency_ms int, status string, error_type string, error_message string"
+
+
+def answered(inputs: DataFrame, load: Callable[[], Callable[[dict], dict]], run_id: str, config: dict, lock: dict | None = None, profile: str | None = None, commit: str | None = None, versions: dict[str, str | None] | None = None) -> DataFrame:
+    """The result rows of a model over inputs, in full: :func:`result_base` and what came of each."""
+    profile = profile or config.get("prompt_profile", "mpr_minimal_v1")
+    base = result_base(inputs, run_id, config, lock, profile, commit, versions)
+    got = run_model(inputs.select("input_id", "question_raw", "image_paths", "gold_label", *(["answer_raw"] if "answer_raw" in inputs.columns else [])), load, profile, {})
+    columns = [c.split()[0] for c in RESULT.split(", ")]
+    return base.join(got.select("input_id", *columns), "input_id")
+
+
+def dry_run_row(planned: DataFrame, log: DataFrame, run_id: str, config: dict, profile: str) -> DataFrame:
+    """The one row that a dry run leaves in the log."""
+    counts = dry_run(planned, log)
+    return counts.select(F.lit(run_id).alias("run_id"), F.lit("dry_run").alias("status"), "planned_rows", "pending_rows", F.lit(profile).alias("prompt_profile"), F.lit(str(config["model_id"])).alias("model_id"))
+
+
+PREFLIGHT = "text_tokens long, total_sequence_length long, visual_grid_tokens long"
+PREFLIGHT_FIELDS = ("num_images", "text_tokens", "total_sequence_length", "visual_grid_tokens")
+
+
+def preflight_records(inputs: DataFrame, load: Callable[[], Callable[[dict], dict]], config: dict, profile: str | None = None, images: DataFrame | None = None) -> DataFrame:
+    """What each input will take of a model's context. ``load`` makes the processor once for each worker; ``images``: path, width, height, sha256."""
+    profile = profile or config.get("prompt_profile", "mpr_minimal_v1")
+    info = "array<struct<path:string,width:int,height:int,sha256:string>>"
+    rows = inputs.select("input_id", "sample_id", "parallel_id", F.col("question_language").alias("language"), "dimension", "num_images", "image_paths", text.prompt_text(F.col("question_raw"), F.lit(profile)).alias("prompt"))
+    if images is None:
+        rows = rows.withColumn("image_info", F.array().cast(info))
+    else:
+        each = rows.select("input_id", F.posexplode("image_paths").alias("at", "path")).join(images.select("path", "width", "height", "sha256").dropDuplicates(["path"]), "path", "left")
+        known = each.groupBy("input_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "path", "width", "height", "sha256"))), lambda x: F.struct(x["path"].alias("path"), x["width"].alias("width"), x["height"].alias("height"), x["sha256"].alias("sha256"))).alias("image_info"))
+        rows = rows.join(known, "input_id", "left").withColumn("image_info", F.coalesce("image_info", F.array().cast(info)))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        process = load()
+        for pdf in batches:
+            got = [process(row) for row in pdf.to_dict("records")]
+            yield pdf.assign(**{c: pd.Series([x.get(c) for x in got], dtype="Int64", index=pdf.index) for c in ("text_tokens", "total_sequence_length", "visual_grid_tokens")})
+
+    out = rows.mapInPandas(measure, f"{kinds}, {PREFLIGHT}").drop("prompt", "image_paths")
+    return out.withColumns({"prompt_profile": F.lit(profile), "processor_profile": F.lit(config.get("processor_profile", "qwen_default"))})
+
+
 def run_model(inputs: DataFrame, load: Callable[[], Callable[[dict], dict]], profile: str, base: dict[str, Column]) -> DataFrame:
     """Results of a model over inputs, a batch at a time. ``load`` makes the model once for each worker; an error fails its own row only."""
     rows = inputs.withColumns({**base, "prompt": text.prompt_text(F.col("question_raw"), F.lit(profile)), "prompt_profile": F.lit(profile)})
@@ -109,12 +206,19 @@ def label_distribution(results: DataFrame, column: str = "parsed_label") -> Data
 
 
 def percentiles(df: DataFrame, fields: list[str], percents: tuple[int, ...] = (90, 95, 99)) -> DataFrame:
-    """field, min, p50, p90 .. max of integer columns. Rows are first counted by field and value, so what is ranked is the distinct values."""
+    """field, min, p50, p90 .. max of integer columns, of each in one row (null without values).
+
+    Rows are counted by field and value. Values are then dealt by ranges, whose sums tell in which range the value at a rank lies, so no task ranks a field's values.
+    """
     values = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("long").alias("v")) for f in fields])).alias("x")).select("x.*").filter("v is not null")
     counts = values.groupBy("field", "v").agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("field").orderBy("v")))
     total = counts.groupBy("field").agg(F.sum("n").alias("total"), F.min("v").alias("min"), F.max("v").alias("max"))
-    ranked = upto.join(F.broadcast(total), "field")
+    width = F.greatest(F.lit(1), F.ceil((F.col("max") - F.col("min") + 1) / RANGES)).cast("long")
+    placed = counts.join(F.broadcast(total), "field").withColumn("part", F.floor((F.col("v") - F.col("min")) / width))
+    sums = placed.groupBy("field", "part").agg(F.sum("n").alias("m"))  # at most RANGES rows a field
+    before = sums.withColumn("before", F.sum("m").over(Window.partitionBy("field").orderBy("part")) - F.col("m")).drop("m")
+    within = Window.partitionBy("field", "part").orderBy("v")
+    ranked = placed.join(F.broadcast(before), ["field", "part"]).withColumn("upto", F.col("before") + F.sum("n").over(within))
     at = lambda i: F.min(F.when(F.col("upto") > i, F.col("v")))  # noqa: E731  the element at index i
     last = F.col("total") - 1
     nearest = [at(F.rint(F.lit(p / 100.0) * last)).alias(f"p{p}") for p in percents]
@@ -123,6 +227,10 @@ def percentiles(df: DataFrame, fields: list[str], percents: tuple[int, ...] = (9
     return ranked.groupBy("field").agg(F.first("min").alias("min"), truncated, *nearest, F.first("max").alias("max"))
 
 
+#: Ranges that a field's values are dealt into.
+RANGES = 4096
+
+
 def option_permutations(manifest: DataFrame, seed: int = 20260705, count: int = 5) -> DataFrame:
     """Permuted orders of labels, reproducible from the seed: labels in order of a digest."""
     perm = F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("permutation")

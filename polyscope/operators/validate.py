@@ -82,14 +82,14 @@ def missing_images(inputs: DataFrame, existing: DataFrame) -> DataFrame:
     return images.join(existing.select("path").distinct(), "path", "left_anti").select(F.lit("image_exists").alias("rule"), F.concat_ws(": ", "input_id", "path").alias("entity"))
 
 
-def samples_of(m: DataFrame, alias: str) -> DataFrame:
-    """The manifest by sample_id, the last row of each."""
-    row = F.struct("language", "gold_label", "parallel_id", "dimension", "image_paths")
+def samples_of(m: DataFrame, alias: str, *columns: str) -> DataFrame:
+    """The manifest's ``columns`` by sample_id, of the last row of each."""
+    row = F.struct(*columns)
     return m.groupBy("sample_id").agg(F.max_by(row, F.struct("qas_file", "qas_line")).alias(alias)).withColumnRenamed("sample_id", f"{alias}_id")
 
 
 def canonical_violations(inputs: DataFrame, m: DataFrame, existing: DataFrame, expected: dict = RELEASE_COUNTS) -> DataFrame:
-    joined = inputs.join(samples_of(m, "s"), F.col("sample_id") == F.col("s_id"), "left")
+    joined = inputs.join(samples_of(m, "s", "language", "gold_label"), F.col("sample_id") == F.col("s_id"), "left")
     there = F.col("s").isNotNull()
     rows = violations(joined, "input_id", [
         ("sample_missing", ~there),
@@ -103,9 +103,11 @@ def canonical_violations(inputs: DataFrame, m: DataFrame, existing: DataFrame, e
 
 
 def mismatch_violations(inputs: DataFrame, m: DataFrame, existing: DataFrame, expected: dict = RELEASE_COUNTS) -> DataFrame:
-    joined = inputs
-    for side, column in (("q", "question_sample_id"), ("g", "gui_sample_id"), ("o", "oracle_sample_id")):
-        joined = joined.join(samples_of(m, side), F.col(column) == F.col(f"{side}_id"), "left")
+    facts = ("parallel_id", "dimension", "gold_label")
+    both = inputs.join(samples_of(m, "q", *facts), F.col("question_sample_id") == F.col("q_id"), "left").join(samples_of(m, "g", *facts, "image_paths"), F.col("gui_sample_id") == F.col("g_id"), "left")
+    # the oracle's sample is the question's as a rule; where it isn't it is looked up
+    same_one = F.col("oracle_sample_id").eqNullSafe(F.col("question_sample_id"))
+    joined = both.filter(same_one).withColumn("o", F.col("q")).unionByName(both.filter(~same_one).join(samples_of(m, "o", *facts), F.col("oracle_sample_id") == F.col("o_id"), "left").drop("o_id"))
     there = F.col("q").isNotNull() & F.col("g").isNotNull() & F.col("o").isNotNull()
     same = lambda c: F.col(f"q.{c}").eqNullSafe(F.col(f"g.{c}")) & F.col(f"g.{c}").eqNullSafe(F.col(f"o.{c}")) & F.col(f"o.{c}").eqNullSafe(F.col(c))
     rows = violations(joined, "input_id", [
@@ -134,6 +136,50 @@ def option_order_warnings(m: DataFrame) -> DataFrame:
     return orders.filter("orders > 1")
 
 
+#: What each rule's violation is told as; %s is the sample, input or value that it is about.
+MESSAGES = {
+    "sample_id_unique": "manifest: a sample_id occurs more than once", "parallel_language_unique": "manifest: a parallel_id occurs more than once in a language", "rows_per_language": "manifest: unexpected number of rows in language %s", "manifest_rows": "manifest: unexpected number of rows, %s",
+    "gold_label": "%s: the gold label is none of A to D", "asset_exists": "%s: the asset isn't there", "episode_images": "%s: the episode has no images", "option_parse": "%s: the options can't be read", "option_labels": "%s: the options' labels aren't A to D",
+    "index_entries": "parallel index: unexpected number of entries, %s", "language_count": "%s: not in as many languages as expected", "language_set": "%s: not in the expected languages", "gold_labels_consistent": "%s: gold labels differ between languages",
+    "pair_id_unique": "pairs: a pair_id occurs more than once", "pair_rows": "pairs: unexpected number of rows, %s", "options": "%s: the options aren't A to D",
+    "canonical_rows": "canonical inputs: unexpected number of rows, %s", "canonical_input_id_unique": "canonical inputs: an input_id occurs more than once", "sample_missing": "%s: its sample isn't in the manifest", "matched_language": "%s: question and screen differ in language", "manifest_language": "%s: its language isn't the manifest's", "manifest_gold_label": "%s: its gold label isn't the manifest's",
+    "mismatch_rows": "mismatch inputs: unexpected number of rows, %s", "mismatch_input_id_unique": "mismatch inputs: an input_id occurs more than once", "languages_differ": "%s: question and screen are in one language", "reference_missing": "%s: a sample that it refers to isn't in the manifest", "parallel_id_equal": "%s: its samples differ in parallel_id", "dimension_equal": "%s: its samples differ in dimension", "gold_label_equal": "%s: its samples differ in gold label", "gui_image_paths": "%s: its images aren't those of its screen's sample",
+    "num_images": "%s: num_images isn't the number of images", "image_exists": "image not found, %s",
+}
+ARTIFACTS = ("manifest", "index", "pairs", "options", "canonical", "mismatch")
+
+
+def messages(parts: dict[str, DataFrame]) -> DataFrame:
+    """artifact, rule, entity and message of all violations, and ``place``, which orders them: by artifact, rules on whole artifacts first, then by entity and rule."""
+    rules = list(MESSAGES)
+    told = F.create_map(*[F.lit(x) for r in rules for x in (r, MESSAGES[r])])[F.col("rule")]
+    number = F.create_map(*[y for i, r in enumerate(rules) for y in (F.lit(r), F.lit(i))])[F.col("rule")]
+    of_rows = told.startswith("%s") | told.startswith("image")
+    found = union([df.withColumns({"artifact": F.lit(name), "__artifact": F.lit(ARTIFACTS.index(name))}) for name, df in parts.items()])
+    message = F.replace(F.coalesce(told, F.col("rule")), F.lit("%s"), F.coalesce("entity", F.lit("")))
+    place = F.struct(F.col("__artifact").alias("artifact"), of_rows.cast("int").alias("row"), F.when(of_rows, F.col("entity")).alias("entity"), number.alias("rule"))
+    return found.select("artifact", "rule", "entity", message.alias("message"), place.alias("place"))
+
+
+def release_violations(m: DataFrame, index: DataFrame, pairs: DataFrame, canonical: DataFrame | None = None, mismatch: DataFrame | None = None, existing: DataFrame | None = None, expected: dict = RELEASE_COUNTS) -> dict[str, DataFrame]:
+    """The violations of each artifact of a release; inputs that aren't there aren't checked. ``existing`` (path): the images that are there."""
+    parts = {"manifest": manifest_violations(m, expected), "index": index_violations(index, expected), "pairs": pair_violations(pairs, expected), "options": option_violations(m)}
+    if canonical is not None:
+        parts["canonical"] = canonical_violations(canonical, m, existing, expected)
+    if mismatch is not None:
+        parts["mismatch"] = mismatch_violations(mismatch, m, existing, expected)
+    return parts
+
+
+def counts_of(m: DataFrame, index: DataFrame, pairs: DataFrame, canonical: DataFrame | None = None, mismatch: DataFrame | None = None) -> DataFrame:
+    """One row: how many rows each artifact has, null where it isn't there."""
+    out = None
+    for name, df in (("manifest_rows", m), ("parallel_ids", index), ("directed_mismatch_pairs", pairs), ("canonical_inputs", canonical), ("mismatch_inputs", mismatch)):
+        one = m.sparkSession.range(1).select(F.lit(None).cast("long").alias(name)) if df is None else df.agg(F.count("*").alias(name))
+        out = one if out is None else out.join(F.broadcast(one))
+    return out
+
+
 def summary(parts: dict[str, DataFrame]) -> DataFrame:
     """What was checked, with the number of violations, and whether there was none at all."""
     counts = union([df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("artifact"), "violations") for name, df in parts.items()])

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures, paths, text
 from ..functions.constants import DIMENSION_WEIGHTS, LABELS, PROMPT_PROFILES
-from ..operators import audit, manifest, retrieval, runs, validate
+from ..operators import audit, manifest, models, retrieval, runs, validate
+from ..sources import files
 from . import fixtures as fx
 from . import oracle as o
 
@@ -273,23 +274,40 @@ def unioned(*rules: tuple[str, str, str]) -> str:
     return " union all ".join(f"select '{rule}' as rule, cast({entity} as varchar) as entity {rest}" for rule, entity, rest in rules)
 
 
-@query(f"with {o.M}, c as (select l.language, count(m.language) as n from {LANGS} left join m using (language) group by 1) " + unioned(
+PER_LANGUAGE = f"pl as (select l.language, count(m.language) as n from {LANGS} left join m using (language) group by 1)"
+CANONICAL = "c as (select 'canonical::' || sample_id as input_id, * from m)"
+PAIRS = "p as (select 30 * count(*) as n from ixc where complete)"
+RULES = {"manifest": unioned(
     ("sample_id_unique", "null", "from (select 1 from m group by sample_id having count(*) > 1 limit 1)"),
-    ("rows_per_language", "language", f"from c where n <> {EXPECTED['rows_per_language']}"),
+    ("rows_per_language", "language", f"from pl where n <> {EXPECTED['rows_per_language']}"),
     ("manifest_rows", "n", f"from (select count(*) as n from m) where n <> {EXPECTED['manifest_rows']}"),
     ("gold_label", "sample_id", "from m where gold_label is null"),
     ("asset_exists", "sample_id", "from m where not asset_exists"),
     ("option_parse", "sample_id", "from m where option_parse_status <> 'ok'"),
-    ("option_labels", "sample_id", "from m where list_sort(list_distinct(labels)) <> ['A','B','C','D']")))
+    ("option_labels", "sample_id", "from m where list_sort(list_distinct(labels)) <> ['A','B','C','D']")),
+"index": unioned(
+    ("index_entries", "n", f"from (select count(*) as n from ixc) where n <> {EXPECTED['parallel_ids']}"),
+    ("language_count", "parallel_id", "from ixc where len(languages) <> 6"),
+    ("language_set", "parallel_id", "from ixc where not complete"),
+    ("gold_labels_consistent", "parallel_id", "from ixc where not consistent")),
+"pairs": unioned(("pair_rows", "n::bigint", f"from p where n <> {EXPECTED['directed_pairs']}")),
+"options": "select 'options' as rule, arg_min(sample_id, qas_file || lpad(qas_line::varchar, 12, '0')) as entity from m where dup or few group by parallel_id",
+"canonical": unioned(
+    ("canonical_rows", "n", f"from (select count(*) as n from c) where n <> {EXPECTED['canonical_inputs']}"),
+    ("image_exists", "input_id || ': ' || images[1]", "from c where not asset_exists")),
+"mismatch": unioned(
+    ("mismatch_rows", "n", f"from (select count(*) as n from mi) where n <> {EXPECTED['mismatch_inputs']}"),
+    ("gold_label_equal", "input_id", "from mi join m g on g.sample_id = mi.gui_sample_id where mi.gold_label is distinct from g.gold_label"),
+    ("image_exists", "mi.input_id || ': ' || mi.images[1]", "from mi join m g on g.sample_id = mi.gui_sample_id where not g.asset_exists")),
+}
+
+
+@query(f"with {o.M}, {PER_LANGUAGE} {RULES['manifest']}")
 def violations_manifest(spark, sf):
     return validate.manifest_violations(fx.manifest(spark, sf), EXPECTED)
 
 
-@query(f"with {o.INDEX} " + unioned(
-    ("index_entries", "n", f"from (select count(*) as n from ixc) where n <> {EXPECTED['parallel_ids']}"),
-    ("language_count", "parallel_id", "from ixc where len(languages) <> 6"),
-    ("language_set", "parallel_id", "from ixc where not complete"),
-    ("gold_labels_consistent", "parallel_id", "from ixc where not consistent")))
+@query(f"with {o.INDEX} {RULES['index']}")
 def violations_index(spark, sf):
     return validate.index_violations(manifest.parallel_index(fx.manifest(spark, sf)), EXPECTED)
 
@@ -303,24 +321,19 @@ def known_images(m: DataFrame) -> DataFrame:
     return m.filter("asset_exists").select(F.explode("image_paths").alias("path")).distinct()
 
 
-@query(f"""with {o.M}""" + """, c as (select 'canonical::' || sample_id as input_id, * from m) """ + unioned(
-    ("canonical_rows", "n", f"from (select count(*) as n from c) where n <> {EXPECTED['canonical_inputs']}"),
-    ("image_exists", "input_id || ': ' || images[1]", "from c where not asset_exists")))
+@query(f"with {o.M}, {CANONICAL} {RULES['canonical']}")
 def violations_canonical(spark, sf):
     m = fx.manifest(spark, sf)
     return validate.canonical_violations(manifest.canonical_inputs(m), m, known_images(m), EXPECTED)
 
 
-@query(f"with {MISMATCH} " + unioned(
-    ("mismatch_rows", "n", f"from (select count(*) as n from mi) where n <> {EXPECTED['mismatch_inputs']}"),
-    ("gold_label_equal", "input_id", "from mi join m g on g.sample_id = mi.gui_sample_id where mi.gold_label is distinct from g.gold_label"),
-    ("image_exists", "mi.input_id || ': ' || mi.images[1]", "from mi join m g on g.sample_id = mi.gui_sample_id where not g.asset_exists")))
+@query(f"with {MISMATCH} {RULES['mismatch']}")
 def violations_mismatch(spark, sf):
     m = complete_manifest(spark, sf)
     return validate.mismatch_violations(manifest.mismatch_inputs(m), m, known_images(m), EXPECTED)
 
 
-@query(f"""with {o.M} select 'options' as rule, arg_min(sample_id, qas_file || lpad(qas_line::varchar, 12, '0')) as entity from m where dup or few group by parallel_id""")
+@query(f"with {o.M} {RULES['options']}")
 def violations_options(spark, sf):
     return validate.option_violations(fx.manifest(spark, sf))
 
@@ -338,6 +351,49 @@ def validation_summary(spark, sf):
     return validate.summary({"index": validate.index_violations(manifest.parallel_index(m), EXPECTED), "options": validate.option_violations(m), "pairs": validate.pair_violations(manifest.cross_locale_pairs(m))})
 
 
+def release(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
+    """The five artifacts; mismatch inputs are of the ids that have all languages."""
+    m = fx.manifest(spark, sf)
+    return m, manifest.parallel_index(m), manifest.cross_locale_pairs(m), manifest.canonical_inputs(m), manifest.mismatch_inputs(complete_manifest(spark, sf))
+
+
+RELEASE = f"{o.INDEX}, {MISMATCH.removeprefix(o.M + ', ')}, {PER_LANGUAGE}, {CANONICAL}, {PAIRS}"
+TOLD = "case rule " + " ".join(f"when '{rule}' then replace('{message.replace(chr(39), chr(39) * 2)}', '%s', coalesce(entity, ''))" for rule, message in validate.MESSAGES.items()) + " end"
+ALL_RULES = " union all ".join(f"select '{name}' as artifact, rule, entity from ({sql})" for name, sql in RULES.items())
+
+
+@query(f"with {RELEASE}, v as ({ALL_RULES}) select artifact, rule, entity, {TOLD} as message from v")
+def verdict_messages(spark, sf):
+    artifacts = release(spark, sf)
+    return validate.messages(validate.release_violations(*artifacts, known_images(artifacts[0]), EXPECTED)).drop("place")
+
+
+@query(f"""with {RELEASE}, v as ({ALL_RULES}) select (select count(*) from m) as manifest_rows, (select count(*) from ixc) as parallel_ids, (select n from p)::bigint as directed_mismatch_pairs,
+(select count(*) from c) as canonical_inputs, (select count(*) from mi) as mismatch_inputs, (select count(*) from v) = 0 as ok""")
+def release_verdict(spark, sf):
+    artifacts = release(spark, sf)
+    errors = validate.union(list(validate.release_violations(*artifacts, known_images(artifacts[0]), EXPECTED).values()))
+    return validate.counts_of(*artifacts).join(F.broadcast(errors.agg((F.count("*") == 0).alias("ok"))))
+
+
+@query(f"""with {o.M}, own as (select parallel_id, list(distinct language) as l from m group by 1) select parallel_id, array_to_string(list_filter(['en','zh','fr','ru','ja','th'], lambda x: not list_contains(l, x)), ',') as missing from own where len(l) < 6""")
+def incomplete_parallel_ids(spark, sf):
+    return manifest.incomplete_ids(fx.manifest(spark, sf)).withColumn("missing", joined("missing"))
+
+
+@query(f"""with {o.QA}, n as (select *, 2 * row_number() over (partition by qas_file order by p_partkey) - 1 as line from qa)
+select qas_file, line::int as qas_line, question, answer, asset, is_episode from n""")
+def question_files(spark, sf):
+    """Question rows through the files' format: lines of JSON with blank ones between them."""
+    of_file = Window.partitionBy("qas_file").orderBy("p_partkey")
+    q = fx.qa(spark, sf)
+    path = F.when(~F.col("is_episode"), F.col("asset")).alias("image_path"), F.when(F.col("is_episode"), F.col("asset")).alias("image_folder_path")
+    text_ = F.to_json(F.struct("question", "answer", *path))
+    lines = q.select("qas_file", F.row_number().over(of_file).alias("n"), text_.alias("line")).select("qas_file", F.posexplode(F.array("line", F.lit("  "))).alias("blank", "line"), "n")
+    rows = manifest.row_asset(files.question_rows(lines.select("qas_file", (2 * F.col("n") - 1 + F.col("blank")).alias("qas_line"), "line")))
+    return rows.select("qas_file", "qas_line", "question", "answer", "asset", "is_episode")
+
+
 # --- runs and metrics ---------------------------------------------------------------------------------------------------
 
 
@@ -359,6 +415,20 @@ def dry_run_plan(spark, sf):
     return runs.dry_run(fx.outputs(spark, sf).select("input_id"), fx.log(spark, sf))
 
 
+CONFIG = {"adapter": "fixed_label", "model_id": "fixed", "revision": "r1", "label": "B"}
+LOCK = {"huggingface": {"sha": "h1"}, "github": {"commit": "g1"}}
+
+
+@query(f"""with {o.M} select 'run-1' as run_id, 'c1' as code_commit, 'h1' as dataset_hf_revision, 'g1' as dataset_github_revision, 'fixed' as model_id, 'r1' as model_revision, 'r1' as processor_revision, 'transformers' as backend, '3' as python, 'mpr_label_only_v1' as prompt_profile, 'qwen_default' as processor_profile,
+'canonical::' || sample_id as input_id, sample_id, parallel_id, language, dimension, array_to_string(images, ',') as image_paths, len(images)::int as num_images, gold_label, answer as gold_raw, question || chr(10) || chr(10) || '{text.LABEL_INSTRUCTION}' as rendered_prompt, 1 as output_token_count, 'B' as raw_output, 'B' as parsed_label, true as parse_success,
+trim(answer) = 'B' as raw_string_exact, gold_label is not distinct from 'B' as normalized_correct, false as invalid, 'success' as status, null::varchar as error_type, null::varchar as error_message from m""")
+def run_results(spark, sf):
+    """A model's result rows in full; one whose answer is always the same stands for a model."""
+    rows = manifest.canonical_inputs(fx.manifest(spark, sf))
+    got = runs.answered(rows, models.loader(CONFIG), "run-1", CONFIG, LOCK, "mpr_label_only_v1", "c1", {"python": "3"})
+    return got.withColumns({"python": F.col("software_versions")["python"], "image_paths": joined("image_paths")}).drop("software_versions", "latency_ms", "prompt_token_count")
+
+
 def results(spark: SparkSession, sf: str) -> DataFrame:
     return runs.scored(fx.outputs(spark, sf))
 
@@ -486,6 +556,24 @@ def preflight_summary(spark, sf):
     return runs.percentiles(fx.preflight(spark, sf), ["text_tokens", "visual_grid_tokens"])
 
 
+WORDS = "len(list_filter(string_split_regex(question, '\\s+'), lambda x: x <> ''))"
+RECORDS = f"r as (select 'canonical::' || sample_id as input_id, language, dimension, len(images)::bigint as num_images, {WORDS} as text_tokens, {WORDS} + len(images) as total_sequence_length, case when len(images) > 0 then len(images) end as visual_grid_tokens from m)"
+
+
+def preflight_of(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.preflight_records(manifest.canonical_inputs(fx.manifest(spark, sf)), models.loader({"adapter": "word_count"}, models.PROCESSORS), {}, PROMPT_PROFILES[0])
+
+
+@query(f"with {o.M}, {RECORDS} select * from r")
+def preflight_records(spark, sf):
+    return preflight_of(spark, sf).select("input_id", "language", "dimension", F.col("num_images").cast("long").alias("num_images"), "text_tokens", "total_sequence_length", "visual_grid_tokens")
+
+
+@query(f"with {o.M}, {RECORDS}, v as (" + " union all ".join(f"select '{f}' as field, {f} as v from r" for f in runs.PREFLIGHT_FIELDS) + f") select field, min(v)::bigint as min, {PERCENTILES}, max(v)::bigint as max from v where v is not null group by 1")
+def preflight_statistics(spark, sf):
+    return runs.percentiles(preflight_of(spark, sf), list(runs.PREFLIGHT_FIELDS))
+
+
 @query(f"with f as ({o.duck(fx.PREFLIGHT)}) select dimension, language, count(*) as rows from f group by all")
 def preflight_groups(spark, sf):
     return fx.preflight(spark, sf).groupBy("dimension", "language").agg(F.count("*").alias("rows"))

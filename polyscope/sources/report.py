@@ -5,8 +5,9 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import audit, manifest
+from ..operators import audit, manifest, runs
 
 
 def table(df: DataFrame, order: list[str], most: int | None = None) -> str:
@@ -28,7 +29,7 @@ def audit_markdown(m: DataFrame, license_name: str | None = None) -> str:
         "## Rows by language", table(audit.published_delta(m), ["language"]),
         "## Rows by dimension", table(audit.rows_by_dimension(m), ["dimension"]),
         "## Languages and dimensions", table(audit.language_dimension_matrix(m), ["language"]),
-        "## Files", table(audit.file_profile(m), ["qas_file"]),
+        "## Files", table(audit.file_profile(m), ["qas_file"], 1000),
         "## Options", table(audit.option_status_counts(m), ["option_parse_status"]), table(audit.option_order_counts(m), ["option_order"]),
         "## Parallel coverage", table(manifest.index_summary(index), ["parallel_ids"]), table(audit.coverage_by_dimension(m), ["dimension"]), table(audit.coverage_histogram(m), ["dimension", "languages"]), table(audit.incomplete_states(m), ["dimension", "state_key"], 50),
         "## Malformed answers", table(audit.malformed_answers(m), ["qas_file", "qas_line"], 50),
@@ -38,8 +39,22 @@ def audit_markdown(m: DataFrame, license_name: str | None = None) -> str:
     return "\n\n".join(parts) + "\n"
 
 
-def preflight_markdown(statistics: DataFrame, rows: int) -> str:
-    return "\n\n".join(["# Preflight", f"Rows: {rows}.", table(statistics, ["field"])]) + "\n"
+def preflight_summary(records: DataFrame) -> dict:
+    """rows, statistics of each field (null without values), and rows by dimension and language, of preflight records."""
+    found = {r.field: r.asDict() for r in runs.percentiles(records, list(runs.PREFLIGHT_FIELDS)).collect()}
+    names = ("min", "p50", "p90", "p95", "p99", "max")
+    fields = {f: {n: found.get(f, {}).get(n) for n in names} for f in runs.PREFLIGHT_FIELDS}
+    by = lambda c: {r[c]: r["rows"] for r in records.groupBy(c).agg(F.count("*").alias("rows")).orderBy(c).collect()}  # noqa: E731  known values
+    return {"rows": records.count(), **fields, "rows_by_dimension": by("dimension"), "rows_by_language": by("language")}
+
+
+def preflight_markdown(summary: dict) -> str:
+    """The report of a preflight: how many rows, and how long they are."""
+    names = ("min", "p50", "p90", "p95", "p99", "max")
+    listed = lambda of: ", ".join(f"{k} {v}" for k, v in of.items()) or "none"
+    rows = ["| field | " + " | ".join(names) + " |", "|" + " - |" * (len(names) + 1)]
+    rows += ["| " + " | ".join([f, *("" if summary[f][n] is None else str(summary[f][n]) for n in names)]) + " |" for f in runs.PREFLIGHT_FIELDS]
+    return "\n\n".join(["# Preflight", f"Rows: {summary['rows']}. By dimension: {listed(summary['rows_by_dimension'])}. By language: {listed(summary['rows_by_language'])}.", "\n".join(rows)]) + "\n"
 
 
 def write(text: str, path: str) -> None:
