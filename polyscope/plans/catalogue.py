@@ -11,6 +11,7 @@ from ..functions import measures, paths, text
 from ..functions.constants import DIMENSION_WEIGHTS, LABELS, PROMPT_PROFILES
 from ..operators import audit, manifest, models, retrieval, runs, validate
 from ..sources import files
+from ..sources.shared import written
 from . import fixtures as fx
 from . import oracle as o
 
@@ -140,19 +141,19 @@ q.language as question_language, g.language as gui_language, q.dimension, 'resol
 from mm q join mm g on q.parallel_id = g.parallel_id and q.language <> g.language)"""
 
 
-def complete_manifest(spark: SparkSession, sf: str) -> DataFrame:
+def complete(m: DataFrame) -> DataFrame:
     """The fixture's ids that have all languages, which mismatch inputs need."""
-    return fx.manifest(spark, sf).filter((F.col("qas_line") - 1) % 50 != 0)
+    return m.filter((F.col("qas_line") - 1) % 50 != 0)
 
 
 @query(f"with {MISMATCH} select * exclude (images, question_raw), array_to_string(images, ',') as image_paths from mi")
 def mismatch_inputs(spark, sf):
-    return manifest.mismatch_inputs(complete_manifest(spark, sf)).withColumn("image_paths", joined("image_paths"))
+    return manifest.mismatch_inputs(complete(fx.manifest(spark, sf))).withColumn("image_paths", joined("image_paths"))
 
 
 @query(f"with {MISMATCH} select input_id, question_raw from mi")
 def resolved_questions(spark, sf):
-    m = complete_manifest(spark, sf)
+    m = complete(fx.manifest(spark, sf))
     return manifest.resolve_questions(manifest.mismatch_inputs(m), m).select("input_id", "question_raw")
 
 
@@ -304,7 +305,7 @@ RULES = {"manifest": unioned(
 
 @query(f"with {o.M}, {PER_LANGUAGE} {RULES['manifest']}")
 def violations_manifest(spark, sf):
-    return validate.manifest_violations(fx.manifest(spark, sf), EXPECTED)
+    return validate.manifest_violations(fx.stored_manifest(spark, sf), EXPECTED)
 
 
 @query(f"with {o.INDEX} {RULES['index']}")
@@ -323,14 +324,14 @@ def known_images(m: DataFrame) -> DataFrame:
 
 @query(f"with {o.M}, {CANONICAL} {RULES['canonical']}")
 def violations_canonical(spark, sf):
-    m = fx.manifest(spark, sf)
+    m = fx.stored_manifest(spark, sf)
     return validate.canonical_violations(manifest.canonical_inputs(m), m, known_images(m), EXPECTED)
 
 
 @query(f"with {MISMATCH} {RULES['mismatch']}")
 def violations_mismatch(spark, sf):
-    m = complete_manifest(spark, sf)
-    return validate.mismatch_violations(manifest.mismatch_inputs(m), m, known_images(m), EXPECTED)
+    m = fx.stored_manifest(spark, sf)
+    return validate.mismatch_violations(written(manifest.mismatch_inputs(complete(m)), "mismatch"), m, known_images(m), EXPECTED)
 
 
 @query(f"with {o.M} {RULES['options']}")
@@ -347,14 +348,14 @@ def option_order_warnings(spark, sf):
 union all select 'options', (select count(distinct parallel_id) from m where dup or few)
 union all select 'pairs', (select count(*) from (select 30 * count(*) as n from ixc where complete) where n <> 67350)) select artifact, violations::bigint as violations, (select sum(violations) = 0 from v) as ok from v""")
 def validation_summary(spark, sf):
-    m = fx.manifest(spark, sf)
+    m = fx.stored_manifest(spark, sf)
     return validate.summary({"index": validate.index_violations(manifest.parallel_index(m), EXPECTED), "options": validate.option_violations(m), "pairs": validate.pair_violations(manifest.cross_locale_pairs(m))})
 
 
 def release(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
-    """The five artifacts; mismatch inputs are of the ids that have all languages."""
-    m = fx.manifest(spark, sf)
-    return m, manifest.parallel_index(m), manifest.cross_locale_pairs(m), manifest.canonical_inputs(m), manifest.mismatch_inputs(complete_manifest(spark, sf))
+    """The five artifacts as files; mismatch inputs are of the ids that have all languages."""
+    m = fx.stored_manifest(spark, sf)
+    return m, *(written(df, "artifact") for df in (manifest.parallel_index(m), manifest.cross_locale_pairs(m), manifest.canonical_inputs(m), manifest.mismatch_inputs(complete(m))))
 
 
 RELEASE = f"{o.INDEX}, {MISMATCH.removeprefix(o.M + ', ')}, {PER_LANGUAGE}, {CANONICAL}, {PAIRS}"

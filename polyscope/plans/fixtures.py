@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators.manifest import build_manifest
+from ..sources.shared import written
 
 _LANG = "case {0}%6 when 0 then 'en' when 1 then 'zh' when 2 then 'fr' when 3 then 'ru' when 4 then 'ja' else 'th' end"
 _DIM = "case {0}%8 when 0 then 'wf' when 1 then 'wi' when 2 then 'au' when 3 then 'ap' when 4 then 'ael' when 5 then 'rel' when 6 then 'ri' else 'si' end"
@@ -62,6 +63,11 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_manifest(rows.drop("dimension", "language"), listing(rows))
 
 
+def stored_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest as validation gets it: a file that was written, which is read more than once."""
+    return written(manifest(spark, sf_dir), "manifest")
+
+
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, OUTPUTS, "events")
 
