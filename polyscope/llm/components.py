@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed, written_at
 
 
 def state(edges: DataFrame) -> tuple[int, int]:
@@ -15,7 +15,7 @@ def state(edges: DataFrame) -> tuple[int, int]:
 
 def components(links: DataFrame) -> DataFrame:
     """node and component (the least node reachable) for every node that has a link; links: a, b (long)."""
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    edges, at = written_at(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     before = state(edges)
     while before[0]:
         # large star: larger neighbours move to the least of the neighbourhood
@@ -25,7 +25,9 @@ def components(links: DataFrame) -> DataFrame:
         # small star: smaller neighbours and the node itself move to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        edges = written(small.filter("a <> b").distinct(), "links")
+        last = at
+        edges, at = written_at(small.filter("a <> b").distinct(), "links")
+        removed(edges.sparkSession, last)  # nothing reads it any more
         after = state(edges)
         if after == before:
             break

@@ -3,8 +3,8 @@
 All n-grams of the trusted texts (whole texts, padded at the start) are counted. Higher order counts, continuation counts of the
 lower orders, the discounts D1, D2, D3+ from counts of counts and the weights of backing off are aggregations and
 joins of count tables that are sharded by n-gram. A document's perplexity per character then comes from joins with those tables, too: documents are packed into chunks of up to
-``CHUNK_BYTES``, the distinct n-grams of all chunks are looked up shard by shard, longest first, and each chunk gets the
-log-probabilities of its own; no model is collected or broadcast. A document whose perplexity
+``CHUNK_BYTES``; a chunk's distinct n-grams go, packed, to the shards that their hashes name, those of each shard are looked up in the tables, longest first, and each chunk gets the
+log-probabilities of its own back in order; no model is collected or broadcast. A document whose perplexity
 exceeds the limit of its language is rejected. The limit is the ``QUANTILE`` of held-out perplexities of its trusted documents, times ``SLACK``:
 n-grams are counted in ``FOLDS`` folds of the trusted texts, and a trusted text is scored with the counts of the other folds. Equal
 texts are in one fold and count once. Of too few texts for a quantile (99 for 0.99) the highest perplexity says little, so the limit is then at
@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, if_small, packed, unpacked, written
+from .common import U64, as_text, if_small, mixed, packed, unpacked, written
 from .ngrams import characters
 from .op9_language import in_chunks
 
 ORDER, QUANTILE, SLACK, CHUNK_BYTES = 4, 0.99, 1.1, 32 << 20
 FOLDS, LEAST = 5, 10
+#: Compressed bytes of chunks whose n-grams one shard holds, and shards at most.
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 4096
 #: The fold number of the model of all folds; model f is that of all folds but f.
 ALL = -1
 #: A character takes 15 bits of an n-gram's key: the sign before a text, a character that isn't numbered, and the numbered ones.
@@ -198,10 +200,22 @@ def means(texts: list[str], table: Table, order: int, numbers: np.ndarray) -> li
     return out
 
 
-def answered(asked: DataFrame, model: Model) -> DataFrame:
-    """fold, gram, logp of the distinct n-grams in ``asked`` (fold, gram): joins with the count tables, of which each takes only what the longer n-grams haven't got."""
-    left = written(asked.select("fold", "gram").distinct().withColumn("back", F.lit(0.0)), "kn-left")
-    out = []
+def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
+    return ((mixed(grams.view(np.uint64)) >> U64(32)) % U64(shards)).astype(np.int64)
+
+
+def squeezed(grams: np.ndarray) -> bytes:
+    """Ascending int64 as differences, the bytes of one place after another, compressed."""
+    return pa.compress(np.diff(grams, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def unsqueezed(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.decompress(raw, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel())
+
+
+def answered(left: DataFrame, model: Model) -> DataFrame:
+    """fold, gram, logp of distinct n-grams (fold, gram): joins with the count tables, of which each takes only what the longer n-grams haven't got."""
+    left, out = left.withColumn("back", F.lit(0.0)), []
     for k in range(model.order, 0, -1):
         short = F.col("gram").bitwiseAND(F.lit((1 << (CHAR_BITS * k)) - 1))
         looked = left.withColumn("key__", short).join(model.grams[k].select("fold", F.col("gram").alias("key__"), "p"), ["fold", "key__"], "left").drop("key__")
@@ -212,38 +226,123 @@ def answered(asked: DataFrame, model: Model) -> DataFrame:
         left = missed.join(weights, ["fold", "key__"], "left").select("fold", "gram", (F.col("back") + F.log(F.coalesce("w", F.lit(1.0)))).alias("back"))
     uniform = -F.log(by_fold({f: n + 1 for f, n in model.seen.items()}, 1.0))
     out.append(left.select("fold", "gram", (F.col("back") + uniform).cast("float").alias("logp")))
-    return written(reduce(DataFrame.unionByName, out), "kn-answers")
+    return reduce(DataFrame.unionByName, out)
+
+
+#: What goes between chunks and shards: kind 0 are a shard's answers, kind 1 the n-grams that a chunk asks for.
+ASKED = "shard long, kind int, chunk long, fold int, n long, grams binary, logp binary"
+
+
+def packed_answers(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 0 of fold, gram, logp."""
+    for batch in batches:
+        fold, gram, logp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        shard, rows = shard_of(gram, shards), []
+        order = np.lexsort((gram, fold, shard))
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(shard[order]) != 0) | (np.diff(fold[order]) != 0)])[: len(order)])
+        for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
+            of = order[a:b]
+            rows.append((int(shard[of[0]]), 0, 0, int(fold[of[0]]), len(of), squeezed(gram[of]), logp[of].astype(np.float32).tobytes()))
+        yield asked_rows(rows)
+
+
+def asked_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"shard": pa.int64(), "kind": pa.int32(), "chunk": pa.int64(), "fold": pa.int32(), "n": pa.int64(), "grams": pa.binary(), "logp": pa.binary()}
+    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+
+
+def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams a shard's answers, then what chunks ask for. Out: chunk, fold, shard and the log-probabilities in order of the n-grams."""
+    now, parts, tables = None, {}, {}
+    for batch in batches:
+        out = []
+        for shard, kind, chunk, fold, n, grams, logp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if shard != now:
+                now, parts, tables = shard, {}, {}
+            if kind == 0:
+                parts.setdefault(fold, []).append((unsqueezed(grams, n), np.frombuffer(logp, np.float32)))
+                continue
+            if fold not in tables:
+                tables[fold] = Table(*(np.concatenate(x) for x in zip(*parts.pop(fold), strict=True)))
+            out.append((chunk, fold, shard, tables[fold].get(unsqueezed(grams, n)).astype(np.float32).tobytes()))
+        if out:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["chunk", "fold", "shard", "logp"])
+
+
+def distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams rows of kind 1 in order of shard and fold. Out: each shard's distinct n-grams (fold, gram)."""
+    now, held = None, [np.zeros(0, np.int64)]
+
+    def done() -> Iterator[pa.RecordBatch]:
+        grams = np.unique(np.concatenate(held))
+        for first in range(0, len(grams), 1 << 17):
+            part = grams[first : first + (1 << 17)]
+            yield pa.record_batch({"fold": pa.array(np.full(len(part), now[1], np.int32)), "gram": pa.array(part)})
+
+    for batch in batches:
+        for shard, fold, n, grams in zip(*(batch.column(c).to_pylist() for c in ("shard", "fold", "n", "grams")), strict=True):
+            if (shard, fold) != now:
+                if now:
+                    yield from done()
+                now, held = (shard, fold), [np.zeros(0, np.int64)]
+            held.append(unsqueezed(grams, n))
+            if sum(map(len, held[1:])) > max(1 << 20, len(held[0])):
+                held = [np.unique(np.concatenate(held))]
+    if now:
+        yield from done()
 
 
 def perplexities(rows: DataFrame, model: Model, most: int = CHUNK_BYTES) -> DataFrame:
-    """The columns of ``rows`` but text, with ``perplexity`` of the model of column ``fold``; ``rows`` has text and fold, and no columns chunk, rows or perplexity."""
+    """The columns of ``rows`` but text, with ``perplexity`` of the model of all, and ``held`` of the model without the row's fold (null where fold is ALL); ``rows`` has text and fold, and no columns chunk, rows, perplexity or held."""
     order, shared = model.order, rows.sparkSession.sparkContext.broadcast(model.numbers)
-    chunks = packed(rows, most, "fold")
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    chunks = packed(rows, most)
+    size = chunks.agg(F.sum(F.octet_length("rows"))).first()[0] or 0
+    shards = min(MOST_SHARDS, max(8, -(-size // SHARD_BYTES)))
+
+    def texts_by_fold(table: pa.Table) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+        """Which rows each model scores: the model of all, all rows; the others, those of their fold."""
+        texts, fold = as_text(table.column("text")), table.column("fold").to_numpy()
+        yield ALL, np.arange(len(texts)), texts
+        for f in np.unique(fold[fold != ALL]).tolist():
+            at = np.flatnonzero(fold == f)
+            yield f, at, [texts[i] for i in at.tolist()]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, raw, fold in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                code, _ = distinct_keys(as_text(unpacked(raw).column("text")), order, shared.value)
-                for first in range(0, len(code), 1 << 20):
-                    part = code[first : first + (1 << 20)]
-                    yield pa.record_batch({"chunk": pa.array(np.full(len(part), chunk)), "fold": pa.array(np.full(len(part), fold, np.int32)), "gram": pa.array(part)})
-
-    asked = written(chunks.mapInArrow(distinct, "chunk long, fold int, gram long"), "kn-asked")
-    known = asked.join(answered(asked, model), ["fold", "gram"]).select("chunk", "gram", "logp")
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                out = []
+                for f, _, texts in texts_by_fold(unpacked(raw)):
+                    code, _ = distinct_keys(texts, order, shared.value)
+                    if not len(code):
+                        continue
+                    of = shard_of(code, shards)
+                    by = np.argsort(of, kind="stable")
+                    used, starts = np.unique(of[by], return_index=True)
+                    out += [(int(k), 1, chunk, f, len(x), squeezed(x), None) for k, x in zip(used, np.split(code[by], starts[1:]), strict=True)]
+                if out:
+                    yield asked_rows(out)
+
+    asked = written(chunks.select("chunk", "rows").mapInArrow(ask, ASKED), "kn-asked")
+    grams = written(asked.repartition(shards, "shard").sortWithinPartitions("shard", "fold").mapInArrow(distinct_grams, "fold int, gram long"), "kn-grams")
+    known = answered(grams, model).mapInArrow(lambda batches: packed_answers(batches, shards), ASKED)
+    back = asked.unionByName(known).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(answers, "chunk long, fold int, shard long, logp binary")
     rest = [f for f in rows.schema.fields if f.name != "text"]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = Table(right.column("gram").to_numpy(), right.column("logp").to_numpy())
-        out = []
-        for raw in left.column("rows"):
-            got = unpacked(raw)
-            found = means(as_text(got.column("text")), table, order, shared.value)
-            out.append(got.select([f.name for f in rest]).append_column("perplexity", pa.array(found, pa.float64())))
-        return pa.concat_tables(out) if out else pa.table({})
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest) + ", perplexity double"
-    # a chunk whose texts are all empty asks for nothing: its group has no right side
-    return chunks.select("chunk", "rows").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(score, schema)
+        table = unpacked(left.column("rows")[0])
+        found = {"perplexity": [None] * table.num_rows, "held": [None] * table.num_rows}
+        got = sorted(zip(*(right.column(c).to_pylist() for c in ("fold", "shard", "logp")), strict=True), key=lambda x: x[:2])
+        for f, at, texts in texts_by_fold(table):
+            code, _ = distinct_keys(texts, order, shared.value)
+            values = np.empty(len(code))
+            values[np.argsort(shard_of(code, shards), kind="stable")] = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x, np.float32) for g, _, x in got if g == f)])
+            of = found["perplexity" if f == ALL else "held"]
+            for i, x in zip(at.tolist(), means(texts, Table(code, values), order, shared.value), strict=True):
+                of[i] = x
+        return pa.table({**{f.name: table.column(f.name) for f in rest}, **{k: pa.array(v, pa.float64()) for k, v in found.items()}})
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest) + ", perplexity double, held double"
+    return chunks.select("chunk", "rows").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, schema)
 
 
 def row_name(id_col: str, text: str) -> Column:
@@ -267,14 +366,13 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     """doc_id, lang, perplexity, limit, kept, h (names the row); trusted are documents with a label 1 and none of 0."""
     good = labels.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label).alias("low"), F.max(label).alias("high")).filter("low = 1 and high = 1").select("doc_id")
     good = if_small(written(good, "kn-trusted"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), row_name(id_col, text).alias("h"))
-    trusted = rows.join(good, "doc_id", "left_semi").select("doc_id", "text", "lang", F.xxhash64("text").alias("h"), F.pmod(F.xxhash64("text", F.lit(1)), F.lit(folds)).cast("int").alias("fold"))
-    model = trained(trusted, "text", ORDER, folds)
-    # a trusted text is also scored by the model of the other folds, as one more row
-    both = rows.withColumn("fold", F.lit(ALL)).unionByName(trusted)
-    scored = written(perplexities(both, model, most), "kn-scored")
-    held = scored.filter(F.col("fold") != ALL).filter(F.col("fold").isin([f for f in model.seen if f != ALL])).select("lang", F.col("h").alias("t"), "perplexity")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), row_name(id_col, text).alias("h"), F.xxhash64(text).alias("t"))
+    fold = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(folds)).cast("int")
+    rows = rows.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("fold", F.when(F.col("trusted"), fold).otherwise(ALL)).drop("trusted")
+    model = trained(rows.filter(F.col("fold") != ALL), "text", ORDER, folds)
+    scored = written(perplexities(rows, model, most), "kn-scored")
+    held = scored.filter(F.col("fold").isin([f for f in model.seen if f != ALL])).select("lang", F.col("t"), F.col("held").alias("perplexity"))
     own = if_small(written(limits(held, quantile, slack, least).withColumnRenamed("lang", "lang__"), "kn-limits"))
-    out = scored.filter(F.col("fold") == ALL).join(own, F.col("lang").eqNullSafe(F.col("lang__")), "left")
+    out = scored.join(own, F.col("lang").eqNullSafe(F.col("lang__")), "left")
     kept = F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True))
     return out.select("doc_id", "lang", "perplexity", "limit", kept.alias("kept"), "h")

@@ -140,6 +140,40 @@ def test_language(spark):
     assert np.allclose(model.log_p.T, want, atol=1e-4)
 
 
+def test_language_letters(spark):
+    """Numerals, signs and marks aren't letters; letters of any script are."""
+    texts = ["½", "²", "Ⅷ ①", "123 _ !", "́", "١٢٣", "", None, "中", "ª", "x½", "Ж"]
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(texts)] + sentences(40), DOCS)
+    model = op9_language.trained(docs, "text", "lang")
+    best, score = model.predict([t or "" for t in texts])
+    assert [x == "und" for x in best] == [True] * 8 + [False] * 4 and score[:8] == [0.0] * 8
+
+
+def test_language_against_formulas(spark):
+    """Languages and scores of every row, from counts in dictionaries."""
+    from collections import Counter
+
+    from polyscope.llm.ngrams import hashed
+
+    rows = sentences(50, 3) + [(100 + i, t, k, "s", 0) for i, (t, k) in enumerate([("the der", "en"), ("", "de"), (None, "en"), ("Straße ÜBER 中文", "de"), ("a", None), ("xx" * 50, "fr"), ("river " * 3, "fr")])]
+    got = {r.doc_id: r for r in op9_language.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    size = 1 << op9_language.BITS
+    grams = lambda t: [(o, t[i : i + o]) for o in op9_language.ORDERS for i in range(len(t) - o + 1)]
+    place = lambda g: int(hashed(np.array([ord(c) for c in g[1]], np.uint32), g[0], op9_language.BITS)[0])
+    trained = [(t, k) for i, t, k, *_ in rows if k is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    counts, docs = {}, Counter(k for _, k in trained)
+    for t, k in trained:
+        counts.setdefault(k, Counter()).update(place(g) for g in grams((t or "").lower()))
+    for i, t, *_ in rows:
+        text = (t or "").lower()
+        total = {k: math.log(docs[k] / sum(docs.values())) + sum(math.log((c[place(g)] + op9_language.SMOOTHING) / (sum(c.values()) + op9_language.SMOOTHING * size)) for g in grams(text)) for k, c in sorted(counts.items())}
+        best = max(total, key=total.get)
+        if not any(c.isalpha() for c in text):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        assert got[i].lang_pred == best and abs(got[i].score - 1 / sum(math.exp(min(x - total[best], 0)) for x in total.values())) < 1e-3
+
+
 def test_quality(spark):
     rows = sentences(80) + [(200, "@@## %%zz qq$$ " * 10, "en", "s", 0), (201, "XX!! YY!! " * 10, "de", "s", 0), (202, None, "en", "s", 0), (203, "", None, "s", 0), (204, "the house", "zz", "s", 0)]
     docs = spark.createDataFrame(rows, DOCS)
@@ -238,3 +272,53 @@ def test_toxicity(spark):
     assert got[900].score == got[901].score and 0 <= got[900].score <= 1
     assert op10_toxicity.classify(docs.limit(0), labels).count() == 0
     assert op10_toxicity.classify(docs, labels.limit(0)).count() == len(rows)
+
+
+def test_toxicity_against_formulas(spark):
+    """Buckets, ratios and scores from sets of n-grams, and a fit that plain descent doesn't better."""
+    from polyscope.llm.ngrams import hashed
+
+    rng = random.Random(6)
+    words = "green river house walking people forest stinker awful fool idiot".split()
+    texts = ["", "a", "stinker"] + [" ".join(rng.choices(words[: 6 + 4 * (i % 3 == 0)], k=rng.randint(2, 12))) for i in range(60)]
+    labels = [int(any(w in t for w in words[6:]) and rng.random() < 0.9) for t in texts]
+    rows = spark.createDataFrame(list(zip(range(len(texts)), texts, labels, strict=True)), "doc_id long, text string, label int")
+    bits, orders = 14, (4, 5)
+    model = op10_toxicity.trained(rows, bits, orders, features=300, steps=2000)
+    place = lambda g: int(hashed(np.array([ord(c) for c in g], np.uint32), len(g), bits)[0])
+    sets = [{place(t[i : i + o]) for t in [f" {x.lower()} "] for o in orders for i in range(len(t) - o + 1)} for x in texts]
+    n = [labels.count(0), labels.count(1)]
+    count = [np.zeros(1 << bits), np.zeros(1 << bits)]
+    for s, y in zip(sets, labels, strict=True):
+        count[y][list(s)] += 1
+    ratio = np.log((count[1] + 1) / n[1]) - np.log((count[0] + 1) / n[0])
+    worth = (count[0] + count[1] >= 3) * np.abs(ratio) * np.abs(count[1] / n[1] - count[0] / n[0])
+    least = np.sort(worth)[-300]
+    used = np.flatnonzero(model.weights)
+    assert (worth[used] >= least).all() and len(used) <= 300 and set(np.flatnonzero(worth > least)) >= set(used[worth[used] > least])
+    # the model's score is that of its weights, over each text's set
+    want = 1 / (1 + np.exp(-np.array([model.bias + sum(model.weights[b] for b in s) for s in sets])))
+    assert np.allclose(model.scores(texts), want)
+    chosen = np.flatnonzero(worth >= least) if (worth >= least).sum() == 300 else used
+    x = np.array([[ratio[b] if b in s else 0.0 for b in chosen] for s in sets])
+    y, weight = np.array(labels, float), np.where(np.array(labels) == 1, 0.5 / n[1], 0.5 / n[0])
+    penalty = op10_toxicity.PENALTY / len(texts)
+
+    def loss(w, b):
+        m = x @ w + b
+        return float((weight * (np.logaddexp(0, m) - y * m)).sum() + penalty / 2 * (w @ w))
+
+    w, b = np.zeros(len(chosen)), 0.0
+    for _ in range(4000):
+        error = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w, b = w - 0.02 * (x.T @ error + penalty * w), b - 0.02 * error.sum()
+    assert loss(model.weights[chosen] / ratio[chosen], model.bias) <= loss(w, b) + 1e-3
+
+
+def test_distinct_buckets():
+    from polyscope.llm.ngrams import Presence
+
+    rng, seen = np.random.default_rng(1), Presence(10)
+    for n in (0, 1, 50, 3000):
+        code = rng.integers(0, 1 << 10, n)
+        assert sorted(seen.of(code)) == np.unique(code).tolist()
