@@ -6,7 +6,7 @@ Every byte covered by a string of ``span`` bytes that also starts elsewhere goes
    one key form a run; runs come to about one for 80 bytes. Runs whose key comes only once can't repeat and stay where they are.
 2. The bytes of all others go to their key's shard, batch by batch. Of equal strings one goes on: the others repeat as a whole, and it does too. Where a key has
    several strings, or one in which the key's bytes recur, they go into the shard's family of suffix arrays (suffix_index): a batch of them
-   gets a suffix array, is merge-scanned against the levels for windows that agree in all ``span`` bytes, and becomes a level; levels of about equal size merge.
+   gets a suffix array, ordered by key and bytes, is merge-scanned against the levels for windows that agree in all ``span`` bytes, and becomes a level; levels of about equal size merge.
    All of this compares bytes; hashes only route.
 3. Each document drops the union of its repeated windows.
 
@@ -30,7 +30,7 @@ from .suffix_index import SuffixIndex
 
 SPAN, GRAM, SEGMENT, PLACE_BITS, BATCH = 200, 40, 1 << 19, 20, 1024
 #: Bytes of texts in a chunk, and of strings in a shard.
-CHUNK_BYTES, SHARD_BYTES = 16 << 20, 24 << 20
+CHUNK_BYTES, SHARD_BYTES = 16 << 20, 16 << 20
 #: A run: how often its string comes in its chunk (0: it repeats, as an equal one there goes on), its first and last window in the chunk's bytes, and whether the key's bytes recur in it.
 RUN = ["route", "n", "chunk", "lo", "hi", "own"]
 
@@ -176,13 +176,13 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def search(batches: Iterator[pa.RecordBatch], span: int = SPAN, size: int = BATCH, index: SuffixIndex | None = None) -> Iterator[pa.RecordBatch]:
     """Streams the strings of a shard (route, n, chunk, lo, own, bytes) in order of route. Out: chunk, lo, hi of the windows that repeat."""
     index = index or SuffixIndex(span)
-    queue: list[tuple[bytes, bool, int, int]] = []  # strings to be added: bytes, whether known to repeat as a whole, chunk, lo
+    queue: list[tuple[bytes, bool, int, int, int]] = []  # strings to be added: bytes, whether known to repeat as a whole, chunk, lo, key
     added: list[tuple[int, int, int, int]] = []  # number of the first suffix, windows, chunk, lo, of strings not known to
     group: dict[bytes, list] = {}  # of the key at hand: whether it repeats, chunk, lo, own
     now, out = None, []
 
     def add() -> None:
-        for first, (raw, whole, chunk, lo) in zip(index.add([x[0] for x in queue]), queue, strict=True):
+        for first, (raw, whole, chunk, lo, _) in zip(index.add([x[0] for x in queue], [x[4] for x in queue]), queue, strict=True):
             if not whole:
                 added.append((first, len(raw) - span + 1, chunk, lo))
         queue.clear()
@@ -192,7 +192,7 @@ def search(batches: Iterator[pa.RecordBatch], span: int = SPAN, size: int = BATC
             if whole:
                 out.append((chunk, lo, lo + len(raw) - span))
             if len(group) > 1 or own and not whole:
-                queue.append((raw, whole, chunk, lo))
+                queue.append((raw, whole, chunk, lo, now))
                 if len(queue) >= size:
                     add()
         group.clear()
@@ -268,17 +268,19 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sp
     def drop(left: pa.Table, right: pa.Table) -> pa.Table:
         table = unpacked(left.column("rows")[0])
         data, bounds = utf8(table.column("text").combine_chunks())
-        change = np.zeros(len(data) + 1, np.int32)
-        if right.num_rows:
-            change += np.bincount(right.column("lo").to_numpy(), minlength=len(change)).astype(np.int32)
-            change -= np.bincount(right.column("hi").to_numpy() + span, minlength=len(change)).astype(np.int32)
-        gone = np.cumsum(change)[:-1] > 0
-        start = gone.copy()
-        start[1:] &= ~gone[:-1]
-        start[bounds[:-1][bounds[:-1] < len(data)]] |= gone[bounds[:-1][bounds[:-1] < len(data)]]
-        upto, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, start))
-        removed, spans = (x[bounds[1:]] - x[bounds[:-1]] for x in (upto, spans))
-        kept = [data[a:b].tobytes() if not n else data[a:b][~gone[a:b]].tobytes() for a, b, n in zip(bounds[:-1].tolist(), bounds[1:].tolist(), removed.tolist(), strict=True)]
+        lo, end = right.column("lo").to_numpy(), right.column("hi").to_numpy() + span
+        order = np.argsort(lo, kind="stable")
+        lo, end = lo[order], np.maximum.accumulate(end[order]) if len(lo) else end
+        row = np.searchsorted(bounds, lo, "right") - 1  # of rows that start at one byte the last: the others are empty
+        new = np.flatnonzero(np.concatenate([[True], (lo[1:] > end[:-1]) | (row[1:] != row[:-1])])[: len(lo)])
+        first, last, row = lo[new], end[np.append(new[1:], len(lo)) - 1] if len(lo) else end, row[new]
+        spans = np.bincount(row, minlength=len(bounds) - 1)
+        removed = np.bincount(row, last - first, minlength=len(bounds) - 1).astype(np.int64)
+        kept, at = [], 0
+        for a, b, n in zip(bounds[:-1].tolist(), bounds[1:].tolist(), spans.tolist(), strict=True):
+            edges = [a, *np.stack([first[at : at + n], last[at : at + n]], axis=1).ravel().tolist(), b]
+            kept.append(b"".join(data[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2], strict=True)))
+            at += n
         out = {"doc_id": table.column("id"), "n_bytes": pa.array(np.diff(bounds).astype(np.int64)), "n_removed": pa.array(removed.astype(np.int64)), "n_spans": pa.array(spans.astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
         if keep_text:
             out |= {"kept": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), "doc": table.column("doc")}

@@ -1,9 +1,9 @@
 """A logarithmic family of suffix arrays.
 
-A batch of strings gets a suffix array (its suffixes of at least ``span`` bytes, in order of their first
-``span`` bytes). It is merge-scanned against the level arrays for suffixes that agree in ``span`` bytes, and becomes a level
+A batch of strings gets a suffix array: its suffixes of at least ``span`` bytes, in order of their string's key and then of their first
+``span`` bytes. It is merge-scanned against the level arrays for suffixes of one key that agree in ``span`` bytes, and becomes a level
 itself; levels of about equal size are merged, so that n batches leave about log n levels, and a suffix is
-merged about log n times. A level keeps its text once and four bytes for each suffix; windows are only cut out a block at a time.
+merged about log n times. Strings of different keys can't agree, so a scan looks only at keys that both have. A level keeps its text once and twenty bytes for each suffix; windows are only cut out a block at a time.
 """
 
 from __future__ import annotations
@@ -14,19 +14,19 @@ BLOCK = 1 << 15
 
 
 class Level:
-    """Suffixes in order: ``at`` into ``text``, and ``owner``, the number given to each when added."""
+    """Suffixes in order: their ``key``, ``at`` into ``text``, and ``owner``, the number given to each when added."""
 
-    def __init__(self, text: np.ndarray, at: np.ndarray, owner: np.ndarray):
-        self.text, self.at, self.owner = text, at, owner
+    def __init__(self, text: np.ndarray, key: np.ndarray, at: np.ndarray, owner: np.ndarray):
+        self.text, self.key, self.at, self.owner = text, key, at, owner
 
-    def windows(self, of: np.ndarray, span: int) -> np.ndarray:
+    def windows(self, of: np.ndarray | slice, span: int) -> np.ndarray:
         """The first ``span`` bytes of the suffixes numbered ``of``. Equal length makes trailing zero bytes harmless."""
         view = np.lib.stride_tricks.sliding_window_view(self.text, span)
         return np.ascontiguousarray(view[self.at[of]]).view(f"S{span}").ravel()
 
-    def lower(self, wanted: np.ndarray, span: int) -> np.ndarray:
-        """For each window, how many of the level's suffixes come before it: a binary search of all at once."""
-        low, high = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(self.at), np.int64)
+    def lower(self, key: np.ndarray, wanted: np.ndarray, span: int) -> np.ndarray:
+        """For each window and its key, how many of the level's suffixes come before it: a binary search of all at once, within the key."""
+        low, high = np.searchsorted(self.key, key), np.searchsorted(self.key, key, "right")
         while True:
             todo = np.flatnonzero(low < high)
             if not len(todo):
@@ -48,8 +48,8 @@ class SuffixIndex:
         self.levels: list[Level] = []
         self.repeated = np.zeros(0, bool)
 
-    def add(self, strings: list[bytes]) -> list[int]:
-        """Adds a batch. Returns for each string the number of its first suffix; those of a string are numbered on end.
+    def add(self, strings: list[bytes], keys: list[int] | None = None) -> list[int]:
+        """Adds a batch. Returns for each string the number of its first suffix; those of a string are numbered on end. Without ``keys`` all strings have one.
 
         ``self.repeated[number]`` tells whether a suffix is repeated among all that were added so far.
         """
@@ -64,9 +64,13 @@ class SuffixIndex:
         text = np.frombuffer(b"".join(strings), np.uint8)
         begin = np.concatenate([[0], np.cumsum([len(x) for x in strings])])[:-1]
         at = np.arange(starts[-1]) + np.repeat(begin - starts[:-1], counts)
-        new = Level(text, at, base + np.arange(starts[-1]))
-        order = np.argsort(new.windows(np.arange(len(at)), span), kind="stable")
-        new.at, new.owner = at[order], new.owner[order]
+        key = np.repeat(np.array(keys, np.int64) if keys is not None else np.zeros(len(strings), np.int64), counts)
+        by_key = np.argsort(key, kind="stable")
+        new = Level(text, key[by_key], at[by_key].astype(np.int32 if len(text) < 1 << 31 else np.int64), base + by_key)
+        edges = [0, *(np.flatnonzero(np.diff(new.key)) + 1).tolist(), len(at)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            order = a + np.argsort(new.windows(slice(a, b), span), kind="stable")
+            new.at[a:b], new.owner[a:b] = new.at[order], new.owner[order]
         self.scan_within(new)
         while self.levels and len(self.levels[-1].at) <= 2 * len(new.at):
             new = self.merged(self.levels.pop(), new)
@@ -80,18 +84,20 @@ class SuffixIndex:
         for first in range(0, len(level.at) - 1, BLOCK):
             of = np.arange(first, min(first + BLOCK + 1, len(level.at)))
             x = level.windows(of, self.span)
-            same = np.flatnonzero(x[1:] == x[:-1])
+            same = np.flatnonzero((x[1:] == x[:-1]) & (level.key[of[1:]] == level.key[of[:-1]]))
             self.repeated[level.owner[of[same]]] = True
             self.repeated[level.owner[of[same] + 1]] = True
 
     def scan(self, level: Level, new: Level) -> np.ndarray:
         """Marks what agrees in two levels; returns where each of ``new`` stands in ``level``."""
-        place = np.zeros(len(new.at), np.int64)
-        for first in range(0, len(new.at), BLOCK):
-            of = np.arange(first, min(first + BLOCK, len(new.at)))
+        place = np.searchsorted(level.key, new.key)
+        shared = np.flatnonzero(level.key[np.minimum(place, len(level.key) - 1)] == new.key)
+        for first in range(0, len(shared), BLOCK):
+            of = shared[first : first + BLOCK]
             x = new.windows(of, self.span)
-            place[of] = low = level.lower(x, self.span)
+            place[of] = low = level.lower(new.key[of], x, self.span)
             inside = np.flatnonzero(low < len(level.at))
+            inside = inside[level.key[low[inside]] == new.key[of[inside]]]
             same = inside[level.windows(low[inside], self.span) == x[inside]]
             self.repeated[new.owner[of[same]]] = True
             self.repeated[level.owner[low[same]]] = True  # others equal to it are marked already: they have each other
@@ -99,4 +105,6 @@ class SuffixIndex:
 
     def merged(self, old: Level, new: Level) -> Level:
         place = self.scan(old, new)
-        return Level(np.concatenate([old.text, new.text]), np.insert(old.at, place, new.at + len(old.text)), np.insert(old.owner, place, new.owner))
+        text = np.concatenate([old.text, new.text])
+        at = new.at.astype(np.int32 if len(text) < 1 << 31 else np.int64) + len(old.text)
+        return Level(text, np.insert(old.key, place, new.key), np.insert(old.at, place, at), np.insert(old.owner, place, new.owner))

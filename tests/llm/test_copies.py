@@ -135,6 +135,22 @@ def test_suffix_index():
     assert len(index.levels) <= 12
 
 
+def test_suffix_index_of_several_keys():
+    """Strings of different keys don't match, whatever order they come in."""
+    rng = random.Random(8)
+    span = 5
+    index, strings, keys, first = SuffixIndex(span), [], [], []
+    for _ in range(40):
+        batch = [bytes(rng.choices(b"ab", k=rng.randint(0, 10))) for _ in range(rng.randint(1, 5))]
+        own = [rng.randint(-2, 2) for _ in batch]
+        first += index.add(batch, own)
+        strings += batch
+        keys += own
+        count = Counter((k, s[i : i + span]) for k, s in zip(keys, strings, strict=True) for i in range(len(s) - span + 1))
+        for k, s, at in zip(keys, strings, first, strict=True):
+            assert [bool(index.repeated[at + i]) for i in range(len(s) - span + 1)] == [count[k, s[i : i + span]] > 1 for i in range(len(s) - span + 1)]
+
+
 @pytest.mark.parametrize("segment", [None, 500])
 def test_repeated_strings(spark, monkeypatch, segment):
     texts = copies(random.Random(5))
@@ -176,9 +192,9 @@ def test_levels_of_a_shard():
     most = 0
 
     class Spy(SuffixIndex):
-        def add(self, strings):
+        def add(self, strings, keys=None):
             nonlocal most
-            out = super().add(strings)
+            out = super().add(strings, keys)
             most = max(most, len(self.levels))
             return out
 
