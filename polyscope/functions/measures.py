@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .constants import LABELS
+from .text import let
+
 
 def zero() -> Column:
     return F.lit(0.0)
@@ -89,7 +91,8 @@ def norm_preserving_add(h: Column, v: Column, alpha: Column) -> Column:
     """h + alpha v over what both have, brought to the length of h."""
     n = F.least(F.size(h), F.size(v))
     u = F.zip_with(F.slice(h, 1, n), F.slice(v, 1, n), lambda x, y: x + alpha * y)
-    return F.when(norm(u) == 0, u).otherwise(F.transform(u, lambda x: x * (norm(h) / norm(u))))
+    scaled = lambda v, size: F.when(size == 0, v).otherwise(let(norm(h) / size, lambda s: F.transform(v, lambda x: x * s)))
+    return let(u, lambda v: let(norm(v), lambda size: scaled(v, size)))
 
 
 def visual_reliance(a: Column, b: Column) -> Column:

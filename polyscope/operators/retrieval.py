@@ -13,8 +13,10 @@ def cosine_topk(queries: DataFrame, memory: DataFrame, k: int = 3, bucket: str =
 
     Both have sample_id, ``bucket`` and key (array of doubles). A stated set of queries meets the entries of its own bucket only.
     """
-    q = queries.select(F.col("sample_id").alias("query_id"), F.col("key").alias("qk"), bucket)
-    m = memory.select("sample_id", "key", bucket)
-    pairs = q.join(m, bucket).filter("query_id <> sample_id").select("query_id", "sample_id", measures.cosine(F.col("qk"), F.col("key")).alias("cosine"))
+    # a row's norm is worked out before the join, once
+    q = queries.select(F.col("sample_id").alias("query_id"), F.col("key").alias("qk"), measures.norm(F.col("key")).alias("qn"), bucket)
+    m = memory.select("sample_id", "key", measures.norm(F.col("key")).alias("n"), bucket)
+    cosine = F.when((F.col("qn") != 0) & (F.col("n") != 0), measures.dot(F.col("qk"), F.col("key")) / (F.col("qn") * F.col("n"))).otherwise(F.lit(0.0))
+    pairs = q.join(m, bucket).filter("query_id <> sample_id").select("query_id", "sample_id", cosine.alias("cosine"))
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "sample_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
