@@ -123,12 +123,12 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     log = files.read_json_lines(spark, args.output, LOG) if args.resume and there(args.output) else spark.createDataFrame([], LOG)
     if args.dry_run:
         row = runs.dry_run_row(rows, log, args.run_id, config, profile)
-        files.write_json_lines(row, args.output, append=True)
+        files.write_json_lines(row, args.output, append=True, by="run_id")
         print(json.dumps(row.first().asDict(), indent=2))
         return 0
     todo = runs.pending(rows, log)
     results = runs.answered(todo, models.loader(config), args.run_id, config, lock, profile, runs.code_commit(), runs.software_versions())
-    files.write_json_lines(results, args.output, append=True)
+    files.write_json_lines(results, args.output, append=True, by="run_id")
     return 0
 
 

@@ -99,3 +99,23 @@ def visual_reliance(a: Column, b: Column) -> Column:
     return F.greatest(a - b, zero())
 
 
+
+
+def gap(a: Column, b: Column) -> Column:
+    """By how much one language's accuracy exceeds another's."""
+    return a - b
+
+
+def probability_drop(matched: Column, other: Column) -> Column:
+    """How much of the gold label's probability is lost with another screen."""
+    return matched - other
+
+
+def condition_name(question_language: Column, gui_language: Column) -> Column:
+    """Which condition an oracle's screen makes."""
+    return F.when(question_language.eqNullSafe(gui_language), "canonical_matched").otherwise("oracle_aligned")
+
+
+def matrix_key(question_language: Column, gui_language: Column) -> Column:
+    """The name of a cell of a matrix of languages."""
+    return F.concat(question_language, F.lit("->"), gui_language)

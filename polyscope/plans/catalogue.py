@@ -468,7 +468,7 @@ def resource_gap(spark, sf):
     a = runs.accuracy(results(spark, sf), "language")
     b = a.select(F.col("language").alias("language_b"), F.col("accuracy").alias("acc_b"))
     # a row for each language on either side
-    return a.join(F.broadcast(b), F.col("language") < F.col("language_b")).select(F.col("language").alias("language_a"), "language_b", (F.round(F.col("accuracy") - F.col("acc_b"), 6) + 0.0).alias("gap"))
+    return a.join(F.broadcast(b), F.col("language") < F.col("language_b")).select(F.col("language").alias("language_a"), "language_b", (F.round(measures.gap(F.col("accuracy"), F.col("acc_b")), 6) + 0.0).alias("gap"))
 
 
 # --- label scores -------------------------------------------------------------------------------------------------------
@@ -514,14 +514,14 @@ def margin(spark, sf):
 
 @query(f"with {o.NORM} select question_language || '->' || gui_language as cell, round(avg({o.js('m', 'x')}), 6) + 0.0 as mean_js, count(*) as rows from s group by 1")
 def policy_shift_matrix(spark, sf):
-    return normal(spark, sf).groupBy(F.concat("question_language", F.lit("->"), "gui_language").alias("cell")).agg(r6(F.avg(measures.js_divergence(side("m"), side("x")))).alias("mean_js"), F.count("*").alias("rows"))
+    return normal(spark, sf).groupBy(measures.matrix_key(F.col("question_language"), F.col("gui_language")).alias("cell")).agg(r6(F.avg(measures.js_divergence(side("m"), side("x")))).alias("mean_js"), F.count("*").alias("rows"))
 
 
 @query(f"with {o.NORM} select vec_id, round(m_a - x_a, 6) + 0.0 as probability_drop, round(greatest(m_a - x_a, 0.0::double), 6) + 0.0 as visual_reliance, case when question_language = gui_language then 'canonical_matched' else 'oracle_aligned' end as condition from s")
 def visual_reliance(spark, sf):
     a, b = F.col("m_a"), F.col("x_a")
-    condition = F.when(F.col("question_language") == F.col("gui_language"), "canonical_matched").otherwise("oracle_aligned")
-    return normal(spark, sf).select("vec_id", r6(a - b).alias("probability_drop"), r6(measures.visual_reliance(a, b)).alias("visual_reliance"), condition.alias("condition"))
+    condition = measures.condition_name(F.col("question_language"), F.col("gui_language"))
+    return normal(spark, sf).select("vec_id", r6(measures.probability_drop(a, b)).alias("probability_drop"), r6(measures.visual_reliance(a, b)).alias("visual_reliance"), condition.alias("condition"))
 
 
 # --- vectors and statistics ---------------------------------------------------------------------------------------------

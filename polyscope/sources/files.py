@@ -111,8 +111,10 @@ def license_line(spark: SparkSession, readme: str) -> str | None:
     return found[0].x if found else None
 
 
-def write_json_lines(df: DataFrame, path: str, append: bool = False) -> None:
-    df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
+def write_json_lines(df: DataFrame, path: str, append: bool = False, by: str | None = None) -> None:
+    """Rows as JSON Lines; ``by`` deals them into a folder for each of its values, such as a run's."""
+    out = df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False)
+    (out.partitionBy(by) if by else out).json(path)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
