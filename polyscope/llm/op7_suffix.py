@@ -30,7 +30,7 @@ from .suffix_index import SuffixIndex
 
 SPAN, GRAM, SEGMENT, PLACE_BITS, BATCH = 200, 40, 1 << 19, 20, 1024
 #: Bytes of texts in a chunk, and of strings in a shard.
-CHUNK_BYTES, SHARD_BYTES = 16 << 20, 16 << 20
+CHUNK_BYTES, SHARD_BYTES = 16 << 20, 12 << 20
 #: A run: how often its string comes in its chunk (0: it repeats, as an equal one there goes on), its first and last window in the chunk's bytes, and whether the key's bytes recur in it.
 RUN = ["route", "n", "chunk", "lo", "hi", "own"]
 

@@ -3,7 +3,7 @@
 A batch of strings gets a suffix array: its suffixes of at least ``span`` bytes, in order of their string's key and then of their first
 ``span`` bytes. It is merge-scanned against the level arrays for suffixes of one key that agree in ``span`` bytes, and becomes a level
 itself; levels of about equal size are merged, so that n batches leave about log n levels, and a suffix is
-merged about log n times. Strings of different keys can't agree, so a scan looks only at keys that both have. A level keeps its text once and twenty bytes for each suffix; windows are only cut out a block at a time.
+merged about log n times. Strings of different keys can't agree, so a scan looks only at keys that both have. A level keeps its text and keys once and eight bytes for each suffix (sixteen beyond 2**31); windows are only cut out a block at a time.
 """
 
 from __future__ import annotations
@@ -13,20 +13,25 @@ import numpy as np
 BLOCK = 1 << 15
 
 
+def small(x: np.ndarray, most: int) -> np.ndarray:
+    """``x``, whose values are at most ``most``, in four bytes each if they fit."""
+    return x.astype(np.int32 if most < 1 << 31 else np.int64)
+
+
 class Level:
-    """Suffixes in order: their ``key``, ``at`` into ``text``, and ``owner``, the number given to each when added."""
+    """Suffixes in order: ``at`` into ``text``, and ``owner``, the number given to each when added; those of ``keys[i]`` are from ``starts[i]`` to ``starts[i + 1]``."""
 
-    def __init__(self, text: np.ndarray, key: np.ndarray, at: np.ndarray, owner: np.ndarray):
-        self.text, self.key, self.at, self.owner = text, key, at, owner
+    def __init__(self, text: np.ndarray, keys: np.ndarray, starts: np.ndarray, at: np.ndarray, owner: np.ndarray):
+        self.text, self.keys, self.starts, self.at, self.owner = text, keys, starts, at, owner
 
     def windows(self, of: np.ndarray | slice, span: int) -> np.ndarray:
         """The first ``span`` bytes of the suffixes numbered ``of``. Equal length makes trailing zero bytes harmless."""
         view = np.lib.stride_tricks.sliding_window_view(self.text, span)
         return np.ascontiguousarray(view[self.at[of]]).view(f"S{span}").ravel()
 
-    def lower(self, key: np.ndarray, wanted: np.ndarray, span: int) -> np.ndarray:
-        """For each window and its key, how many of the level's suffixes come before it: a binary search of all at once, within the key."""
-        low, high = np.searchsorted(self.key, key), np.searchsorted(self.key, key, "right")
+    def lower(self, low: np.ndarray, high: np.ndarray, wanted: np.ndarray, span: int) -> np.ndarray:
+        """For each window, how many of the level's suffixes come before it, from ``low`` to ``high``: a binary search of all at once."""
+        low, high = low.copy(), high.copy()
         while True:
             todo = np.flatnonzero(low < high)
             if not len(todo):
@@ -66,9 +71,10 @@ class SuffixIndex:
         at = np.arange(starts[-1]) + np.repeat(begin - starts[:-1], counts)
         key = np.repeat(np.array(keys, np.int64) if keys is not None else np.zeros(len(strings), np.int64), counts)
         by_key = np.argsort(key, kind="stable")
-        new = Level(text, key[by_key], at[by_key].astype(np.int32 if len(text) < 1 << 31 else np.int64), base + by_key)
-        edges = [0, *(np.flatnonzero(np.diff(new.key)) + 1).tolist(), len(at)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
+        own, edges = np.unique(key[by_key], return_index=True)
+        edges = np.append(edges, len(at))
+        new = Level(text, own, edges, small(at[by_key], len(text)), small(base + by_key, len(self.repeated)))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             order = a + np.argsort(new.windows(slice(a, b), span), kind="stable")
             new.at[a:b], new.owner[a:b] = new.at[order], new.owner[order]
         self.scan_within(new)
@@ -80,31 +86,48 @@ class SuffixIndex:
         return numbers
 
     def scan_within(self, level: Level) -> None:
-        """Neighbours in order that agree."""
+        """Neighbours in order that agree, of one key."""
         for first in range(0, len(level.at) - 1, BLOCK):
             of = np.arange(first, min(first + BLOCK + 1, len(level.at)))
             x = level.windows(of, self.span)
-            same = np.flatnonzero((x[1:] == x[:-1]) & (level.key[of[1:]] == level.key[of[:-1]]))
+            same = np.flatnonzero(x[1:] == x[:-1])
+            same = same[~np.isin(of[same] + 1, level.starts)]
             self.repeated[level.owner[of[same]]] = True
             self.repeated[level.owner[of[same] + 1]] = True
 
     def scan(self, level: Level, new: Level) -> np.ndarray:
         """Marks what agrees in two levels; returns where each of ``new`` stands in ``level``."""
-        place = np.searchsorted(level.key, new.key)
-        shared = np.flatnonzero(level.key[np.minimum(place, len(level.key) - 1)] == new.key)
-        for first in range(0, len(shared), BLOCK):
-            of = shared[first : first + BLOCK]
-            x = new.windows(of, self.span)
-            place[of] = low = level.lower(new.key[of], x, self.span)
-            inside = np.flatnonzero(low < len(level.at))
-            inside = inside[level.key[low[inside]] == new.key[of[inside]]]
-            same = inside[level.windows(low[inside], self.span) == x[inside]]
-            self.repeated[new.owner[of[same]]] = True
-            self.repeated[level.owner[low[same]]] = True  # others equal to it are marked already: they have each other
+        place = np.empty(len(new.at), np.int32 if len(level.at) < 1 << 31 else np.int64)
+        where = np.searchsorted(level.keys, new.keys)
+        for key, i, a, b in zip(new.keys, where.tolist(), new.starts[:-1].tolist(), new.starts[1:].tolist(), strict=True):
+            place[a:b] = level.starts[i]
+            if i == len(level.keys) or level.keys[i] != key:
+                continue
+            low, high = int(level.starts[i]), int(level.starts[i + 1])
+            for first in range(a, b, BLOCK):
+                of = slice(first, min(first + BLOCK, b))
+                x = new.windows(of, self.span)
+                place[of] = at = level.lower(np.full(len(x), low), np.full(len(x), high), x, self.span)
+                inside = np.flatnonzero(at < high)
+                same = inside[level.windows(at[inside], self.span) == x[inside]]
+                self.repeated[new.owner[of][same]] = True
+                self.repeated[level.owner[at[same]]] = True  # others equal to it are marked already: they have each other
         return place
 
     def merged(self, old: Level, new: Level) -> Level:
-        place = self.scan(old, new)
+        """One level of both, as whose suffixes stand in order: those of ``new`` go where they stand in ``old``."""
+        to = self.scan(old, new).astype(np.int64)
+        to += np.arange(len(to))
+        total = len(old.at) + len(new.at)
+        rest = np.ones(total, bool)
+        rest[to] = False
         text = np.concatenate([old.text, new.text])
-        at = new.at.astype(np.int32 if len(text) < 1 << 31 else np.int64) + len(old.text)
-        return Level(text, np.insert(old.key, place, new.key), np.insert(old.at, place, at), np.insert(old.owner, place, new.owner))
+        at, owner = (np.empty(total, np.int32 if most < 1 << 31 else np.int64) for most in (len(text), len(self.repeated)))
+        at[to], owner[to] = new.at, new.owner
+        at[to] += len(old.text)
+        at[rest], owner[rest] = old.at, old.owner
+        keys = np.union1d(old.keys, new.keys)
+        sizes = np.zeros(len(keys), np.int64)
+        for level in (old, new):
+            sizes[np.searchsorted(keys, level.keys)] += np.diff(level.starts)
+        return Level(text, keys, np.concatenate([[0], np.cumsum(sizes)]), at, owner)
