@@ -30,7 +30,7 @@ from .suffix_index import SuffixIndex
 
 SPAN, GRAM, SEGMENT, PLACE_BITS, BATCH = 200, 40, 1 << 19, 20, 1024
 #: Bytes of texts in a chunk, and of strings in a shard.
-CHUNK_BYTES, SHARD_BYTES = 16 << 20, 12 << 20
+CHUNK_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
 #: A run: how often its string comes in its chunk (0: it repeats, as an equal one there goes on), its first and last window in the chunk's bytes, and whether the key's bytes recur in it.
 RUN = ["route", "n", "chunk", "lo", "hi", "own"]
 
@@ -222,6 +222,7 @@ def search(batches: Iterator[pa.RecordBatch], span: int = SPAN, size: int = BATC
         edges = np.flatnonzero(flags[1:] != flags[:-1])
         out += [(chunk, lo + int(a), lo + int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
     yield from batch_of()
+    pa.default_memory_pool().release_unused()
 
 
 def repeated_windows(chunks: DataFrame, span: int = SPAN, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, size: int = BATCH) -> DataFrame:
@@ -235,6 +236,7 @@ def repeated_windows(chunks: DataFrame, span: int = SPAN, gram: int = GRAM, shar
                 for first in range(0, len(route), 1 << 17):
                     part = slice(first, first + (1 << 17))
                     yield pa.record_batch([pa.array(x[part]) for x in (route, n, np.full(len(route), chunk), lo, hi, own)], names=RUN)
+        pa.default_memory_pool().release_unused()  # a worker stays for later tasks
 
     schema = ", ".join(f"{c} long" for c in RUN)
     found = chunks.select("chunk", "rows").mapInArrow(runs, schema)
