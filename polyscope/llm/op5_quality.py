@@ -33,7 +33,7 @@ from .common import U64, as_text, if_small, mixed, packed, unpacked, written
 from .ngrams import characters
 from .op9_language import in_chunks
 
-ORDER, QUANTILE, SLACK, CHUNK_BYTES = 4, 0.99, 1.1, 32 << 20
+ORDER, QUANTILE, SLACK, CHUNK_BYTES = 4, 0.99, 1.1, 8 << 20
 FOLDS, LEAST = 5, 10
 #: Compressed bytes of chunks whose n-grams one shard holds, and shards at most.
 SHARD_BYTES, MOST_SHARDS = 16 << 20, 4096
@@ -321,6 +321,7 @@ def perplexities(rows: DataFrame, model: Model, most: int = CHUNK_BYTES) -> Data
                     out += [(int(k), 1, chunk, f, len(x), squeezed(x), None) for k, x in zip(used, np.split(code[by], starts[1:]), strict=True)]
                 if out:
                     yield asked_rows(out)
+        pa.default_memory_pool().release_unused()  # a worker stays for later tasks
 
     asked = written(chunks.select("chunk", "rows").mapInArrow(ask, ASKED), "kn-asked")
     grams = written(asked.repartition(shards, "shard").sortWithinPartitions("shard", "fold").mapInArrow(distinct_grams, "fold int, gram long"), "kn-grams")
