@@ -8,6 +8,7 @@ can be looked up whole. Any other text goes through the pattern as one.
 from __future__ import annotations
 
 import json
+import re
 from itertools import chain
 
 import regex
@@ -19,6 +20,8 @@ from .lexicon import Lexicon, compiled
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Stretches kept by a worker; at this number it forgets them all and goes on.
 REMEMBERED = 700_000
+#: White space of so many characters is merged by our own loop: a pattern with a look-ahead steps back over it character by character, and that of the Rust path keeps a step of each.
+LONG_GAP = 100_000
 
 
 def byte_of() -> dict[str, int]:
@@ -28,6 +31,11 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def has_long_gap(text: str) -> bool:
+    """Whether a text holds ``LONG_GAP`` characters of white space on end; each character is looked at once."""
+    return len(text) >= LONG_GAP and any(len(x[0]) >= LONG_GAP for x in re.finditer(r"\s{64}\s*+", text))
+
+
 class Vocabulary:
     """The vocabulary and merges of a tokenizers file of byte-level BPE."""
 
@@ -114,7 +122,9 @@ class Encoder:
         ids = self.lexicon.get(word) if self.lexicon else None
         if ids is not None:
             return ids
-        return self.vocabulary.fast(piece) if self.vocabulary.fast else self.vocabulary.merged(word)
+        if self.vocabulary.fast is None or (len(piece) >= LONG_GAP and piece.isspace()):
+            return self.vocabulary.merged(word)
+        return self.vocabulary.fast(piece)
 
     def whole(self, text: str) -> list[int]:
         return [i for p in self.pattern.findall(text) for i in self.piece(p)]
@@ -148,7 +158,7 @@ class Encoder:
     def encode_directly(self, text: str) -> list[int]:
         """The same ids without lexicon, where how words are found doesn't matter."""
         special, fast = self.vocabulary.special, self.vocabulary.fast
-        if not fast:
+        if not fast or has_long_gap(text):
             return self.encode(text)
         if self.vocabulary.split_special is None or not any(x in text for x in special):
             return fast(text)
