@@ -236,6 +236,8 @@ ASKED = "shard long, kind int, chunk long, fold int, n long, grams binary, logp
 def packed_answers(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """Rows of kind 0 of fold, gram, logp."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         fold, gram, logp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         shard, rows = shard_of(gram, shards), []
         order = np.lexsort((gram, fold, shard))

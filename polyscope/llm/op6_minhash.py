@@ -86,7 +86,7 @@ def runs(texts: pa.Array, hasher: Hasher, words: int = WORDS) -> Iterator[tuple[
 def parts(row: np.ndarray) -> Iterator[tuple[int, int]]:
     """First and last-plus-one place of each row in ``row``, which is in order."""
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])[: len(row)])
-    return zip(first.tolist(), np.append(first[1:], len(row)).tolist(), strict=True)
+    return zip(first.tolist(), np.append(first[1:], len(row))[: len(first)].tolist(), strict=True)
 
 
 def counted(texts: pa.Array, hasher: Hasher, words: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
