@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .op1_lines import SQL as LINES_SQL
+from .op11_audit import SQL as AUDIT_SQL
+from .op12_trie import SQL as TRIE_SQL
+from .op13_urls import SQL as URLS_SQL
 
 
 def tokenizer_path() -> str:
@@ -76,6 +79,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op11_audit import audited
+
+    return audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op12_trie import rebuilt_trie
+
+    return rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op13_urls import verdicts
+
+    return verdicts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": op1_lines,
     "op2_bpe": op2_bpe,
@@ -87,5 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
+    "op11_audit": op11_audit,
+    "op12_trie": op12_trie,
+    "op13_urls": op13_urls,
 }
-SQL: dict[str, str] = {"op1_lines": LINES_SQL}
+SQL: dict[str, str] = {"op1_lines": LINES_SQL, "op11_audit": AUDIT_SQL, "op12_trie": TRIE_SQL, "op13_urls": URLS_SQL}
