@@ -1,4 +1,4 @@
-"""Commands over files: audit, build, validate, run and preflight.
+"""Commands over files: download, audit, build, validate, release (the three before), run and preflight.
 
     python -m polyscope build --root data/raw --out data/manifests/manifest.jsonl ...
 
@@ -13,13 +13,14 @@ import json
 import sys
 import uuid
 from pathlib import Path
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths
 from .operators import audit, manifest, models, runs, validate
-from .sources import files, report
+from .sources import files, report, runlog, snapshot, store
 
 DATA = "data/manifests"
 
@@ -69,7 +70,7 @@ def audit_release(args: argparse.Namespace, spark: SparkSession) -> int:
     found = {
         "rows": m.count(), "license": license_name, "missing_assets": audit.missing_assets(m).count(), "malformed_answers": audit.malformed_answers(m).count(), "non_label_only_answers": audit.non_label_only_answers(m).count(),
         "rows_by_language": {r.language: r.rows for r in audit.rows_by_language(m).collect()}, "rows_by_dimension": {r.dimension: r.rows for r in audit.rows_by_dimension(m).collect()},
-        "option_parse_status": {r.option_parse_status: r.rows for r in audit.option_status_counts(m).collect()}, "files": [r.asDict() for r in audit.file_profile(m).orderBy("qas_file").limit(10_000).collect()],
+        "option_parse_status": {r.option_parse_status: r.rows for r in audit.option_status_counts(m).collect()}, "files": [r.asDict() for r in audit.file_profile(m).orderBy("qas_file").toLocalIterator()],
         "coverage": {r.dimension: r.asDict() for r in audit.coverage_by_dimension(m).collect()},
     }
     files.write_json_document(found, args.json_out)
@@ -86,11 +87,10 @@ def verdict(spark: SparkSession, args: argparse.Namespace) -> tuple[bool, DataFr
     asked = [df.select(F.explode("image_paths").alias("path")) for df in (canonical, mismatch) if df is not None]
     existing = None
     if asked:
-        # images are looked for where the paths lie
+        # each path is looked up where it lies; nothing else is listed
         top = args.repo_root.rstrip("/") or "."
-        roots = [r.x for r in validate.union(asked).select(F.regexp_extract("path", "^(/?[^/]+/[^/]+)", 1).alias("x")).distinct().limit(1000).collect()]
-        found = [files.list_files(spark, r if r.startswith("/") else f"{top}/{r}").select(F.concat(F.lit(f"{r}/"), "path").alias("path")) for r in roots if Path(r if r.startswith("/") else f"{top}/{r}").exists()]
-        existing = manifest.existing_paths(validate.union(found)) if found else spark.createDataFrame([], "path string")
+        path = F.col("path")
+        existing = store.existing(validate.union(asked).distinct().withColumn("at", F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(f"{top}/"), path))))
     errors = validate.messages(validate.release_violations(m, index, pairs, canonical, mismatch, existing)).persist()
     return errors.isEmpty(), errors.orderBy("place"), validate.counts_of(m, index, pairs, canonical, mismatch).first().asDict()
 
@@ -120,15 +120,17 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         config["generation"] = {**(config.get("generation") or {}), "max_new_tokens": args.max_new_tokens}
     profile = args.prompt_profile or config.get("prompt_profile", "mpr_minimal_v1")
     rows = planned(args, spark)
+    log_of_run = f"{args.output}/run_id={quote(args.run_id, safe='')}"
+    runlog.recover(log_of_run)
     log = files.read_json_lines(spark, args.output, LOG) if args.resume and there(args.output) else spark.createDataFrame([], LOG)
     if args.dry_run:
         row = runs.dry_run_row(rows, log, args.run_id, config, profile)
-        files.write_json_lines(row, args.output, append=True, by="run_id")
+        runlog.append(row.drop("run_id"), log_of_run)
         print(json.dumps(row.first().asDict(), indent=2))
         return 0
     todo = runs.pending(rows, log)
     results = runs.answered(todo, models.loader(config), args.run_id, config, lock, profile, runs.code_commit(), runs.software_versions())
-    files.write_json_lines(results, args.output, append=True, by="run_id")
+    runlog.append(results.drop("run_id"), log_of_run)
     return 0
 
 
@@ -136,8 +138,7 @@ def preflight(args: argparse.Namespace, spark: SparkSession) -> int:
     config = files.load_config(args.model_config)
     rows = runs.sliced(read(spark, args.inputs), ["input_id"], args.limit).persist()
     rows = rows.withColumn("image_paths", paths.resolve_paths(F.col("image_paths"), F.lit(str(Path(args.repo_root).resolve()))))
-    there_ = [r.path for r in rows.select(F.explode("image_paths").alias("path")).distinct().toLocalIterator() if Path(r.path).exists()]
-    images = files.image_sizes(spark, there_).withColumn("path", F.regexp_replace("path", "^file:/*(?=/)", "")) if there_ else None
+    images = files.image_sizes(rows.select(F.explode("image_paths").alias("path")).distinct())
     records = runs.preflight_records(rows, models.loader({"adapter": "word_count", **config}, models.PROCESSORS), config, args.prompt_profile, images).persist()
     summary = report.preflight_summary(records)
     files.write_json_document({"summary": summary, "records": args.json_out + ".records"}, args.json_out)
@@ -148,8 +149,19 @@ def preflight(args: argparse.Namespace, spark: SparkSession) -> int:
 
 
 def download(args: argparse.Namespace, spark: SparkSession) -> int:
-    print("Downloads are outside the engine: fetch a release by other means and note its revisions with sources.files.write_provenance.", file=sys.stderr)
-    return 1
+    """A release as its lock file pins it, from a mirror: nothing is kept whose digest is wrong."""
+    if not (there(args.lock) and args.mirror):
+        print("Give a mirror (--mirror) and the lock file that pins its files (--lock); hubs aren't asked from here.", file=sys.stderr)
+        return 1
+    copied = snapshot.fetch(spark, args.mirror, args.lock, args.root, args.allow).agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    files.write_provenance(f"{args.root}/SOURCE.json", "qas and images", {"revision": snapshot.lock_of(args.lock)["revision"], "mirror": args.mirror})
+    print(json.dumps({"files": copied.files, "bytes": copied.bytes}))
+    return 0
+
+
+def release(args: argparse.Namespace, spark: SparkSession) -> int:
+    """Audit, build and validate, one after the other; ends with the first that finds something wrong."""
+    return audit_release(args, spark) or build(args, spark) or validate_files(args, spark)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -164,13 +176,17 @@ def parser() -> argparse.ArgumentParser:
         return p
 
     root = ("--root", "data/raw/release", str)
-    command("build", build, "manifest, parallel index, pairs and model inputs of a release", root, ("--out", f"{DATA}/manifest.jsonl", str), ("--parallel-out", f"{DATA}/parallel_index.jsonl", str), ("--pairs-out", f"{DATA}/cross_locale_pairs.jsonl", str), ("--canonical-inputs-out", f"{DATA}/canonical_inputs.jsonl", str), ("--mismatch-inputs-out", f"{DATA}/mismatch_inputs.jsonl", str))
-    command("audit", audit_release, "report on a release", root, ("--json-out", f"{DATA}/release_audit.json", str), ("--markdown-out", "docs/RELEASE_AUDIT.md", str))
-    command("validate", validate_files, "check the artifacts of a release", ("--manifest", f"{DATA}/manifest.jsonl", str), ("--parallel", f"{DATA}/parallel_index.jsonl", str), ("--pairs", f"{DATA}/cross_locale_pairs.jsonl", str), ("--canonical-inputs", f"{DATA}/canonical_inputs.jsonl", str), ("--mismatch-inputs", f"{DATA}/mismatch_inputs.jsonl", str), ("--repo-root", ".", str))
+    outs = (("--out", f"{DATA}/manifest.jsonl", str), ("--parallel-out", f"{DATA}/parallel_index.jsonl", str), ("--pairs-out", f"{DATA}/cross_locale_pairs.jsonl", str), ("--canonical-inputs-out", f"{DATA}/canonical_inputs.jsonl", str), ("--mismatch-inputs-out", f"{DATA}/mismatch_inputs.jsonl", str))
+    reports = (("--json-out", f"{DATA}/release_audit.json", str), ("--markdown-out", "docs/RELEASE_AUDIT.md", str))
+    checked = (("--manifest", f"{DATA}/manifest.jsonl", str), ("--parallel", f"{DATA}/parallel_index.jsonl", str), ("--pairs", f"{DATA}/cross_locale_pairs.jsonl", str), ("--canonical-inputs", f"{DATA}/canonical_inputs.jsonl", str), ("--mismatch-inputs", f"{DATA}/mismatch_inputs.jsonl", str), ("--repo-root", ".", str))
+    command("build", build, "manifest, parallel index, pairs and model inputs of a release", root, *outs)
+    command("audit", audit_release, "report on a release", root, *reports)
+    command("validate", validate_files, "check the artifacts of a release", *checked)
+    command("release", release, "audit, build and validate a release", root, *outs, *reports, *checked)
     model = (("--inputs", f"{DATA}/canonical_inputs.jsonl", str), ("--model-config", "configs/model.json", str), ("--repo-root", ".", str), ("--prompt-profile", None, str), ("--limit", None, int))
     command("run", run, "answers of a model to inputs", *model, ("--source-lock", f"{DATA}/source_lock.json", str), ("--output", "results/canonical.jsonl", str), ("--run-id", f"canonical-{uuid.uuid4().hex[:12]}", str), ("--languages", None, str), ("--dimensions", None, str), ("--max-new-tokens", None, int), ("--device-map", None, str), ("--attn-implementation", None, str), ("--resume", False, bool), ("--dry-run", False, bool))
     command("preflight", preflight, "how much of a model's context inputs take", *model, ("--json-out", f"{DATA}/preflight.json", str), ("--markdown-out", "docs/PREFLIGHT.md", str))
-    command("download", download, "says how to get a release", root)
+    command("download", download, "a pinned release from a mirror", root, ("--mirror", None, str), ("--lock", f"{DATA}/snapshot_lock.json", str), ("--allow", None, str))
     return top
 
 

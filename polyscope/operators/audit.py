@@ -37,6 +37,32 @@ def language_dimension_matrix(m: DataFrame) -> DataFrame:
     return m.filter(F.col("language").isin(*LANGUAGES)).groupBy("language").agg(*cells, F.count("*").alias("total"))
 
 
+def levels(m: DataFrame) -> DataFrame:
+    """Counts of all levels of the report from one scan: level, language, dimension, languages, rows and states.
+
+    Rows are counted by state and language first; what is left, at most six rows a state, gives rows by language, by dimension and by both, and, by dimension, how many states have how many
+    languages (null where a level has none of it). Rows of unknown languages or dimensions count as null there; states are those of :func:`states`.
+    """
+    known = lambda c, values: F.when(F.col(c).isin(*values), F.col(c))
+    is_state = (F.col("dimension") != "unknown") & F.col("language").isin(*LANGUAGES) & (F.col("asset") != "")
+    cells = m.groupBy("dimension", "state_key", "language").agg(F.count("*").alias("n"), F.max(is_state.cast("int")).alias("s"))
+    state = Window.partitionBy("dimension", "state_key")
+    of_state = F.sum("s").over(state)
+    cells = cells.select(
+        known("language", LANGUAGES).alias("language"), known("dimension", DIMENSIONS).alias("dimension"), "n", of_state.alias("languages"),
+        # a state counts once, with its first cell
+        (F.row_number().over(state.orderBy(F.desc("s"), "language")) == 1).cast("long").alias("first"),
+    )
+    sets = cells.groupingSets([[F.col("language")], [F.col("dimension")], [F.col("language"), F.col("dimension")], [F.col("dimension"), F.col("languages")]], "language", "dimension", "languages")
+    counted = sets.agg(F.grouping_id().alias("g"), F.sum("n").alias("rows"), F.sum("first").alias("states"))
+    # bits of columns that a set leaves out: language 4, dimension 2, languages 1
+    name = F.when(F.col("g") == 3, "language").when(F.col("g") == 5, "dimension").when(F.col("g") == 1, "language_dimension").otherwise("coverage")
+    told = counted.select(name.alias("level"), "language", "dimension", "languages", "rows", "states")
+    is_coverage = F.col("level") == "coverage"
+    told = told.filter(F.when(is_coverage, (F.col("languages") > 0) & F.col("dimension").isNotNull()).otherwise(True))
+    return told.select("level", "language", "dimension", F.when(is_coverage, F.col("languages")).alias("languages"), F.when(~is_coverage, F.col("rows")).alias("rows"), F.when(is_coverage, F.col("states")).alias("states"))
+
+
 def label_counts_by_file(m: DataFrame) -> DataFrame:
     return m.groupBy("qas_file").agg(*[F.count_if(F.col("gold_label") == x).alias(f"n_{x.lower()}") for x in LABELS])
 

@@ -7,13 +7,15 @@ import platform
 import subprocess
 import sys
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.constants import DIMENSION_WEIGHTS
+from ..functions.constants import DIMENSION_WEIGHTS, LABELS
+from ..sources.shared import written
 from .models import PACKAGES
 
 
@@ -50,6 +52,8 @@ def dry_run(planned: DataFrame, log: DataFrame) -> DataFrame:
     return planned.join(done, "input_id", "left").agg(F.count("*").alias("planned_rows"), F.count_if(F.col("done").isNull()).alias("pending_rows"))
 
 
+#: Rows that a model answers before they are passed on.
+AT_A_TIME = 64
 RUN_SCHEMA = "rendered_prompt string, prompt_token_count int, output_token_count int, raw_output string, latency_ms int, status string, error_type string, error_message string"
 
 
@@ -77,30 +81,38 @@ def software_versions(packages: tuple[str, ...] = PACKAGES) -> dict[str, str | N
     return {"python": platform.python_version(), "platform": f"{sys.platform}-{platform.machine()}", **{p: version(p) for p in packages}}
 
 
-def result_base(inputs: DataFrame, run_id: str, config: dict, lock: dict | None = None, profile: str | None = None, commit: str | None = None, versions: dict[str, str | None] | None = None) -> DataFrame:
-    """What every row of a run's results says about where it comes from: the run, code, data, model and input."""
+def base_columns(columns: list[str], run_id: str, config: dict, lock: dict | None = None, profile: str | None = None, commit: str | None = None, versions: dict[str, str | None] | None = None) -> list[Column]:
+    """What every row of a run's results says about where it comes from: the run, code, data, model and input. ``columns``: those of the inputs."""
     lock, null = lock or {}, F.lit(None).cast("string")
     text_of = lambda x: null if x is None else F.lit(str(x))
     software = F.create_map(*[y for k, v in (versions or {}).items() for y in (F.lit(k), text_of(v))]) if versions else F.create_map().cast("map<string,string>")
-    raw = F.coalesce("answer_raw", "gold_label") if "answer_raw" in inputs.columns else F.col("gold_label")
-    return inputs.select(
+    raw = F.coalesce("answer_raw", "gold_label") if "answer_raw" in columns else F.col("gold_label")
+    return [
         F.lit(run_id).alias("run_id"), text_of(commit).alias("code_commit"), text_of(lock.get("huggingface", {}).get("sha")).alias("dataset_hf_revision"), text_of(lock.get("github", {}).get("commit")).alias("dataset_github_revision"),
         text_of(config.get("model_id")).alias("model_id"), text_of(config.get("revision")).alias("model_revision"), text_of(config.get("revision")).alias("processor_revision"), F.lit("transformers").alias("backend"), software.alias("software_versions"),
         F.lit(profile or config.get("prompt_profile", "mpr_minimal_v1")).alias("prompt_profile"), F.lit(config.get("processor_profile", "qwen_default")).alias("processor_profile"),
-        "input_id", "sample_id", "parallel_id", F.col("question_language").alias("language"), "dimension", "image_paths", "num_images", "gold_label", raw.alias("gold_raw"),
-    )
+        *[F.col(c) for c in ("input_id", "sample_id", "parallel_id")], F.col("question_language").alias("language"), *[F.col(c) for c in ("dimension", "image_paths", "num_images", "gold_label")], raw.alias("gold_raw"),
+    ]
+
+
+def result_base(inputs: DataFrame, *of_run, **more) -> DataFrame:
+    """The columns of :func:`base_columns` for inputs."""
+    return inputs.select(*base_columns(inputs.columns, *of_run, **more))
 
 
 RESULT = "rendered_prompt string, prompt_token_count int, output_token_count int, raw_output string, parsed_label string, parse_success boolean, raw_string_exact boolean, normalized_correct boolean, invalid boolean, latency_ms int, status string, error_type string, error_message string"
 
 
+#: What of an input its result row needs.
+INPUT = ("input_id", "sample_id", "parallel_id", "question_language", "dimension", "image_paths", "num_images", "gold_label", "question_raw", "answer_raw")
+
+
 def answered(inputs: DataFrame, load: Callable[[], Callable[[dict], dict]], run_id: str, config: dict, lock: dict | None = None, profile: str | None = None, commit: str | None = None, versions: dict[str, str | None] | None = None) -> DataFrame:
-    """The result rows of a model over inputs, in full: :func:`result_base` and what came of each."""
+    """The result rows of a model over inputs, in full: :func:`base_columns` and what came of each. A row goes through the model as it is, so each input, whatever its id, has one result."""
     profile = profile or config.get("prompt_profile", "mpr_minimal_v1")
-    base = result_base(inputs, run_id, config, lock, profile, commit, versions)
-    got = run_model(inputs.select("input_id", "question_raw", "image_paths", "gold_label", *(["answer_raw"] if "answer_raw" in inputs.columns else [])), load, profile, {})
-    columns = [c.split()[0] for c in RESULT.split(", ")]
-    return base.join(got.select("input_id", *columns), "input_id")
+    got = run_model(inputs.select(*[c for c in INPUT if c in inputs.columns]), load, profile, {})
+    base = base_columns(got.columns, run_id, config, lock, profile, commit, versions)
+    return got.select(*base, *[c.split()[0] for c in RESULT.split(", ")])
 
 
 def dry_run_row(planned: DataFrame, log: DataFrame, run_id: str, config: dict, profile: str) -> DataFrame:
@@ -121,43 +133,47 @@ def preflight_records(inputs: DataFrame, load: Callable[[], Callable[[dict], dic
     if images is None:
         rows = rows.withColumn("image_info", F.array().cast(info))
     else:
-        each = rows.select("input_id", F.posexplode("image_paths").alias("at", "path")).join(images.select("path", "width", "height", "sha256").dropDuplicates(["path"]), "path", "left")
-        known = each.groupBy("input_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "path", "width", "height", "sha256"))), lambda x: F.struct(x["path"].alias("path"), x["width"].alias("width"), x["height"].alias("height"), x["sha256"].alias("sha256"))).alias("image_info"))
-        rows = rows.join(known, "input_id", "left").withColumn("image_info", F.coalesce("image_info", F.array().cast(info)))
+        # equal lists of images are looked up once, whatever their inputs are called
+        each = rows.select("image_paths").distinct().select("image_paths", F.posexplode("image_paths").alias("at", "path")).join(images.select("path", "width", "height", "sha256").dropDuplicates(["path"]), "path", "left")
+        known = each.groupBy("image_paths").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "path", "width", "height", "sha256"))), lambda x: F.struct(x["path"].alias("path"), x["width"].alias("width"), x["height"].alias("height"), x["sha256"].alias("sha256"))).alias("image_info"))
+        rows = rows.join(known, "image_paths", "left").withColumn("image_info", F.coalesce("image_info", F.array().cast(info)))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counted = ("text_tokens", "total_sequence_length", "visual_grid_tokens")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         process = load()
-        for pdf in batches:
-            got = [process(row) for row in pdf.to_dict("records")]
-            yield pdf.assign(**{c: pd.Series([x.get(c) for x in got], dtype="Int64", index=pdf.index) for c in ("text_tokens", "total_sequence_length", "visual_grid_tokens")})
+        for batch in batches:
+            got = [process(row) for row in batch.to_pylist()]
+            yield pa.record_batch([*batch.columns, *[pa.array([x.get(c) for x in got], pa.int64()) for c in counted]], names=[*batch.schema.names, *counted])
 
-    out = rows.mapInPandas(measure, f"{kinds}, {PREFLIGHT}").drop("prompt", "image_paths")
+    out = rows.mapInArrow(measure, f"{kinds}, {PREFLIGHT}").drop("prompt", "image_paths")
     return out.withColumns({"prompt_profile": F.lit(profile), "processor_profile": F.lit(config.get("processor_profile", "qwen_default"))})
 
 
 def run_model(inputs: DataFrame, load: Callable[[], Callable[[dict], dict]], profile: str, base: dict[str, Column]) -> DataFrame:
     """Results of a model over inputs, a batch at a time. ``load`` makes the model once for each worker; an error fails its own row only."""
+    made = {"rendered_prompt": pa.string(), "prompt_token_count": pa.int32(), "output_token_count": pa.int32(), "raw_output": pa.string(), "latency_ms": pa.int32(), "status": pa.string(), "error_type": pa.string(), "error_message": pa.string()}
     rows = inputs.withColumns({**base, "prompt": text.prompt_text(F.col("question_raw"), F.lit(profile)), "prompt_profile": F.lit(profile)})
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import time
 
         model = load()
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                began = time.perf_counter()
-                try:
-                    got = {"status": "success", **model(row)}
-                except Exception as e:  # noqa: BLE001  whatever a model raises is recorded
-                    got = {"status": "failed", "error_type": type(e).__name__, "error_message": str(e)}
-                out.append({**row, "rendered_prompt": None, "prompt_token_count": None, "output_token_count": None, "raw_output": None, "error_type": None, "error_message": None, **got, "latency_ms": int((time.perf_counter() - began) * 1000)})
-            if out:
-                yield pd.DataFrame(out)
+        for whole in batches:
+            for first in range(0, whole.num_rows, AT_A_TIME):
+                batch, out = whole.slice(first, AT_A_TIME), []
+                for row in batch.to_pylist():
+                    began = time.perf_counter()
+                    try:
+                        got = {"status": "success", **model(row)}
+                    except Exception as e:  # noqa: BLE001  whatever a model raises is recorded
+                        got = {"status": "failed", "error_type": type(e).__name__, "error_message": str(e)}
+                    out.append({**got, "latency_ms": int((time.perf_counter() - began) * 1000)})
+                yield pa.record_batch([*batch.columns, *[pa.array([x.get(c) for x in out], t) for c, t in made.items()]], names=[*batch.schema.names, *made])
 
-    return scored(rows.mapInPandas(run, f"{kinds}, {RUN_SCHEMA}"))
+    return scored(rows.mapInArrow(run, f"{kinds}, {RUN_SCHEMA}"))
 
 
 def scored(results: DataFrame) -> DataFrame:
@@ -180,6 +196,23 @@ def latest_success(results: DataFrame, order: str) -> DataFrame:
     return results.filter("status = 'success'").groupBy("input_id").agg(F.max_by(row, order).alias("r")).select("r.*")
 
 
+SUMMARY = ("run_id", "dimension")
+
+
+def summarised(results: DataFrame, order: str) -> DataFrame:
+    """The metrics of each run and dimension, over each input's last successful row of the run: rows, normalized_accuracy, exact_match, and how many answers name each label or none."""
+    row = F.struct(*results.columns)
+    last = results.filter("status = 'success'").groupBy("run_id", "input_id").agg(F.max_by(row, order).alias("r")).select("r.*")
+    share = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("int"))
+    counts = [F.count_if(F.col("parsed_label").eqNullSafe(F.lit(x))).alias(f"n_{x.lower()}") for x in LABELS]
+    return last.groupBy(*SUMMARY).agg(F.count("*").alias("rows"), share("normalized_correct").alias("normalized_accuracy"), share("raw_string_exact").alias("exact_match"), *counts, F.count_if("invalid").alias("n_invalid"))
+
+
+def write_summaries(summaries: DataFrame, path: str) -> None:
+    """Puts summaries in the place of those of the same run and dimension; others stay as they are."""
+    summaries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SUMMARY).parquet(path)
+
+
 def accuracy(results: DataFrame, *by: str) -> DataFrame:
     """Share of correct rows; 0 without rows where there is no grouping."""
     share = F.coalesce(F.avg(F.col("normalized_correct").cast("int")), F.lit(0.0)).alias("accuracy")
@@ -205,30 +238,51 @@ def label_distribution(results: DataFrame, column: str = "parsed_label") -> Data
     return results.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("rows"))
 
 
-def percentiles(df: DataFrame, fields: list[str], percents: tuple[int, ...] = (90, 95, 99)) -> DataFrame:
-    """field, min, p50, p90 .. max of integer columns, of each in one row (null without values).
+#: Ranges that an interval of values is dealt into in a round of :func:`selected`.
+RANGES = 4096
 
-    Rows are counted by field and value. Values are then dealt by ranges, whose sums tell in which range the value at a rank lies, so no task ranks a field's values.
+
+def selected(values: DataFrame, ranks: DataFrame) -> DataFrame:
+    """field, i and v: of each field's values (field, v; longs, read more than once) in order the one at index i. ``ranks``: field, i, low and high, a few rows; values lie from low to high.
+
+    Each round counts the values of the intervals where ranks lie in ``RANGES`` ranges of equal width and goes on with the range that holds the rank, so 64 bits take six rounds at most, however the values
+    are spread, and no task gets more than counts of ranges.
     """
+    spark = values.sparkSession
+    kind = "field string, i long, low long, high long, before long"
+    known = [(r.field, r.i, r.low, r.high, 0) for r in ranks.collect()]
+    while any(low < high for _, _, low, high, _ in known):
+        open_ = {(f, low, high) for f, _, low, high, _ in known if low < high}
+        # decimals, as an interval may be as wide as all longs
+        asked = spark.createDataFrame([(f, low, high, Decimal(-(-(high - low + 1) // RANGES))) for f, low, high in sorted(open_)], "field string, low long, high long, width decimal(20,0)")
+        part = F.expr("cast((cast(v as decimal(20,0)) - cast(low as decimal(20,0))) div width as int)")
+        counts = values.join(F.broadcast(asked), "field").filter("v between low and high").groupBy("field", "low", "high", part.alias("part")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("field", "low", "high").orderBy("part"))
+        placed = counts.withColumn("upto", upto)  # at most RANGES rows an interval
+        now = spark.createDataFrame(known, kind)
+        at = F.col("i") - F.col("before")
+        found = now.join(placed, ["field", "low", "high"]).filter((at < F.col("upto")) & (at >= F.col("upto") - F.col("n"))).select("field", "i", "low", "high", "part", (F.col("before") + F.col("upto") - F.col("n")).alias("before"))
+        narrower = {}
+        for r in found.collect():
+            width = -(-(r.high - r.low + 1) // RANGES)
+            narrower[r.field, r.i] = (r.low + r.part * width, min(r.high, r.low + (r.part + 1) * width - 1), r.before)
+        known = [(f, i, *narrower.get((f, i), (low, high, before))) for f, i, low, high, before in known]
+    return spark.createDataFrame([(f, i, low) for f, i, low, _, _ in known], "field string, i long, v long")
+
+
+def percentiles(df: DataFrame, fields: list[str], percents: tuple[int, ...] = (90, 95, 99)) -> DataFrame:
+    """field, min, p50, p90 .. max of integer columns, of each in one row (null without values): exact, by :func:`selected`."""
     values = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("long").alias("v")) for f in fields])).alias("x")).select("x.*").filter("v is not null")
-    counts = values.groupBy("field", "v").agg(F.count("*").alias("n"))
-    total = counts.groupBy("field").agg(F.sum("n").alias("total"), F.min("v").alias("min"), F.max("v").alias("max"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("max") - F.col("min") + 1) / RANGES)).cast("long")
-    placed = counts.join(F.broadcast(total), "field").withColumn("part", F.floor((F.col("v") - F.col("min")) / width))
-    sums = placed.groupBy("field", "part").agg(F.sum("n").alias("m"))  # at most RANGES rows a field
-    before = sums.withColumn("before", F.sum("m").over(Window.partitionBy("field").orderBy("part")) - F.col("m")).drop("m")
-    within = Window.partitionBy("field", "part").orderBy("v")
-    ranked = placed.join(F.broadcast(before), ["field", "part"]).withColumn("upto", F.col("before") + F.sum("n").over(within))
-    at = lambda i: F.min(F.when(F.col("upto") > i, F.col("v")))  # noqa: E731  the element at index i
+    values = written(values, "values")
+    total = written(values.groupBy("field").agg(F.count("*").alias("total"), F.min("v").alias("min"), F.max("v").alias("max")), "totals")
     last = F.col("total") - 1
-    nearest = [at(F.rint(F.lit(p / 100.0) * last)).alias(f"p{p}") for p in percents]
-    half = (at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2
+    at = {"m0": F.floor(last / 2), "m1": F.ceil(last / 2), **{f"p{p}": F.rint(F.lit(p / 100.0) * last) for p in percents}}
+    ranks = total.select("field", F.col("min").alias("low"), F.col("max").alias("high"), F.explode(F.array_distinct(F.array(*[c.cast("long") for c in at.values()]))).alias("i"))
+    found = selected(values, ranks).groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("of"))  # a few ranks a field
+    value = lambda c: F.col("of")[c.cast("long")]
+    half = (value(at["m0"]) + value(at["m1"])) / 2
     truncated = F.when(half < 0, F.ceil(half)).otherwise(F.floor(half)).cast("long").alias("p50")
-    return ranked.groupBy("field").agg(F.first("min").alias("min"), truncated, *nearest, F.first("max").alias("max"))
-
-
-#: Ranges that a field's values are dealt into.
-RANGES = 4096
+    return total.join(F.broadcast(found), "field").select("field", "min", truncated, *[value(at[f"p{p}"]).alias(f"p{p}") for p in percents], "max")
 
 
 def option_permutations(manifest: DataFrame, seed: int = 20260705, count: int = 5) -> DataFrame:

@@ -102,12 +102,41 @@ def canonical_violations(inputs: DataFrame, m: DataFrame, existing: DataFrame, e
     return union([counted(inputs, "canonical_rows", expected["canonical_inputs"]), unique(inputs, "canonical_input_id_unique", "input_id"), rows, images])
 
 
+FACTS = ("parallel_id", "dimension", "gold_label", "image_paths")
+
+
+def sample_key(sample_id: Column) -> Column:
+    """What sample_ids of one parallel_id have in common: all before the language."""
+    return F.regexp_replace(sample_id, "::[^:]*$", "")
+
+
+def sample_facts(m: DataFrame) -> DataFrame:
+    """sample_key, sample_id and what inputs are compared with, of the manifest's rows, to be stored by sample_key."""
+    return m.select(sample_key(F.col("sample_id")).alias("sample_key"), "sample_id", "qas_file", "qas_line", *FACTS)
+
+
+def looked_up(inputs: DataFrame, facts: DataFrame) -> DataFrame:
+    """``inputs`` with the facts of their question's, screen's and oracle's samples as q, g and o, null where there is no such sample.
+
+    The three have one sample_key as a rule, so one join by it finds them all, in a map of as many samples as there are languages; tables bucketed by sample_key need no shuffle for it. What refers to samples of several
+    keys is looked up by sample_id. Both have sample_key, of inputs that of the question's sample.
+    """
+    last = facts.filter("sample_id is not null").groupBy("sample_key", "sample_id").agg(F.max_by(F.struct(*FACTS), F.struct("qas_file", "qas_line")).alias("f"))
+    of_key = last.groupBy("sample_key").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", "f"))).alias("__of"))
+    ids = {"q": "question_sample_id", "g": "gui_sample_id", "o": "oracle_sample_id"}
+    near = reduce(lambda a, b: a & b, [sample_key(F.col(c)).eqNullSafe(F.col("sample_key")) for c in ids.values()])
+    found = inputs.filter(near).join(of_key, "sample_key", "left").withColumns({k: F.try_element_at("__of", F.col(c)) for k, c in ids.items()}).drop("__of")
+    far = inputs.filter(~near)
+    if far.isEmpty():
+        return found
+    for k, c in ids.items():
+        far = far.join(last.select(F.col("sample_id").alias(f"__{k}"), F.col("f").alias(k)), F.col(c) == F.col(f"__{k}"), "left").drop(f"__{k}")
+    return found.unionByName(far)
+
+
 def mismatch_violations(inputs: DataFrame, m: DataFrame, existing: DataFrame, expected: dict = RELEASE_COUNTS) -> DataFrame:
-    facts = ("parallel_id", "dimension", "gold_label")
-    both = inputs.join(samples_of(m, "q", *facts), F.col("question_sample_id") == F.col("q_id"), "left").join(samples_of(m, "g", *facts, "image_paths"), F.col("gui_sample_id") == F.col("g_id"), "left")
-    # the oracle's sample is the question's as a rule; where it isn't it is looked up
-    same_one = F.col("oracle_sample_id").eqNullSafe(F.col("question_sample_id"))
-    joined = both.filter(same_one).withColumn("o", F.col("q")).unionByName(both.filter(~same_one).join(samples_of(m, "o", *facts), F.col("oracle_sample_id") == F.col("o_id"), "left").drop("o_id"))
+    keyed = inputs if "sample_key" in inputs.columns else inputs.withColumn("sample_key", sample_key(F.col("question_sample_id")))
+    joined = looked_up(keyed, m if "sample_key" in m.columns else sample_facts(m))
     there = F.col("q").isNotNull() & F.col("g").isNotNull() & F.col("o").isNotNull()
     same = lambda c: F.col(f"q.{c}").eqNullSafe(F.col(f"g.{c}")) & F.col(f"g.{c}").eqNullSafe(F.col(f"o.{c}")) & F.col(f"o.{c}").eqNullSafe(F.col(c))
     rows = violations(joined, "input_id", [

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark import TaskContext
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures, paths, text
 from ..functions.constants import DIMENSION_WEIGHTS, LABELS, PROMPT_PROFILES
 from ..operators import audit, manifest, models, retrieval, runs, validate
-from ..sources import files
-from ..sources.shared import written
+from ..sources import files, runlog, snapshot, store
+from ..sources.shared import bucketed, folder, written
+from ..streaming import resume
+from . import faults
 from . import fixtures as fx
 from . import oracle as o
 
@@ -185,6 +191,14 @@ def language_dimension_matrix(spark, sf):
 COUNTS = ", ".join(f"count_if(gold_label = '{x}')::bigint as n_{x.lower()}" for x in LABELS)
 
 
+@query(f"""with {o.INDEX}, k as (select language, dimension, count(*) as rows from m group by all), s as (select split_part(parallel_id, '::', 1) as dimension, len(languages)::bigint as languages, count(*) as states from ixc group by all)
+select 'language' as level, language, null::varchar as dimension, null::bigint as languages, sum(rows)::bigint as rows, null::bigint as states from k group by language
+union all select 'dimension', null, dimension, null, sum(rows)::bigint, null from k group by dimension
+union all select 'language_dimension', language, dimension, null, rows, null from k union all select 'coverage', null, dimension, languages, null, states from s""")
+def audit_levels(spark, sf):
+    return audit.levels(fx.manifest(spark, sf))
+
+
 @query(f"with {o.M} select qas_file, {COUNTS} from m group by 1")
 def label_counts_by_file(spark, sf):
     return audit.label_counts_by_file(fx.manifest(spark, sf))
@@ -334,6 +348,16 @@ def violations_mismatch(spark, sf):
     return validate.mismatch_violations(written(manifest.mismatch_inputs(complete(m)), "mismatch"), m, known_images(m), EXPECTED)
 
 
+@query(f"""with {MISMATCH} select mi.input_id, q.dimension as question_dimension, q.gold_label as question_gold, g.gold_label as gui_gold, r.gold_label as oracle_gold, len(g.images)::int as gui_images
+from mi join m q on q.sample_id = mi.question_sample_id join m g on g.sample_id = mi.gui_sample_id join m r on r.sample_id = mi.oracle_sample_id""")
+def bucketed_lookups(spark, sf):
+    """What inputs refer to, from artifacts that are stored by what their sample_ids have in common: nothing is shuffled to find it."""
+    m, buckets = fx.stored_manifest(spark, sf), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    inputs = manifest.mismatch_inputs(complete(m)).withColumn("sample_key", validate.sample_key(F.col("question_sample_id")))
+    found = validate.looked_up(bucketed(inputs, "inputs", "sample_key", buckets), bucketed(validate.sample_facts(m), "facts", "sample_key", buckets))
+    return found.select("input_id", F.col("q.dimension").alias("question_dimension"), *[F.col(f"{x}.gold_label").alias(f"{n}_gold") for x, n in (("q", "question"), ("g", "gui"), ("o", "oracle"))], F.size("g.image_paths").alias("gui_images"))
+
+
 @query(f"with {o.M} {RULES['options']}")
 def violations_options(spark, sf):
     return validate.option_violations(fx.manifest(spark, sf))
@@ -377,6 +401,22 @@ def release_verdict(spark, sf):
     return validate.counts_of(*artifacts).join(F.broadcast(errors.agg((F.count("*") == 0).alias("ok"))))
 
 
+SEEDED = ", ".join([
+    faults.faulty_sql("manifest", "select sample_id, parallel_id, language, gold_label, asset_exists, is_episode, len(images)::int as num_images, option_parse_status, labels as option_order from m"),
+    faults.faulty_sql("index", "select parallel_id, languages, consistent as gold_labels_consistent from ixc"),
+    faults.faulty_sql("pairs", "select a.parallel_id || '::q=' || a.language || '::gui=' || b.language as pair_id from m a join m b on a.parallel_id = b.parallel_id and a.language <> b.language join ixc on ixc.parallel_id = a.parallel_id and ixc.complete"),
+    faults.faulty_sql("canonical", "select 'canonical::' || sample_id as input_id, sample_id, language as question_language, language as gui_language, gold_label, images as image_paths, len(images)::int as num_images from m"),
+    faults.faulty_sql("mismatch", "select input_id, parallel_id, question_sample_id, gui_sample_id, oracle_sample_id, question_language, gui_language, dimension, gold_label, images as image_paths, num_images from mi"),
+])
+
+
+@query(f"with {RELEASE}, ex as (select distinct unnest(images) as path from m where asset_exists), {SEEDED} {faults.rules_sql(EXPECTED)}")
+def violations_seeded(spark, sf):
+    """Every rule, over artifacts in which something breaks each."""
+    artifacts = release(spark, sf)
+    return faults.violations(*artifacts, known_images(artifacts[0]), EXPECTED)
+
+
 @query(f"""with {o.M}, own as (select parallel_id, list(distinct language) as l from m group by 1) select parallel_id, array_to_string(list_filter(['en','zh','fr','ru','ja','th'], lambda x: not list_contains(l, x)), ',') as missing from own where len(l) < 6""")
 def incomplete_parallel_ids(spark, sf):
     return manifest.incomplete_ids(fx.manifest(spark, sf)).withColumn("missing", joined("missing"))
@@ -430,6 +470,64 @@ def run_results(spark, sf):
     return got.withColumns({"python": F.col("software_versions")["python"], "image_paths": joined("image_paths")}).drop("software_versions", "latency_ms", "prompt_token_count")
 
 
+def unlucky(batches):
+    """Fails in a partition's first attempt."""
+    context = TaskContext.get()
+    if context.partitionId() == 3 and context.attemptNumber() == 0:
+        raise RuntimeError("a task fails, as tasks do")
+    yield from batches
+
+
+@query(f"with {o.OUT} select input_id, language, dimension, status, parsed_label, parsed_label is not distinct from gold_label as normalized_correct from o where status = 'success'")
+def run_log_sink(spark, sf):
+    """A run whose task fails, and the run that goes on from what the log has then: each answer is in the log once."""
+    rows = results(spark, sf).filter("status = 'success'").select("input_id", "language", "dimension", "status", "parsed_label", "normalized_correct")
+    path = f"{folder(spark)}/log-{uuid.uuid4().hex}"
+    try:
+        runlog.append(rows.repartition(8, "input_id").mapInArrow(unlucky, rows.schema), path)
+    except (Py4JJavaError, PySparkException) as e:  # where tasks aren't tried again the run ends; the tasks that ended are in the log
+        if "as tasks do" not in str(e):
+            raise
+    kept = written(spark.read.schema(rows.schema).json(path), "kept")
+    runlog.append(runs.pending(rows, kept), path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query("""with a as (select event_id, 'user::' || user_id as input_id, case when event_type = 'error' then 'failed' else 'success' end as status from events),
+f as (select *, min(case when status = 'success' then event_id end) over (partition by input_id) as first from a) select event_id, input_id, status from f where first is null or event_id <= first""")
+def resume_attempts(spark, sf):
+    """Three parts of the events come one after the other, each to a stream that is started anew: inputs are tried until they succeed, which the stream's state remembers."""
+    base = f"{folder(spark)}/attempts-{uuid.uuid4().hex}"
+    e = fx.table(spark, sf, "events").select("event_id", F.concat(F.lit("user::"), F.col("user_id").cast("string")).alias("input_id"), "event_type")
+    ends = e.agg(F.min("event_id").alias("low"), F.max("event_id").alias("high")).first()
+    third = F.floor((F.col("event_id") - (ends.low or 0)) * 3 / ((ends.high or 0) - (ends.low or 0) + 1))
+    load = lambda: lambda row: {"status": "failed" if row["event_type"] == "error" else "success"}
+    for i in range(3):
+        e.filter(third == i).write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema(e.schema).parquet(f"{base}/in")
+        resume.attempt_stream(arriving, load, "event_id", "status string", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema("event_id long, input_id string, event_type string, status string").parquet(f"{base}/out").drop("event_type")
+
+
+SUMMARY = "count(*) as rows, round(avg((parsed_label is not distinct from gold_label)::int), 6) as normalized_accuracy, round(avg(coalesce(trim(raw_output) = coalesce(gold_label, 'None'), false)::int), 6) as exact_match, " + ", ".join(f"count_if(parsed_label = '{x}')::bigint as n_{x.lower()}" for x in LABELS) + ", count_if(parsed_label is null)::bigint as n_invalid"
+RERUN = ("wf", "ri")
+
+
+@query(f"""with {o.OUT}, s as (select *, max(event_id) over (partition by dimension, event_id // 16) as last from o where status = 'success'), l as (select * from s where event_id = last),
+again as (select * replace ('A' as raw_output, 'A' as parsed_label) from l where dimension in {RERUN})
+select 'first' as run_id, dimension, {SUMMARY} from l group by all union all select 'second' as run_id, dimension, {SUMMARY} from (select * from l where dimension not in {RERUN} union all select * from again) group by all""")
+def run_summaries(spark, sf):
+    """Summaries of two runs, then of some dimensions of the second again, which take the place of theirs only."""
+    of = fx.outputs(spark, sf).withColumn("input_id", F.concat_ws("::", "dimension", F.floor(F.col("event_id") / 16).cast("string")))
+    path = f"{folder(spark)}/summaries-{uuid.uuid4().hex}"
+    both = of.select("*", F.explode(F.array(F.lit("first"), F.lit("second"))).alias("run_id"))
+    runs.write_summaries(runs.summarised(runs.scored(both), "event_id"), path)
+    again = of.filter(F.col("dimension").isin(*RERUN)).withColumns({"raw_output": F.lit("A"), "run_id": F.lit("second")})
+    runs.write_summaries(runs.summarised(runs.scored(again), "event_id"), path)
+    counts = [F.col(c) for c in ("rows", *[f"n_{x.lower()}" for x in LABELS], "n_invalid")]
+    return spark.read.parquet(path).select("run_id", "dimension", *counts, *[F.round(c, 6).alias(c) for c in ("normalized_accuracy", "exact_match")])
+
+
 def results(spark: SparkSession, sf: str) -> DataFrame:
     return runs.scored(fx.outputs(spark, sf))
 
@@ -548,6 +646,17 @@ def norm_preserving_add(spark, sf):
     return m.select("vec_id", r6(F.element_at("u", 1)).alias("first"), r6(F.element_at("u", -1)).alias("last"))
 
 
+@query("""with e as (select vec_id, 's::' || vec_id as sample_id, label as layer from embeddings), n as (select *, row_number() over (partition by layer order by md5('memory|' || sample_id), sample_id) as k from e) select layer, sample_id from n where k <= 10""")
+def memory_sample(spark, sf):
+    return retrieval.sampled(memory(spark, sf), "layer").select("layer", "sample_id")
+
+
+@query(f"""with e as (select label as layer, embedding::double[] as key from embeddings) select layer, count(*) as entries, {", ".join(f"round(avg(key[{i}]), 6) + 0.0 as mean_{i}" for i in (1, 32, 64))}, round(sqrt({" + ".join(f"avg(key[{i}]) * avg(key[{i}])" for i in range(1, 65))}), 6) as norm from e group by 1""")
+def memory_means(spark, sf):
+    m = retrieval.mean_vectors(memory(spark, sf), "layer", 64)
+    return m.select("layer", "entries", *[r6(F.col("mean")[i - 1]).alias(f"mean_{i}") for i in (1, 32, 64)], F.round(measures.norm(F.col("mean")), 6).alias("norm"))
+
+
 PERCENTILES = "trunc(median(v))::bigint as p50, " + ", ".join(f"list_sort(list(v))[round_even({p} / 100.0::double * (count(v) - 1), 0)::int + 1]::bigint as p{p}" for p in (90, 95, 99))
 
 
@@ -584,3 +693,24 @@ def preflight_groups(spark, sf):
 select sample_id, permutation, array_to_string(perm, ',') as label_order, case when list_position(perm, gold_label) > 0 then ['A','B','C','D'][list_position(perm, gold_label)] end as new_gold_label from p""")
 def option_permutation(spark, sf):
     return runs.option_permutations(fx.manifest(spark, sf))
+
+
+# --- files --------------------------------------------------------------------------------------------------------------
+
+#: DuckDB reads files by constant paths only: those of the tables at the size at which queries are held against it.
+BLOBS = "read_blob('/root/testdata/sf0.01/*.parquet')"
+
+
+@query(f"select parse_filename(filename) as file, octet_length(content)::bigint as size, sha256(content) as sha256 from {BLOBS}")
+def table_digests(spark, sf):
+    """Digests of the tables' own files, which are read in pieces."""
+    return files.file_digests(spark, f"{sf}/*.parquet")
+
+
+@query(f"select parse_filename(filename) as path, octet_length(content)::bigint as size, sha256(content) as sha256, ((octet_length(content) + {store.PIECE - 1}) // {store.PIECE})::bigint as pieces from {BLOBS} where parse_filename(filename) like '%s.parquet'")
+def snapshot_pieces(spark, sf):
+    """The tables' files as a snapshot that a lock file pins: the pieces of those whose names end with s."""
+    lock = f"{folder(spark)}/lock-{uuid.uuid4().hex}.json"
+    snapshot.write_lock(spark, sf, lock, "r1")
+    read = snapshot.read(spark, sf, lock, "*s.parquet").filter(F.col("path").endswith(".parquet"))
+    return read.groupBy("path", "size", "sha256").agg(F.count("*").alias("pieces"))

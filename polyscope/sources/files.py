@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from pathlib import Path
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
+from . import store
 
 
 def numbered_lines(spark: SparkSession, pattern: str) -> DataFrame:
@@ -40,14 +42,19 @@ def read_question_files(spark: SparkSession, pattern: str) -> DataFrame:
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """path (relative to ``root``) of all files below it; contents aren't read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "^[a-z0-9]+:/*(?=/)", "").alias("path"))
-    prefix = str(Path(root)).rstrip("/") + "/"
-    return found.select(F.when(F.col("path").startswith(prefix), F.substr("path", F.lit(len(prefix) + 1))).otherwise(F.col("path")).alias("path"))
+    return store.below(spark, root).select("path")
 
 
 def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
-    """File name and SHA-256 of files."""
-    return spark.read.format("binaryFile").load(pattern).select(F.substring_index("path", "/", -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    """file, size and sha256 of files of any size: tasks read them in pieces, and no value holds a file."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                sha, size = store.digest(path)
+                yield pa.record_batch({"file": pa.array([path.rpartition("/")[2]]), "size": pa.array([size], pa.int64()), "sha256": pa.array([sha])})
+
+    return spark.read.format("binaryFile").load(pattern).select("path").mapInArrow(digests, "file string, size long, sha256 string")
 
 
 def header_size(raw: bytes) -> tuple[int, int] | None:
@@ -92,16 +99,27 @@ def orientation(tiff: bytes) -> int:
     return 1
 
 
-def image_sizes(spark: SparkSession, pattern: str | list[str]) -> DataFrame:
-    """path, width, height (null for what is no PNG, JPEG or WebP image) and sha256 of images; pixels aren't decoded."""
-    files = spark.read.format("binaryFile").load(pattern)
+#: Of an image so many bytes are kept to find its headers in.
+HEADERS = 16 << 20
+
+
+def image_sizes(paths: DataFrame) -> DataFrame:
+    """path, width, height (null for what is no PNG, JPEG or WebP image) and sha256 of the images that exist; files are read in pieces, and pixels aren't decoded. ``paths``: path."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [header_size(x.as_buffer().to_pybytes()) if x.is_valid else None for x in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array([x and x[0] for x in sizes], pa.int32()), pa.array([x and x[1] for x in sizes], pa.int32()), batch.column(2)], names=["path", "width", "height", "sha256"])
-
-    return files.select("path", "content", F.sha2("content", 256).alias("sha256")).mapInArrow(read, "path string, width int, height int, sha256 string")
+            for path in batch.column("path").to_pylist():
+                sha, head, size = hashlib.sha256(), b"", None
+                for piece in store.pieces(path):
+                    sha.update(piece)
+                    if size is None and len(head) < HEADERS:
+                        head += piece
+                        size = header_size(head)
+                columns = [pa.array([path]), pa.array([size and size[0]], pa.int32()), pa.array([size and size[1]], pa.int32()), pa.array([sha.hexdigest()])]
+                yield pa.record_batch(columns, names=["path", "width", "height", "sha256"])
+
+    there = store.existing(paths.select("path", F.col("path").alias("at")))
+    return there.mapInArrow(read, "path string, width int, height int, sha256 string")
 
 
 def license_line(spark: SparkSession, readme: str) -> str | None:

@@ -25,6 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def registered(spark: SparkSession, source: type) -> None:
+    """Makes a Python data source known to the session, and the session known to this thread, where Spark looks sources up."""
+    spark.dataSource.register(source)
+    SparkSession._get_j_spark_session_class(spark._jvm).setActiveSession(spark._jsparkSession)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared store."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -60,3 +66,12 @@ def written_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     path = f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
+
+
+def bucketed(df: DataFrame, what: str, by: str, buckets: int) -> DataFrame:
+    """``df`` as a table in the shared folder whose files are buckets of ``by``, in order of it: tables bucketed alike are joined and grouped by it without a shuffle."""
+    spark = df.sparkSession
+    name = f"{re.sub('[^a-z]', '_', what)}_{uuid.uuid4().hex}"
+    # a task writes one bucket, so a bucket is one file
+    df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).format("parquet").option("path", f"{folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
