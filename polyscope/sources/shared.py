@@ -68,10 +68,13 @@ def written_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def bucketed(df: DataFrame, what: str, by: str, buckets: int) -> DataFrame:
-    """``df`` as a table in the shared folder whose files are buckets of ``by``, in order of it: tables bucketed alike are joined and grouped by it without a shuffle."""
+def bucketed(df: DataFrame, what: str, by: str, buckets: int, dealt: bool = True) -> DataFrame:
+    """``df`` as a table in the shared folder whose files are buckets of ``by``: tables bucketed alike are joined and grouped by it without a shuffle.
+
+    ``dealt``: rows are shuffled first, so that a bucket is one file, in order of ``by``. Otherwise each task writes a file for each bucket that it has rows of, which suits few and large rows.
+    """
     spark = df.sparkSession
     name = f"{re.sub('[^a-z]', '_', what)}_{uuid.uuid4().hex}"
-    # a task writes one bucket, so a bucket is one file
-    df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).format("parquet").option("path", f"{folder(spark)}/{name}").saveAsTable(name)
+    writer = (df.repartition(buckets, by) if dealt else df).write.bucketBy(buckets, by)
+    (writer.sortBy(by) if dealt else writer).format("parquet").option("path", f"{folder(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
