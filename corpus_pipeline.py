@@ -1,9 +1,13 @@
 """A corpus pipeline: low quality documents go, repeated lines go, one document of each group of near copies stays, repeated
-strings go, and the rest is packed into training sequences. Each stage reads what its predecessor wrote."""
+strings go, and the rest is packed into training sequences. Each stage reads what its predecessor wrote.
+
+Null texts pass the first two stages and near_copies as they are, come out of strings as empty ones, and are packed as empty documents, of the separator only; empty texts stay empty. A document that loses its
+whole text goes. Repeated rows and rows of one doc_id are documents of their own to quality, lines and strings, and one to near_copies, which keeps or drops all of them; rows without doc_id are always kept there. Of equal texts the smallest
+doc_id stays. Documents of a language without enough trusted text, or of none, are never rejected. Further columns, whatever their names, are carried along up to packing. Empty tables give no pieces."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyscope.llm.common import if_small, table, written
@@ -17,19 +21,25 @@ from polyscope.llm.queries import tokenizer_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
-    rejected = if_small(written(judged(docs, table(spark, sf_dir, "labels")).filter(~F.col("kept")).select(F.col("h").alias("__h")).distinct(), "rejected"))
-    return docs.withColumn("__h", row_name("doc_id", "text")).join(rejected, "__h", "left_anti").select(*docs.columns)
+    rejected = if_small(written(judged(docs, table(spark, sf_dir, "labels")).filter(~F.col("kept")).select("h").distinct(), "rejected"))
+    return named(docs, row_name("doc_id", "text").alias("h")).join(rejected, "h", "left_anti").select("doc.*")
+
+
+def named(docs: DataFrame, *more: Column, but: str = "") -> DataFrame:
+    """``more``, and all columns of ``docs`` ``but`` one as one, where no name of theirs meets a stage's."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != but]).alias("doc"), *more)
 
 
-def changed(rows: DataFrame, docs: DataFrame, before: str) -> DataFrame:
-    """The columns of ``docs`` with n_chars of the new text; documents of which nothing is left go, those that were empty before stay."""
-    left = rows.filter(F.col("text").isNull() | (F.col("text") != "") | (F.col(before) == 0))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+def changed(rows: DataFrame, docs: DataFrame, was_empty: Column) -> DataFrame:
+    """The columns of ``docs``, of which ``rows`` has doc and the new text, with n_chars of it; documents of which nothing is left go, those that were empty before stay."""
+    left = rows.filter(F.col("text").isNull() | (F.col("text") != "") | was_empty)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return left.select(*[(new[c] if c in new else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated runs of lines."""
-    return changed(without_repeated_lines(docs), docs, "lines_removed")
+    return changed(without_repeated_lines(named(docs, F.col("doc_id"), F.col("text"), but="text")), docs, F.col("lines_removed") == 0)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +50,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without strings that repeat."""
-    found = without_repeated_strings(docs, keep_text=True)
-    return changed(found.select("doc.*", F.col("kept").alias("text"), "n_removed"), docs, "n_removed")
+    found = without_repeated_strings(named(docs, F.col("doc_id"), F.col("text"), but="text"), keep_text=True).select("doc.doc", F.col("kept").alias("text"), "n_removed")
+    return changed(found, docs, F.col("n_removed") == 0)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
