@@ -1,11 +1,11 @@
 """Near-duplicate vectors of one label by an exact metric range join.
 
 A cosine of at least t is a distance of at most eps = sqrt(2 - 2t) between unit vectors. Equal vectors of a label are taken together first: they are one node. A bounded sample
-of the vectors of each label that has more than ``PER_PIVOT``, spread by hash, serves as pivots, one for about ``PER_PIVOT`` vectors, and ``ALL_PIVOTS`` in all. A vector's home is the cell of its nearest pivot, and it is replicated to the cell of pivot p
+of the vectors of each label that has more than ``PER_PIVOT``, spread by hash, serves as pivots, one for about ``PER_PIVOT`` vectors, and ``ALL_PIVOTS`` in all or so. A vector's home is the cell of its nearest pivot, and it is replicated to the cell of pivot p
 if it may lie within eps of a vector at home there: the triangle inequality gives d(v, p) <= d(v, home) + 2 eps, and
 the distance from the plane between the two pivots, at most eps, is narrower yet. A cell joins its home vectors with
 all that are in it, independently of others, so that a home vector sees all its neighbours. Where a second sample shows that a vector would go to more than
-``COPIES`` cells, or to half of them, as in spread vectors of many dimensions, the label stays one cell. Cells are cut into blocks of at most ``BLOCK`` vectors, packed in a row each, on
+``COPIES`` cells, or to more than half of them, half the pivots are left out, and so on down to two: spread vectors of many dimensions, which the triangle inequality can't tell apart, are copied once at most. Cells are cut into blocks of at most ``BLOCK`` vectors, packed in a row each, on
 either side, so no cell or label meets in one task; in a cell without replicas each two blocks meet once. Two blocks send on counts and a spanning forest of their links,
 never pairs. A cosine that differs from t by rounding only is computed again from the original
 vectors in one fixed order, so a pair is decided alike in every block and from both sides.
@@ -29,9 +29,9 @@ from .common import written
 from .components import components
 from .op3_nearest import usable
 
-COSINE, PER_PIVOT, ALL_PIVOTS, BLOCK, BLOCK_BYTES = 0.93, 2_000, 16_384, 2_048, 16 << 20
-#: Cells that a vector goes to on average at most, and vectors that this is measured on.
-COPIES, PROBES = 16, 256
+COSINE, PER_PIVOT, ALL_PIVOTS, BLOCK, BLOCK_BYTES = 0.93, 16, 16_384, 2_048, 16 << 20
+#: Cells that a vector goes to on average at most where a label has more than two, and vectors of a label that this is measured on, of all labels ``ALL_PIVOTS`` or so.
+COPIES, PROBES = 4, 256
 
 
 def reaches(a: np.ndarray, b: np.ndarray, product: np.ndarray, cosine: float) -> np.ndarray:
@@ -59,23 +59,34 @@ def cells_of(x: np.ndarray, pivots: np.ndarray, eps: float) -> tuple[np.ndarray,
     return inside, home
 
 
+def fitting(pivots: np.ndarray, probes: np.ndarray, eps: float) -> np.ndarray:
+    """The first of ``pivots``, as many as copy a vector to few cells, and two at least if there are."""
+    count = len(pivots)
+    while count > 2:
+        some = np.unique(pivots[:count], axis=0)
+        if len(probes) and cells_of(probes, some, eps)[0].sum(axis=1).mean() <= min(COPIES, len(some) / 2):
+            return some
+        count //= 2
+    return np.unique(pivots[:2], axis=0)
+
+
 def pivots_of(nodes: DataFrame, eps: float, per_pivot: int) -> dict:
-    """Unit vectors by (label, length) of the labels that are worth cutting into cells; at most about ``ALL_PIVOTS`` in all."""
+    """Unit vectors by (label, length) of the labels that are cut into cells. What is drawn for all labels together is bounded: about ``ALL_PIVOTS`` pivots, one more for each label, and as many probes."""
     sizes = nodes.groupBy("label", "d").agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     per = max(per_pivot, math.ceil(total / ALL_PIVOTS))
-    wanted = sizes.filter(F.col("n") > per).withColumn("pivots", F.ceil(F.col("n") / per))
-    share = (F.col("pivots") + PROBES) * 1.2 / F.col("n")
-    drawn = nodes.select("label", "d", "v", "h1", "h2").join(F.broadcast(wanted), ["label", "d"]).filter(F.pmod(F.xxhash64("h2", "h1"), F.lit(1 << 20)) < F.lit(1 << 20) * share)  # ``wanted`` has at most ALL_PIVOTS rows
+    wanted = written(sizes.filter(F.col("n") > per).withColumn("pivots", F.greatest(F.lit(2), F.ceil(F.col("n") / per))), "wanted")  # at most ALL_PIVOTS rows
+    probes = max(1, min(PROBES, ALL_PIVOTS // max(1, wanted.count())))
+    share = (F.col("pivots") + probes) * 1.2 / F.col("n")
+    drawn = nodes.select("label", "d", "v", "h1", "h2").join(F.broadcast(wanted), ["label", "d"]).filter(F.pmod(F.xxhash64("h2", "h1"), F.lit(1 << 20)) < F.lit(1 << 20) * share)
     of: dict = {}
     for r in drawn.select("label", "d", "v", "pivots", F.xxhash64("h1", "h2").alias("order")).toLocalIterator():
-        of.setdefault((r.label, r.d, r.pivots), []).append((r.order, r.v))
+        of.setdefault((r.label, r.d, r.pivots), []).append((r.order, np.array(r.v)))
     out = {}
     for (label, d, count), rows in of.items():
-        x = unit(np.array([v for _, v in sorted(rows, key=lambda x: x[0])]))
-        pivots, probes = np.unique(x[:count], axis=0), x[count:]
-        if len(pivots) > 1 and len(probes) and cells_of(probes, pivots, eps)[0].sum(axis=1).mean() <= min(COPIES, len(pivots) / 2):
-            out[label, d] = pivots
+        x = unit(np.stack([v for _, v in sorted(rows, key=lambda x: x[0])]))
+        count = min(count, max(2, len(x) - probes))
+        out[label, d] = fitting(x[:count], x[count : count + probes], eps)
     return out
 
 
