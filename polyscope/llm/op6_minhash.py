@@ -1,6 +1,6 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-A text's shingles are its runs of five words (lower case, cut at ASCII white space; a text of fewer words is one shingle). A shingle weighs its
+A text's shingles are its runs of five words (lower case, cut at ASCII white space; in scripts that are written without spaces, Han, kana, Thai, Lao, Khmer and Burmese, each character is a word; a text of fewer words is one shingle). A shingle weighs its
 count times idf, where idf falls from 1 to ``FLOOR``, in ``STEPS`` steps, with the share of documents that have it: the range is narrow, so that a large group of
 near copies doesn't lower its members' similarity by its own size. Document frequencies of all documents
 are kept for ``2**IDF_BITS`` hashed buckets, which bounds what is broadcast.
@@ -39,14 +39,39 @@ VARIATE_BITS = 14
 STEPS = 31
 
 
+def unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Whether each byte is the first, and whether it is the last, of a character of a script without spaces; None if there is no such character."""
+    # fixed values: the UTF-8 of U+3000 to U+9FFF, of Thai and Lao, of Khmer, of Burmese, and of the planes of rarer Han characters
+    high = np.flatnonzero(data >= 0xE0)
+    high = high[high + 2 < len(data)]
+    if not len(high):
+        return None
+    a, b = data[high], data[high + 1]
+    wide = (a == 0xF0) & (b >= 0xA0) & (b <= 0xB3)
+    of = (a >= 0xE3) & (a <= 0xE9) | (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB) | (a == 0xE1) & ((b == 0x9E) | (b == 0x9F) | (b >= 0x80) & (b <= 0x82)) | wide
+    if not of.any():
+        return None
+    first, last = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    first[high[of]] = True
+    last[high[of] + 2 + wide[of]] = True
+    return first[:-1], last[:-1]
+
+
 def shingles(data: np.ndarray, bounds: np.ndarray, hasher: Hasher, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of each shingle of the rows whose bytes are within ``bounds``; repeats included."""
     with np.errstate(over="ignore"):
         gap = data <= 32
         edge = np.zeros(len(data) + 1, bool)
         edge[bounds[bounds < len(data)]] = True
-        start = np.flatnonzero(~gap & (np.concatenate([[True], gap[:-1]]) | edge[:-1]))
-        end = np.flatnonzero(~gap & (np.concatenate([gap[1:], [True]]) | edge[1:])) + 1
+        begins, ends = np.concatenate([[True], gap[:-1]]) | edge[:-1], np.concatenate([gap[1:], [True]]) | edge[1:]
+        found = unspaced(data)
+        if found:
+            first, last = found
+            begins |= first
+            begins[1:] |= last[:-1]
+            ends |= last
+            ends[:-1] |= first[1:]
+        start, end = np.flatnonzero(~gap & begins), np.flatnonzero(~gap & ends) + 1
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         s = hasher.sums(data, 0)
