@@ -6,7 +6,7 @@ Every byte covered by a string of ``span`` bytes that also starts elsewhere goes
    one key form a run; runs come to about one for 80 bytes. Runs whose key comes only once can't repeat and stay where they are.
 2. The bytes of all others go to their key's shard, batch by batch. Of equal strings one goes on: the others repeat as a whole, and it does too. Where a key has
    several strings, or one in which the key's bytes recur, they go into the shard's family of suffix arrays (suffix_index): a batch of them
-   gets a suffix array, ordered by key and bytes, is merge-scanned against the levels for windows that agree in all ``span`` bytes, and becomes a level; levels of about equal size merge.
+   (of bounded bytes) gets a suffix array, ordered by key and bytes, is merge-scanned against the levels for windows that agree in all ``span`` bytes, and becomes a level; levels of about equal size merge.
    All of this compares bytes; hashes only route.
 3. Each document drops the union of its repeated windows.
 
@@ -24,13 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import U64, mixed, packed, unpacked, written
+from .common import U64, mixed, nullable, packed, unpacked, written
 from .suffix_index import SuffixIndex
 
 SPAN, GRAM, SEGMENT, PLACE_BITS, BATCH = 200, 40, 1 << 19, 20, 1024
 #: Bytes of texts in a chunk, and of strings in a shard.
 CHUNK_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
+#: Bytes of strings that go into a shard's family at a time, and of different strings of a key that are told apart before.
+BATCH_BYTES = 4 << 20
 #: A run: how often its string comes in its chunk (0: it repeats, as an equal one there goes on), its first and last window in the chunk's bytes, and whether the key's bytes recur in it.
 RUN = ["route", "n", "chunk", "lo", "hi", "own"]
 
@@ -179,23 +182,29 @@ def search(batches: Iterator[pa.RecordBatch], span: int = SPAN, size: int = BATC
     queue: list[tuple[bytes, bool, int, int, int]] = []  # strings to be added: bytes, whether known to repeat as a whole, chunk, lo, key
     added: list[tuple[int, int, int, int]] = []  # number of the first suffix, windows, chunk, lo, of strings not known to
     group: dict[bytes, list] = {}  # of the key at hand: whether it repeats, chunk, lo, own
-    now, out = None, []
+    now, out, spilled, held, waiting = None, [], False, 0, 0  # whether the key has strings in the family; bytes of its others, and of the queue
 
     def add() -> None:
+        nonlocal waiting
+        waiting = 0
         for first, (raw, whole, chunk, lo, _) in zip(index.add([x[0] for x in queue], [x[4] for x in queue]), queue, strict=True):
             if not whole:
                 added.append((first, len(raw) - span + 1, chunk, lo))
         queue.clear()
 
     def finish() -> None:
+        """Passes the key's strings on, if they may hold windows that others have; equal ones that come later are found there."""
+        nonlocal held, waiting
         for raw, (whole, chunk, lo, own) in group.items():
             if whole:
                 out.append((chunk, lo, lo + len(raw) - span))
-            if len(group) > 1 or own and not whole:
+            if len(group) > 1 or spilled or own and not whole:
                 queue.append((raw, whole, chunk, lo, now))
-                if len(queue) >= size:
+                waiting += len(raw)
+                if len(queue) >= size or waiting >= BATCH_BYTES:
                     add()
         group.clear()
+        held = 0
 
     def batch_of() -> Iterator[pa.RecordBatch]:
         if out:
@@ -206,10 +215,14 @@ def search(batches: Iterator[pa.RecordBatch], span: int = SPAN, size: int = BATC
         for route, n, chunk, lo, own, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if route != now:
                 finish()
-                now = route
+                now, spilled = route, False
             seen = group.get(raw)
             if seen is None:
+                if held + len(raw) > BATCH_BYTES and len(group) > 1:
+                    finish()
+                    spilled = True
                 group[raw] = [n > 1, chunk, lo, own]
+                held += len(raw)
             else:
                 seen[0] = True
                 out.append((chunk, lo, lo + len(raw) - span))
@@ -263,9 +276,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sp
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` also ``kept``, the text that is left
     (without characters of which some bytes are gone), and the document's other columns as ``doc``."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("doc")] if keep_text else []))
+    if keep_text:
+        rows = rows.withColumn("doc", F.col("doc").cast(nullable(rows.schema["doc"].dataType)))
     chunks = packed(rows, chunk_bytes)
     marks = repeated_windows(chunks, span, gram, shard_bytes, size)
-    doc_kind = ", doc " + rows.schema["doc"].dataType.simpleString() if keep_text else ""
 
     def drop(left: pa.Table, right: pa.Table) -> pa.Table:
         table = unpacked(left.column("rows")[0])
@@ -288,5 +302,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sp
             out |= {"kept": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), "doc": table.column("doc")}
         return pa.table(out)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "") + doc_kind
+    schema = StructType().add("doc_id", "long").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    if keep_text:
+        schema = schema.add("kept", "string").add("doc", rows.schema["doc"].dataType)
     return chunks.select("chunk", "rows").groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(drop, schema)
