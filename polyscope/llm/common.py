@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
-from ..sources.shared import removed, written, written_at
+from ..sources.shared import bucketed, removed, written, written_at
 
-__all__ = ["removed", "written", "written_at"]
+__all__ = ["bucketed", "removed", "written", "written_at"]
 
 U64 = np.uint64
 
@@ -26,6 +27,15 @@ def if_small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def nullable(kind: DataType) -> DataType:
+    """The type whose fields and elements may all be null, as Arrow tables are told to have them."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, nullable(f.dataType)) for f in kind.fields])
+    if isinstance(kind, ArrayType):
+        return ArrayType(nullable(kind.elementType))
+    return MapType(nullable(kind.keyType), nullable(kind.valueType)) if isinstance(kind, MapType) else kind
+
+
 def as_text(values: pa.Array) -> list[str]:
     """Python strings of an Arrow column, null as empty."""
     return [x or "" for x in values.to_pylist()]
@@ -34,7 +44,8 @@ def as_text(values: pa.Array) -> list[str]:
 def packed(rows: DataFrame, most: int, by: str | None = None) -> DataFrame:
     """chunk, rows (and ``by``, an int): runs of rows that a task reads on end, up to about ``most`` bytes, of one value of ``by``, as compressed Arrow streams.
 
-    A chunk moves as one row, at a third of its texts' size or so; its id names it wherever its results come back to.
+    A chunk is one row, at a third of its texts' size or so; its id names it wherever its results come back to. The table is bucketed by chunk, so what belongs to a
+    chunk comes to where the chunk is.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +74,8 @@ def packed(rows: DataFrame, most: int, by: str | None = None) -> DataFrame:
         for f in list(held):
             yield row(f)
 
-    return written(rows.mapInArrow(pack, "chunk long, rows binary" + (f", {by} int" if by else "")), "packed")
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed(rows.mapInArrow(pack, "chunk long, rows binary" + (f", {by} int" if by else "")), "packed", "chunk", buckets, dealt=False)
 
 
 def unpacked(raw: pa.BinaryScalar) -> pa.Table:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_text, if_small, mixed, packed, unpacked, written
+from .common import U64, as_text, bucketed, if_small, mixed, packed, unpacked, written
 from .ngrams import characters
 from .op9_language import in_chunks
 
@@ -229,12 +229,17 @@ def answered(left: DataFrame, model: Model) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-#: What goes between chunks and shards: kind 0 are a shard's answers, kind 1 the n-grams that a chunk asks for.
-ASKED = "shard long, kind int, chunk long, fold int, n long, grams binary, logp binary"
+#: What chunks ask of shards, and what shards know.
+ASKED, KNOWN = "shard long, chunk long, fold int, n long, grams binary", "shard long, fold int, n long, grams binary, logp binary"
+_KINDS = {"shard": pa.int64(), "chunk": pa.int64(), "fold": pa.int32(), "n": pa.int64(), "grams": pa.binary(), "logp": pa.binary()}
+
+
+def rows_of(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[i] for r in rows], _KINDS[c]) for i, c in enumerate(names)], names=names)
 
 
 def packed_answers(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0 of fold, gram, logp."""
+    """KNOWN of rows of fold, gram, logp."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -244,54 +249,30 @@ def packed_answers(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[p
         starts = np.flatnonzero(np.concatenate([[True], (np.diff(shard[order]) != 0) | (np.diff(fold[order]) != 0)])[: len(order)])
         for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
             of = order[a:b]
-            rows.append((int(shard[of[0]]), 0, 0, int(fold[of[0]]), len(of), squeezed(gram[of]), logp[of].astype(np.float32).tobytes()))
-        yield asked_rows(rows)
+            rows.append((int(shard[of[0]]), int(fold[of[0]]), len(of), squeezed(gram[of]), logp[of].astype(np.float32).tobytes()))
+        yield rows_of(rows, ["shard", "fold", "n", "grams", "logp"])
 
 
-def asked_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"shard": pa.int64(), "kind": pa.int32(), "chunk": pa.int64(), "fold": pa.int32(), "n": pa.int64(), "grams": pa.binary(), "logp": pa.binary()}
-    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+def answers(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """Of a shard: chunk, fold, shard and the log-probabilities in order of the n-grams asked for."""
+    parts: dict[int, list] = {}
+    for fold, n, grams, logp in zip(*(known.column(c).to_pylist() for c in ("fold", "n", "grams", "logp")), strict=True):
+        parts.setdefault(fold, []).append((unsqueezed(grams, n), np.frombuffer(logp, np.float32)))
+    tables = {fold: Table(*(np.concatenate(x) for x in zip(*of, strict=True))) for fold, of in parts.items()}
+    got = [tables[fold].get(unsqueezed(grams.as_py(), n)).astype(np.float32).tobytes() for fold, n, grams in zip(asked.column("fold").to_pylist(), asked.column("n").to_pylist(), asked.column("grams"), strict=True)]
+    return pa.table({"chunk": asked.column("chunk"), "fold": asked.column("fold"), "shard": asked.column("shard"), "logp": pa.array(got, pa.binary())})
 
 
-def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams a shard's answers, then what chunks ask for. Out: chunk, fold, shard and the log-probabilities in order of the n-grams."""
-    now, parts, tables = None, {}, {}
-    for batch in batches:
-        out = []
-        for shard, kind, chunk, fold, n, grams, logp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if shard != now:
-                now, parts, tables = shard, {}, {}
-            if kind == 0:
-                parts.setdefault(fold, []).append((unsqueezed(grams, n), np.frombuffer(logp, np.float32)))
-                continue
-            if fold not in tables:
-                tables[fold] = Table(*(np.concatenate(x) for x in zip(*parts.pop(fold), strict=True)))
-            out.append((chunk, fold, shard, tables[fold].get(unsqueezed(grams, n)).astype(np.float32).tobytes()))
-        if out:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["chunk", "fold", "shard", "logp"])
-
-
-def distinct_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams rows of kind 1 in order of shard and fold. Out: each shard's distinct n-grams (fold, gram)."""
-    now, held = None, [np.zeros(0, np.int64)]
-
-    def done() -> Iterator[pa.RecordBatch]:
-        grams = np.unique(np.concatenate(held))
-        for first in range(0, len(grams), 1 << 17):
-            part = grams[first : first + (1 << 17)]
-            yield pa.record_batch({"fold": pa.array(np.full(len(part), now[1], np.int32)), "gram": pa.array(part)})
-
-    for batch in batches:
-        for shard, fold, n, grams in zip(*(batch.column(c).to_pylist() for c in ("shard", "fold", "n", "grams")), strict=True):
-            if (shard, fold) != now:
-                if now:
-                    yield from done()
-                now, held = (shard, fold), [np.zeros(0, np.int64)]
-            held.append(unsqueezed(grams, n))
-            if sum(map(len, held[1:])) > max(1 << 20, len(held[0])):
-                held = [np.unique(np.concatenate(held))]
-    if now:
-        yield from done()
+def distinct_grams(asked: pa.Table) -> pa.Table:
+    """Of a shard: the distinct n-grams (fold, gram)."""
+    held: dict[int, list] = {}
+    for fold, n, grams in zip(asked.column("fold").to_pylist(), asked.column("n").to_pylist(), asked.column("grams"), strict=True):
+        of = held.setdefault(fold, [np.zeros(0, np.int64)])
+        of.append(unsqueezed(grams.as_py(), n))
+        if sum(map(len, of[1:])) > max(1 << 20, len(of[0])):
+            held[fold] = [np.unique(np.concatenate(of))]
+    found = {fold: np.unique(np.concatenate(of)) for fold, of in held.items()}
+    return pa.table({"fold": pa.array(np.concatenate([np.full(len(x), f, np.int32) for f, x in found.items()])), "gram": pa.array(np.concatenate(list(found.values())))})
 
 
 def perplexities(rows: DataFrame, model: Model, most: int = CHUNK_BYTES) -> DataFrame:
@@ -320,15 +301,16 @@ def perplexities(rows: DataFrame, model: Model, most: int = CHUNK_BYTES) -> Data
                     of = shard_of(code, shards)
                     by = np.argsort(of, kind="stable")
                     used, starts = np.unique(of[by], return_index=True)
-                    out += [(int(k), 1, chunk, f, len(x), squeezed(x), None) for k, x in zip(used, np.split(code[by], starts[1:]), strict=True)]
+                    out += [(int(k), chunk, f, len(x), squeezed(x)) for k, x in zip(used, np.split(code[by], starts[1:]), strict=True)]
                 if out:
-                    yield asked_rows(out)
+                    yield rows_of(out, ["shard", "chunk", "fold", "n", "grams"])
         pa.default_memory_pool().release_unused()  # a worker stays for later tasks
 
-    asked = written(chunks.select("chunk", "rows").mapInArrow(ask, ASKED), "kn-asked")
-    grams = written(asked.repartition(shards, "shard").sortWithinPartitions("shard", "fold").mapInArrow(distinct_grams, "fold int, gram long"), "kn-grams")
-    known = answered(grams, model).mapInArrow(lambda batches: packed_answers(batches, shards), ASKED)
-    back = asked.unionByName(known).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(answers, "chunk long, fold int, shard long, logp binary")
+    # what is asked moves once, to its shard, where it is looked at again when the answers come
+    asked = bucketed(chunks.select("chunk", "rows").mapInArrow(ask, ASKED), "kn-asked", "shard", shards)
+    grams = written(asked.groupBy("shard").applyInArrow(distinct_grams, "fold int, gram long"), "kn-grams")
+    known = answered(grams, model).mapInArrow(lambda batches: packed_answers(batches, shards), KNOWN).repartition(shards, "shard")
+    back = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answers, "chunk long, fold int, shard long, logp binary")
     rest = [f for f in rows.schema.fields if f.name != "text"]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
