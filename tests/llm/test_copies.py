@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from polyscope.llm import op1_lines, op3_nearest, op4_rangejoin, op6_minhash, op7_suffix
+from polyscope.llm import op1_lines, op3_nearest, op4_rangejoin, op6_minhash, op7_suffix, suffix_index
 from polyscope.llm.components import components
 from polyscope.llm.suffix_index import SuffixIndex
 
@@ -151,6 +151,38 @@ def test_suffix_index_of_several_keys():
             assert [bool(index.repeated[at + i]) for i in range(len(s) - span + 1)] == [count[k, s[i : i + span]] > 1 for i in range(len(s) - span + 1)]
 
 
+def test_order_by_doubling():
+    rng = random.Random(9)
+    for n, letters, span in ((4000, "ab", 200), (5000, "a", 200), (3000, "abc\0", 64), (2500, "abcdefghijklmnop", 7), (700, "ab", 1), (700, "ab", 3)):
+        text = np.frombuffer("".join(rng.choices(letters, k=n)).encode(), np.uint8)
+        at = np.array(sorted(rng.sample(range(n - span + 1), 400)))
+        raw = text.tobytes()
+        want = sorted(range(400), key=lambda i: (raw[at[i] : at[i] + span], i))
+        assert suffix_index.doubled(text, at, span).tolist() == want
+
+
+def test_levels_hold_different_windows_only(monkeypatch):
+    """Texts of one repeated unit, all different strings of one key: bounded memory, and the windows that repeat."""
+    monkeypatch.setattr(op7_suffix, "BATCH_BYTES", 100_000)
+    rng = random.Random(10)
+    texts = [("ab" * 3000)[: 2001 + i] for i in range(300)] + [prose(rng, 900) for _ in range(3)]
+    names = ["route", "n", "chunk", "lo", "own", "bytes"]
+    batches = [pa.record_batch([pa.array(c) for c in zip(*[(5, 1, i, 0, 1, t.encode()) for i, t in enumerate(texts)], strict=True)], names=names)]
+
+    class Spy(SuffixIndex):
+        most = 0
+
+        def add(self, strings, keys=None):
+            assert sum(map(len, strings)) < 110_000
+            out = super().add(strings, keys)
+            Spy.most = max(Spy.most, sum(len(x.at) for x in self.levels))
+            assert sum(len(x.text) for x in self.levels) <= 2 * 201 + sum(map(len, texts[300:])) + 3 * 200
+            return out
+
+    got = sorted(tuple(r.values()) for b in op7_suffix.search(iter(batches), 200, 1024, Spy(200)) for r in b.to_pylist())
+    assert got == [(i, 0, len(t) - 200) for i, t in enumerate(texts[:300])] and Spy.most <= 2 + sum(len(t) for t in texts[300:])
+
+
 @pytest.mark.parametrize("segment", [None, 500])
 def test_repeated_strings(spark, monkeypatch, segment):
     texts = copies(random.Random(5))
@@ -404,14 +436,15 @@ def test_range_join_of_repeated_ids(spark):
 
 
 def test_cells_of_clustered_vectors(spark):
-    """Vectors that lie in clusters are cut into cells; spread ones aren't."""
+    """Vectors that lie in clusters are cut into many cells, spread ones, which would go to all of them, into two."""
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(30, 16))
     x = centres[rng.integers(30, size=900)] + 0.05 * rng.normal(size=(900, 16))
     y = rng.normal(size=(900, 16))
     rows = [(i, v.tolist(), k) for k, part in enumerate((x, y)) for i, v in enumerate(part, 1000 * k)]
     nodes = vectors(spark, rows).selectExpr("label", "cast(embedding as array<double>) v", "size(embedding) d", "xxhash64(embedding) h1", "xxhash64(embedding, 1) h2")
-    assert [k for k, _ in op4_rangejoin.pivots_of(nodes, 0.3742, 20)] == [0]
+    found = {k: len(p) for (k, _), p in op4_rangejoin.pivots_of(nodes, 0.3742, 20).items()}
+    assert found[0] > 8 and found[1] == 2
     got = {r.vec_id: r.n_links for r in op4_rangejoin.linked(vectors(spark, rows), per_pivot=20, block=64).collect()}
     for first, part in ((0, x), (1000, y)):
         u = part.astype(np.float32).astype(float)
@@ -419,6 +452,21 @@ def test_cells_of_clustered_vectors(spark):
         assert [got[first + i] for i in range(900)] == ((u @ u.T >= 0.93).sum(1) - 1).tolist()
 
 
+def test_pivots_of_many_labels(spark, monkeypatch):
+    """However many labels there are, what is drawn of their vectors is bounded; those of some size are cut into cells, and links are those of brute force."""
+    monkeypatch.setattr(op4_rangejoin, "ALL_PIVOTS", 64)
+    rng = np.random.default_rng(11)
+    rows = [(100 * k + i, v.tolist(), k) for k in range(40) for i, v in enumerate(rng.normal(size=(30, 3)))]
+    nodes = vectors(spark, rows).selectExpr("label", "cast(embedding as array<double>) v", "size(embedding) d", "xxhash64(embedding) h1", "xxhash64(embedding, 1) h2")
+    found = op4_rangejoin.pivots_of(nodes, 0.3742, 16)
+    assert len(found) >= 30 and sum(map(len, found.values())) <= 64 + 40
+    got = {r.vec_id: r.n_links for r in op4_rangejoin.linked(vectors(spark, rows), per_pivot=16).collect()}
+    for k in range(40):
+        u = np.array([v for _, v, label in rows if label == k], np.float32).astype(float)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        assert [got[100 * k + i] for i in range(30)] == ((u @ u.T >= 0.93).sum(1) - 1).tolist()
+
+
 def test_range_join_at_the_threshold():
     """Pairs at exactly 0.6, and products that rounding has moved to either side."""
     a, b = np.array([[3.0, 4.0], [4.0, 3.0]]), np.array([[1.0, 0.0], [0.0, 1.0]])
@@ -481,3 +529,53 @@ def test_pipeline(spark):
     pieces = stages["packing"](spark, fourth, sf).collect()
     assert Counter({i: len(x) for i, x in ids.items()}) == sum((Counter({r.doc_id: r.length}) for r in pieces), Counter())
     assert all(zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4")) == r.ids_crc32 for r in pieces)
+
+
+def test_near_copies_without_shingles(spark):
+    """Partitions and runs of texts that have no shingles at all, or of one that has."""
+    assert [(r.doc_id, r.class_id, r.kept) for r in op6_minhash.near_duplicates(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [(1, 1, True)]
+    rows = [(i, x) for i, x in enumerate(["", "a b", " " * 200_000, "a b c d e f", "a b c d e f", None, "\t\n", "\t\n"])]
+    got = {r.doc_id: r.class_id for r in op6_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6, 7: 6}
+    hasher = op7_suffix.Hasher()
+    for texts in ([" " * 200_000, "a b c d e f"], [None], [], ["a b c d e f", " " * 200_000, "", "a"]):
+        counted = [len(h) for _, h, _ in op6_minhash.counted(pa.array(texts, pa.string()), hasher)]
+        assert sum(counted) == sum(len((t or "").split()) > 0 and max(1, len(t.split()) - 4) for t in texts)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and blank texts, a long one, ties, repeated rows, and further columns whose names are those of stages."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    texts = [None, "", " ", "one two three four five six", "one two three four five six", "line of text that is long enough\nanother line of some length\n" * 2, "x" * 500, "y " * 40_000, "\n\n"]
+    rows = [(i, t, "en" if i % 2 else None, "s" if i % 3 else None, None) for i, t in enumerate(texts)]
+    rows += [(3, texts[3], "en", "s", 1), (None, "no id but text", None, None, None), (None, None, None, None, None)]
+    odd = {c: F.lit(9) for c in ("n_removed", "lines_removed", "lines_before", "__h", "h", "kept", "doc", "d", "__d", "chunk", "rows", "perplexity", "class_id", "text_", "band", "n", "id")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns(odd)
+    labels = spark.createDataFrame([(3, 1, 0), (4, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for name, df in (("documents", docs), ("labels", labels)):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept.columns, stage(spark, kept, str(tmp_path)).cache()
+        assert kept.columns == before and all(r[c] == 9 for r in kept.collect() for c in odd), name
+    got = sorted((str(r.doc_id), r.text) for r in kept.collect())
+    assert ("1", "") in got and ("0", "") in got and ("None", "no id but text") in got and ("None", "") in got
+    assert [x for x in got if x[1] == texts[3]] == [("3", texts[3])] * 0 or all(i != "4" for i, _ in got)
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {str(r.doc_id) for r in pieces} == {i for i, _ in got}
+    # empty tables
+    for name, df in (("documents", docs), ("labels", labels)):
+        df.limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).isEmpty()
+
+
+def test_near_copies_in_scripts_without_spaces(spark):
+    rng = random.Random(12)
+    han, thai = [chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(400)], [chr(rng.randrange(0x0E01, 0x0E2E)) for _ in range(400)]
+    rare = [chr(rng.randrange(0x20000, 0x2A000)) for _ in range(200)]
+    rows = [(1, "".join(han)), (2, "".join(han[:200] + ["\u4e00"] + han[201:])), (3, "".join(reversed(han))), (4, "".join(thai)), (5, "".join(thai[:-3])), (6, "mixed text " + "".join(rare)), (7, "mixed text " + "".join(rare) + " end"), (8, "".join(han[:60] + thai[:300]))]
+    got = {r.doc_id: r.class_id for r in op6_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8}
+    hasher = op7_suffix.Hasher()
+    words = lambda t: sum(len(h) for _, _, h in op6_minhash.runs(pa.array([t]), hasher, 1))
+    assert words("ab \u4e00\u4e01cd\u3042 e\U00020000f") == 2 + 1 + 1 + 1 + 3 and words("\ud55c\uad6d \uc5b4") == 2 and words("\u00e9t\u00e9 \u0e01\u0e02") == 3

@@ -322,3 +322,21 @@ def test_distinct_buckets():
     for n in (0, 1, 50, 3000):
         code = rng.integers(0, 1 << 10, n)
         assert sorted(seen.of(code)) == np.unique(code).tolist()
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000 + "x", "a" + " " * 1_200_000 + "b", "\n" * 1_100_000 + " q", " \n\t" * 400_000 + "z  end", "a b" + "\u00a0" * 1_000_000, "x " + " " * 1_100_000])
+def test_long_white_space(vocabulary, reference, text):
+    """White space beyond what the Rust path's pattern takes, as the library encodes it, by every way."""
+    ids = reference.encode(text, add_special_tokens=False).ids
+    encoder = bpe.Encoder(vocabulary)
+    assert encoder.encode(text) == ids and encoder.encode_directly(text) == ids
+
+
+def test_long_white_space_through_queries(spark, reference):
+    text = "a" + " " * 1_200_000 + "b"
+    docs = spark.createDataFrame([(1, text, "en", "s", 1), (2, "c", "en", "s", 1)], DOCS)
+    ids = reference.encode(text, add_special_tokens=False).ids
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in op2_bpe.digests(docs, PATH).collect()}
+    assert got[1] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    pieces = op8_packing.pack(docs, PATH).filter("doc_id = 1").collect()
+    assert sum(r.length for r in pieces) == len(ids) + 1
