@@ -36,6 +36,25 @@ def nullable(kind: DataType) -> DataType:
     return MapType(nullable(kind.keyType), nullable(kind.valueType)) if isinstance(kind, MapType) else kind
 
 
+#: A key is hot if it holds more than a thousandth of the rows, and so many at least; its rows are dealt over so many tasks.
+HOT_ROWS, SALTS = 10_000, 64
+
+
+def met(left: DataFrame, right: DataFrame, by: list[str], n: str = "n") -> DataFrame:
+    """``left.join(right, by)`` where ``right``, a stored table, has a row for each key, and how many rows of ``left`` have it as ``n``, which the result lacks: hot keys' rows don't meet in one task.
+
+    There are at most a thousand hot keys, which are broadcast to tell their rows apart, and whose rows of ``right`` are copied to each of their tasks.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = right.filter((F.col(n) > total / 1000) & (F.col(n) > HOT_ROWS)).select(*by, F.lit(SALTS).alias("salts__"))
+    if hot.isEmpty():
+        return left.join(right.drop(n), by)
+    salted = left.join(F.broadcast(hot), by, "left")
+    salted = salted.withColumn("salt__", F.pmod(F.xxhash64(*left.columns), F.coalesce("salts__", F.lit(1))).cast("int")).drop("salts__")
+    copied = right.join(F.broadcast(hot), by, "left").withColumn("salt__", F.explode(F.sequence(F.lit(0), F.coalesce("salts__", F.lit(1)) - 1)))
+    return salted.join(copied.drop(n, "salts__"), [*by, "salt__"]).drop("salt__")
+
+
 def as_text(values: pa.Array) -> list[str]:
     """Python strings of an Arrow column, null as empty."""
     return [x or "" for x in values.to_pylist()]

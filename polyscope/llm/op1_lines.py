@@ -11,7 +11,7 @@ intervals say it all. That may not be so where the last line of a prefix is shor
 the ranks of 2**(k-1), 2**(k-2) ... lines that follow, down to each suffix's exact longest prefix shared with an earlier one. A run of more than ``MIN_CHARS`` lines
 has as many newlines, so this ends at prefixes of ``MIN_CHARS`` lines.
 
-Ranks are counted before they are joined, so a line's copies don't meet in one task. Lines that go are intervals, merged before lines are touched.
+Ranks are counted before they are joined, with how many suffixes have them, and those of hot lines and runs are joined in many tasks, so a line's copies don't meet in one. Lines that go are intervals, merged before lines are touched.
 
 Lines end at newlines only. Null texts have no lines and stay null; empty ones stay empty. Several rows of one doc_id are several
 documents in order of a hash of their texts, and equal ones are one: what happens to one happens to the other. A null doc_id comes before all others. Texts of any length are whole;
@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import met, written
 
 MIN_CHARS = 24
 FIRST = -(1 << 63)
@@ -42,8 +42,8 @@ def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def intervals(suffixes: DataFrame, by: list[str]) -> DataFrame:
-    """``by`` and the first place of each interval of two suffixes or more."""
-    return suffixes.groupBy(*by).agg(F.min(place()).alias("first"), F.max(place()).alias("last")).filter("first <> last").drop("last")
+    """``by``, the first place and the number n of suffixes of each interval of two or more."""
+    return suffixes.groupBy(*by).agg(F.min(place()).alias("first"), F.max(place()).alias("last"), F.count("*").alias("n")).filter("first <> last").drop("last")
 
 
 def ranked(found: DataFrame, by: list[str]) -> DataFrame:
@@ -56,7 +56,7 @@ def levels(docs: DataFrame, text: str = "text") -> list[DataFrame]:
     lines = docs.filter(F.col(text).isNotNull()).select("__d", "__h", F.posexplode(F.split(text, "\n", -1)).alias("i", "line"))
     lines = lines.select("__d", "__h", F.col("i").cast("long").alias("i"), F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), "line").alias("y"), F.length("line").cast("long").alias("chars"))
     names = ranked(intervals(lines, ["x", "y"]), ["x", "y"])
-    at = written(lines.join(names, ["x", "y"]).select(*PLACE, "rank", "chars", F.col("chars").alias("tail"), (F.col("first") < place()).alias("later")).distinct(), "suffixes")
+    at = written(met(lines, names, ["x", "y"]).select(*PLACE, "rank", "chars", F.col("chars").alias("tail"), (F.col("first") < place()).alias("later")).distinct(), "suffixes")
     out, n = [], 1
     while not at.isEmpty():
         out.append(at)
@@ -64,7 +64,7 @@ def levels(docs: DataFrame, text: str = "text") -> list[DataFrame]:
         pairs = at.select(*PLACE, F.col("rank").alias("x"), ahead("rank").alias("y"), (F.col("chars") + 1 + ahead("chars")).alias("chars"), ahead("tail").alias("tail"))
         pairs = written(pairs.filter("y is not null"), "pairs")
         names = ranked(intervals(pairs, ["x", "y"]), ["x", "y"])
-        at = written(pairs.join(names, ["x", "y"]).select(*PLACE, "rank", "chars", "tail", (F.col("first") < place()).alias("later")), "suffixes")
+        at = written(met(pairs, names, ["x", "y"]).select(*PLACE, "rank", "chars", "tail", (F.col("first") < place()).alias("later")), "suffixes")
         n *= 2
     return out
 
@@ -97,7 +97,7 @@ def exact(at: list[DataFrame], min_chars: int) -> DataFrame | None:
         step = at[j].select("__d", "__h", F.col("i").alias("at"), F.col("rank").alias("next"), F.col("chars").alias("plus"))
         asked = rows.filter(F.col("k") > j).withColumn("at", F.col("i") + F.col("n")).join(step, ["__d", "__h", "at"]).drop("at")
         asked = written(asked, "asked")
-        grown = asked.join(intervals(asked, [*node, "next"]), [*node, "next"]).withColumn("later", F.col("first") < place())
+        grown = asked.join(intervals(asked, [*node, "next"]).withColumnRenamed("n", "__n"), [*node, "next"]).drop("__n").withColumn("later", F.col("first") < place())
         grown = written(grown.drop("first"), "grown")
         longer = grown.select("k", "rank", *[F.col("next").alias(r) if r == f"r{j}" else r for r in more], *PLACE, (F.col("n") + (1 << j)).alias("n"), (F.col("chars") + 1 + F.col("plus")).alias("chars"), (F.col("open") & F.col("later")).alias("open"), "later")
         # what another suffix of the node prolongs is found there; it looks no further here, but stays a source

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, added_up, blocks, gathered, mixed, written
+from .common import U64, added_up, blocks, gathered, met, mixed, written
 from .components import components
 from .ngrams import Presence
 from .op7_suffix import Hasher, utf8
@@ -352,8 +352,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # exact copies, and the several rows of a doc_id, are one node: the least doc_id of the text
     same = F.unhex(F.md5(F.coalesce(F.col("text"), F.concat(F.lit("\0null"), F.col("doc_id").cast("string")))))
     signed = written(named.select("doc_id", same.alias("same"), "text").mapInArrow(sample, "doc_id long, same binary, size long, bands array<long>"), "signed")
-    nodes = written(signed.groupBy("same").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
-    copies = written(signed.select("doc_id", "same").join(nodes.filter("node < last").select("same", "node"), "same").filter("doc_id <> node").select("doc_id", "node"), "copies")
+    nodes = written(signed.groupBy("same").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("n")), "nodes")
+    copies = written(met(signed.select("doc_id", "same"), nodes.filter("node < last").select("same", "node", "n"), ["same"]).filter("doc_id <> node").select("doc_id", "node"), "copies")
 
     marks = nodes.filter("bands is not null").select("node", "size", F.explode("bands").alias("band"))
     hubs = marks.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("high")).filter("hub < high").select("band", "hub")
