@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from polyscope.llm import op1_lines, op3_nearest, op4_rangejoin, op6_minhash, op7_suffix, suffix_index
+from polyscope.llm import common, op1_lines, op3_nearest, op4_rangejoin, op6_minhash, op7_suffix, suffix_index
 from polyscope.llm.components import components
 from polyscope.llm.suffix_index import SuffixIndex
 
@@ -579,3 +579,23 @@ def test_near_copies_in_scripts_without_spaces(spark):
     hasher = op7_suffix.Hasher()
     words = lambda t: sum(len(h) for _, _, h in op6_minhash.runs(pa.array([t]), hasher, 1))
     assert words("ab \u4e00\u4e01cd\u3042 e\U00020000f") == 2 + 1 + 1 + 1 + 3 and words("\ud55c\uad6d \uc5b4") == 2 and words("\u00e9t\u00e9 \u0e01\u0e02") == 3
+
+
+def test_joins_with_hot_keys(spark, monkeypatch):
+    """A key with half of all rows, others with few, and ones that only one side has."""
+    left = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 1900).cast("long").alias("k"), F.col("id").alias("v")).unionByName(spark.createDataFrame([(None, 1)], "k long, v long"))
+    right = left.groupBy("k").agg(F.count("*").alias("n")).filter("k is not null and k <> 11").withColumn("w", F.col("k") + 1)
+    want = sorted(tuple(r) for r in left.join(right.drop("n"), ["k"]).select("k", "v", "w").collect())
+    for least in (10, 10**9):
+        monkeypatch.setattr(common, "HOT_ROWS", least)
+        got = common.met(left, right, ["k"])
+        assert sorted(tuple(r) for r in got.select("k", "v", "w").collect()) == want and sorted(got.columns) == ["k", "v", "w"]
+
+
+def test_lines_and_copies_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    texts = [(i, f"a line that is in every document of these\nanother line of number {i % 5}, long enough too") for i in range(40)]
+    got = {r.doc_id: r.n_removed for r in op1_lines.digests(docs_of(spark, texts)).collect()}
+    assert got == {i: 0 if i == 0 else 1 if i < 5 else 2 for i in range(40)}
+    classes = {r.doc_id: r.class_id for r in op6_minhash.near_duplicates(docs_of(spark, texts)).select("doc_id", "class_id").collect()}
+    assert all(classes[i] == classes[i % 5] for i in range(40))
