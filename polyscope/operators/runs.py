@@ -190,10 +190,10 @@ def scored(results: DataFrame) -> DataFrame:
     })
 
 
-def latest_success(results: DataFrame, order: str) -> DataFrame:
-    """Of each input's successful rows the last."""
+def latest_success(results: DataFrame, order: str, *by: str) -> DataFrame:
+    """Of each input's successful rows the last (of each run's, with ``by`` run_id)."""
     row = F.struct(*results.columns)
-    return results.filter("status = 'success'").groupBy("input_id").agg(F.max_by(row, order).alias("r")).select("r.*")
+    return results.filter("status = 'success'").groupBy(*by, "input_id").agg(F.max_by(row, order).alias("r")).select("r.*")
 
 
 SUMMARY = ("run_id", "dimension")
@@ -201,8 +201,7 @@ SUMMARY = ("run_id", "dimension")
 
 def summarised(results: DataFrame, order: str) -> DataFrame:
     """The metrics of each run and dimension, over each input's last successful row of the run: rows, normalized_accuracy, exact_match, and how many answers name each label or none."""
-    row = F.struct(*results.columns)
-    last = results.filter("status = 'success'").groupBy("run_id", "input_id").agg(F.max_by(row, order).alias("r")).select("r.*")
+    last = latest_success(results, order, "run_id")
     share = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("int"))
     counts = [F.count_if(F.col("parsed_label").eqNullSafe(F.lit(x))).alias(f"n_{x.lower()}") for x in LABELS]
     return last.groupBy(*SUMMARY).agg(F.count("*").alias("rows"), share("normalized_correct").alias("normalized_accuracy"), share("raw_string_exact").alias("exact_match"), *counts, F.count_if("invalid").alias("n_invalid"))

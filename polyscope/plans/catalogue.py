@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures, paths, text
-from ..functions.constants import DIMENSION_WEIGHTS, LABELS, PROMPT_PROFILES
+from ..functions.constants import DIMENSION_WEIGHTS, LABELS, LANGUAGES, PROMPT_PROFILES
 from ..operators import audit, manifest, models, retrieval, runs, validate
 from ..sources import files, runlog, snapshot, store
 from ..sources.shared import bucketed, folder, written
@@ -142,14 +142,15 @@ def canonical_inputs(spark, sf):
     return manifest.canonical_inputs(fx.manifest(spark, sf)).drop("options").withColumns({"option_order": joined("option_order"), "image_paths": joined("image_paths")})
 
 
-MISMATCH = f"""{o.M}, mm as (select * from m where p_partkey % 50 <> 0), mi as (select 'mismatch::' || q.parallel_id || '::q=' || q.language || '::gui=' || g.language as input_id, 'raw_mismatch' as condition, q.parallel_id, q.sample_id as question_sample_id, g.sample_id as gui_sample_id, q.sample_id as oracle_sample_id,
+MISMATCH = f"""{o.M}, mm as (select * from m where parallel_id in (select parallel_id from m group by 1 having count(distinct language) = 6)), mi as (select 'mismatch::' || q.parallel_id || '::q=' || q.language || '::gui=' || g.language as input_id, 'raw_mismatch' as condition, q.parallel_id, q.sample_id as question_sample_id, g.sample_id as gui_sample_id, q.sample_id as oracle_sample_id,
 q.language as question_language, g.language as gui_language, q.dimension, 'resolve_from_manifest.question_sample_id' as question_source, q.answer as answer_raw, q.gold_label, g.images, len(g.images)::int as num_images, case when g.is_episode then 'natural_sort' else 'single_image' end as frame_order, q.question as question_raw
 from mm q join mm g on q.parallel_id = g.parallel_id and q.language <> g.language)"""
 
 
 def complete(m: DataFrame) -> DataFrame:
-    """The fixture's ids that have all languages, which mismatch inputs need."""
-    return m.filter((F.col("qas_line") - 1) % 50 != 0)
+    """The rows of ids that have all languages, which mismatch inputs need: counted where the pairs are made, by parallel_id."""
+    languages = F.size(F.collect_set("language").over(Window.partitionBy("parallel_id")))
+    return m.withColumn("__n", languages).filter(F.col("__n") == len(LANGUAGES)).drop("__n")
 
 
 @query(f"with {MISMATCH} select * exclude (images, question_raw), array_to_string(images, ',') as image_paths from mi")
@@ -435,6 +436,17 @@ def question_files(spark, sf):
     return rows.select("qas_file", "qas_line", "question", "answer", "asset", "is_episode")
 
 
+@query(f"""with {o.QA}, n as (select *, row_number() over (partition by qas_file order by p_partkey) as line from qa)
+select qas_file, line::int as qas_line, case when is_episode then 'None' else asset end as asset, false as is_episode from n""")
+def question_files_with_nulls(spark, sf):
+    """Lines that name both keys: a picture's path goes before a folder's though it is null, and reads None."""
+    path = F.when(~F.col("is_episode"), F.col("asset")).alias("image_path"), F.when(F.col("is_episode"), F.col("asset")).alias("image_folder_path")
+    line = F.to_json(F.struct("question", "answer", *path), {"ignoreNullFields": "false"}).alias("line")
+    number = F.row_number().over(Window.partitionBy("qas_file").orderBy("p_partkey")).alias("qas_line")
+    rows = manifest.row_asset(files.question_rows(fx.qa(spark, sf).select("qas_file", number, line)))
+    return rows.select("qas_file", "qas_line", "asset", "is_episode")
+
+
 # --- runs and metrics ---------------------------------------------------------------------------------------------------
 
 
