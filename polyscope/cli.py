@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths
+from .functions.constants import LANGUAGES
 from .operators import audit, manifest, models, runs, validate
 from .sources import files, report, runlog, snapshot, store
 
@@ -67,11 +68,12 @@ def audit_release(args: argparse.Namespace, spark: SparkSession) -> int:
     m = manifest_of(spark, args.root).persist()
     readme = Path(args.root, "README.md")
     license_name = files.license_line(spark, str(readme)) if readme.exists() else None
+    levels = audit.levels(m).persist()  # some dozens of rows
     found = {
         "rows": m.count(), "license": license_name, "missing_assets": audit.missing_assets(m).count(), "malformed_answers": audit.malformed_answers(m).count(), "non_label_only_answers": audit.non_label_only_answers(m).count(),
-        "rows_by_language": {r.language: r.rows for r in audit.rows_by_language(m).collect()}, "rows_by_dimension": {r.dimension: r.rows for r in audit.rows_by_dimension(m).collect()},
+        "rows_by_language": {r.language: r.rows for r in audit.rows_of(levels, "language", LANGUAGES).collect()}, "rows_by_dimension": {r.dimension: r.rows for r in audit.rows_of(levels, "dimension", audit.DIMENSIONS).collect()},
         "option_parse_status": {r.option_parse_status: r.rows for r in audit.option_status_counts(m).collect()}, "files": [r.asDict() for r in audit.file_profile(m).orderBy("qas_file").toLocalIterator()],
-        "coverage": {r.dimension: r.asDict() for r in audit.coverage_by_dimension(m).collect()},
+        "coverage": {r.dimension: r.asDict() for r in audit.coverage_of(levels).collect()},
     }
     files.write_json_document(found, args.json_out)
     report.write(report.audit_markdown(m, license_name), args.markdown_out)
@@ -159,6 +161,11 @@ def download(args: argparse.Namespace, spark: SparkSession) -> int:
     return 0
 
 
+def generate(args: argparse.Namespace, spark: SparkSession) -> int:
+    print("Answers come from run, with an adapter for the model.", file=sys.stderr)
+    return 1
+
+
 def release(args: argparse.Namespace, spark: SparkSession) -> int:
     """Audit, build and validate, one after the other; ends with the first that finds something wrong."""
     return audit_release(args, spark) or build(args, spark) or validate_files(args, spark)
@@ -187,6 +194,7 @@ def parser() -> argparse.ArgumentParser:
     command("run", run, "answers of a model to inputs", *model, ("--source-lock", f"{DATA}/source_lock.json", str), ("--output", "results/canonical.jsonl", str), ("--run-id", f"canonical-{uuid.uuid4().hex[:12]}", str), ("--languages", None, str), ("--dimensions", None, str), ("--max-new-tokens", None, int), ("--device-map", None, str), ("--attn-implementation", None, str), ("--resume", False, bool), ("--dry-run", False, bool))
     command("preflight", preflight, "how much of a model's context inputs take", *model, ("--json-out", f"{DATA}/preflight.json", str), ("--markdown-out", "docs/PREFLIGHT.md", str))
     command("download", download, "a pinned release from a mirror", root, ("--mirror", None, str), ("--lock", f"{DATA}/snapshot_lock.json", str), ("--allow", None, str))
+    command("generate", generate, "says which command generates")
     return top
 
 

@@ -63,6 +63,24 @@ def levels(m: DataFrame) -> DataFrame:
     return told.select("level", "language", "dimension", F.when(is_coverage, F.col("languages")).alias("languages"), F.when(~is_coverage, F.col("rows")).alias("rows"), F.when(is_coverage, F.col("states")).alias("states"))
 
 
+def rows_of(found: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
+    """Of :func:`levels` the rows by language or by dimension, zeros included, as :func:`rows_by_language` and :func:`rows_by_dimension` count them."""
+    known = found.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
+    return known.join(found.filter(F.col("level") == column).select(column, "rows"), column, "left").select(column, F.coalesce("rows", F.lit(0)).cast("long").alias("rows"))
+
+
+def matrix_of(found: DataFrame) -> DataFrame:
+    """Of :func:`levels` what :func:`language_dimension_matrix` counts."""
+    cells = [F.coalesce(F.sum(F.when(F.col("dimension") == d, F.col("rows"))), F.lit(0)).alias(d) for d in DIMENSIONS]
+    return found.filter("level = 'language_dimension' and language is not null").groupBy("language").agg(*cells, F.sum("rows").alias("total"))
+
+
+def coverage_of(found: DataFrame) -> DataFrame:
+    """Of :func:`levels` what :func:`coverage_by_dimension` counts."""
+    complete = F.coalesce(F.sum(F.when(F.col("languages") == len(LANGUAGES), F.col("states"))), F.lit(0))
+    return found.filter("level = 'coverage'").groupBy("dimension").agg(F.sum("states").alias("unique_states"), complete.alias("complete_states"))
+
+
 def label_counts_by_file(m: DataFrame) -> DataFrame:
     return m.groupBy("qas_file").agg(*[F.count_if(F.col("gold_label") == x).alias(f"n_{x.lower()}") for x in LABELS])
 

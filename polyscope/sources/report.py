@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.constants import LANGUAGES, PUBLISHED_ROWS_PER_LANGUAGE
 from ..operators import audit, manifest, runs
 
 
@@ -22,20 +23,22 @@ def table(df: DataFrame, order: list[str], most: int | None = None) -> str:
 
 def audit_markdown(m: DataFrame, license_name: str | None = None) -> str:
     """All parts of the release audit; findings are computed, not fixed text."""
-    index = manifest.parallel_index(m)
+    index, levels = manifest.parallel_index(m), audit.levels(m).persist()  # some dozens of rows
+    by_language = audit.rows_of(levels, "language", LANGUAGES)
     total, missing, malformed = m.count(), audit.missing_assets(m).count(), audit.malformed_answers(m).count()
     parts = [
         "# Release audit", f"Rows: {total}. License: {license_name or 'not found'}. Missing assets: {missing}. Malformed answers: {malformed}. Answers that are more than a label: {audit.non_label_only_answers(m).count()}.",
-        "## Rows by language", table(audit.published_delta(m), ["language"]),
-        "## Rows by dimension", table(audit.rows_by_dimension(m), ["dimension"]),
-        "## Languages and dimensions", table(audit.language_dimension_matrix(m), ["language"]),
+        "## Rows by language", table(by_language.select("language", "rows", (F.col("rows") - PUBLISHED_ROWS_PER_LANGUAGE).alias("delta")), ["language"]),
+        "## Rows by dimension", table(audit.rows_of(levels, "dimension", audit.DIMENSIONS), ["dimension"]),
+        "## Languages and dimensions", table(audit.matrix_of(levels), ["language"]),
         "## Files", table(audit.file_profile(m), ["qas_file"], 1000),
         "## Options", table(audit.option_status_counts(m), ["option_parse_status"]), table(audit.option_order_counts(m), ["option_order"]),
-        "## Parallel coverage", table(manifest.index_summary(index), ["parallel_ids"]), table(audit.coverage_by_dimension(m), ["dimension"]), table(audit.coverage_histogram(m), ["dimension", "languages"]), table(audit.incomplete_states(m), ["dimension", "state_key"], 50),
+        "## Parallel coverage", table(manifest.index_summary(index), ["parallel_ids"]), table(audit.coverage_of(levels), ["dimension"]), table(levels.filter("level = 'coverage'").select("dimension", "languages", "states"), ["dimension", "languages"]), table(audit.incomplete_states(m), ["dimension", "state_key"], 50),
         "## Malformed answers", table(audit.malformed_answers(m), ["qas_file", "qas_line"], 50),
         "## Missing assets", table(audit.missing_assets(m), ["qas_file", "qas_line"], 50),
         "## Episode frames", table(audit.episode_frame_histogram(m), ["frames"]),
     ]
+    levels.unpersist()
     return "\n\n".join(parts) + "\n"
 
 

@@ -223,6 +223,24 @@ def test_levels(spark):
     assert of("language_dimension", "language", "dimension", "rows") == {("en", "wf", 2), ("zh", "wf", 2), ("en", None, 1), (None, "wi", 1), ("en", "wi", 1)}
 
 
+def test_reports_from_levels(spark):
+    """What the audit takes from one scan is what each count by itself gives."""
+    m = catalogue.fx.stored_manifest(spark, SF)
+    levels = audit.levels(m).cache()
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert rows(audit.rows_of(levels, "language", audit.LANGUAGES)) == rows(audit.rows_by_language(m)) and rows(audit.rows_of(levels, "dimension", audit.DIMENSIONS)) == rows(audit.rows_by_dimension(m))
+    assert rows(audit.matrix_of(levels)) == rows(audit.language_dimension_matrix(m)) and rows(audit.coverage_of(levels)) == rows(audit.coverage_by_dimension(m))
+    assert rows(levels.filter("level = 'coverage'").select("dimension", "languages", "states")) == rows(audit.coverage_histogram(m))
+
+
+def test_configurations(tmp_path, capsys, spark):
+    pytest.importorskip("yaml")
+    (tmp_path / "a.yaml").write_text("model_id: m\ngeneration:\n  max_new_tokens: 8\n  top_p: null\n")
+    (tmp_path / "a.json").write_text('{"model_id": "m", "generation": {"max_new_tokens": 8, "top_p": null}}')
+    assert files.load_config(str(tmp_path / "a.yaml")) == files.load_config(str(tmp_path / "a.json")) == {"model_id": "m", "generation": {"max_new_tokens": 8, "top_p": None}}
+    assert cli.main(["generate"], spark) == 1
+
+
 def test_attempts_with_state(spark, tmp_path):
     """An input is tried until it succeeds; a later batch knows."""
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
