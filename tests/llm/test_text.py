@@ -324,7 +324,7 @@ def test_distinct_buckets():
         assert sorted(seen.of(code)) == np.unique(code).tolist()
 
 
-@pytest.mark.parametrize("text", [" " * 2_000_000 + "x", "a" + " " * 1_200_000 + "b", "\n" * 1_100_000 + " q", " \n\t" * 400_000 + "z  end", "a b" + "\u00a0" * 1_000_000, "x " + " " * 1_100_000])
+@pytest.mark.parametrize("text", [" " * 2_000_000 + "x", "a" + " " * 1_200_000 + "b", "\n" * 1_100_000 + " q", " \n\t" * 400_000 + "z  end", "a b" + "\u00a0" * 200_000, "x " + " " * 1_100_000])
 def test_long_white_space(vocabulary, reference, text):
     """White space beyond what the Rust path's pattern takes, as the library encodes it, by every way."""
     ids = reference.encode(text, add_special_tokens=False).ids
