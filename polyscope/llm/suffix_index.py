@@ -21,6 +21,16 @@ def small(x: np.ndarray, most: int) -> np.ndarray:
     return x.astype(np.int32 if most < 1 << 31 else np.int64)
 
 
+def ranked(x: np.ndarray) -> np.ndarray:
+    """The place of each value among the different ones; values that aren't much more than there are places need no sorting."""
+    most = int(x.max()) + 1
+    if most > 4 * len(x):
+        return np.unique(x, return_inverse=True)[1]
+    there = np.zeros(most, bool)
+    there[x] = True
+    return (np.cumsum(there) - 1)[x]
+
+
 def doubled(text: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
     """The order of the suffixes ``at`` of ``text`` by their first ``span`` bytes: pairs of ranks of half as many bytes are ranked, until no two are equal or ``span`` is reached."""
     n, length = len(text), 1
@@ -28,10 +38,11 @@ def doubled(text: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
     while 2 * length <= span and (length == 1 or rank.max() < n - 1):
         pair = rank * (rank.max() + 2)
         pair[: n - length] += rank[length:] + 1
-        rank = np.unique(pair, return_inverse=True)[1]
+        rank = ranked(pair)
         length *= 2
     # the rest of the span overlaps what is ranked
-    return np.argsort(rank[at] * (rank.max() + 1) + rank[at + max(0, span - length)], kind="stable")
+    last = ranked(rank[at] * (rank.max() + 1) + rank[at + max(0, span - length)])
+    return np.argsort(last.astype(np.uint16) if last.max() < 1 << 16 else last, kind="stable")
 
 
 class Level:
