@@ -22,6 +22,7 @@ from .functions import paths
 from .functions.constants import LANGUAGES
 from .operators import audit, manifest, models, runs, validate
 from .sources import files, report, runlog, snapshot, store
+from .sources.shared import written
 
 DATA = "data/manifests"
 
@@ -92,7 +93,7 @@ def verdict(spark: SparkSession, args: argparse.Namespace) -> tuple[bool, DataFr
         # each path is looked up where it lies; nothing else is listed
         top = args.repo_root.rstrip("/") or "."
         path = F.col("path")
-        existing = store.existing(validate.union(asked).distinct().withColumn("at", F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(f"{top}/"), path))))
+        existing = written(store.existing(validate.union(asked).distinct().withColumn("at", F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(f"{top}/"), path)))), "existing")
     errors = validate.messages(validate.release_violations(m, index, pairs, canonical, mismatch, existing)).persist()
     return errors.isEmpty(), errors.orderBy("place"), validate.counts_of(m, index, pairs, canonical, mismatch).first().asDict()
 

@@ -53,7 +53,8 @@ FAULTS: dict[str, tuple[str, list[tuple[str, str, str, str | None]]]] = {
 def faulty(df: DataFrame, artifact: str) -> DataFrame:
     twice, faults = FAULTS[artifact]
     df = reduce(lambda d, f: d.withColumn(f[0], F.expr(f"case when {f[1]} then {f[2]} else {f[0]} end")), faults, df)
-    return df.unionByName(df.filter(F.expr(twice)))
+    # one scan gives both copies, and rows stay where they are
+    return df.withColumn("__copy", F.explode(F.when(F.expr(twice), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("__copy")
 
 
 def faulty_sql(artifact: str, source: str) -> str:
@@ -68,9 +69,10 @@ def faulty_sql(artifact: str, source: str) -> str:
 
 def violations(m: DataFrame, index: DataFrame, pairs: DataFrame, canonical: DataFrame, mismatch: DataFrame, existing: DataFrame, expected: dict) -> DataFrame:
     """artifact, rule, entity; inputs are compared with the manifest as it is without faults."""
+    gone = validate.gone_images(m, existing)
     parts = {
         "manifest": validate.manifest_violations(faulty(m, "manifest"), expected), "index": validate.index_violations(faulty(index, "index"), expected), "pairs": validate.pair_violations(faulty(pairs, "pairs"), expected),
-        "canonical": validate.canonical_violations(faulty(canonical, "canonical"), m, existing, expected), "mismatch": validate.mismatch_violations(faulty(mismatch, "mismatch"), m, existing, expected),
+        "canonical": validate.canonical_violations(faulty(canonical, "canonical"), m, existing, expected, gone), "mismatch": validate.mismatch_violations(faulty(mismatch, "mismatch"), m, existing, expected, gone),
     }
     return validate.union([df.select(F.lit(name).alias("artifact"), "rule", "entity") for name, df in parts.items()])
 

@@ -1,5 +1,6 @@
 """Logs with commits, snapshots, digests, bucketed artifacts, streams with state."""
 
+import re
 import hashlib
 import json
 import os
@@ -284,3 +285,36 @@ def test_image_paths_are_looked_up_where_they_lie(spark, tmp_path):
     rows = [(str(tmp_path / "a" / "x.png"),), (str(tmp_path / "a"),), (str(tmp_path / "gone.png"),), ("no/such/folder/y.png",)]
     paths = spark.createDataFrame(rows, "path string").withColumn("at", F.col("path"))
     assert {r.path for r in store.existing(paths).collect()} == {rows[0][0], rows[1][0]}
+
+
+def test_inputs_are_judged_where_they_are_made(spark):
+    """Inputs are made of one parallel_id and refer to its samples: of what is judged only paths, and images that aren't there, move."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.QUERIES["violations_mismatch"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"hashpartitioning\((\w+)#", plan)
+    # by sample_key only what is gone, once for each of the two scans of the inputs
+    assert moved.count("sample_key") == 2 and "path" in moved
+
+
+@pytest.mark.parametrize("many", [0, 100_000])
+def test_repeated_keys(spark, monkeypatch, many):
+    """Nulls are values of a key; only equal keys count as repeated, however many hashes come up again."""
+    monkeypatch.setattr(validate, "MANY", many)
+    rows = [("a", None), ("a", None), (None, "a"), ("a", "b"), ("a", "b"), ("a", "b"), (None, None), ("c", "d")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert validate.repeated(df, "x", "y").first().n == 3 and validate.repeated(df.filter("x = 'c'"), "x", "y").first().n == 0
+
+
+def test_images_that_are_not_those_of_the_sample(spark):
+    """Images are looked for whether they are the sample's or not, null ones too; each that isn't there is told once for each time that it is named."""
+    m = spark.createDataFrame([(f"p::{x}", "p", "wf", x, "A", [f"{x}1", f"{x}2", None], "f", i) for i, x in enumerate(("en", "zh"))], "sample_id string, parallel_id string, dimension string, language string, gold_label string, image_paths array<string>, qas_file string, qas_line int")
+    existing = spark.createDataFrame([("en1",), ("zh2",), ("there",)], "path string")
+    inputs = [("own", "p::zh", ["zh1", "zh2", None]), ("other", "p::zh", ["there", "lost", "lost", None]), ("none", "p::zh", None), ("far", "gone::zh", ["lost"])]
+    rows = [(i, "p", "p::en", g, "p::en", "en", "zh", "wf", "A", images, len(images or [])) for i, g, images in inputs]
+    df = spark.createDataFrame(rows, "input_id string, parallel_id string, question_sample_id string, gui_sample_id string, oracle_sample_id string, question_language string, gui_language string, dimension string, gold_label string, image_paths array<string>, num_images int")
+    found = sorted((r.rule, r.entity) for r in validate.mismatch_violations(df, m, existing, {"mismatch_inputs": 4}).collect())
+    assert found == sorted([("image_exists", "own: zh1"), ("image_exists", "own"), ("image_exists", "other: lost"), ("image_exists", "other: lost"), ("image_exists", "other"), ("gui_image_paths", "other"), ("gui_image_paths", "none"), ("reference_missing", "far")])
