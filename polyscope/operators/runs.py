@@ -38,17 +38,21 @@ def sliced(rows: DataFrame, order: list[str], limit: int | None = None) -> DataF
 
 
 def done_ids(log: DataFrame) -> DataFrame:
-    """Ids with a successful row: input_id, or sample_id where that is empty."""
+    """Ids with a successful row: input_id, or sample_id where that is empty. They are as many as inputs, so joins merge them: a task never holds all of them, as it would if they were broadcast."""
     sample = F.col("sample_id") if "sample_id" in log.columns else F.lit(None)
-    return log.filter("status = 'success'").select(F.coalesce(F.when(F.col("input_id") != "", F.col("input_id")), sample, F.lit("None")).alias("input_id")).distinct()
+    return log.filter("status = 'success'").select(F.coalesce(F.when(F.col("input_id") != "", F.col("input_id")), sample, F.lit("None")).alias("input_id")).distinct().hint("merge")
 
 
-def pending(planned: DataFrame, log: DataFrame) -> DataFrame:
-    return planned.join(done_ids(log), "input_id", "left_anti")
+def pending(planned: DataFrame, log: DataFrame, parts: int | None = None) -> DataFrame:
+    """The rows whose input isn't done, compared in ``parts`` tasks where that is given."""
+    done = done_ids(log)
+    if parts:
+        planned, done = planned.repartition(parts, "input_id"), done.repartition(parts, "input_id").hint("merge")
+    return planned.join(done, "input_id", "left_anti")
 
 
 def dry_run(planned: DataFrame, log: DataFrame) -> DataFrame:
-    done = done_ids(log).withColumn("done", F.lit(True))
+    done = done_ids(log).withColumn("done", F.lit(True)).hint("merge")
     return planned.join(done, "input_id", "left").agg(F.count("*").alias("planned_rows"), F.count_if(F.col("done").isNull()).alias("pending_rows"))
 
 

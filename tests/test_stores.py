@@ -318,3 +318,17 @@ def test_images_that_are_not_those_of_the_sample(spark):
     df = spark.createDataFrame(rows, "input_id string, parallel_id string, question_sample_id string, gui_sample_id string, oracle_sample_id string, question_language string, gui_language string, dimension string, gold_label string, image_paths array<string>, num_images int")
     found = sorted((r.rule, r.entity) for r in validate.mismatch_violations(df, m, existing, {"mismatch_inputs": 4}).collect())
     assert found == sorted([("image_exists", "own: zh1"), ("image_exists", "own"), ("image_exists", "other: lost"), ("image_exists", "other: lost"), ("image_exists", "other"), ("gui_image_paths", "other"), ("gui_image_paths", "none"), ("reference_missing", "far")])
+
+
+def test_done_ids_are_not_broadcast(spark):
+    """What is done may be as much as all inputs: no task holds the whole of it."""
+    planned = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "input_id string")
+    log = spark.createDataFrame([("a", "success"), ("b", "failed"), ("a", "success")], "input_id string, status string")
+    left = runs.pending(planned, log)
+    assert {r.input_id for r in left.collect()} == {"b", "c", None}
+    assert tuple(runs.dry_run(planned, log).first()) == (4, 3)
+    dealt = runs.pending(planned, log, 3)
+    assert {r.input_id for r in dealt.collect()} == {"b", "c", None} and dealt.rdd.getNumPartitions() == 3
+    for df in (left, dealt, runs.dry_run(planned, log)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
