@@ -3,7 +3,8 @@
 Vectors get one more component, which brings all of a shard to the length of its longest (zero for a query); the
 largest inner product is then the least Euclidean distance, and the triangle inequality holds. Vectors are dealt into shards by a
 hash, and each shard's tree is built once: a node splits its vectors at the median distance from a vantage point and keeps the range of distances
-of each half. A block of queries goes down a tree together, nearer half first; a half is left out for a query
+of each half. A block of queries is searched together: its queries' distances from the vantage points bound those from each leaf; each query sees its nearest leaves first,
+then all leaves go by, and a leaf is left out for a query
 if ``relax`` times the lower bound of its distances exceeds the query's k-th best. ``relax`` 1 restores exact search; more prunes
 sooner. How much a factor loses depends on how lengths and directions are spread, so unless a factor is given, each shard and block of queries takes the largest of ``FACTORS`` with which
 ``SAMPLE`` of its queries find at least ``TARGET`` of what brute force finds for them, and 1 where none does. Blocks of queries meet every shard, so a task holds one shard's tree and one block. Leaves rank by inner products of the original
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 NEAREST, EVERY, SHARD, BLOCK, LEAF = 20, 20, 16_384, 2_048, 128
+#: Leaves that each query sees first, its nearest; candidates of a leaf that are few for a query.
+AHEAD, FEW = 4, 8
 #: A shard's vectors take at most so many bytes; factors that are tried, on so many queries, and the recall that one must have.
 SHARD_BYTES, FACTORS, SAMPLE, TARGET = 32 << 20, (8.0, 6.0, 5.0, 4.0, 3.0, 2.0, 1.5, 1.2), 64, 0.97
 
@@ -62,52 +65,70 @@ class Tree:
         square = np.einsum("ij,ij->i", q, q)[:, None] + self.square[rows] - 2 * q @ self.x[rows].T
         return np.sqrt(np.maximum(square, 0))
 
+    def leaves(self, q: np.ndarray, relax: float) -> tuple[list[np.ndarray], np.ndarray]:
+        """The leaves' rows, and for each leaf and query the distance that the query's k-th best must have at least for the leaf to be searched."""
+        rows, needs = [], []
+
+        def visit(node: tuple, need: np.ndarray) -> None:
+            if node[0] == "leaf":
+                rows.append(node[1])
+                needs.append(need)
+                return
+            d = self.distances(q, np.array([node[1]]))[:, 0]
+            slack = 1e-7 * (1 + d)  # rounding never prunes a tie: a distance near 0 is off by the root of that of its square
+            for half, low, high in node[2:]:
+                visit(half, np.maximum(need, relax * np.maximum(np.maximum(low - d, d - high), 0) - slack))
+
+        visit(self.root, np.full(len(q), -np.inf))
+        return rows, np.stack(needs)
+
     def search(self, q: np.ndarray, asked: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and scores of the k best for each query (-1 and -inf where there are fewer); ``asked`` are the queries unscaled; candidates with the query's own id are left out."""
         best, far = np.full((len(q), k), -1), np.full((len(q), k), -np.inf)
         reach = np.full(len(q), np.inf)  # scaled distance of the k-th best
         length = np.sqrt(np.einsum("ij,ij->i", asked, asked))
 
-        def visit(node: tuple, of: np.ndarray) -> None:
-            if not len(of):
-                return
-            if node[0] == "leaf":
-                rows = node[1][np.argsort(ids[node[1]], kind="stable")]
-                d = asked[of] @ self.original[rows].T
-                # what may be among the best is computed again, always in one order: equal vectors have equal scores, whatever block they are in
-                open_ = d >= far[of, -1:] - 1e-11 * length[of, None] * self.length[rows].max()
-                open_ &= own[of][:, None] != ids[rows][None]
-                some = np.flatnonzero(open_.any(axis=1))
-                if not len(some):
-                    return
-                of, open_ = of[some], open_[some]
-                d = np.full(open_.shape, -np.inf)
-                i, j = np.nonzero(open_)
-                for first in range(0, len(i), 1 << 14):
-                    a, b = i[first : first + (1 << 14)], j[first : first + (1 << 14)]
-                    d[a, b] = np.einsum("ij,ij->i", asked[of[a]], self.original[rows[b]], optimize=False)
-                all_d = np.concatenate([far[of], d], axis=1)
-                all_r = np.concatenate([best[of], np.broadcast_to(rows, d.shape)], axis=1)
-                all_id = np.where(all_r >= 0, ids[all_r], np.iinfo(np.int64).max)
-                top = np.lexsort((all_id, -all_d), axis=1)[:, :k]
-                far[of], best[of] = np.take_along_axis(all_d, top, 1), np.take_along_axis(all_r, top, 1)
-                best[of] = np.where(np.isinf(far[of]), -1, best[of])
-                last = best[of, -1]
-                gap = q[of] - self.x[last]
-                reach[of] = np.where(last < 0, np.inf, np.sqrt(np.einsum("ij,ij->i", gap, gap)))
-                return
-            _, vantage, inner, outer = node
-            d = self.distances(q[of], np.array([vantage]))[:, 0]
-            bounds = [np.maximum(np.maximum(low - d, d - high), 0) for _, low, high in (inner, outer)]
-            nearer = bounds[0] <= bounds[1]
-            slack = 1e-7 * (1 + d)  # rounding never prunes a tie: a distance near 0 is off by the root of that of its square
-            for first, second, mask in ((inner, outer, nearer), (outer, inner, ~nearer)):
-                for half in (first, second):
-                    bound = bounds[0] if half is inner else bounds[1]
-                    open_ = np.flatnonzero(mask & (relax * bound <= reach[of] + slack))
-                    visit(half[0], of[open_])
-
-        visit(self.root, np.arange(len(q)))
+        def merge(of: np.ndarray, rows: np.ndarray, open_: np.ndarray, count: np.ndarray) -> None:
+            """Of the best so far and the rows that are open, ``count`` for each query, the best."""
+            i, j = np.nonzero(open_)
+            at = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            d, r = np.full((len(of), count.max()), -np.inf), np.full((len(of), count.max()), -1)
+            r[i, at] = rows[j]
+            # computed again, always in one order: equal vectors have equal scores, whatever block they are in
+            for first in range(0, len(i), 1 << 14):
+                a, b = i[first : first + (1 << 14)], j[first : first + (1 << 14)]
+                d[a, at[first : first + (1 << 14)]] = np.einsum("ij,ij->i", asked[of[a]], self.original[rows[b]], optimize=False)
+            all_d, all_r = np.concatenate([far[of], d], axis=1), np.concatenate([best[of], r], axis=1)
+            all_id = np.where(all_r >= 0, ids[all_r], np.iinfo(np.int64).max)
+            top = np.lexsort((all_id, -all_d), axis=1)[:, :k]
+            far[of], best[of] = np.take_along_axis(all_d, top, 1), np.take_along_axis(all_r, top, 1)
+
+        def look(rows: np.ndarray, of: np.ndarray) -> None:
+            d = asked[of] @ self.original[rows].T
+            open_ = d >= far[of, -1:] - 1e-11 * length[of, None] * self.length[rows].max()
+            open_ &= own[of][:, None] != ids[rows][None]
+            count = open_.sum(axis=1)
+            # a query has few candidates once it has seen some leaves: it is sorted with those that have as few
+            for low, high in ((0, FEW), (FEW, len(rows))):
+                some = np.flatnonzero((count > low) & (count <= high))
+                if len(some):
+                    merge(of[some], rows, open_[some], count[some])
+            of = of[count > 0]
+            last = best[of, -1]
+            gap = q[of] - self.x[last]
+            reach[of] = np.where(last < 0, np.inf, np.sqrt(np.einsum("ij,ij->i", gap, gap)))
+
+        leaves, need = self.leaves(q, relax)
+        nearest = np.argsort(need, axis=0, kind="stable")[:AHEAD]
+        for at in nearest:
+            for leaf in np.unique(at):
+                of = np.flatnonzero(at == leaf)
+                look(leaves[leaf], of[need[leaf, of] <= reach[of]])
+        np.put_along_axis(need, nearest, np.inf, axis=0)  # seen
+        for rows, least in zip(leaves, need, strict=True):
+            of = np.flatnonzero((least <= reach) & (least < np.inf))
+            if len(of):
+                look(rows, of)
         return best, far
 
 

@@ -382,6 +382,19 @@ def test_nearest_recall(lengths):
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(best, want, strict=True)]) >= 0.95
 
 
+def test_nearest_searches_leaves_together(monkeypatch):
+    """A leaf is met by many queries at once, and sorted are those of its vectors only that can be among a query's best, which are those of brute force."""
+    rng = np.random.default_rng(9)
+    x, ids = rng.normal(size=(4_000, 64)), np.arange(4_000)
+    tree, q, cells, lexsort = op3_nearest.tree_of(x), np.arange(0, 4_000, 20), [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys, axis=-1: cells.append(keys[0].size) or lexsort(keys, axis=axis))
+    best, _ = tree.search(op3_nearest.scaled(x[q], tree), x[q], q, ids, 20, 1.0)
+    s = x[q] @ x.T
+    s[np.arange(len(q)), q] = -np.inf
+    assert (best == np.argsort(-s, axis=1)[:, :20]).all()
+    assert sum(cells) < 0.3 * len(q) * len(x) and len(cells) < 400
+
+
 def test_nearest_query_recall(spark):
     """The query with its own parameters, in several shards of several blocks."""
     rng = np.random.default_rng(4)
