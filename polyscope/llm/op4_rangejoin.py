@@ -5,7 +5,7 @@ of the vectors of each label that has more than ``PER_PIVOT``, spread by hash, s
 if it may lie within eps of a vector at home there: the triangle inequality gives d(v, p) <= d(v, home) + 2 eps, and
 the distance from the plane between the two pivots, at most eps, is narrower yet. A cell joins its home vectors with
 all that are in it, independently of others, so that a home vector sees all its neighbours. Where a second sample shows that a vector would go to more than
-``COPIES`` cells, or to more than half of them, half the pivots are left out, and so on down to two: spread vectors of many dimensions, which the triangle inequality can't tell apart, are copied once at most. Cells are cut into blocks of at most ``BLOCK`` vectors, packed in a row each, on
+``COPIES`` cells, or to more than half of them, pivots that are far apart are taken instead, and where those don't do, half the pivots are left out, and so on down to two: spread vectors of many dimensions, which the triangle inequality can't tell apart, are copied once at most. Cells are cut into blocks of at most ``BLOCK`` vectors, packed in a row each, on
 either side, so no cell or label meets in one task; in a cell without replicas each two blocks meet once. Two blocks send on counts and a spanning forest of their links,
 never pairs. A cosine that differs from t by rounding only is computed again from the original
 vectors in one fixed order, so a pair is decided alike in every block and from both sides.
@@ -32,6 +32,8 @@ from .op3_nearest import usable
 COSINE, PER_PIVOT, ALL_PIVOTS, BLOCK, BLOCK_BYTES = 0.93, 16, 16_384, 2_048, 16 << 20
 #: Cells that a vector goes to on average at most where a label has more than two, and vectors of a label that this is measured on, of all labels ``ALL_PIVOTS`` or so.
 COPIES, PROBES = 4, 256
+#: Pivots of a label that are chosen far apart at most.
+SPREAD = 1_024
 
 
 def reaches(a: np.ndarray, b: np.ndarray, product: np.ndarray, cosine: float) -> np.ndarray:
@@ -59,15 +61,27 @@ def cells_of(x: np.ndarray, pivots: np.ndarray, eps: float) -> tuple[np.ndarray,
     return inside, home
 
 
-def fitting(pivots: np.ndarray, probes: np.ndarray, eps: float) -> np.ndarray:
-    """The first of ``pivots``, as many as copy a vector to few cells, and two at least if there are."""
-    count = len(pivots)
+def spread(x: np.ndarray, count: int) -> np.ndarray:
+    """Rows of ``x``, ``count`` at most, each the farthest from those before it: they reach every cluster, however few vectors are drawn of it."""
+    found, near = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(found) < min(count, len(x)) and near.max() > 0:
+        found.append(int(near.argmax()))
+        near = np.minimum(near, np.maximum(2 - 2 * x @ x[found[-1]], 0))
+        near[found[-1]] = 0
+    return np.array(found)
+
+
+def fitting(x: np.ndarray, count: int, eps: float) -> np.ndarray:
+    """Pivots of the vectors drawn, ``count`` or, where those would copy a vector to many cells, fewer, and two at least if there are: the first ones, as dense as the vectors are, or else
+    ones that are far apart. The last of the others are the probes."""
+    far = spread(x, min(count, SPREAD))
     while count > 2:
-        some = np.unique(pivots[:count], axis=0)
-        if len(probes) and cells_of(probes, some, eps)[0].sum(axis=1).mean() <= min(COPIES, len(some) / 2):
-            return some
+        for rows in (np.arange(count), far[:count]):
+            some, probes = np.unique(x[rows], axis=0), np.delete(x, rows, axis=0)[-PROBES:]
+            if len(probes) and cells_of(probes, some, eps)[0].sum(axis=1).mean() <= min(COPIES, len(some) / 2):
+                return some
         count //= 2
-    return np.unique(pivots[:2], axis=0)
+    return np.unique(x[:2], axis=0)
 
 
 def pivots_of(nodes: DataFrame, eps: float, per_pivot: int) -> dict:
@@ -86,7 +100,7 @@ def pivots_of(nodes: DataFrame, eps: float, per_pivot: int) -> dict:
     for (label, d, count), rows in of.items():
         x = unit(np.stack([v for _, v in sorted(rows, key=lambda x: x[0])]))
         count = min(count, max(2, len(x) - probes))
-        out[label, d] = fitting(x[:count], x[count : count + probes], eps)
+        out[label, d] = fitting(x[: count + probes], count, eps)
     return out
 
 
