@@ -45,10 +45,11 @@ def met(left: DataFrame, right: DataFrame, by: list[str], n: str = "n") -> DataF
 
     There are at most a thousand hot keys, which are broadcast to tell their rows apart, and whose rows of ``right`` are copied to each of their tasks.
     """
-    total = right.agg(F.sum(n)).first()[0] or 0
-    hot = right.filter((F.col(n) > total / 1000) & (F.col(n) > HOT_ROWS)).select(*by, F.lit(SALTS).alias("salts__"))
-    if hot.isEmpty():
+    total, most = right.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    least = max(total / 1000, HOT_ROWS)
+    if most <= least:
         return left.join(right.drop(n), by)
+    hot = right.filter(F.col(n) > least).select(*by, F.lit(SALTS).alias("salts__"))
     salted = left.join(F.broadcast(hot), by, "left")
     salted = salted.withColumn("salt__", F.pmod(F.xxhash64(*left.columns), F.coalesce("salts__", F.lit(1))).cast("int")).drop("salts__")
     copied = right.join(F.broadcast(hot), by, "left").withColumn("salt__", F.explode(F.sequence(F.lit(0), F.coalesce("salts__", F.lit(1)) - 1)))

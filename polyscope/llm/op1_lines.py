@@ -3,7 +3,7 @@
 Lines get ids: ranks of their hashes. Round k sorts the pairs of ranks of the 2**k lines from each position and of the 2**k after
 them; a pair's place in that order is its rank, which names and orders the 2**(k+1) lines from there. Suffixes of equal
 rank are an interval of the suffix array whose longest common prefix has at least 2**(k+1) lines. Suffixes whose rank is theirs alone are in place and leave; the rest go on until
-none is left. A suffix that isn't the first of its interval, in order of doc_id and line, starts a later copy.
+none is left, or 2**k lines have ``MIN_CHARS`` characters by their newlines alone: longer runs are unions of such stretches. A suffix that isn't the first of its interval, in order of doc_id and line, starts a later copy.
 
 Of a later copy's maximal run, which ends with the longest prefix that an earlier suffix shares, every line goes if the run has ``MIN_CHARS`` characters or more, newlines
 between its lines included; the first copy stays whole. A run is the union of its stretches of 2**k lines, so where they have ``MIN_CHARS`` characters each their
@@ -51,8 +51,11 @@ def ranked(found: DataFrame, by: list[str]) -> DataFrame:
     return written(found.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
-def levels(docs: DataFrame, text: str = "text") -> list[DataFrame]:
-    """For each k: place, rank, chars, tail and later of the suffixes whose first 2**k lines occur elsewhere too: the characters of those lines and of the last of them, and whether an earlier suffix has them."""
+def levels(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> list[DataFrame]:
+    """For each k: place, rank, chars, tail and later of the suffixes whose first 2**k lines occur elsewhere too: the characters of those lines and of the last of them, and whether an earlier suffix has them.
+
+    The last k is that where 2**k lines have ``min_chars`` characters by their newlines alone: the stretches of that many lines in a longer run are later copies as it is, and cover it.
+    """
     lines = docs.filter(F.col(text).isNotNull()).select("__d", "__h", F.posexplode(F.split(text, "\n", -1)).alias("i", "line"))
     lines = lines.select("__d", "__h", F.col("i").cast("long").alias("i"), F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), "line").alias("y"), F.length("line").cast("long").alias("chars"))
     names = ranked(intervals(lines, ["x", "y"]), ["x", "y"])
@@ -60,6 +63,8 @@ def levels(docs: DataFrame, text: str = "text") -> list[DataFrame]:
     out, n = [], 1
     while not at.isEmpty():
         out.append(at)
+        if n > min_chars:
+            break
         ahead = lambda c: F.max(c).over(Window.partitionBy("__d", "__h").orderBy("i").rangeBetween(n, n))  # noqa: B023, E731
         pairs = at.select(*PLACE, F.col("rank").alias("x"), ahead("rank").alias("y"), (F.col("chars") + 1 + ahead("chars")).alias("chars"), ahead("tail").alias("tail"))
         pairs = written(pairs.filter("y is not null"), "pairs")
@@ -111,7 +116,7 @@ def exact(at: list[DataFrame], min_chars: int) -> DataFrame | None:
 
 def repeated_runs(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """__d, __h, low, high: the lines (from 0, up to before ``high``) that go, in intervals that don't touch; ``docs`` is keyed."""
-    at = levels(docs, text)
+    at = levels(docs, text, min_chars)
     if not at:
         return docs.select("__d", "__h", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high")).limit(0)
     copies = [x.filter("later").select(*PLACE, F.lit(1 << k).cast("long").alias("n"), "chars") for k, x in enumerate(at)]

@@ -111,6 +111,14 @@ def test_light_lines(spark):
     assert got[2].kept_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_doubling_ends_with_heavy_stretches(spark):
+    """Ranks of more lines than a run needs by its newlines alone aren't made, and longer runs go whole."""
+    lines = [str(i) for i in range(100)]
+    docs = docs_of(spark, [(1, "\n".join(lines)), (2, "\n".join(["x", *lines, "y"])), (3, "\n".join(lines[57:]))])
+    assert len(op1_lines.levels(op1_lines.keyed(docs, "doc_id", "text"))) == 6
+    assert {r.doc_id: r.n_removed for r in op1_lines.digests(docs).collect()} == {1: 0, 2: 100, 3: 43}
+
+
 def test_copies_of_many_lines(spark):
     """Two copies of a long text, and many equal rows."""
     rng = random.Random(13)
