@@ -169,3 +169,11 @@ def test_queries_match_sql(spark):
             sql = SQL[name].replace("/root/testdata/sf0.01/", f"{sf}/")  # files are named by constant paths
             want = con.sql(f"select {', '.join(names)} from ({sql})").fetchall()
             assert key(got) == key(want), name
+
+
+def test_frames_of_wanted_folders(spark):
+    """Folders of single pictures aren't gathered for the manifest."""
+    listing = spark.createDataFrame([("ep/frame_10.jpg",), ("ep/frame_9.jpg",), ("ep/x.txt",), ("1/en/a.jpg",), ("1/en/b.jpg",)], "path string")
+    wanted = spark.createDataFrame([("ep",), ("ep",), ("gone",), (None,)], "folder string")
+    assert [tuple(r) for r in manifest.episode_frames(listing, wanted).collect()] == [("ep", ["frame_9.jpg", "frame_10.jpg"])]
+    assert manifest.episode_frames(listing).count() == 2

@@ -332,3 +332,26 @@ def test_done_ids_are_not_broadcast(spark):
     for df in (left, dealt, runs.dry_run(planned, log)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_buckets_grow_with_the_manifest(spark, monkeypatch):
+    """A bucket holds a bounded number of rows, however many partitions the session has."""
+    monkeypatch.setattr(catalogue, "ROWS_OF_BUCKET", 100, raising=False)
+    m = catalogue.by_parallel_id(spark, SF)
+    # a bucket is one file
+    assert len(m.inputFiles()) == -(-m.count() // 100) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_distinct_keys_are_read_once(spark):
+    """Where no hash comes up again there are no keys to compare."""
+    none = validate.repeated(spark.range(10), "id")
+    assert none.first().n == 0 and none.schema["n"].dataType.simpleString() == "bigint"
+    assert "Join" not in none._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_of_odd_ids(spark):
+    """Whether an id is of a key is what its sample_key says, with colons, lines and nulls anywhere."""
+    ids = ["a::en", "a::b::en", "a:::en", "a::", "a", "::en", "", "a::e:n", "a::e\nn", "a::en\n", "a\n::en", "a::::", ":", None]
+    df = spark.createDataFrame([(i, k) for i in ids for k in ["a", "a::b", "a:", "", "a\n", "a::", "b", "a::e:n", None]], "id string, key string")
+    both = df.select(validate.of_key(F.col("id"), F.col("key")).alias("x"), validate.sample_key(F.col("id")).eqNullSafe(F.col("key")).alias("y"))
+    assert both.filter("not x <=> y").count() == 0 and both.filter("x").count() > 9
