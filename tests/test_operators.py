@@ -177,3 +177,12 @@ def test_frames_of_wanted_folders(spark):
     wanted = spark.createDataFrame([("ep",), ("ep",), ("gone",), (None,)], "folder string")
     assert [tuple(r) for r in manifest.episode_frames(listing, wanted).collect()] == [("ep", ["frame_9.jpg", "frame_10.jpg"])]
     assert manifest.episode_frames(listing).count() == 2
+
+
+def test_mismatch_inputs_hold_no_pairs_of_rows(spark):
+    """What a pair doesn't ask for of its two rows isn't copied for it."""
+    rows = [(f"p::{x}", "p", x, "wf", "A", "A", [f"{x}.jpg"], 1, "single_image", "f", i) for i, x in enumerate(LANGUAGES[:3])]
+    m = spark.createDataFrame(rows, "sample_id string, parallel_id string, language string, dimension string, answer_raw string, gold_label string, image_paths array<string>, num_images int, frame_order string, qas_file string, qas_line int")
+    made = manifest.mismatch_inputs(m)
+    assert "lambda" not in made.select("input_id")._jdf.queryExecution().optimizedPlan().toString().partition("Generate")[0] and "transform(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.question_sample_id, r.gui_sample_id, r.image_paths) for r in made.collect()] == [(f"p::{q}", f"p::{g}", [f"{g}.jpg"]) for q in LANGUAGES[:3] for g in LANGUAGES[:3] if q != g]
