@@ -355,3 +355,21 @@ def test_keys_of_odd_ids(spark):
     df = spark.createDataFrame([(i, k) for i in ids for k in ["a", "a::b", "a:", "", "a\n", "a::", "b", "a::e:n", None]], "id string, key string")
     both = df.select(validate.of_key(F.col("id"), F.col("key")).alias("x"), validate.sample_key(F.col("id")).eqNullSafe(F.col("key")).alias("y"))
     assert both.filter("not x <=> y").count() == 0 and both.filter("x").count() > 9
+
+
+def test_inputs_of_several_keys_are_found_once(spark):
+    """Inputs that refer to samples of several keys are picked in one pass, and what refers to none else is read once more."""
+    m = spark.createDataFrame([(f"p{i}::en", f"p{i}", "wf", "A", [f"{i}"], "f", i) for i in range(4)], "sample_id string, parallel_id string, dimension string, gold_label string, image_paths array<string>, qas_file string, qas_line int")
+    inputs = spark.range(4).selectExpr("concat('i', id) as input_id", "concat('p', id, '::en') as question_sample_id", "if(id = 2, 'p3::en', concat('p', id, '::en')) as gui_sample_id", "concat('p', id, '::en') as oracle_sample_id", "concat('p', id) as sample_key")
+    found = validate.looked_up(inputs, validate.sample_facts(m))
+    assert {(r.input_id, r.q.parallel_id, r.g.parallel_id) for r in found.collect()} == {("i0", "p0", "p0"), ("i1", "p1", "p1"), ("i2", "p2", "p3"), ("i3", "p3", "p3")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
+def test_faults_are_made_once_a_row(spark):
+    """A filter on faulty rows reads their values; it doesn't make them anew, for each time that it names them."""
+    rows = spark.range(2).selectExpr("concat('a_', id + 33, '.jpg::q=en::gui=zh') as input_id", "'p::zh' as gui_sample_id", "'zh' as gui_language", "*", *[f"'{c}' as {c}" for c in ("parallel_id", "dimension", "gold_label", "oracle_sample_id", "sample_key")], "array('x') as image_paths", "1 as num_images")
+    bad = faults.faulty(rows, "mismatch").filter("gui_sample_id = 'gone' or gui_language = 'en'")
+    assert {(r.input_id[:4], r.gui_sample_id, r.gui_language) for r in bad.collect()} == {("a_33", "p::zh", "en"), ("a_34", "gone", "zh")}
+    filters = [x for x in bad._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter " in x]
+    assert len(filters) == 1 and "CASE" not in filters[0] and "substring" not in filters[0]
