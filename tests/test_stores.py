@@ -373,3 +373,15 @@ def test_faults_are_made_once_a_row(spark):
     assert {(r.input_id[:4], r.gui_sample_id, r.gui_language) for r in bad.collect()} == {("a_33", "p::zh", "en"), ("a_34", "gone", "zh")}
     filters = [x for x in bad._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter " in x]
     assert len(filters) == 1 and "CASE" not in filters[0] and "substring" not in filters[0]
+
+
+def test_rows_are_counted_where_keys_are(spark, monkeypatch):
+    """Of rows without repeated keys the number comes with their keys, from one pass; of repeated ones, too, it is that of all rows."""
+    asked = []
+    monkeypatch.setattr(validate, "written", lambda df, what: asked.append(what) or shared.written(df, what))
+    rows = spark.range(7).selectExpr("if(id < 3, 'a', concat('p', id)) as pair_id")
+    few = validate.pair_violations(rows.filter("pair_id <> 'a'"), {"directed_pairs": 5})
+    assert [tuple(r) for r in few.collect()] == [("pair_rows", "4")] and asked == ["tally"]
+    assert few._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1  # the row that stands for no repeated key
+    assert sorted(map(tuple, validate.pair_violations(rows, {"directed_pairs": 5}).collect()), key=str) == [("pair_id_unique", None), ("pair_rows", "7")]
+    assert [tuple(r) for r in validate.pair_violations(rows.limit(0), {"directed_pairs": 1}).collect()] == [("pair_rows", "0")]
